@@ -70,7 +70,7 @@ KEYS = ("key_id", "key_null", "key_text")
 
 def keyed(docs: DataFrame) -> DataFrame:
     t = text_or_empty()
-    return docs.select("doc_id", t.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(KEYS[0]), F.col("doc_id").isNull().alias(KEYS[1]), F.xxhash64(t).alias(KEYS[2]))
+    return docs.select(t.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(KEYS[0]), F.col("doc_id").isNull().alias(KEYS[1]), F.xxhash64(t).alias(KEYS[2]))
 
 
 def successors(k: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Per document its fingerprint, that of its edited text (the last third replaced by the start of the
     next document) and how alike they and the next document's are. Rows that agree in doc_id and text count
     once in the order and get the same values."""
-    k = keyed(docs)
+    k = keyed(docs)  # both joins read the same columns of it, so that texts are dealt out once
     after = successors(k)
     need = after.select(*[F.col(c).alias(f"of_{c}") for c in KEYS], *[F.col(f"next_{c}").alias(c) for c in KEYS], F.floor(F.col("n_chars") / 3).cast("int").alias("n_next"))
     given = k.join(need, list(KEYS)).select(*[f"of_{c}" for c in KEYS], F.expr("left(text, n_next)").alias("start"), "text", "n_next")
@@ -102,7 +102,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     given = given.dropDuplicates([*KEYS])
     d = k.join(given, list(KEYS)).withColumn("n_chars", F.length("text").cast("long"))
     d = d.withColumn("edited", F.concat(F.expr("left(text, cast(n_chars as int) - n_next)"), F.col("start")))
-    d = d.select("doc_id", "text", "n_chars", "edited", "next_hashes")
+    doc_id = F.when(~F.col(KEYS[1]), F.col(KEYS[0])).alias("doc_id")
+    d = d.select(doc_id, "text", "n_chars", "edited", "next_hashes")
     d = fingerprint(fingerprint(d, "text", "fp"), "edited", "edited_fp")
     d = d.withColumn("own_hashes", hashes(F.col("fp"))).withColumn("edited_hashes", hashes(F.col("edited_fp")))
     return d.select(
