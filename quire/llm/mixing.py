@@ -8,7 +8,9 @@ document in (0, 1), and the lowest ranks are taken until the source's word count
 One source may hold a third of all rows, so no window ever spans a source: ranks are first summed per
 (source, rank bucket), the bucket in which the target falls is found from those sums, and only that
 bucket's rows are ordered one by one. The words still missing (fewer than the next document in rank has)
-are then filled the same way from documents that fit into the gap.
+are then filled the same way from documents that fit into the gap. What is joined to the documents has a row
+per source and is written first, so that Spark knows its size and broadcasts it if that is small; else the
+documents would be dealt by source before their join is found to need no dealing.
 
 Nulls: a null text has size 0, a null source is a source of its own (last in order), a null doc_id is
 hashed as such. Empty texts are never taken. Repeated rows are separate documents; rows that agree in
@@ -80,7 +82,7 @@ def _take(rows: DataFrame, need: DataFrame) -> DataFrame:
         .agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before")), "bucket").alias("edge"))
         .select(F.col("source").alias("edge_source"), F.col("edge.bucket").alias("edge_bucket"), F.col("edge.before").alias("edge_before"))
     )
-    r = r.join(edge, F.col("source").eqNullSafe(F.col("edge_source")), "left")
+    r = r.join(written(edge, "edge"), F.col("source").eqNullSafe(F.col("edge_source")), "left")
     here = Window.partitionBy("edge_key", "edge_row").orderBy("rank", "doc_id", "u").rowsBetween(Window.unboundedPreceding, 0)
     at_edge = F.coalesce(F.col("bucket") == F.col("edge_bucket"), F.lit(False))
     rest, edge_rows = r.where(~at_edge), r.where(at_edge)
@@ -113,7 +115,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, se
         rows = written(rows, "mix")
         got = rows.groupBy("source").agg(F.sum(F.col("size") * (F.col("whole") + F.col("extra").cast("long"))).alias("got"))
         need = got.join(wanted, F.col("source").eqNullSafe(F.col("of"))).select("source", (F.col("target") - F.col("got")).alias("need"))
-        rows = _take(rows, need)
+        rows = _take(rows, written(need, "need"))
     copies = F.col("whole") + F.col("extra").cast("long")
     return rows.select("doc_id", "u", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
 
