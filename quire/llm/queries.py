@@ -49,4 +49,25 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scans, op4_quality, op6_mixing, op7_packing, op8_pii, op9_winnowing, op10_media)}
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import license_spans
+
+    return license_spans(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_lm_scoring, op2_secret_scans, op3_ngram_jaccard, op4_quality, op5_license_scans, op6_mixing, op7_packing, op8_pii, op9_winnowing, op10_media)
+}
