@@ -1,0 +1,123 @@
+"""Glossary terms mined from texts, described, curated and merged."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from quire.functions import text as t
+
+_NOT_WORD_BEFORE, _NOT_WORD_AFTER = r"(?<![\p{L}\p{M}\p{N}_])", r"(?![\p{L}\p{M}\p{N}_])"
+#: What counts as a name in the candidate list and in the term table.
+CANDIDATE = _NOT_WORD_BEFORE + r"[A-Z][a-z]+(?:[’'-][A-Z]?[a-z]+)?(?:\s+[A-Z][a-z]+(?:[’'-][A-Z]?[a-z]+)?){0,3}" + _NOT_WORD_AFTER
+NAME = _NOT_WORD_BEFORE + r"[A-Z][A-Za-z’'-]+(?:\s+[A-Z][A-Za-z’'-]+){0,3}" + _NOT_WORD_AFTER
+#: Words that are no names by themselves; our own curation of function words, interjections and days.
+COMMON = (
+    "a about above after again all also although always am an and another any are as at away back be because been before being below between both but by came can come could "
+    "did do does down each either else even ever every few first for from get go good had has have he hello her here hers him his how however i if in into is it its just last "
+    "let like little many may maybe me might mine more most much must my near never new next no none nor not nothing now of off oh old on once one only or other our ours out over "
+    "perhaps please quite rather really said same say see she should since so some soon still such than thank thanks that the their them then there these they this those though "
+    "three through till to today together tomorrow tonight too two under until up upon us very was we well were what when where whether which while who whom whose why will with "
+    "within without would yes yesterday yet you your yours monday tuesday wednesday thursday friday saturday sunday"
+).split()
+LEADING = "a an and as at but by for from he her his i if in it its my no not of on or our she so that the their then there these they this those to we what when where with you your".split()
+#: Single words of address and the like.
+SINGLE = ("madam", "master", "mistress", "night", "sir", "unlike")
+
+
+def is_noise(term: Column) -> Column:
+    """Whether a candidate is no term: empty, common words only, led by a function word, with an
+    apostrophe, or too short."""
+    low = F.lower(term)
+    parts = F.filter(F.split(low, r"\s+"), lambda x: x != "")
+    common = F.array(*[F.lit(w) for w in COMMON])
+    return (
+        (term == "")
+        | low.isin(*COMMON)
+        | F.forall(parts, lambda x: F.array_contains(common, x))
+        | ((F.size(parts) > 1) & F.coalesce(F.get(parts, F.lit(0)).isin(*LEADING), F.lit(False)))
+        | term.rlike("['’]")
+        | ((F.size(parts) == 1) & (low.isin(*SINGLE) | (F.length(term) <= 2)))
+    )
+
+
+def mentions(df: DataFrame, key: str, text: Column, pattern: str) -> DataFrame:
+    """(key, pos, term): every match of a pattern, cleaned, noise left out."""
+    m = df.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("pos", "raw"))
+    return m.select(key, F.col("pos").cast("long").alias("pos"), t.clean_term(F.col("raw")).alias("term")).where(~is_noise(F.col("term")))
+
+
+def counted(found: DataFrame, key: str, least: int) -> DataFrame:
+    """(term, frequency, first): how often and where first; at least `least` times."""
+    c = found.groupBy("term").agg(F.count(F.lit(1)).alias("frequency"), F.min(F.struct(key, "pos")).alias("first"))
+    return c.where(F.col("frequency") >= least)
+
+
+def kind(term: Column) -> Column:
+    """person for capitalised terms, else special (families beyond that come from presets)."""
+    return F.when(F.substring(term, 1, 1).rlike(r"\p{Lu}"), "person").otherwise("special")
+
+
+def confidence(term: Column, kind_: Column, frequency: Column) -> Column:
+    several = term.contains(" ")
+    return F.when((kind_ == "person") & several & (frequency >= 3), 0.68).when(kind_ == "person", 0.58).otherwise(0.45)
+
+
+def table(found: DataFrame, key: str, least: int = 2, most: int = 240) -> DataFrame:
+    """The most frequent terms (a report of bounded size), ties by first place, with kind and confidence."""
+    c = counted(found, key, least).orderBy(F.col("frequency").desc(), "first").limit(most)
+    c = c.withColumn("kind", kind(F.col("term")))
+    return c.select("term", "frequency", "kind", confidence(F.col("term"), F.col("kind"), F.col("frequency")).alias("confidence"))
+
+
+def evidence(df: DataFrame, found: DataFrame, key: str, text: str, most: int = 3) -> DataFrame:
+    """(term, nth, context): each term's first contexts in order of places."""
+    first = found.withColumn("nth", F.row_number().over(Window.partitionBy("term").orderBy(key, "pos")).cast("long")).where(F.col("nth") <= most)
+    return first.join(df.select(key, text), key).select("term", "nth", t.term_context(F.col(text), F.col("term")).alias("context"))
+
+
+def aliases(counts: DataFrame) -> DataFrame:
+    """(term, alias): the first word of a name of several words, if it is counted by itself."""
+    c = counts.where(F.col("term").contains(" ") & (kind(F.col("term")) == "person")).select("term", F.split_part("term", F.lit(" "), F.lit(1)).alias("alias"))
+    return c.where(~is_noise(F.col("alias"))).join(counts.select(F.col("term").alias("alias")), "alias", "left_semi").select("term", "alias")
+
+
+def keep_first(terms: DataFrame, order: list[Column]) -> DataFrame:
+    """Terms with a source, the first of each source."""
+    w = Window.partitionBy("source").orderBy(*order)
+    return terms.where(F.coalesce("source", F.lit("")) != "").withColumn("q_row", F.row_number().over(w)).where("q_row = 1").drop("q_row")
+
+
+def enforced(terms: DataFrame) -> DataFrame:
+    """Terms that outputs must keep to."""
+    sure = (F.col("status") == "approved") | F.col("locked") | (F.col("confidence") >= 0.9)
+    return terms.where((F.col("source") != "") & (F.col("translation") != "") & (F.col("status") != "ignored") & sure & ~is_noise(F.col("source")))
+
+
+def merged(existing: DataFrame, imported: DataFrame, mode: str = "upsert") -> DataFrame:
+    """source, translation, status, confidence, locked of two term tables, each with a place column pos.
+
+    replace: the imported ones; append: existing ones first, the first of a source stays; upsert: imported
+    fields overwrite unless blank, a lock stays, and approval is not taken back."""
+    if mode not in ("replace", "append", "upsert"):
+        raise ValueError("mode is replace, append or upsert")
+    columns = ["source", "translation", "status", "confidence", "locked"]
+    if mode == "replace":
+        return keep_first(imported, [F.col("pos")]).select(*columns)
+    if mode == "append":
+        both = existing.withColumn("side", F.lit(0)).unionByName(imported.withColumn("side", F.lit(1)))
+        return keep_first(both, [F.col("side"), F.col("pos")]).select(*columns)
+    a = keep_first(existing, [F.col("pos")]).select("source", *[F.col(c).alias(f"a_{c}") for c in columns[1:]])
+    b = keep_first(imported, [F.col("pos")]).select("source", *[F.col(c).alias(f"b_{c}") for c in columns[1:]])
+    new = lambda c: F.coalesce(F.nullif(f"b_{c}", F.lit("")), f"a_{c}", F.lit(""))
+    status = F.when((F.col("a_status") == "approved") & (F.col("b_status") == "pending"), "approved").otherwise(new("status"))
+    locked = F.coalesce("b_locked", "a_locked") | F.coalesce("a_locked", F.lit(False))
+    return a.join(b, "source", "full").select("source", new("translation").alias("translation"), status.alias("status"), F.coalesce("b_confidence", "a_confidence").alias("confidence"), locked.alias("locked"))
+
+
+def summary(terms: DataFrame) -> DataFrame:
+    """Counts by state; approved and locked overlap with the rest, as states do."""
+    return terms.agg(
+        F.count(F.lit(1)).alias("total"), F.count_if((F.col("status") == "approved") | F.col("locked")).alias("approved"),
+        F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(F.col("status") == "ignored").alias("ignored"),
+    )
