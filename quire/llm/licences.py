@@ -18,6 +18,7 @@ that agree in both get equal results. Extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -164,17 +165,24 @@ def paragraphs(docs: DataFrame, model: Classifier) -> DataFrame:
     """(id, hash, start, end, family, probability, confirmed) of all paragraphs that reach a family."""
     d = docs.withColumn("low", F.lower("text"))
     some = lambda text: _any(text, model.anchors)
-    lines = d.where(some(F.col("low"))).dropDuplicates(["id", "hash"]).select("id", "hash", F.split("text", "\n", -1).alias("lines"))
-    p = lines.select("id", "hash", "lines", F.posexplode("lines").alias("pos", "line")).where(some(F.lower("line")))
-    start = F.aggregate(F.slice("lines", 1, F.col("pos")), F.lit(0), lambda acc, x: acc + F.length(x) + 1)
-    p = p.select("id", "hash", "line", start.alias("start")).withColumn("end", F.col("start") + F.length("line"))
+    # One pass over a text's lines keeps those with an anchor and where they start; only these leave the row.
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,line:string>>").alias("found"))
+
+    def step(acc: Column, line: Column) -> Column:
+        found = F.array_append(acc["found"], F.struct(acc["at"].alias("start"), line.alias("line")))
+        return F.struct((acc["at"] + F.length(line) + 1).alias("at"), F.when(some(F.lower(line)), found).otherwise(acc["found"]).alias("found"))
+
+    lines = F.aggregate(F.split("text", "\n", -1), none, step, lambda acc: acc["found"])
+    p = d.where(some(F.col("low"))).select("id", "hash", F.explode(lines).alias("x")).select("id", "hash", "x.start", "x.line").dropDuplicates(["id", "hash", "start"])
+    p = p.withColumn("end", F.col("start") + F.length("line"))
     words = F.filter(F.split(F.lower("line"), _SPLIT), lambda x: x != "")
     p = p.withColumn("words", words)
     pairs = F.transform(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get("words", i + 1)))
     p = written(p.withColumn("grams", F.array_distinct(F.concat("words", pairs))).drop("words"), "paragraphs")
     spark = docs.sparkSession
     used = [i for i in range(len(model.features)) if model.weights[i].any()]
-    weights = spark.createDataFrame([(model.features[i], [float(x) for x in model.weights[i]]) for i in used], "gram string, w array<double>")
+    listed = json.dumps([{"gram": model.features[i], "w": [float(x) for x in model.weights[i]]} for i in used])
+    weights = spark.range(1).select(F.explode(F.from_json(F.lit(listed), "array<struct<gram:string,w:array<double>>>")).alias("x")).select("x.*")
     key = ["id", "hash", "start", "end"]
     sums = p.select(*key, F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram").groupBy(*key)
     # At most as many weights as the notices have n-grams: a bounded table.
