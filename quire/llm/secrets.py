@@ -123,7 +123,7 @@ def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """docs with every secret's span replaced by the mask; overlapping spans are masked as one. The other
     columns stay; n_chars, where there is one, follows the text."""
     keys = docs.select("*", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("q_id"), F.xxhash64(text_or_empty()).alias("q_hash"))
-    found = scan(docs).where(F.size("found") > 0).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("q_id"), F.xxhash64("text").alias("q_hash"), "found")
+    found = scan(docs).where(F.size("found") > 0).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("q_id"), F.xxhash64("text").alias("q_hash"), F.col("found").alias("q_found"))
     found = found.dropDuplicates(["q_id", "q_hash"])
     blank = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
@@ -131,8 +131,8 @@ def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
         gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
         return F.struct(F.concat(acc["out"], F.when(s["end"] <= acc["at"], "").when(s["start"] < acc["at"], "").otherwise(F.concat(gap, F.lit(mask)))).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-    clean = F.aggregate("found", blank, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    out = keys.join(found, ["q_id", "q_hash"], "left").withColumn("text", F.when(F.col("found").isNull(), F.col("text")).otherwise(clean))
+    clean = F.aggregate("q_found", blank, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    out = keys.join(found, ["q_id", "q_hash"], "left").withColumn("text", F.when(F.col("q_found").isNull(), F.col("text")).otherwise(clean))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("found").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col("q_found").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
