@@ -12,8 +12,9 @@ Two documents link when 100 * overlap >= 75 * union. No link between different s
    document is paired with one centre, not with each other. Cells whose size-derived bounds (the ratio of
    sizes; what may still follow the shared column) rule a link out are discarded; the others are computed as
    sparse dot products. Links merge documents into components.
-4. Columns that still hold several components are expanded, across components only and under the same
-   bounds, and the remaining cells are computed. Links found there merge components.
+4. Columns that still hold several components get other centres, and cells across components are computed.
+5. Columns that still do are expanded, across components only and under the same bounds, and the remaining
+   cells are computed. Links found there merge components.
 
 So large groups of near copies cost cells in proportion to their size, and what is not linked by a centre
 is still examined. Components come from label propagation over written tables.
@@ -199,11 +200,11 @@ def _entries(docs: DataFrame, sketch: np.ndarray, salt: int) -> DataFrame:
 STAR = "column long, salt int, centre long, centre_size int, centre_at int, cls long, size int, at int"
 
 
-def _stars(entries: DataFrame) -> DataFrame:
-    """Every entry of a column block with the block's centre: the first in one of four orders of the rows.
+def _stars(entries: DataFrame, orders: int = 4, seed: int = 0) -> DataFrame:
+    """Every entry of a column block with the block's centre: the first in one of a few orders of the rows.
     Blocks of one entry are left out unless salted. Entries stream by in order; only the block's centre is
     kept in memory."""
-    order = F.xxhash64("cls", F.pmod(F.col("column"), F.lit(4)))
+    order = F.xxhash64("cls", F.pmod(F.col("column"), F.lit(orders)), F.lit(seed))
     ordered = entries.withColumn("order", order).repartition("column", "salt").sortWithinPartitions("column", "salt", "order", "cls")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -235,10 +236,10 @@ def _stars(entries: DataFrame) -> DataFrame:
 
 
 def _bounds(n: Column, at: Column, m: Column, bt: Column) -> Column:
-    """Whether sizes n and m and the places of a shared entry allow a link."""
+    """Whether sizes n and m, and the places of the first entry they share, allow a link: what is shared lies
+    at or after these places. Of two sets that link, the first shared entry passes."""
     fits = F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
-    most = F.least(at, bt) + F.least(n - at, m - bt)
-    return fits & (most * (100 + PERCENT) >= (n + m) * PERCENT)
+    return fits & (F.least(n - at, m - bt) * (100 + PERCENT) >= (n + m) * PERCENT)
 
 
 def _pairs(x: DataFrame, a: str, b: str) -> DataFrame:
@@ -316,20 +317,35 @@ def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     tested = written(_pairs(stars.where(ok), "centre", "cls"), "pairs")
     links = written(_linked(docs, named, tested, salt), "links")
     labels = components(links)
-    # The columns' members with their labels; where several meet, the cells across them are left to do.
     centres = stars.groupBy("column", F.col("centre").alias("cls")).agg(F.first("centre_size").alias("size"), F.first("centre_at").alias("at"))
-    members = stars.select("column", "cls", "size", "at").unionByName(centres)
-    members = members.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    members = written(members, "members")
-    mixed = members.groupBy("column").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("column")
-    open_ = written(members.join(mixed, "column"), "open")
+    open_ = _open(written(stars.select("column", "cls", "size", "at").unionByName(centres), "members"), labels)
+    # Columns where several components meet get other centres, and cells across components are computed.
+    many = open_.groupBy("column").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT)
+    salted = open_.join(many, "column", "left").withColumn("salt", F.coalesce(1 + F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / HOT)), F.lit(0)).cast("int"))
+    again = _stars(salted.select("column", "salt", "cls", "size", "at"), 16, 1).where(ok & (F.col("cls") != F.col("centre")))
+    label = labels.select(F.col("cls").alias("centre"), F.col("label").alias("centre_label"))
+    again = again.join(labels, "cls", "left").join(label, "centre", "left")
+    across = F.coalesce("label", "cls") != F.coalesce("centre_label", "centre")
+    second = written(_pairs(again.where(across), "centre", "cls").join(tested, ["a", "b"], "left_anti"), "pairs")
+    links = written(links.unionByName(_linked(docs, named, second, salt)), "links")
+    labels = components(links)
+    tested = tested.unionByName(second)
+    # What is still open is done in full, across components.
+    open_ = _open(open_.drop("label"), labels)
     other = open_.select("column", *[F.col(c).alias(f"o_{c}") for c in ("cls", "size", "at", "label")])
-    ok = _bounds(F.col("size"), F.col("at"), F.col("o_size"), F.col("o_at")) & (F.col("label") < F.col("o_label"))
-    rest = _pairs(open_.join(other, "column").where(ok), "cls", "o_cls").join(tested, ["a", "b"], "left_anti")
+    fits = _bounds(F.col("size"), F.col("at"), F.col("o_size"), F.col("o_at")) & (F.col("label") < F.col("o_label"))
+    rest = _pairs(open_.join(other, "column").where(fits), "cls", "o_cls").join(tested, ["a", "b"], "left_anti")
     more = written(_linked(docs, named, written(rest, "pairs"), salt), "links")
     return classes, components(links.unionByName(more))
 
 
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The entries, with labels, of columns in which several components meet."""
+    m = written(members.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls")), "members")
+    mixed = m.groupBy("column").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("column")
+    return written(m.join(mixed, "column", "left_semi"), "open")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, and the size of the component."""
     classes, labels = classes_and_links(docs)
