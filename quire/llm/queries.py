@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .sql import ORACLES  # noqa: F401
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
