@@ -124,7 +124,7 @@ def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     columns stay; n_chars, where there is one, follows the text."""
     keys = docs.select("*", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("q_id"), F.xxhash64(text_or_empty()).alias("q_hash"))
     found = scan(docs).where(F.size("found") > 0).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("q_id"), F.xxhash64("text").alias("q_hash"), F.col("found").alias("q_found"))
-    found = found.dropDuplicates(["q_id", "q_hash"])
+    found = written(found.dropDuplicates(["q_id", "q_hash"]), "found")  # Spark then knows whether it is small
     blank = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
