@@ -299,6 +299,16 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links: only the links between components are propagated, as links of labels."""
+    new = links.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(labels, "cls", "left_anti")
+    labels = written(labels.unionByName(new.select("cls", F.col("cls").alias("label"))), "labels")
+    side = lambda c: labels.select(F.col("cls").alias(c), F.col("label").alias(f"l{c}"))
+    between = links.join(side("a"), "a").join(side("b"), "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    top = components(written(between, "between")).select(F.col("cls").alias("label"), F.col("label").alias("top"))
+    return written(labels.join(top, "label", "left").select("cls", F.coalesce("top", "label").alias("label")), "labels")
+
+
 def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents' classes (doc_id, hash, n, cls) and the classes' labels (cls, label)."""
     for salt in range(8):
@@ -327,8 +337,7 @@ def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     again = again.join(labels, "cls", "left").join(label, "centre", "left")
     across = F.coalesce("label", "cls") != F.coalesce("centre_label", "centre")
     second = written(_pairs(again.where(across), "centre", "cls").join(tested, ["a", "b"], "left_anti"), "pairs")
-    links = written(links.unionByName(_linked(docs, named, second, salt)), "links")
-    labels = components(links)
+    labels = _joined(labels, written(_linked(docs, named, second, salt), "links"))
     tested = tested.unionByName(second)
     # What is still open is done in full, across components.
     open_ = _open(open_.drop("label"), labels)
@@ -336,7 +345,7 @@ def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     fits = _bounds(F.col("size"), F.col("at"), F.col("o_size"), F.col("o_at")) & (F.col("label") < F.col("o_label"))
     rest = _pairs(open_.join(other, "column").where(fits), "cls", "o_cls").join(tested, ["a", "b"], "left_anti")
     more = written(_linked(docs, named, written(rest, "pairs"), salt), "links")
-    return classes, components(links.unionByName(more))
+    return classes, _joined(labels, more)
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -369,6 +378,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     chosen = best.select(F.col("best.doc_id").alias("q_id"), F.col("best.hash").alias("q_hash"))
     keyed = docs.withColumn("q_key", F.xxhash64(text_or_empty()))
     words = F.regexp_like(text_or_empty(), F.lit(r"[^\x20\x09-\x0D]"))
-    kept = keyed.where(words).join(written(chosen, "chosen"), F.col("doc_id").eqNullSafe(F.col("q_id")) & (F.col("q_key") == F.col("q_hash")), "left_semi")
-    kept = kept.dropDuplicates(["doc_id", "q_key"])
-    return kept.select(*docs.columns).unionByName(docs.where(~words))
+    many = named.groupBy("doc_id", "hash").agg(F.count(F.lit(1)).alias("many"))
+    chosen = chosen.join(many, F.col("q_id").eqNullSafe(F.col("doc_id")) & (F.col("q_hash") == F.col("hash"))).select("q_id", "q_hash", "many")
+    chosen = written(chosen, "chosen")
+    here = F.col("doc_id").eqNullSafe(F.col("q_id")) & (F.col("q_key") == F.col("q_hash"))
+    few = chosen.count() <= MOST_BROADCAST  # at most 24 MB; beyond that the texts are dealt out
+    some = lambda c: F.broadcast(c) if few else c
+    once = keyed.where(words).join(some(chosen.where("many = 1")), here, "left_semi")
+    again = keyed.where(words).join(some(chosen.where("many > 1")), here, "left_semi").dropDuplicates(["doc_id", "q_key"])
+    return once.unionByName(again).select(*docs.columns).unionByName(docs.where(~words))
