@@ -113,18 +113,19 @@ def _profiles(docs: DataFrame, salt: int) -> DataFrame:
                 size += len(s)
                 if size > 1_000_000:
                     add()
-            yield _nullable(pd.DataFrame(rows, columns=columns))
+            yield _nullable(pd.DataFrame(rows, columns=columns, dtype=object))
         if part is not None:
             add()
             chunks = sketch.reshape(-1, 1 << CHUNK_BITS)
             rows = [(None, None, None, None, None, i, part, zlib.compress(c.tobytes(), 1)) for i, c in enumerate(chunks)]
-            yield _nullable(pd.DataFrame(rows, columns=columns))
+            yield _nullable(pd.DataFrame(rows, columns=columns, dtype=object))
 
     d = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("hash"), text_or_empty().alias("text"), F.spark_partition_id().alias("part"))
     return d.mapInPandas(run, PROFILE)
 
 
 def _nullable(df: pd.DataFrame) -> pd.DataFrame:
+    """Whole numbers with nulls, from objects: as floats 64-bit names would lose digits."""
     return df.astype({c: "Int64" if c not in ("chunk", "part") else "Int32" for c in df.columns if c != "counts"})
 
 
