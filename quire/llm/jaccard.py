@@ -201,12 +201,15 @@ def _entries(docs: DataFrame, sketch: np.ndarray, salt: int) -> DataFrame:
 STAR = "column long, salt int, centre long, centre_size int, centre_at int, cls long, size int, at int"
 
 
-def _stars(entries: DataFrame, orders: int = 4, seed: int = 0) -> DataFrame:
-    """Every entry of a column block with the block's centre: the first in one of a few orders of the rows.
+def _stars(entries: DataFrame, orders: int = 4, step: int = 1) -> DataFrame:
+    """Every entry of a column block with the block's centre: the row with fewest entries before this column
+    (in steps; ties in one of a few orders of the rows). Entries before it are rarer, so they are what a copy
+    has of its own: the centre is the copy nearest to what all have in common, and links to most.
     Blocks of one entry are left out unless salted. Entries stream by in order; only the block's centre is
     kept in memory."""
-    order = F.xxhash64("cls", F.pmod(F.col("column"), F.lit(orders)), F.lit(seed))
-    ordered = entries.withColumn("order", order).repartition("column", "salt").sortWithinPartitions("column", "salt", "order", "cls")
+    order = F.xxhash64("cls", F.pmod(F.col("column"), F.lit(orders)))
+    ordered = entries.withColumn("own", F.floor(F.col("at") / step)).withColumn("order", order)
+    ordered = ordered.repartition("column", "salt").sortWithinPartitions("column", "salt", "own", "order", "cls")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = None  # column, salt, centre, size, at, last cls
@@ -333,7 +336,7 @@ def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Columns where several components meet get other centres, and cells across components are computed.
     many = open_.groupBy("column").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT)
     salted = open_.join(many, "column", "left").withColumn("salt", F.coalesce(1 + F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / HOT)), F.lit(0)).cast("int"))
-    again = _stars(salted.select("column", "salt", "cls", "size", "at"), 16, 1).where(ok & (F.col("cls") != F.col("centre")))
+    again = _stars(salted.select("column", "salt", "cls", "size", "at"), 16, 4).where(ok & (F.col("cls") != F.col("centre")))
     label = labels.select(F.col("cls").alias("centre"), F.col("label").alias("centre_label"))
     again = again.join(labels, "cls", "left").join(label, "centre", "left")
     across = F.coalesce("label", "cls") != F.coalesce("centre_label", "centre")
