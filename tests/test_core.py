@@ -176,9 +176,9 @@ def test_books(spark, tmp_path):
     assert [(r["seq"], r["tag"], r["text"], r["label"]) for r in got[:-1]] == [(1, "h1", "Title one", "T & U"), (2, "p", "Some inline text", "T & U"), (3, "li", "nested", "T & U"), (4, "p", "nested", "T & U")]
     assert got[-1]["error"]
     simple = books.minimal_book("x", ["<p>one</p>", '<p id="k">two <b>three</b></p>'])
-    new = {f"{b[1]}::{b[3]:04d}": b[5].replace("two", "zwei") for b in books.read_blocks(simple)}
+    new = {f"{b[1]}::{b[3]:04d}": b[6].replace("two", "zwei") for b in books.read_blocks(simple)}
     again = books.applied(simple, new)
-    assert [b[4] for b in books.read_blocks(again)] == ["one", "zwei three"]
+    assert [b[5] for b in books.read_blocks(again)] == ["one", "zwei three"]
     with zipfile.ZipFile(BytesIO(again)) as z:
         assert z.infolist()[0].filename == "mimetype" and z.infolist()[0].compress_type == zipfile.ZIP_STORED
     with pytest.raises(ValueError):
