@@ -250,8 +250,8 @@ def _pairs(x: DataFrame, a: str, b: str) -> DataFrame:
     return x.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where(F.col("a") != F.col("b")).distinct()
 
 
-def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, salt: int) -> DataFrame:
-    """The cells of `pairs` (a, b: classes): those that link."""
+def _computed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, salt: int, payload, keep) -> DataFrame:
+    """The cells of `pairs` (a, b: classes) for which keep(payload of a's set, payload of b's set) holds."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     keys = written(classes.groupBy("cls").agg(F.min("hash").alias("hash")).join(ids, "cls", "left_semi").select("hash"), "keys")
     d = docs.select(F.xxhash64(text_or_empty()).alias("hash"), text_or_empty().alias("text"))
@@ -267,27 +267,48 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, salt: int) ->
                 cls = digest(s, salt)[0] if len(s) else None
                 if cls is not None and cls not in seen:
                     seen.add(cls)
-                    rows.append((cls, s.tobytes()))
+                    rows.append((cls, payload(s)))
             yield pd.DataFrame(rows, columns=["cls", "entries"])
 
     rows = d.select("text").mapInPandas(sets, "cls long, entries binary").dropDuplicates(["cls"])
 
     def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keep = np.zeros(len(b), bool)
-            for i, (p, q) in enumerate(zip(b["left"], b["right"], strict=True)):
-                x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                overlap = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                keep[i] = 100 * overlap >= PERCENT * (len(x) + len(y) - overlap)
-            yield b[["a", "b"]][keep]
+            kept = np.array([keep(p, q) for p, q in zip(b["left"], b["right"], strict=True)], bool)
+            yield b[["a", "b"]][kept]
 
     cells = pairs.join(rows.select(F.col("cls").alias("a"), F.col("entries").alias("left")), "a").join(rows.select(F.col("cls").alias("b"), F.col("entries").alias("right")), "b")
     return cells.select("a", "b", "left", "right").mapInPandas(product, "a long, b long")
 
 
+def _block_sizes(s: np.ndarray) -> bytes:
+    """How many of a set's columns lie in each of 256 blocks of columns."""
+    return np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256).astype(np.uint32).tobytes()
+
+
+def _may_link(p: bytes, q: bytes) -> bool:
+    """A block's overlap is at most the smaller of its sizes; the sum of these bounds the whole overlap."""
+    x, y = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
+    most = int(np.minimum(x, y).sum())
+    return 100 * most >= PERCENT * (int(x.sum()) + int(y.sum()) - most)
+
+
+def _do_link(p: bytes, q: bytes) -> bool:
+    """The sparse dot product of two rows against the size of their union."""
+    x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+    if len(x) > len(y):
+        x, y = y, x
+    overlap = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * overlap >= PERCENT * (len(x) + len(y) - overlap)
+
+
+def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, salt: int) -> DataFrame:
+    """The cells of `pairs` that link: first held against the sizes of column blocks (1 KB a row), then what
+    is left computed from whole rows."""
+    near = written(_computed(docs, classes, pairs, salt, _block_sizes, _may_link), "near")
+    return _computed(docs, classes, near, salt, lambda s: s.tobytes(), _do_link)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(cls, label): the least row reachable, by propagating labels and following them."""
     both = written(edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*"), "edges")
