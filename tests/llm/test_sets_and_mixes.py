@@ -207,3 +207,14 @@ def test_shared_runs_are_found(spark):
     d = winnowing.fingerprint(spark.createDataFrame([(x,) for x in texts], "text string"), "text", "fp")
     sets = [{h >> 31 for h in r["fp"]} for r in d.collect()]
     assert all(a & b for a in sets for b in sets)
+
+
+def test_block_sizes_never_lose_a_link():
+    r = np.random.default_rng(4)
+    for _ in range(300):
+        pool = r.integers(0, 1 << 63, r.integers(2, 400), dtype=np.uint64)
+        x, y = (np.unique(r.choice(pool, r.integers(1, len(pool) + 1))) for _ in range(2))
+        if jaccard._do_link(x.tobytes(), y.tobytes()):
+            assert jaccard._may_link(jaccard._block_sizes(x), jaccard._block_sizes(y))
+        both = len(np.intersect1d(x, y))
+        assert jaccard._do_link(x.tobytes(), y.tobytes()) == (100 * both >= 75 * (len(x) + len(y) - both))
