@@ -31,6 +31,7 @@ from .common import held_out
 
 SLOTS, RANK = 1 << 12, 8
 MOST_LABELLED = 8000
+CHUNK = 200
 #: Names of the structure statistics and metadata, in the order of their inputs.
 STATISTICS = (
     "log_words", "log_lines", "mean_word", "distinct_words", "top_word", "distinct_lines", "upper", "digit", "punctuation", "symbol", "non_ascii",
@@ -189,7 +190,12 @@ def scored(docs: DataFrame, machine: Machine, keep: bool = False) -> DataFrame:
     base = base if keep else base.select("doc_id", "text", "q_chars", "q_held")
 
     def values(batch: pd.DataFrame) -> np.ndarray:
-        return shared.value.score([features(t if isinstance(t, str) else None, None if pd.isna(n) else n) for t, n in zip(batch["text"], batch["q_chars"], strict=True)])
+        """Scores, CHUNK rows at a time: an Arrow batch of long texts has more inputs than memory should hold."""
+        out = []
+        for at in range(0, len(batch), CHUNK):
+            part = batch.iloc[at : at + CHUNK]
+            out.append(shared.value.score([features(t if isinstance(t, str) else None, None if pd.isna(n) else n) for t, n in zip(part["text"], part["q_chars"], strict=True)]))
+        return np.concatenate(out) if out else np.zeros(0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
