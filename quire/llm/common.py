@@ -47,10 +47,25 @@ def text_or_empty(name: str = "text") -> Column:
 
 def held_out(modulus: int, remainder: int) -> Column:
     """crc32 of doc_id as text, mod modulus, equals remainder; a null doc_id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == remainder
+    return held_out_of("doc_id", modulus, remainder)
+
+
+def held_out_of(name: str, modulus: int, remainder: int) -> Column:
+    return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
 def ascii_lower_words(text: str | None) -> list[bytes]:
     """Words of a text as UTF-8, A-Z in lower case. bytes.lower and bytes.split know ASCII only,
     which is just what is asked for."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def sampled(df: DataFrame, most: int, *by: str) -> DataFrame:
+    """Rows of df of which at most about `most` are left (all, if there are no more): those whose hash of the
+    given columns falls below a share. It takes one count; nothing is sorted or gathered. The share aims four
+    standard deviations below the bound."""
+    n = df.count()
+    if n <= most:
+        return df
+    share = max(1.0, most - 4 * most**0.5) / n
+    return df.where(F.shiftrightunsigned(F.xxhash64(*by), 12).cast("double") / float(1 << 52) < share)

@@ -2,8 +2,8 @@
 
 A multinomial logistic regression over sparse word 1- and 2-grams tells licence families and an unknown class
 apart. It is trained by this module on variants of the notices below (words dropped, foreign words around
-them) against prose: other uses of the same words, and paragraphs of at most SAMPLE documents of the corpus
-(those of the lowest text hash; a documented bound). Small weights are cut to 0. A temperature and the least
+them) against prose: other uses of the same words, and paragraphs of at most about SAMPLE documents of the
+corpus (by text hash; a documented bound). Small weights are cut to 0. A temperature and the least
 probability that counts as known are calibrated on variants and prose kept from training. A prediction is
 confirmed by comparison with the family's templates: the share of a template's 2-grams that the paragraph
 has must reach CONFIRM.
@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import sampled, text_or_empty, written
 
 #: Licence families and notices that name them.
 NOTICES = {
@@ -150,9 +150,9 @@ def cue_words(prose: list[str]) -> set[str]:
 
 
 def prose_sample(docs: DataFrame) -> list[str]:
-    """Lines of the SAMPLE documents of the lowest text hash that are not about licences."""
-    t = text_or_empty()
-    rows = docs.select(F.xxhash64(t).alias("h"), t.alias("text")).orderBy("h", "text").limit(SAMPLE).collect()
+    """Lines of about SAMPLE documents, chosen by text hash, that are not about licences."""
+    rows = sampled(docs.select(text_or_empty().alias("text")), SAMPLE, "text").collect()
+    rows = sorted(rows, key=lambda r: r["text"])
     return [x for r in rows for x in r["text"].split("\n") if x.strip() and not re.search(r"(?i)licen[cs]e|copyright|rights reserved|public domain", x)]
 
 

@@ -5,8 +5,8 @@ linear in the number of non-zero inputs. Inputs: SLOTS hashed words (log counts,
 statistics of the text's structure, and one of metadata (the logarithm of n_chars against the text's own
 length; 0 where there is none). labels, lang, source and doc_id are never inputs.
 
-The model is fitted on at most MOST_LABELLED labelled training rows (those of the lowest hash of doc_id and
-text; a documented bound, so that the driver's share is fixed) by Adam in numpy. Scoring covers every row
+The model is fitted on at most about MOST_LABELLED labelled training rows (by hash of doc_id; a documented
+bound, so that the driver's share is fixed) by Adam in numpy. Scoring covers every row
 and whole texts.
 
 A null text is empty; its score comes from the statistics alone. With no usable labels, or labels of one
@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, held_out_of, sampled, written
 
 SLOTS, RANK = 1 << 12, 8
 MOST_LABELLED = 8000
@@ -155,12 +155,8 @@ INPUTS = "index binary, value binary, quality int"
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tuple[list, np.ndarray]:
     """Inputs and labels of the training sample."""
     known = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("labelled_id"), F.col("quality").cast("int").alias("quality"))
-    # The hash comes before the join: the bound needs no text, and then only the sample's texts are shuffled.
-    train = docs.where(~held_out(3, 1)).select("doc_id", "text", F.col("n_chars").cast("double").alias("n_chars"), F.xxhash64("doc_id", "text").alias("h"))
-    ranked = train.select("doc_id", "h").join(known, F.col("doc_id") == F.col("labelled_id"))
-    bound = ranked.select("h").orderBy("h").limit(most).agg(F.max("h").alias("h"), F.count(F.lit(1)).alias("n")).first()
-    if not bound["n"]:
-        return [], np.zeros(0)
+    train = docs.where(~held_out(3, 1)).select("doc_id", "text", F.col("n_chars").cast("double").alias("n_chars"))
+    known = sampled(known.where(known.labelled_id.isNotNull() & ~held_out_of("labelled_id", 3, 1)), most, "labelled_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -170,7 +166,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED)
                 rows.append((index.astype(np.int16).tobytes(), value.astype(np.float32).tobytes(), q))
             yield pd.DataFrame(rows, columns=["index", "value", "quality"])
 
-    sample = train.where(F.col("h") <= bound["h"]).join(known, F.col("doc_id") == F.col("labelled_id"))
+    # The labels are few by now; Spark broadcasts them by their size, or deals both sides.
+    sample = train.join(written(known, "labels"), F.col("doc_id") == F.col("labelled_id"))
     # Packed inputs: a few KB a row for the driver. In an order of their own, so that the fit doesn't depend
     # on how rows came.
     got = sorted((bytes(r["index"]), bytes(r["value"]), r["quality"]) for r in sample.select("text", "n_chars", "quality").mapInPandas(run, INPUTS).collect())
