@@ -48,7 +48,7 @@ class _Hashes(dict):
     """64-bit word hashes, remembered for a bounded number of words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h

@@ -48,7 +48,7 @@ def slot_of(word: bytes) -> int:
     """A word's input, remembered for as many words as fit a bounded table."""
     s = _slot.get(word)
     if s is None:
-        if len(_slot) > 300_000:
+        if len(_slot) > 100_000:
             _slot.clear()
         s = _slot[word] = zlib.crc32(word) % SLOTS
     return s
