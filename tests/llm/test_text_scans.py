@@ -109,3 +109,22 @@ def test_license_scores_match_the_model(spark):
     t = licences.text_or_empty()
     d = docs.select("doc_id", docs.doc_id.cast("string").alias("id"), licences.F.xxhash64(t).alias("hash"), t.alias("text"))
     assert licences.paragraphs(d, model).count() == want
+
+
+def test_licences_wrapped_and_short(spark):
+    grant = "Permission is hereby granted, free of charge, to any\nperson obtaining a copy of this software and associated\ndocumentation files, to deal in the Software without\nrestriction."
+    gpl = "This program is free software: you can redistribute it and/or modify it\nunder the terms of the GNU General Public License as published by\nthe Free Software Foundation."
+    bsd = "Redistribution and use in source and binary forms, with or\nwithout modification, are permitted provided that the\nfollowing conditions are met."
+    texts = ["All rights reserved.", "Copyright 2020 Jane Doe. All rights reserved.", f"Prose before.\n\n{grant}\n\nProse after.", f"Prose before.\nMore of it.\n{gpl}\nProse after.", bsd, "MIT License", "A b.\n\nReleased under the MIT License.\nc d e"]
+    got = {r["doc_id"]: r for r in licences.license_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), licences.train([])).collect()}
+    want = [f"Proprietary:0:{len(texts[0])}", f"Proprietary:0:{len(texts[1])}", f"MIT:15:{15 + len(grant)}", f"GPL:26:{26 + len(gpl)}", f"BSD:0:{len(bsd)}", "MIT:0:11", "MIT:6:37"]
+    assert [got[i]["spans"] for i in range(len(texts))] == want
+
+
+def test_cue_words_are_counted_over_all_documents(spark):
+    """A word of one document in 300 stays a cue; one that most use does not, unless a notice has no other."""
+    rows = [(i, "mozilla general software" if i == 7 else "general software\nthe gnu license") for i in range(300)]
+    uses = licences.word_uses(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert uses["mozilla"] == 1 / 300 and uses["general"] == 1 and "gnu" not in uses
+    cues = licences.cue_words(uses | {"all": 1.0, "rights": 0.5, "reserved": 0.4})
+    assert "mozilla" in cues and "general" not in cues and "reserved" in cues
