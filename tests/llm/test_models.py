@@ -55,6 +55,21 @@ def test_lm_against_brute_force(spark, monkeypatch):
     assert model > base * 0.97  # both negative: the model is better
 
 
+@pytest.mark.parametrize("known", [3000, 0])
+def test_lm_of_one_long_text(spark, monkeypatch, known):
+    """More words than the model's have a higher count than the end."""
+    monkeypatch.setattr(lm, "KNOWN", known)
+    words = [f"w{i}" for i in range(4000)] * 2
+    d = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    assert zlib.crc32(b"1") % 10
+    lex = lm.lexicon(lm.token_counts(d), known=known)
+    assert lex.symbols[lex.index[lm.END]] < lex.words and lex.counts[lex.index[lm.END]] == 1
+    r = lm.lm_scores(d).first()
+    v = 4001
+    assert r["n_tokens"] == r["n_known"] == 8001 and np.isfinite(r["score"])
+    assert r["base_score"] == pytest.approx(sum(np.log10((c + 0.1) / (8001 + 0.1 * (v + 1))) for c in [1] + [2] * 8000), rel=1e-9)
+
+
 def test_lm_is_normalised(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     lex = lm.lexicon(lm.token_counts(d))
