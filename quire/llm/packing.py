@@ -20,6 +20,7 @@ ignored.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,13 +35,14 @@ from .common import written
 LENGTH = 2048
 GRAIN = 8
 END_ID = 1
+LONG_SPACE = 100_000
 ROWS_PER_SLICE = 4000
 
 
 @lru_cache(1)
 def encoding():
     """The vocabulary of byte_bpe_50k.json in tiktoken, whose encoder gives the same ids several times as
-    fast as the tokenizers library (held against it in the tests)."""
+    fast as the tokenizers library (held against it in the tests) for the texts that `ids_of` gives it."""
     import public_tokenizers as public
     import tiktoken
 
@@ -49,18 +51,39 @@ def encoding():
     return tiktoken.Encoding("byte_bpe_50k", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(2)
+def reference(encode_special_tokens: bool):
+    """The tokenizers library's own, and the added tokens that it looks for."""
+    import public_tokenizers as public
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = encode_special_tokens
+    added = t.get_added_tokens_decoder().values()
+    return t, tuple(a.content for a in added if not (encode_special_tokens and a.special))
+
+
+def ids_of(text: str, encode_special_tokens: bool) -> list[int]:
+    """The ids that the tokenizers library gives. Texts with an added token's string, and those with a run of
+    white space that tiktoken's expression may fail on, are encoded by that library."""
+    t, added = reference(encode_special_tokens)
+    spaces = len(text) >= LONG_SPACE and any(m.end() - m.start() >= LONG_SPACE for m in re.finditer(r"\s+", text))
+    if spaces or any(a in text for a in added):
+        return t.encode(text, add_special_tokens=False).ids
+    return encoding().encode_ordinary(text)
+
+
 PIECES = "doc_id long, key long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def pieces(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def pieces(docs: DataFrame, length: int = LENGTH, encode_special_tokens: bool = True) -> DataFrame:
     """Per piece: its document, place, length and the checksum of its ids. key orders equal lengths."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding()
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.array([*enc.encode_ordinary(text if isinstance(text, str) else ""), END_ID], "<u4")
+                ids = np.array([*ids_of(text if isinstance(text, str) else "", encode_special_tokens), END_ID], "<u4")
                 key = zlib.crc32(ids.tobytes())
                 for at in range(0, len(ids), length):
                     part = ids[at : at + length]
@@ -181,9 +204,11 @@ def plan(histogram: dict[int, int], capacity: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["size", "first", "per", "sequence"])
 
 
-def packed(docs: DataFrame, length: int = LENGTH, grain: int = GRAIN) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row per piece."""
-    p = written(pieces(docs, length), "pieces").withColumn("size", F.ceil(F.col("length") / grain).cast("int"))
+def packed(docs: DataFrame, length: int = LENGTH, grain: int = GRAIN, encode_special_tokens: bool = True) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row per piece.
+    encode_special_tokens: as in the tokenizers library, whether added tokens' strings are ordinary text (the
+    library's own setting, and that of the query, is False)."""
+    p = written(pieces(docs, length, encode_special_tokens), "pieces").withColumn("size", F.ceil(F.col("length") / grain).cast("int"))
     slices = max(1, -(-p.count() // ROWS_PER_SLICE))
     p = p.withColumn("slice", F.pmod(F.xxhash64("doc_id", "key", "start"), F.lit(slices)))
     counts = p.groupBy("size", "slice").agg(F.count(F.lit(1)).alias("n"))

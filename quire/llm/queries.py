@@ -35,7 +35,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import packed
 
-    return packed(table(spark, sf_dir, "documents"))
+    return packed(table(spark, sf_dir, "documents"), encode_special_tokens=False)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

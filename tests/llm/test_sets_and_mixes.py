@@ -152,6 +152,26 @@ def test_packing(spark):
     assert 1 - used / room < 0.03
 
 
+def test_packing_query_gives_the_librarys_ids(spark, tmp_path):
+    """Added tokens and long white space, against the tokenizer as it is loaded."""
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers as public
+    import zlib
+
+    from quire.llm.queries import QUERIES
+
+    t = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    texts = ["<|endoftext|> ok", "a<|endoftext|><|endoftext|>  b", "x" + " " * 1_200_000 + "y", "\n\t" * 60_000, "plain  text", "<|endoftext|"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = defaultdict(dict)
+    for r in QUERIES["op7_packing"](spark, str(tmp_path)).collect():
+        got[r["doc_id"]][r["start"]] = (r["length"], r["ids_crc32"], r["doc_tokens"])
+    for i, x in enumerate(texts):
+        ids = np.array([*t.encode(x, add_special_tokens=False).ids, 1], "<u4")
+        parts = {at: ids[at : at + 2048] for at in range(0, len(ids), 2048)}
+        assert got[i] == {at: (len(p), zlib.crc32(p.tobytes()), len(ids)) for at, p in parts.items()}
+
+
 def test_column_generation_is_exact():
     r = np.random.default_rng(0)
     for n in (1, 7, 300, 20000):
