@@ -1,8 +1,8 @@
 """Packing by cutting-stock column generation.
 
 Every document becomes token ids and a closing id 1, cut into pieces: as many full sequences as it fills,
-and a rest. The rests' lengths, rounded up to multiples of GRAIN, form a histogram of bounded size, which is
-all that the driver sees. A linear program over patterns (how many pieces of each length a sequence takes)
+and a rest. The rests' lengths (with a GRAIN of 1 exact, else rounded up to its multiples) form a histogram
+of bounded size, which is all that the driver sees. A linear program over patterns (how many pieces of each length a sequence takes)
 is solved by the revised simplex method; a knapsack dynamic program prices new columns. Patterns are rounded
 down to whole numbers of sequences; what is left of the histogram (fewer pieces than patterns times their
 sizes) goes into a few more sequences, largest first. Pieces are ranked within their length, in a fixed
@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 LENGTH = 2048
-GRAIN = 8
+GRAIN = 1
+GAP = 1e-4
 END_ID = 1
 LONG_SPACE = 100_000
 ROWS_PER_SLICE = 4000
@@ -150,15 +151,19 @@ def _largest_first(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tupl
 
 def patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, most: int = 3000) -> list[tuple[np.ndarray, int]]:
     """Patterns and how often each is used: together they hold the demand exactly. The simplex ends when no
-    pattern prices below 1, or after `most` columns, when what it has so far is still feasible."""
+    pattern prices below 1, when a bound (the pieces' sum, or Farley's) proves that less than a sequence, or
+    GAP of them, could be saved, or after `most` columns, when what it has so far is still feasible."""
     m = len(sizes)
     if not m:
         return []
     basis, inverse, x = _largest_first(sizes, demand, capacity)
+    least = float((sizes * demand).sum()) / capacity
     for _ in range(most):
         duals = inverse.sum(axis=0)
         value, pattern = knapsack(duals, sizes, capacity)
-        if value <= 1 + 1e-7:
+        used = float(x.sum())
+        least = max(least, used / value)
+        if value <= 1 + 1e-7 or used - least < max(1.0, GAP * used):
             break
         d = (inverse * pattern).sum(axis=1)
         ok = d > 1e-9

@@ -172,6 +172,18 @@ def test_packing_query_gives_the_librarys_ids(spark, tmp_path):
         assert got[i] == {at: (len(p), zlib.crc32(p.tobytes()), len(ids)) for at, p in parts.items()}
 
 
+@pytest.mark.parametrize("words", [1, 2, 9, 17])
+def test_packing_of_short_texts_has_little_padding(spark, words):
+    d = spark.createDataFrame([(i, " a" * (words + i % 2)) for i in range(6000)], "doc_id long, text string")
+    rows = packing.packed(d).collect()
+    by_sequence = Counter()
+    for p in rows:
+        by_sequence[p["sequence_id"]] += p["length"]
+    total = sum(p["length"] for p in rows)
+    assert total == sum(words + i % 2 + 1 for i in range(6000)) and max(by_sequence.values()) <= packing.LENGTH
+    assert len(by_sequence) <= -(-total // packing.LENGTH) + 1
+
+
 def test_column_generation_is_exact():
     r = np.random.default_rng(0)
     for n in (1, 7, 300, 20000):
