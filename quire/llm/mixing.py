@@ -3,7 +3,8 @@
 Every source gets a word target (`source_targets`). A document's expected copies are the target over the
 words its source has: the whole part is taken for certain, and the rest is its inclusion probability p for
 one more copy. Documents of a source are ranked by (u / (1 - u)) / (p / (1 - p)) with u a hash of the
-document in (0, 1), and the lowest ranks are taken until the source's word count is met.
+document in (0, 1), and the lowest ranks are taken until the source's word count is met. p is one for all
+documents of a source: the order within it is a simple random one, and p only differs between sources.
 
 One source may hold a third of all rows, so no window ever spans a source: ranks are first summed per
 (source, rank bucket), the bucket in which the target falls is found from those sums, and only that
