@@ -57,7 +57,7 @@ def translatable_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def doc_classify(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "documents").select("doc_id", t.section_kind(F.substring("text", 1, 200)).alias("kind"))
+    return _table(spark, d, "documents").select("doc_id", t.section_kind(F.col("text")).alias("kind"))
 
 
 @query

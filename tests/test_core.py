@@ -54,6 +54,15 @@ def test_section_kinds(spark):
     assert [r[0] for r in df.orderBy("i").select(t.section_kind(F.col("x"))).collect()] == ["chapter", "unknown", "front_matter", "back_matter", "unknown", "unknown"]
 
 
+def test_doc_classify_reads_whole_texts(spark, tmp_path):
+    from quire.plans.queries import QUERIES
+
+    rows = [(1, "x " * 150 + "copyright"), (2, "x " * 150 + "about the author"), (3, "x " * 150), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = dict(QUERIES["doc_classify"](spark, str(tmp_path)).collect())
+    assert got == {1: "front_matter", 2: "back_matter", 3: "unknown", 4: "unknown"}
+
+
 def test_term_functions(spark):
     rows = [("The Cat's cat", "Cat", True), ("Concat", "Cat", False), ("価格は", "価", True), ("a.b", "a.b", True), ("axb", "a.b", False), ("x", "", False)]
     df = spark.createDataFrame(rows, "text string, term string, there boolean")
