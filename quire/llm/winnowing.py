@@ -1,6 +1,7 @@
 """Document fingerprints by winnowing, with DataFrame functions only.
 
-A text's words (lower case) are hashed; k-gram hashes are polynomials over word hashes modulo 2**31 - 1,
+A text's words (lower case) are hashed, where each character of a word of more than LONG characters and of
+scripts without spaces counts as a word; k-gram hashes are polynomials over word hashes modulo 2**31 - 1,
 rolled up by doubling: the hash of 2m words at i is hash_m(i) * B**m + hash_m(i + m). In every window of w
 consecutive k-grams the least hash is chosen, the rightmost among equal ones, and its position is kept. So
 any run of w + k - 1 words that two texts share gives a common fingerprint, and none shorter than k words
@@ -21,6 +22,16 @@ from .common import WORD, text_or_empty, written
 MODULUS = (1 << 31) - 1
 BASE = 1_000_003
 K, W = 4, 8
+LONG = 64
+_SPACE, _SCRIPTS = r"\x20\x09-\x0D", r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+
+
+def units(low: Column) -> Column:
+    """Words, and the characters of longer ones and of scripts without spaces, which only some texts have."""
+    words = F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+    runs = F.regexp_extract_all(low, F.lit(f"[{_SCRIPTS}]|[^{_SPACE}{_SCRIPTS}]+"), F.lit(0))
+    cut = F.flatten(F.transform(runs, lambda x: F.when(F.length(x) > LONG, F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0))).otherwise(F.array(x))))
+    return F.when(low.rlike(f"[{_SCRIPTS}]|(?<![^{_SPACE}])[^{_SPACE}]{{{LONG + 1}}}"), cut).otherwise(words)
 
 
 def fingerprint(df: DataFrame, text: str, to: str) -> DataFrame:
@@ -29,8 +40,7 @@ def fingerprint(df: DataFrame, text: str, to: str) -> DataFrame:
     Each step reads the one before twice, which keeps Catalyst from merging the projections and computing
     a step again for each use."""
     t, n = f"{to}_t", f"{to}_n"
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0))
-    df = df.withColumn(t, words).withColumn(n, F.size(t))
+    df = df.withColumn(t, units(F.lower(F.col(text)))).withColumn(n, F.size(t))
     short = F.transform(F.slice(F.array(F.array_join(t, " ")), 1, F.when(F.col(n) > 0, 1).otherwise(0)), lambda x: F.pmod(F.xxhash64(x), F.lit(MODULUS)))
     df = df.withColumn(t, F.when(F.col(n) < K, short).otherwise(F.transform(t, lambda x: F.pmod(F.xxhash64(x), F.lit(MODULUS)))))
     m = 1

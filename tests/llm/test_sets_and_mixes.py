@@ -231,6 +231,18 @@ def test_winnowing(spark):
         assert got[i]["edited_sha256"] == hashlib.sha256((x[: len(x) - n] + after[:n]).encode()).hexdigest()
 
 
+def test_texts_without_spaces_are_winnowed(spark):
+    r = random.Random(6)
+    han = lambda n: "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(n))
+    b64 = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    for make in (han, b64):
+        shared = make(600)
+        d = spark.createDataFrame([(0, make(7) + shared), (1, shared + make(300)), (2, make(900))], "doc_id long, text string")
+        got = {r["doc_id"]: r for r in winnowing.edited_fingerprints(d).collect()}
+        assert all(x["near_edited"] > 0.4 for x in got.values())
+        assert got[1]["near_next"] > 0.4 and got[2]["near_next"] < 0.1
+
+
 def test_shared_runs_are_found(spark):
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
