@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +44,43 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch that Python functions get: whole texts are a few KB each.
+BATCH_ROWS = 1000
+
+
+def batched(spark: SparkSession) -> None:
+    """Bounds Arrow batches, in the JVM and in Python workers, where the session leaves Spark's default."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def released(*caches: dict) -> None:
+    """Empties word tables and gives freed memory back to the system: workers stay alive between tasks."""
+    import pyarrow as pa
+
+    for c in caches:
+        c.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def frugal(run: Callable[[Iterator], Iterator], *caches: dict) -> Callable[[Iterator], Iterator]:
+    """A function for mapInPandas that releases its worker's memory when a task ends."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            released(*caches)
+
+    return whole
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

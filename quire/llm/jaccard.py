@@ -36,11 +36,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower_words, text_or_empty, written
+from .common import ascii_lower_words, batched, frugal, text_or_empty, written
 
 SHINGLE, PERCENT = 5, 75
 SKETCH_BITS, CHUNK_BITS = 22, 16
 HOT, MOST_BROADCAST = 2000, 1_000_000
+SEEN, FLUSH = 50_000, 250_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -98,7 +99,8 @@ def _profiles(docs: DataFrame, salt: int) -> DataFrame:
         def add() -> None:
             nonlocal size
             if waiting:
-                np.add(sketch, np.bincount(np.concatenate(waiting), minlength=len(sketch)).astype(np.uint32), out=sketch)
+                slots, times = np.unique(np.concatenate(waiting), return_counts=True)
+                sketch[slots] += times.astype(np.uint32)
                 waiting.clear()
                 size = 0
 
@@ -109,9 +111,9 @@ def _profiles(docs: DataFrame, salt: int) -> DataFrame:
                 s = shingles(text)
                 cls, check = digest(s, salt) if len(s) else (None, None)
                 rows.append((doc, key, len(s), cls, check, None, None, None))
-                waiting.append((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
+                waiting.append((s >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32))
                 size += len(s)
-                if size > 1_000_000:
+                if size > FLUSH:
                     add()
             yield _nullable(pd.DataFrame(rows, columns=columns, dtype=object))
         if part is not None:
@@ -121,7 +123,7 @@ def _profiles(docs: DataFrame, salt: int) -> DataFrame:
             yield _nullable(pd.DataFrame(rows, columns=columns, dtype=object))
 
     d = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("hash"), text_or_empty().alias("text"), F.spark_partition_id().alias("part"))
-    return d.mapInPandas(run, PROFILE)
+    return d.mapInPandas(frugal(run, _hashes), PROFILE)
 
 
 def _nullable(df: pd.DataFrame) -> pd.DataFrame:
@@ -177,6 +179,8 @@ def _entries(docs: DataFrame, sketch: np.ndarray, salt: int) -> DataFrame:
                 cls, _ = digest(s, salt)
                 if cls in seen:
                     continue
+                if len(seen) >= SEEN:  # only saves work: equal entries are told apart later
+                    seen.clear()
                 seen.add(cls)
                 rank = ranks[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 name = (rank.astype(np.uint64) << np.uint64(55)) | (s >> np.uint64(9))
@@ -195,7 +199,7 @@ def _entries(docs: DataFrame, sketch: np.ndarray, salt: int) -> DataFrame:
             if columns:
                 yield pd.DataFrame(dict(zip(("column", "salt", "cls", "size", "at"), map(np.concatenate, (columns, salts, rows, sizes, ats)), strict=True)))
 
-    return docs.select(text_or_empty().alias("text")).mapInPandas(run, ENTRY)
+    return docs.select(text_or_empty().alias("text")).mapInPandas(frugal(run, _hashes), ENTRY)
 
 
 STAR = "column long, salt int, centre long, centre_size int, centre_at int, cls long, size int, at int"
@@ -250,8 +254,8 @@ def _pairs(x: DataFrame, a: str, b: str) -> DataFrame:
     return x.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where(F.col("a") != F.col("b")).distinct()
 
 
-def _computed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, salt: int, payload, keep) -> DataFrame:
-    """The cells of `pairs` (a, b: classes) for which keep(payload of a's set, payload of b's set) holds."""
+def _rows(docs: DataFrame, classes: DataFrame, pairs: DataFrame, salt: int) -> DataFrame:
+    """(cls, sizes, entries): the rows of the matrix that `pairs` (a, b: classes) name, computed once."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     keys = written(classes.groupBy("cls").agg(F.min("hash").alias("hash")).join(ids, "cls", "left_semi").select("hash"), "keys")
     d = docs.select(F.xxhash64(text_or_empty()).alias("hash"), text_or_empty().alias("text"))
@@ -259,26 +263,33 @@ def _computed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, salt: int,
     d = d.join(F.broadcast(keys) if few else keys, "hash", "left_semi")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = set()
+        seen: set[int] = set()
         for b in batches:
             rows = []
             for text in b["text"]:
                 s = shingles(text)
                 cls = digest(s, salt)[0] if len(s) else None
                 if cls is not None and cls not in seen:
+                    if len(seen) >= SEEN:  # only saves work: copies left go below
+                        seen.clear()
                     seen.add(cls)
-                    rows.append((cls, payload(s)))
-            yield pd.DataFrame(rows, columns=["cls", "entries"])
+                    rows.append((cls, _block_sizes(s), s.tobytes()))
+            yield pd.DataFrame(rows, columns=["cls", "sizes", "entries"])
 
-    rows = d.select("text").mapInPandas(sets, "cls long, entries binary").dropDuplicates(["cls"])
+    return written(d.select("text").mapInPandas(frugal(sets, _hashes), "cls long, sizes binary, entries binary"), "rows")
+
+
+def _computed(rows: DataFrame, pairs: DataFrame, payload: str, keep) -> DataFrame:
+    """The cells of `pairs` for which keep(payload of a's row, payload of b's row) holds."""
+    one = rows.groupBy("cls").agg(F.first(payload).alias(payload))
 
     def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             kept = np.array([keep(p, q) for p, q in zip(b["left"], b["right"], strict=True)], bool)
             yield b[["a", "b"]][kept]
 
-    cells = pairs.join(rows.select(F.col("cls").alias("a"), F.col("entries").alias("left")), "a").join(rows.select(F.col("cls").alias("b"), F.col("entries").alias("right")), "b")
-    return cells.select("a", "b", "left", "right").mapInPandas(product, "a long, b long")
+    cells = pairs.join(one.select(F.col("cls").alias("a"), F.col(payload).alias("left")), "a").join(one.select(F.col("cls").alias("b"), F.col(payload).alias("right")), "b")
+    return cells.select("a", "b", "left", "right").mapInPandas(frugal(product), "a long, b long")
 
 
 def _block_sizes(s: np.ndarray) -> bytes:
@@ -305,8 +316,9 @@ def _do_link(p: bytes, q: bytes) -> bool:
 def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, salt: int) -> DataFrame:
     """The cells of `pairs` that link: first held against the sizes of column blocks (1 KB a row), then what
     is left computed from whole rows."""
-    near = written(_computed(docs, classes, pairs, salt, _block_sizes, _may_link), "near")
-    return _computed(docs, classes, near, salt, lambda s: s.tobytes(), _do_link)
+    rows = _rows(docs, classes, pairs, salt)
+    near = written(_computed(rows, pairs, "sizes", _may_link), "near")
+    return _computed(rows, near, "entries", _do_link)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -336,12 +348,15 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents' classes (doc_id, hash, n, cls) and the classes' labels (cls, label)."""
+    batched(docs.sparkSession)
     for salt in range(8):
         profiles = written(_profiles(docs, salt), "profiles")
         classes = profiles.where(F.col("chunk").isNull()).select("doc_id", "hash", "n", "cls", "check")
         # Two sets of one 64-bit name: all names are made anew.
         if classes.groupBy("cls").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x <> y").isEmpty():
             break
+    else:
+        raise RuntimeError("two different sets share a 64-bit name under each of eight salts")
     stars = written(_stars(_entries(docs, _sketch(profiles), salt)), "stars")
     named = classes.where(F.col("cls").isNotNull())
     # Centres of a hot column's salted blocks meet in one more block.
@@ -366,13 +381,24 @@ def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     tested = tested.unionByName(second)
     # What is still open is done in full, across components.
     open_ = _open(open_.drop("label"), labels)
-    other = open_.select("column", *[F.col(c).alias(f"o_{c}") for c in ("cls", "size", "at", "label")])
-    fits = _bounds(F.col("size"), F.col("at"), F.col("o_size"), F.col("o_at")) & (F.col("label") < F.col("o_label"))
-    rest = _pairs(open_.join(other, "column").where(fits), "cls", "o_cls").join(tested, ["a", "b"], "left_anti")
+    rest = _across(open_).join(tested, ["a", "b"], "left_anti")
     more = written(_linked(docs, named, written(rest, "pairs"), salt), "links")
     return classes, _joined(labels, more)
 
 
+def _across(open_: DataFrame) -> DataFrame:
+    """The cells (a, b) that open columns ask for across components. A column of many rows is cut into blocks
+    of about HOT, and each pair of blocks meets in a task's group of its own, so no group grows with the
+    column; entries go to the blocks' pairs once each."""
+    n = open_.groupBy("column").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("blocks"))
+    x = open_.join(n, "column").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    x = x.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x = x.select("column", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "cls", "size", "at", "label")
+    y = x.select("column", "i", "j", *[F.col(c).alias(f"o_{c}") for c in ("block", "cls", "size", "at", "label")])
+    fits = _bounds(F.col("size"), F.col("at"), F.col("o_size"), F.col("o_at")) & (F.col("label") < F.col("o_label"))
+    return _pairs(x.join(y, ["column", "i", "j"]).where(fits & ((F.col("i") == F.col("j")) | (F.col("block") != F.col("o_block")))), "cls", "o_cls")
+
+
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     """The entries, with labels, of columns in which several components meet."""
     m = written(members.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls")), "members")

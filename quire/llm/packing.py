@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import batched, frugal, written
 
 LENGTH = 2048
 GRAIN = 1
@@ -91,7 +91,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, encode_special_tokens: bool =
                     rows.append((doc, key, at, len(part), zlib.crc32(part.tobytes()), len(ids)))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in PIECES.split(", ")]).astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(run, PIECES)
+    return docs.select("doc_id", "text").mapInPandas(frugal(run), PIECES)
 
 
 def knapsack(worth: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -213,6 +213,7 @@ def packed(docs: DataFrame, length: int = LENGTH, grain: int = GRAIN, encode_spe
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row per piece.
     encode_special_tokens: as in the tokenizers library, whether added tokens' strings are ordinary text (the
     library's own setting, and that of the query, is False)."""
+    batched(docs.sparkSession)
     p = written(pieces(docs, length, encode_special_tokens), "pieces").withColumn("size", F.ceil(F.col("length") / grain).cast("int"))
     slices = max(1, -(-p.count() // ROWS_PER_SLICE))
     p = p.withColumn("slice", F.pmod(F.xxhash64("doc_id", "key", "start"), F.lit(slices)))

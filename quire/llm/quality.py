@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, held_out_of, sampled, written
+from .common import batched, frugal, held_out, held_out_of, released, sampled, written
 
 SLOTS, RANK = 1 << 12, 8
 MOST_LABELLED = 8000
@@ -154,6 +154,7 @@ INPUTS = "index binary, value binary, quality int"
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tuple[list, np.ndarray]:
     """Inputs and labels of the training sample."""
+    batched(docs.sparkSession)
     known = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("labelled_id"), F.col("quality").cast("int").alias("quality"))
     train = docs.where(~held_out(3, 1)).select("doc_id", "text", F.col("n_chars").cast("double").alias("n_chars"))
     known = sampled(known.where(known.labelled_id.isNotNull() & ~held_out_of("labelled_id", 3, 1)), most, "labelled_id")
@@ -170,7 +171,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED)
     sample = train.join(written(known, "labels"), F.col("doc_id") == F.col("labelled_id"))
     # Packed inputs: a few KB a row for the driver. In an order of their own, so that the fit doesn't depend
     # on how rows came.
-    got = sorted((bytes(r["index"]), bytes(r["value"]), r["quality"]) for r in sample.select("text", "n_chars", "quality").mapInPandas(run, INPUTS).collect())
+    got = sorted((bytes(r["index"]), bytes(r["value"]), r["quality"]) for r in sample.select("text", "n_chars", "quality").mapInPandas(frugal(run, _slot), INPUTS).collect())
     rows = [(np.frombuffer(i, np.int16), np.frombuffer(x, np.float32)) for i, x, _ in got]
     return rows, np.array([q for *_, q in got])
 
@@ -200,11 +201,15 @@ def scored(docs: DataFrame, machine: Machine, keep: bool = False) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "held_out": b["q_held"], "score": s, "predicted": (s >= 0.5).astype(np.int32)})
 
     if not keep:
-        return base.mapInPandas(run, SCORED)
+        return base.mapInPandas(frugal(run, _slot), SCORED)
 
     @F.pandas_udf("double")
-    def score(text: pd.Series, q_chars: pd.Series) -> pd.Series:
-        return pd.Series(values(pd.DataFrame({"text": text, "q_chars": q_chars})))
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        try:
+            for text, q_chars in batches:
+                yield pd.Series(values(pd.DataFrame({"text": text, "q_chars": q_chars})))
+        finally:
+            released(_slot)
 
     return base.withColumn("score", score("text", "q_chars")).select(*docs.columns, "score")
 
