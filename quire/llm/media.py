@@ -1,28 +1,39 @@
 """Media columns: baseline JPEG files parsed, Huffman-decoded and reduced to DC-only luminance thumbnails
 in numpy; dimensions and thumbnail hashes are stored.
 
-`decode` reads any baseline (SOF0) file with Huffman tables, sampling factors and restart intervals of its
-own; it gives the quantised coefficients of every block. `encode_payload` stores bytes losslessly as such
-coefficients, 64 bytes a block: its Huffman tables have one symbol, category 8, with the one-bit code 0.
-Category 8 has 256 values, one for each byte, so that a coefficient is a 0 bit and the byte itself. Each
-block is a restart interval of its own (72 bytes of code and a marker), which keeps DC differences in
-range. Scans of that form are decoded for all blocks at once; others go bit by bit.
-
-Nulls and empty texts give a payload of 64 zero bytes. Every row is computed from its own text alone, so
-repeated rows agree, and memory is bounded by the longest text.
+`decode` reads any baseline (SOF0) file with Huffman tables, sampling factors and restart intervals of its own
+and gives the quantised coefficients of every block. All restart intervals are decoded side by side: one step
+looks up 16 bits of each interval in the tables, so that a step costs a few numpy calls whatever their number;
+`decoded` does so for many files of equal tables at once.
+
+`encode_payloads` stores bytes losslessly as such coefficients, 64 bytes a block: byte k of a block less 128 is
+AC coefficient k for k > 0, and DC is the first byte less 128 plus a sixteenth of the sum of the others (rounded
+down), which keeps DC a measure of all 64 bytes and can be undone. DC differences, zero runs and sizes are
+Huffman-coded as in any such file; the tables come from Huffman's rule over fixed weights, so that all files
+share them. RESTART blocks make a restart interval. Blocks beyond the payload hold zeros.
+
+Nulls and empty texts give a payload of 64 zero bytes. Every row is computed from its own text alone, so repeated
+rows agree and an empty table gives no row. Rows are taken in groups of about GROUP bytes; memory is bounded by
+that and by the longest text, which is read whole. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import batched, frugal, text_or_empty
+
+RESTART, GROUP = 4, 1 << 20
+DC_SIZES, AC_SIZES = 12, 8
 #: JPEG markers.
 SOI, EOI, SOF0, DHT, DQT, DRI, SOS, COM, RST0, APP0 = 0xD8, 0xD9, 0xC0, 0xC4, 0xDB, 0xDD, 0xDA, 0xFE, 0xD0, 0xE0
 
@@ -42,64 +53,161 @@ def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
 
-def encode_payload(payload: bytes) -> bytes:
-    """A greyscale baseline JPEG that holds the payload, whose length is a positive multiple of 64."""
-    n = len(payload) // 64
-    cols = max(1, int(np.ceil(np.sqrt(n))))
-    rows = -(-n // cols)
-    data = np.frombuffer(payload, np.uint8)
-    if rows * cols > n:
-        data = np.concatenate([data, np.zeros((rows * cols - n) * 64, np.uint8)])
-    b = data.reshape(-1, 8)  # eight 9-bit units are nine bytes
-    code = np.zeros((len(b), 9), np.uint8)
-    for j in range(8):
-        code[:, j] |= b[:, j] >> (j + 1)
-        code[:, j + 1] |= (b[:, j].astype(np.uint16) << (7 - j) & 0xFF).astype(np.uint8)
-    code = code.reshape(-1, 72)
-    marks = np.empty((len(code), 2), np.uint8)
-    marks[:, 0], marks[:, 1] = 0xFF, RST0 + np.arange(len(code)) % 8
-    if (code == 0xFF).any():  # a byte FF in a scan is followed by 00
-        scan = b"".join(c.tobytes().replace(b"\xff", b"\xff\x00") + m.tobytes() for c, m in zip(code, marks, strict=True))
-    else:
-        scan = np.concatenate([code, marks], axis=1).tobytes()
-    one_code = bytes([1] + [0] * 15) + b"\x08"
-    return b"".join(
-        (
-            bytes((0xFF, SOI)),
-            _segment(COM, b"payload %d" % len(payload)),
-            _segment(DQT, b"\x00" + b"\x01" * 64),
-            _segment(SOF0, struct.pack(">BHHBBBB", 8, rows * 8, cols * 8, 1, 1, 0x11, 0)),
-            _segment(DHT, b"\x00" + one_code),
-            _segment(DHT, b"\x10" + one_code),
-            _segment(DRI, struct.pack(">H", 1)),
-            _segment(SOS, bytes((1, 1, 0x00, 0, 63, 0))),
-            scan[:-2],  # no restart marker after the last interval
-            bytes((0xFF, EOI)),
-        )
-    )
-
-
 class Huffman:
-    """Canonical codes of a DHT table: for each length the first code, the count and the symbols."""
+    """Canonical codes of a DHT table: for each length their number, and the symbols in order."""
 
     def __init__(self, counts: bytes, symbols: bytes):
         self.counts, self.symbols = counts, symbols
 
-    def read(self, bits: np.ndarray, at: int) -> tuple[int, int]:
-        code = first = index = 0
-        for n in self.counts:
-            code |= int(bits[at])
-            at += 1
-            if code - first < n:
-                return self.symbols[index + code - first], at
-            index += n
-            first = (first + n) << 1
+    def listed(self) -> list[tuple[int, int, int]]:
+        """(symbol, code, length)."""
+        out, code, at = [], 0, 0
+        for n, many in enumerate(self.counts, 1):
+            for s in self.symbols[at : at + many]:
+                out.append((s, code, n))
+                code += 1
+            at += many
             code <<= 1
-        raise ValueError("no such Huffman code")
-
-    def single(self) -> int | None:
-        """The symbol, if there is one and its code is one bit."""
-        return self.symbols[0] if len(self.symbols) == 1 and self.counts[0] == 1 else None
+        return out
+
+    @lru_cache(16)  # noqa: B019
+    def lookup(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each 16 bits the symbol they begin with and its code's length (0: no such code)."""
+        symbol, size = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.uint8)
+        for s, code, n in self.listed():
+            here = slice(code << (16 - n), (code + 1) << (16 - n))
+            symbol[here], size[here] = s, n
+        return symbol, size
+
+    @lru_cache(16)  # noqa: B019
+    def codes(self) -> tuple[np.ndarray, np.ndarray]:
+        """The code of each symbol and its length."""
+        out, size = np.zeros(256, np.int64), np.zeros(256, np.int64)
+        for s, code, n in self.listed():
+            out[s], size[s] = code, n
+        return out, size
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Huffman) and (self.counts, self.symbols) == (other.counts, other.symbols)
+
+    def __hash__(self) -> int:
+        return hash((self.counts, self.symbols))
+
+
+def huffman(weights: dict[int, float]) -> Huffman:
+    """Huffman's code for the weights. A symbol of least weight is added and its code, all ones, left out, as the
+    format wants."""
+    heap = [(w, i, (s,)) for i, (s, w) in enumerate(sorted(weights.items()))]
+    heap.append((0.0, len(heap), (-1,)))
+    heapq.heapify(heap)
+    depth, turn = dict.fromkeys([*weights, -1], 0), len(heap)
+    while len(heap) > 1:
+        (a, _, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
+        for s in (*x, *y):
+            depth[s] += 1
+        heapq.heappush(heap, (a + b, turn, (*x, *y)))
+        turn += 1
+    if max(depth.values()) > 16:
+        raise ValueError("weights too far apart for codes of 16 bits")
+    depth.pop(-1)
+    order = sorted(depth, key=lambda s: (depth[s], -weights[s], s))
+    return Huffman(bytes(sum(d == n for d in depth.values()) for n in range(1, 17)), bytes(order))
+
+
+@lru_cache(1)
+def tables() -> tuple[Huffman, Huffman]:
+    """The DC and AC tables of stored payloads, from a rule: sizes near 5 (letters) are likeliest, and each zero
+    before a coefficient makes it a sixteenth as likely, down to a floor."""
+    dc = {s: 2.0 ** -abs(s - 6) for s in range(DC_SIZES)}
+    ac = {r << 4 | s: 2.0 ** -abs(s - 5) * max(16.0**-r, 2.0**-8) for r in range(16) for s in range(1, AC_SIZES + 1)}
+    return huffman(dc), huffman(ac | {0x00: 2.0**-6, 0xF0: 2.0**-8})
+
+
+def _sizes(value: np.ndarray) -> np.ndarray:
+    """Bits of a value's magnitude."""
+    return np.frexp(np.abs(value).astype(np.float64))[1].astype(np.int64)
+
+
+def _coded(blocks: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The blocks' Huffman codes as bytes, unstuffed, a restart interval after another, and the intervals' sizes.
+    first: whether a block begins an interval."""
+    (dc_code, dc_len), (ac_code, ac_len) = (t.codes() for t in tables())
+    bits = lambda v, n: np.where(v < 0, v + (1 << n) - 1, v)
+    diff = blocks[:, 0] - np.where(first, 0, np.concatenate([[0], blocks[:-1, 0]]))
+    size = _sizes(diff)
+    b, k = np.nonzero(blocks[:, 1:])
+    k = k + 1
+    value = blocks[b, k]
+    last = np.concatenate([[0], k])[:-1]
+    last[np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])[: len(b)])] = 0
+    run, n = k - last - 1, _sizes(value)
+    symbol = (run % 16) << 4 | n
+    long_ = np.flatnonzero(run >= 16)
+    times = run[long_] // 16
+    end = np.zeros(len(blocks), np.int64)
+    end[b] = k  # the last one stays
+    open_ = np.flatnonzero(end < 63)
+    # Items (place, code, length): DC values, runs of sixteen zeros, coefficients, ends of blocks.
+    place = np.concatenate([np.arange(len(blocks)) * 256, np.repeat(b[long_] * 256 + 2 * k[long_], times), b * 256 + 2 * k + 1, open_ * 256 + 255])
+    code = np.concatenate([dc_code[size] << size | bits(diff, size), np.full(int(times.sum()), ac_code[0xF0]), ac_code[symbol] << n | bits(value, n), np.full(len(open_), ac_code[0])])
+    length = np.concatenate([dc_len[size] + size, np.full(int(times.sum()), ac_len[0xF0]), ac_len[symbol] + n, np.full(len(open_), ac_len[0])])
+    order = np.argsort(place, kind="stable")
+    place, code, length = place[order], code[order], length[order]
+    # Each interval begins at a byte; what is left of its last byte are ones.
+    interval = (np.cumsum(first) - 1)[place >> 8]
+    used = np.bincount(interval, weights=length, minlength=int(first.sum())).astype(np.int64)
+    held = -(-used // 8)
+    start = (np.cumsum(held) - held) * 8
+    at = np.cumsum(length) - length + (start - (np.cumsum(used) - used))[interval]
+    out = np.zeros(int(held.sum()) + 5)
+    shifted = code << (40 - (at & 7) - length)
+    for j in range(5):
+        out += np.bincount((at >> 3) + j, weights=(shifted >> (32 - 8 * j)) & 0xFF, minlength=len(out))
+    coded = out[:-5].astype(np.uint8)
+    coded[np.cumsum(held) - 1] |= ((1 << (held * 8 - used)) - 1).astype(np.uint8)
+    return coded, held
+
+
+def encode_payloads(payloads: list[bytes]) -> list[bytes]:
+    """Greyscale baseline JPEG files that hold payloads, whose lengths are positive multiples of 64."""
+    if not payloads:
+        return []
+    shapes, parts, first = [], [], []
+    for p in payloads:
+        n = len(p) // 64
+        cols = max(1, int(np.ceil(np.sqrt(n))))
+        rows = -(-n // cols)
+        c = np.frombuffer(p, np.uint8).reshape(-1, 64).astype(np.int64) - 128
+        c[:, 0] += c[:, 1:].sum(1) >> 4
+        parts += [c, np.zeros((rows * cols - n, 64), np.int64)]
+        first.append(np.arange(rows * cols) % RESTART == 0)
+        shapes.append((rows, cols))
+    code, held = _coded(np.concatenate(parts), np.concatenate(first))
+    # A byte FF is followed by 00; a restart marker follows each interval but a file's last.
+    ends = np.cumsum(held) - 1
+    many = np.array([-(-r * c // RESTART) for r, c in shapes])
+    finals = np.cumsum(many) - 1
+    mark = np.full(len(held), 2)
+    mark[finals] = 0
+    wide = 1 + (code == 0xFF)
+    wide[ends] += mark
+    stop = np.cumsum(wide)
+    scan = np.zeros(int(stop[-1]), np.uint8)
+    scan[stop - wide] = code
+    turn = (np.arange(len(held)) - np.repeat(finals + 1 - many, many)) % 8
+    marked = np.flatnonzero(mark)
+    scan[stop[ends[marked]] - 2], scan[stop[ends[marked]] - 1] = 0xFF, RST0 + turn[marked]
+    dht = b"".join(_segment(DHT, bytes([k << 4]) + t.counts + t.symbols) for k, t in enumerate(tables()))
+    cuts = [0, *(int(x) for x in stop[ends[finals]])]
+    return [
+        b"".join(
+            (
+                bytes((0xFF, SOI)), _segment(COM, b"payload %d" % len(p)), _segment(DQT, b"\x00" + b"\x01" * 64), _segment(SOF0, struct.pack(">BHHBBBB", 8, rows * 8, cols * 8, 1, 1, 0x11, 0)), dht,
+                _segment(DRI, struct.pack(">H", RESTART)), _segment(SOS, bytes((1, 1, 0x00, 0, 63, 0))), scan[a:b].tobytes(), bytes((0xFF, EOI)),
+            )
+        )
+        for p, (rows, cols), a, b in zip(payloads, shapes, cuts[:-1], cuts[1:], strict=True)
+    ]
 
 
 def parse(data: bytes) -> dict:
@@ -146,103 +254,122 @@ def parse(data: bytes) -> dict:
             return out
 
 
-def _intervals(scan: bytes) -> list[bytes]:
-    """The scan cut at restart markers, without stuffed zeros."""
+def _intervals(scan: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A scan without restart markers and stuffed zeros, and where its intervals begin."""
     raw = np.frombuffer(scan, np.uint8)
-    mark = np.flatnonzero((raw[:-1] == 0xFF) & (raw[1:] >= RST0) & (raw[1:] <= RST0 + 7)) if len(raw) > 1 else []
-    cuts = [0, *(int(x) + 2 for x in mark)]
-    return [scan[a:b].replace(b"\xff\x00", b"\xff") for a, b in zip(cuts, [*(int(x) for x in mark), len(scan)], strict=True)]
-
-
-def _extended(value: np.ndarray | int, size: int):
-    """The coefficient that `size` bits of value stand for."""
-    return np.where(value >= 1 << (size - 1), value, value - (1 << size) + 1) if size else value * 0
-
-
-def _fixed_blocks(p: dict) -> np.ndarray | None:
-    """All blocks at once, where every coefficient is one bit and a byte and each block an interval."""
-    if p["restart"] != 1 or len(p["scan_components"]) != 1:
-        return None
-    _, dc, ac = p["scan_components"][0]
-    if p["huffman"][dc].single() != 8 or p["huffman"][16 + ac].single() != 8:
-        return None
-    scan = p["scan"]
-    if (len(scan) + 2) % 74 == 0 and b"\xff\x00" not in scan:
-        code = np.frombuffer(scan + b"\xff\xd0", np.uint8).reshape(-1, 74)[:, :72]
-    else:
-        code = np.frombuffer(b"".join(_intervals(scan)), np.uint8).reshape(-1, 72)
-    c = code.reshape(-1, 9)
-    b = np.empty((len(c), 8), np.uint8)
-    for j in range(8):
-        b[:, j] = (c[:, j].astype(np.uint16) << (j + 1) & 0xFF | c[:, j + 1] >> (7 - j)).astype(np.uint8)
-    return b.reshape(-1, 64)
-
-
-def _block(bits: np.ndarray, at: int, dc: Huffman, ac: Huffman, before: int) -> tuple[np.ndarray, int, int]:
-    out = np.zeros(64, np.int32)
-
-    def value(size: int, at: int) -> int:
-        v = 0
-        for x in bits[at : at + size]:
-            v = v << 1 | int(x)
-        return int(_extended(v, size))
-
-    size, at = dc.read(bits, at)
-    out[0] = before = before + value(size, at)
-    at += size
-    k = 1
-    while k < 64:
-        symbol, at = ac.read(bits, at)
-        run, size = symbol >> 4, symbol & 15
-        if not size and run != 15:
-            break
-        k += run
-        if size:
-            if k > 63:
-                raise ValueError("a block has too many coefficients")
-            out[k] = value(size, at)
-            at += size
-        k += 1
-    return out, at, before
-
-
-def decode(data: bytes, fixed: bool = True) -> tuple[dict, np.ndarray]:
-    """The parsed file, and the quantised coefficients of the first component's blocks (zigzag order) in
-    rows of blocks: shape (block rows, block columns, 64). fixed: use the path for fixed-length scans."""
-    p = parse(data)
+    after = np.concatenate([raw[1:], [0]]) if len(raw) else raw
+    escape = raw == 0xFF
+    mark = escape & (after >= RST0) & (after <= RST0 + 7)
+    drop = mark.copy()
+    drop[1:] |= mark[:-1] | (escape[:-1] & (raw[1:] == 0))
+    kept = np.cumsum(~drop)
+    return raw[~drop], np.concatenate([[0], kept[np.flatnonzero(mark)]]).astype(np.int64)
+
+
+def _side_by_side(data: np.ndarray, starts: np.ndarray, blocks: np.ndarray, units: list[tuple[int, Huffman, Huffman]]) -> np.ndarray:
+    """The quantised coefficients of all blocks of the intervals, in order. blocks: how many each interval has;
+    units: the component and tables of each block of a unit, by turns."""
+    found = list(dict.fromkeys(t for _, dc, ac in units for t in (dc, ac)))
+    symbols, sizes = (np.concatenate(x) for x in zip(*(t.lookup() for t in found), strict=True))
+    base = np.array([[found.index(dc) << 16, found.index(ac) << 16] for _, dc, ac in units])
+    part = np.array([c for c, _, _ in units])
+    wide = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.int64)
+    word = sum(wide[j : len(wide) - 4 + j] << (32 - 8 * j) for j in range(5))  # 40 bits from each byte on
+    first = np.cumsum(blocks) - blocks
+    out = np.zeros((int(blocks.sum()), 64), np.int32)
+    flat = out.reshape(-1)
+    live = np.flatnonzero(blocks > 0)
+    at, block, end, k = starts[live] * 8, first[live], first[live] + blocks[live], np.zeros(len(live), np.int64)
+    origin, before = first[live], np.zeros((len(live), int(part.max()) + 1), np.int64)
+    while len(at):
+        turn = (block - origin) % len(units)
+        byte = at >> 3
+        if byte.max() >= len(word):
+            raise ValueError("the scan ends too early")
+        bits = (word[byte] << (at & 7)) & 0xFFFFFFFFFF
+        dc = k == 0
+        look = base[turn, np.where(dc, 0, 1)] + (bits >> 24)
+        symbol, size = symbols[look].astype(np.int64), sizes[look].astype(np.int64)
+        if not size.all():
+            raise ValueError("no such Huffman code")
+        n = symbol & 15
+        value = (bits >> (40 - size - n)) & ((1 << n) - 1)
+        value = np.where((n > 0) & (value < (1 << np.maximum(n - 1, 0))), value - (1 << n) + 1, value)
+        at = at + size + n
+        run = np.where(dc, 0, symbol >> 4)
+        stop = ~dc & (n == 0) & (run < 15)
+        place = k + run
+        if (place[~stop] > 63).any():
+            raise ValueError("a block has too many coefficients")
+        lane = np.flatnonzero(dc)
+        if len(lane):
+            c = part[turn[lane]]
+            before[lane, c] += value[lane]
+            value[lane] = before[lane, c]
+        hit = np.flatnonzero(dc | (n > 0))
+        flat[block[hit] * 64 + place[hit]] = value[hit]
+        k = np.where(stop, 64, place + 1)
+        done = k >= 64
+        if done.any():
+            block, k = block + done, np.where(done, 0, k)
+            if (block >= end).any():
+                keep = block < end
+                at, block, end, k, origin, before = at[keep], block[keep], end[keep], k[keep], origin[keep], before[keep]
+    return out
+
+
+def _layout(p: dict) -> tuple[int, int, list[tuple[int, Huffman, Huffman]], int, int]:
+    """Rows and columns of units, the blocks of a unit, and its columns and rows of the first component."""
     comps = p["components"]
-    first = p["scan_components"][0][0]
-    many = len(p["scan_components"]) > 1
     hmax, vmax = max(c[0] for c in comps.values()), max(c[1] for c in comps.values())
-    h, v = comps[first][:2] if many else (1, 1)
-    cols = -(-p["width"] // (8 * hmax)) * h if many else -(-p["width"] // 8)
-    rows = -(-p["height"] // (8 * vmax)) * v if many else -(-p["height"] // 8)
-    if fixed and not many and (raw := _fixed_blocks(p)) is not None:
-        return p, _extended(raw.astype(np.int32), 8).reshape(rows, cols, 64)
-    out = np.zeros((rows, cols, 64), np.int32)
-    units = (rows // v) * (cols // h)
-    unit, per = 0, p["restart"] or units
-    for part in _intervals(p["scan"]):
-        bits, at = np.unpackbits(np.frombuffer(part, np.uint8)), 0
-        before = dict.fromkeys(comps, 0)
-        for unit_here in range(unit, min(unit + per, units)):
-            for cid, dc, ac in p["scan_components"]:
-                ch, cv = comps[cid][:2] if many else (1, 1)
-                for i in range(ch * cv):
-                    block, at, before[cid] = _block(bits, at, p["huffman"][dc], p["huffman"][16 + ac], before[cid])
-                    if cid == first:
-                        r, c = divmod(unit_here, cols // h)
-                        out[r * v + i // ch, c * h + i % ch] = block
-        unit += per
-    return p, out
-
-
-def read_payload(data: bytes) -> tuple[bytes, dict, np.ndarray]:
-    """The bytes stored by encode_payload, the parsed file, and its coefficients."""
-    p, c = decode(data)
+    h, v = comps[p["scan_components"][0][0]][:2]
+    if len(p["scan_components"]) == 1:  # its blocks row by row, whatever its sampling
+        _, dc, ac = p["scan_components"][0]
+        wide, high = -(-p["width"] * h // hmax), -(-p["height"] * v // vmax)
+        return -(-high // 8), -(-wide // 8), [(0, p["huffman"][dc], p["huffman"][16 + ac])], 1, 1
+    units = [(i, p["huffman"][dc], p["huffman"][16 + ac]) for i, (cid, dc, ac) in enumerate(p["scan_components"]) for _ in range(comps[cid][0] * comps[cid][1])]
+    return -(-p["height"] // (8 * vmax)), -(-p["width"] // (8 * hmax)), units, h, v
+
+
+def decoded(files: list[dict]) -> list[np.ndarray]:
+    """For parsed files the quantised coefficients of the first component's blocks (zigzag order) in rows of
+    blocks: shape (block rows, block columns, 64). Files whose units are alike are decoded together."""
+    layouts = [_layout(p) for p in files]
+    groups: dict[tuple, list[int]] = {}
+    for i, x in enumerate(layouts):
+        groups.setdefault(tuple(x[2]), []).append(i)
+    out: list[np.ndarray] = [np.zeros(0)] * len(files)
+    for units, members in groups.items():
+        data, starts = _intervals(bytes((0xFF, RST0)).join(files[i]["scan"] for i in members))
+        sizes = []
+        for i in members:
+            n = layouts[i][0] * layouts[i][1]
+            per = files[i]["restart"] or n
+            sizes.append(np.minimum(per, n - np.arange(0, n, per)) * len(units))
+        blocks = np.concatenate(sizes)
+        if len(blocks) != len(starts):
+            raise ValueError("restart markers and intervals differ in number")
+        coefficients, at = _side_by_side(data, starts, blocks, list(units)), 0
+        for i, s in zip(members, sizes, strict=True):
+            rows, cols, _, h, v = layouts[i]
+            mine = coefficients[at : at + int(s.sum())].reshape(rows, cols, len(units), 64)[:, :, : h * v]
+            out[i] = mine.reshape(rows, cols, v, h, 64).transpose(0, 2, 1, 3, 4).reshape(rows * v, cols * h, 64)
+            at += int(s.sum())
+    return out
+
+
+def decode(data: bytes) -> tuple[dict, np.ndarray]:
+    """A file parsed, and its coefficients as `decoded` gives them."""
+    p = parse(data)
+    return p, decoded([p])[0]
+
+
+def payload_of(p: dict, c: np.ndarray) -> bytes:
+    """The bytes that encode_payloads stored."""
     size = next(int(x.split()[1]) for x in p["comments"] if x.startswith(b"payload "))
-    flat = c.reshape(-1)
-    return np.where(flat > 0, flat, flat + 255).astype(np.uint8).tobytes()[:size], p, c
+    c = c.reshape(-1, 64)[: size // 64].copy()
+    c[:, 0] -= c[:, 1:].sum(1) >> 4
+    return (c + 128).astype(np.uint8).tobytes()
 
 
 def thumbnail(p: dict, coefficients: np.ndarray) -> np.ndarray:
@@ -265,23 +392,38 @@ def thumbnail_hash(thumb: np.ndarray) -> str:
 
 
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width long, height long"
+NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+
+
+def feature(p: dict, coefficients: np.ndarray) -> str:
+    """A file's dimensions and its thumbnail's hashes: of its coarse look, and of all its cells."""
+    thumb = thumbnail(p, coefficients)
+    return f"{p['width']}x{p['height']}:{thumbnail_hash(thumb)}:{zlib.crc32(np.rint(thumb * 8).astype(np.uint16).tobytes()):08x}"
 
 
 def media_features(docs: DataFrame) -> DataFrame:
-    """Per document: its text as a JPEG, read back, with sizes, hashes and the thumbnail's hash."""
+    """Per document: its text as a JPEG, read back, with sizes, hashes and the thumbnail's hashes."""
+
+    def rows(ids: list, texts: list[str]) -> list[tuple]:
+        payloads = [padded(t) for t in texts]
+        stored = encode_payloads([p for p, _ in payloads])
+        parsed = [parse(x) for x in stored]
+        out = []
+        for doc, (_, size), media, p, c in zip(ids, payloads, stored, parsed, decoded(parsed), strict=True):
+            back = payload_of(p, c)
+            out.append((doc, size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(p, c), p["width"], p["height"]))
+        return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                payload, size = padded(text if isinstance(text, str) else None)
-                media = encode_payload(payload)
-                back, p, c = read_payload(media)
-                feature = f"{p['width']}x{p['height']}:{thumbnail_hash(thumbnail(p, c))}"
-                rows.append((doc, size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, p["width"], p["height"]))
-            yield pd.DataFrame(rows, columns=NAMES).astype({"doc_id": "Int64"})
-
-    return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
-
-
-NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+            out, at, size = [], 0, 0
+            ids, texts = list(batch["doc_id"].astype("Int64")), batch["text"].tolist()
+            for i, t in enumerate(texts, 1):
+                size += 64 + len(t)
+                if size >= GROUP or i == len(texts):
+                    out += rows(ids[at:i], texts[at:i])
+                    at, size = i, 0
+            yield pd.DataFrame(out, columns=NAMES).astype({"doc_id": "Int64"})
+
+    batched(docs.sparkSession)
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(frugal(run), SCHEMA)

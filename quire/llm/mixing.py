@@ -1,22 +1,26 @@
 """Mixing sources to target weights by Pareto order sampling, with DataFrame operations only.
 
-Every source gets a word target (`source_targets`). A document's expected copies are the target over the
-words its source has: the whole part is taken for certain, and the rest is its inclusion probability p for
-one more copy. Documents of a source are ranked by (u / (1 - u)) / (p / (1 - p)) with u a hash of the
-document in (0, 1), and the lowest ranks are taken until the source's word count is met. p is one for all
-documents of a source: the order within it is a simple random one, and p only differs between sources.
-
-One source may hold a third of all rows, so no window ever spans a source: ranks are first summed per
-(source, rank bucket), the bucket in which the target falls is found from those sums, and only that
-bucket's rows are ordered one by one. The words still missing (fewer than the next document in rank has)
-are then filled the same way from documents that fit into the gap. What is joined to the documents has a row
-per source and is written first, so that Spark knows its size and broadcasts it if that is small; else the
-documents would be dealt by source before their join is found to need no dealing.
-
-Nulls: a null text has size 0, a null source is a source of its own (last in order), a null doc_id is
-hashed as such. Empty texts are never taken. Repeated rows are separate documents; rows that agree in
-doc_id and text share a rank, and which of them is taken makes no difference to the rows returned. An
-empty table gives an empty result. Extra columns are ignored by `mix` and kept by `mixed_documents`.
+Every source gets a word target (`source_targets`). Its documents' certain copies are the whole part of the
+target over the words it has. The rest r is drawn as one more copy of some documents, each with an inclusion
+probability of its own: p = r * g / (the mean of g by words in its stratum), where g grows with the share of a
+text's words that are distinct, so that texts that repeat themselves are taken less often. Documents rank by
+(u / (1 - u)) / (p / (1 - p)) with u a hash of the document in (0, 1).
+
+Strata are a source's documents of like size (a quarter of an octave). From each a sample of fixed size is
+taken: the n lowest ranks, n being the stratum's share of the missing words over its largest size, so that no
+target is exceeded. What rounding leaves is drawn in the same way once more, and the few words then missing are
+filled in order of rank by documents that fit into the gap, FILLS times.
+
+A sample is kept as its stratum's last rank taken, so the documents are never dealt out or ordered: ranks are
+counted per (stratum, rank bucket), only the bucket in which a sample ends is ordered row by row, and the plan is
+a small table (strata and sources) that documents are held against. One source may hold a third of all rows: no
+window spans a source or a stratum. The plan is written first, so that Spark broadcasts it only if it knows it to
+be small.
+
+Nulls: a null text has size 0, a null source is a source of its own (last in order), a null doc_id is hashed as
+such. Empty texts are never taken. Very long texts are counted whole. Rows that agree in doc_id and text share a
+rank and are taken or left together, never above the target. An empty table gives an empty result. Extra columns
+are ignored by `mix` and kept by `mixed_documents`, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import WORD, text_or_empty, written
 
 BUCKETS = 4096
-PASSES = 3
+BANDS = 4  # per octave of sizes
+SAMPLES, FILLS = 2, 4
 
 
 def word_count(text: Column) -> Column:
@@ -61,73 +66,108 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most:
     )
     return s.select("source", "source_size", F.when(F.col("capped"), cap).otherwise(F.col("level") * F.col("weight")).alias("target"))
 
-
-def uniform(seed: int) -> Column:
+def uniform(seed: int, doc_id: str = "doc_id", text: str = "text") -> Column:
     """A number strictly between 0 and 1 from doc_id and text."""
-    h = F.xxhash64(F.lit(seed), "doc_id", text_or_empty())
+    h = F.xxhash64(F.lit(seed), doc_id, text_or_empty(text))
     return (F.shiftrightunsigned(h, 12).cast("double") + 0.5) / float(1 << 52)
 
 
-def _take(rows: DataFrame, need: DataFrame) -> DataFrame:
-    """Flags as extra the rows of lowest rank whose words fit into the need of their source. rows: source,
-    size, rank (null: not eligible), extra; need: source, need."""
-    open_ = F.col("rank").isNotNull() & ~F.col("extra") & (F.col("size") > 0) & (F.col("size") <= F.col("need"))
-    r = rows.join(need, rows["source"].eqNullSafe(need["source"]), "left").drop(need["source"])
-    r = r.withColumn("bucket", F.when(open_, F.floor(F.col("rank") / (1 + F.col("rank")) * BUCKETS).cast("int")))
-    sums = r.where(F.col("bucket").isNotNull()).groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.max("need").alias("need"))
-    upto = Window.partitionBy("source").orderBy("bucket")
-    edge = (
-        sums.withColumn("upto", F.sum("words").over(upto))
-        .where(F.col("upto") > F.col("need"))
-        .groupBy("source")
-        .agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before")), "bucket").alias("edge"))
-        .select(F.col("source").alias("edge_source"), F.col("edge.bucket").alias("edge_bucket"), F.col("edge.before").alias("edge_before"))
-    )
-    r = r.join(written(edge, "edge"), F.col("source").eqNullSafe(F.col("edge_source")), "left")
-    here = Window.partitionBy("edge_key", "edge_row").orderBy("rank", "doc_id", "u").rowsBetween(Window.unboundedPreceding, 0)
-    at_edge = F.coalesce(F.col("bucket") == F.col("edge_bucket"), F.lit(False))
-    rest, edge_rows = r.where(~at_edge), r.where(at_edge)
-    rest = rest.withColumn("extra", F.col("extra") | F.coalesce(F.col("bucket").isNotNull() & (F.col("edge_bucket").isNull() | (F.col("bucket") < F.col("edge_bucket"))), F.lit(False)))
-    edge_rows = (
-        edge_rows.withColumn("edge_key", F.coalesce("source", F.lit("")))
-        .withColumn("edge_row", F.col("source").isNull())
-        .withColumn("extra", F.sum("size").over(here) + F.col("edge_before") <= F.col("need"))
-    )
-    keep = rows.columns
-    return rest.select(*keep).unionByName(edge_rows.select(*keep))
+KEY = ["q_source", "q_null"]  # a source, null told apart
+
+
+def described(docs: DataFrame, seed: int, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """docs with what a plan is made of: source key, size, u, weight and size band."""
+    words = F.regexp_extract_all(text_or_empty(text), F.lit(WORD), F.lit(0))
+    d = docs.withColumn("q_words", words).withColumn("q_size", F.size("q_words").cast("long"))
+    d = d.withColumn("q_g", 0.5 + F.size(F.array_distinct("q_words")) / F.greatest("q_size", F.lit(1))).drop("q_words")
+    d = d.withColumn("q_u", uniform(seed, doc_id, text)).withColumn("q_source", F.coalesce(F.col(source).cast("string"), F.lit(""))).withColumn("q_null", F.col(source).isNull())
+    return d.withColumn("q_band", F.floor(F.log2(F.greatest("q_size", F.lit(1))) * BANDS).cast("int"))
+
+
+def ranked(rows: DataFrame, strata: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """rows with their inclusion probability, rank, rank bucket and place in the order of ranks."""
+    r = rows.join(strata, [*KEY, "q_band"])
+    p = F.least(F.col("q_rest") * F.col("q_g") / F.greatest("q_mean", F.lit(1e-9)), F.lit(1.0))
+    r = r.withColumn("q_p", p).withColumn("q_rank", F.when((p > 0) & (F.col("q_size") > 0), F.when(p >= 1, 0.0).otherwise(F.col("q_u") / (1 - F.col("q_u")) / (p / (1 - p)))))
+    bucket = F.floor(F.col("q_rank") / (1 + F.col("q_rank")) * BUCKETS).cast("int")
+    return r.withColumn("q_bucket", bucket).withColumn("q_place", F.struct("q_rank", F.col(doc_id).alias("id"), F.col("q_u").alias("u")))
+
+
+def held(rows: DataFrame, cuts: list[tuple[DataFrame, list[str]]]) -> DataFrame:
+    """rows with q_extra: whether a cut takes them. A cut is a table of (key, edge bucket, last place in it, most
+    words of a document) and its key."""
+    rows = rows.withColumn("q_extra", F.lit(False))
+    for cut, key in cuts:
+        here = F.col("q_rank").isNotNull() & (F.col("q_size") <= F.col("c_most")) & ((F.col("q_bucket") < F.col("c_edge")) | ((F.col("q_bucket") == F.col("c_edge")) & (F.col("q_place") <= F.col("c_last"))))
+        rows = rows.join(cut, key, "left").withColumn("q_extra", F.col("q_extra") | F.coalesce(here, F.lit(False))).drop("c_edge", "c_last", "c_most")
+    return rows
+
+
+def _cut(open_: DataFrame, limits: DataFrame, key: list[str], weight: Column) -> DataFrame:
+    """The cut that takes the lowest ranks of every key whose weights come to at most its limit (key, limit,
+    c_most). open_: the rows that may be taken."""
+    rows = open_.join(limits, key).where("q_size <= c_most").withColumn("w", weight)
+    sums = rows.groupBy(*key, "q_bucket").agg(F.sum("w").alias("w"), F.first("limit").alias("limit"), F.first("c_most").alias("c_most"))
+    upto = F.sum("w").over(Window.partitionBy(*key).orderBy("q_bucket"))  # at most BUCKETS rows a key
+    sums = sums.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("w"))
+    # Without a bucket that exceeds the limit all are taken.
+    edge = F.min(F.when(F.col("upto") > F.col("limit"), F.struct("q_bucket", "before")))
+    edges = sums.groupBy(*key).agg(edge.alias("e"), F.first("limit").alias("limit"), F.first("c_most").alias("c_most"))
+    edges = written(edges.select(*key, F.coalesce("e.q_bucket", F.lit(BUCKETS + 1)).alias("c_edge"), F.col("e.before").alias("before"), "limit", "c_most"), "edges")
+    last = rows.drop("limit", "c_most").join(edges, key).where("q_bucket = c_edge")
+    sofar = F.sum("w").over(Window.partitionBy(*key).orderBy("q_place").rangeBetween(Window.unboundedPreceding, 0))
+    last = last.withColumn("sofar", sofar).where("before + sofar <= limit").groupBy(*key).agg(F.max("q_place").alias("c_last"))
+    return written(edges.select(*key, "c_edge", "c_most").join(last, key, "left"), "cut")
+
+
+def plan(rows: DataFrame, weights: tuple[int, ...], most: int, doc_id: str = "doc_id") -> tuple[DataFrame, list[tuple[DataFrame, list[str]]]]:
+    """Per (source, band) what `ranked` needs, and the cuts. rows: as `described` gives them, written."""
+    sizes = rows.select(F.when(~F.col("q_null"), F.col("q_source")).alias("source"), F.col("q_size").alias("size"))
+    targets = source_targets(sizes, weights, most).withColumn("q_null", F.col("source").isNull()).withColumn("q_source", F.coalesce("source", F.lit("")))
+    per = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
+    targets = targets.withColumn("q_whole", F.floor(per).cast("long")).withColumn("q_rest", per - F.floor(per))
+    targets = written(targets.select(*KEY, "source_size", "target", "q_whole", "q_rest"), "targets")
+    strata = rows.groupBy(*KEY, "q_band").agg((F.sum(F.col("q_size") * F.col("q_g")) / F.greatest(F.sum("q_size"), F.lit(1))).alias("q_mean"))
+    strata = written(strata.join(targets, KEY), "strata")
+    short, order = ranked(rows, strata, doc_id), ["q_source", "q_null", "q_band"]
+    cuts: list[tuple[DataFrame, list[str]]] = []
+    for i in range(SAMPLES + FILLS):
+        now = held(short, cuts)
+        got = now.groupBy(*KEY).agg(F.sum(F.col("q_size") * (F.col("q_whole") + F.col("q_extra").cast("long"))).alias("got"))
+        need = got.join(targets, KEY).select(*KEY, (F.col("target") - F.col("got")).alias("need"))
+        need = written(need.where("need >= 1"), "need")
+        open_ = now.where(F.col("q_rank").isNotNull() & ~F.col("q_extra"))
+        if i < SAMPLES:  # samples of fixed size from every stratum
+            s = open_.groupBy(*order).agg(F.count(F.lit(1)).alias("n"), F.sum("q_size").alias("words"), F.max("q_size").alias("largest")).join(need, KEY)
+            share = F.least(F.lit(1.0), F.col("need") / F.sum("words").over(Window.partitionBy(*KEY)))  # one row a band
+            s = s.select(*order, F.floor(share * F.col("words") / F.col("largest")).cast("long").alias("limit"), F.col("largest").alias("c_most")).where("limit > 0")
+            cuts.append((_cut(open_, written(s, "samples"), order, F.lit(1).cast("long")), order))
+        else:  # the words still missing
+            cuts.append((_cut(open_, need.select(*KEY, F.col("need").alias("limit"), F.floor("need").cast("long").alias("c_most")), KEY, F.col("q_size")), KEY))
+    return strata, cuts
+
+
+def _narrow(docs: DataFrame, seed: int) -> DataFrame:
+    return written(described(docs.select("doc_id", "source", "text"), seed).select("doc_id", *KEY, "q_size", "q_g", "q_u", "q_band"), "sizes")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 7) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, copies, and u, which with doc_id
-    names the document's text."""
-    rows = written(docs.select("doc_id", "source", word_count(text_or_empty()).alias("size"), uniform(seed).alias("u")), "sizes")
-    targets = written(source_targets(rows, weights, most), "targets")
-    per = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    t = targets.withColumn("whole", F.least(F.floor(per), F.lit(most)).cast("long")).withColumn("p", F.least(per, F.lit(float(most))) - F.col("whole")).withColumnRenamed("source", "of")
-    odds = F.col("p") / (1 - F.col("p"))
-    rows = (
-        rows.join(t, F.col("source").eqNullSafe(F.col("of")))
-        .withColumn("rank", F.when(F.col("p") > 0, F.col("u") / (1 - F.col("u")) / odds))
-        .withColumn("extra", F.lit(False))
-        .drop("of", "p")
-    )
-    wanted = targets.select(F.col("source").alias("of"), "target")
-    for _ in range(PASSES):
-        rows = written(rows, "mix")
-        got = rows.groupBy("source").agg(F.sum(F.col("size") * (F.col("whole") + F.col("extra").cast("long"))).alias("got"))
-        need = got.join(wanted, F.col("source").eqNullSafe(F.col("of"))).select("source", (F.col("target") - F.col("got")).alias("need"))
-        rows = _take(rows, written(need, "need"))
-    copies = F.col("whole") + F.col("extra").cast("long")
-    return rows.select("doc_id", "u", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    """One row per document: doc_id, size, source_size, target, taken, copies, p (the inclusion probability of
+    a copy beyond the whole ones), and u, which with doc_id names the document's text."""
+    rows = _narrow(docs, seed)
+    strata, cuts = plan(rows, weights, most)
+    copies = F.col("q_whole") + F.col("q_extra").cast("long")
+    out = held(ranked(rows, strata), cuts)
+    return out.select("doc_id", F.col("q_u").alias("u"), F.col("q_size").alias("size"), "source_size", "target", (copies * F.col("q_size")).alias("taken"), copies.alias("copies"), F.col("q_p").alias("p"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 7) -> DataFrame:
-    """The mix itself: each document as many times as it is taken, with its own columns."""
-    plan = mix(docs, weights, most, seed)
-    plan = plan.groupBy(F.col("doc_id").alias("mix_id"), F.col("u").alias("mix_u")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("mix_copies"))
-    # Rows that agree in doc_id and text are told apart by their turn; all others are turn 1.
-    turn = Window.partitionBy("doc_id", "mix_key").orderBy(F.lit(0))
-    keyed = docs.withColumn("mix_key", uniform(seed)).withColumn("mix_turn", F.row_number().over(turn))
-    joined = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col("mix_id")) & (F.col("mix_key") == F.col("mix_u")))
-    n = F.try_element_at("mix_copies", F.col("mix_turn"))
-    return joined.where(n > 0).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), n.cast("int")))).select(*[docs[c] for c in docs.columns])
+    """The mix itself: each document as many times as it is taken, with its own columns. Texts are held against
+    the plan where they are."""
+    strata, cuts = plan(_narrow(docs, seed), weights, most)
+    own = {c: f"d{i}" for i, c in enumerate(docs.columns)}  # so that no name clashes
+    d = docs.select(*[F.col(c).alias(q) for c, q in own.items()])
+    d = held(ranked(described(d, seed, own["doc_id"], own["source"], own["text"]), strata, own["doc_id"]), cuts)
+    copies = (F.col("q_whole") + F.col("q_extra").cast("long")) * (F.col("q_size") > 0).cast("long")
+    d = d.withColumn("q_copies", copies.cast("int")).where("q_copies > 0").withColumn("q_copy", F.explode(F.sequence(F.lit(1), F.col("q_copies"))))
+    return d.select(*[F.col(q).alias(c) for c, q in own.items()])

@@ -77,7 +77,7 @@ def ids_of(text: str, encode_special_tokens: bool) -> list[int]:
 PIECES = "doc_id long, key long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def pieces(docs: DataFrame, length: int = LENGTH, encode_special_tokens: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, length: int = LENGTH, encode_special_tokens: bool = False) -> DataFrame:
     """Per piece: its document, place, length and the checksum of its ids. key orders equal lengths."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,7 +209,7 @@ def plan(histogram: dict[int, int], capacity: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["size", "first", "per", "sequence"])
 
 
-def packed(docs: DataFrame, length: int = LENGTH, grain: int = GRAIN, encode_special_tokens: bool = True) -> DataFrame:
+def packed(docs: DataFrame, length: int = LENGTH, grain: int = GRAIN, encode_special_tokens: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row per piece.
     encode_special_tokens: as in the tokenizers library, whether added tokens' strings are ordinary text (the
     library's own setting, and that of the query, is False)."""

@@ -1,19 +1,27 @@
 """PII by information-theoretic sanitisation.
 
 Personal data of four kinds (e-mail and IP addresses, card and telephone numbers) are the protected
-entities. From the whole corpus it is estimated how strongly a word reveals an entity: with D documents,
-n(e) of them holding entity e, n(t) holding word t, and n(e, t) holding t within WINDOW words of e, the
-pointwise information t gives about e is PMI = log2(D n(e,t) / (n(e) n(t))), and knowing e itself is worth
-IC = log2(D / n(e)) bits. A word whose PMI reaches THRESHOLD of IC, seen with e in at least SUPPORT
-documents, discloses e: its occurrences within the window become spans of kind term. In `sanitised`,
-entities are generalised to their kind and disclosing words removed.
+entities. Each is known under three names, from the narrowest: its own string, its group (an e-mail's domain,
+an address's network, a card's issuer digits, a telephone's country and area), and its kind. A name's contexts
+are the sets of words within WINDOW words of an entity of that name; equal contexts, as copies have them, count
+once. From the whole corpus it is estimated how strongly a word reveals a name: with P(t) the share of
+documents that hold the word t, and P(t | e) the share of e's contexts that do, the pointwise information is
+PMI = log2(P(t | e) / P(t)). With D documents and n(e) contexts, knowing e is worth IC(e) = log2(D / n(e)) bits.
+
+A text may tell what an entity's generalisation tells: a word seen in at least SUPPORT contexts of e whose PMI
+reaches the IC of the next wider name discloses e. A kind has no wider name; there the word must give THRESHOLD
+of the kind's own IC. Disclosing words within the window become spans of kind term. In `sanitised`, entities
+are generalised to their kind and disclosing words removed.
 
 Words are counted in lower case. Document frequencies come from every document: each task counts its own
 distinct words and flushes bounded dictionaries, and the sums are made by key, so no word's rows gather
-unsummed. Only rows near an entity are joined.
+unsummed. Only contexts are joined, and only after equal ones are folded.
 
-A null text is empty. Rows are told apart by a number of their own, so null and repeated doc_ids do no harm;
-copies count as documents each. Equal starts are ordered by kind as listed. An empty table gives no row.
+A null text is empty. A text's spans depend on the text and the corpus alone, so they are joined by a 128-bit
+hash of the text: null and repeated doc_ids do no harm, repeated rows get equal results, and a recomputed input
+in another order changes nothing. Equal starts are ordered by kind as listed. A word may be a span under
+several names, once. Very long texts are read whole, and memory is bounded by the longest. Extra columns are
+ignored by `personal_spans` and kept by `sanitised`, whatever their names. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -24,14 +32,15 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower_words, written
+from .common import ascii_lower_words, batched, frugal, text_or_empty, written
 
 #: The kinds in order.
 KINDS = ("email", "ip", "card", "phone", "term")
-WINDOW, SUPPORT, THRESHOLD = 5, 3, 0.8
+WINDOW, SUPPORT, THRESHOLD = 40, 2, 0.8
 FLUSH = 400_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -89,48 +98,66 @@ def entities(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _near(text: str, spans: list[tuple[int, int, int]], window: int) -> list[tuple[str, str, int, int]]:
-    """(entity, word, start, end) of the words within `window` words of a span and outside all spans."""
+def names(kind: int, value: str) -> tuple[str, str, str]:
+    """An entity's names: its string, its group and its kind."""
+    k = KINDS[kind]
+    digits = "".join(c for c in value if c.isdigit())
+    group = (value.rpartition("@")[2].lower(), ".".join(value.split(".")[:3]), digits[:6], digits[:4])[kind]
+    return f"{k}={value}", f"{k}:{group}", k
+
+
+def _near(text: str, spans: list[tuple[int, int, int]], window: int) -> list[list[tuple[str, int, int]]]:
+    """For each span the words (word, start, end) within `window` words of it and outside all spans."""
     out = []
-    for start, kind, end in spans:
-        entity = f"{KINDS[kind]}:{text[start:end]}"
+    for start, _, end in spans:
         after = []
         for m in _WORD.finditer(text, end):
             after.append(m)
             if len(after) == window:
                 break
         # Backwards over a stretch that grows until it holds enough words.
-        size = 64
+        size = 16 * window
         while True:
             low = max(0, start - size)
             before = list(_WORD.finditer(text, low, start))
             if low == 0 or len(before) > window:
                 break
             size *= 4
+        found = []
         for m in [*before[-window:], *after]:
             if not any(a < m.end() and m.start() < b for a, _, b in spans):
-                word = m[0].encode("utf-8", "surrogatepass").lower().decode("utf-8", "replace")
-                out.append((entity, word, m.start(), m.end()))
+                found.append((m[0].encode("utf-8", "surrogatepass").lower().decode("utf-8", "replace"), m.start(), m.end()))
+        out.append(found)
     return out
 
 
-FOUND = "row long, doc_id long, spans array<struct<start:long,rank:int,end:long>>, near array<struct<entity:string,word:string,start:long,end:long>>"
+WORDS = "array<struct<word:string,start:long,end:long>>"
+FOUND = f"doc_id long, k1 long, k2 long, spans array<struct<start:long,rank:int,end:long>>, contexts array<struct<context:long,names:array<string>,words:{WORDS}>>"
+
+
+def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with a 128-bit hash of the text."""
+    t = text_or_empty(text)
+    return docs.withColumn("k1", F.xxhash64(t)).withColumn("k2", F.xxhash64(F.lit(1), t))
 
 
 def detected(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document its base spans and the words near them."""
+    """Per document its base spans, and each span's names and context."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for row, doc, text in zip(batch["row"], batch["doc_id"], batch["text"], strict=True):
-                text = text if isinstance(text, str) else ""
+            for doc, k1, k2, text in zip(batch["doc_id"], batch["k1"], batch["k2"], batch["text"], strict=True):
                 spans = entities(text)
-                near = _near(text, spans, window) if spans else []
-                rows.append((row, doc, [{"start": a, "rank": k, "end": b} for a, k, b in spans], [{"entity": e, "word": w, "start": a, "end": b} for e, w, a, b in near]))
-            yield pd.DataFrame(rows, columns=["row", "doc_id", "spans", "near"]).astype({"doc_id": "Int64"})
+                contexts = []
+                for (a, k, b), near in zip(spans, _near(text, spans, window) if spans else [], strict=True):
+                    context = xxhash.xxh64_intdigest(" ".join(sorted({w for w, _, _ in near})).encode("utf-8", "surrogatepass")) - (1 << 63)
+                    contexts.append({"context": context, "names": list(names(k, text[a:b])), "words": [{"word": w, "start": x, "end": y} for w, x, y in near]})
+                rows.append((doc, k1, k2, [{"start": a, "rank": k, "end": b} for a, k, b in spans], contexts))
+            yield pd.DataFrame(rows, columns=["doc_id", "k1", "k2", "spans", "contexts"]).astype({"doc_id": "Int64"})
 
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInPandas(run, FOUND)
+    d = keyed(docs.select("doc_id", text_or_empty().alias("text")))
+    return d.select("doc_id", "k1", "k2", "text").mapInPandas(frugal(run), FOUND)
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
@@ -152,38 +179,55 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
         if counts:
             yield flush()
 
-    return docs.select("text").mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInPandas(frugal(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def contexts_of(found: DataFrame) -> DataFrame:
+    """(name, wider, context, words): the distinct contexts of every name; wider is null for kinds."""
+    c = found.where(F.size("contexts") > 0).select(F.explode("contexts").alias("x")).select("x.*")
+    c = c.select(F.posexplode("names").alias("level", "name"), F.get("names", F.col("level") + 1).alias("wider"), "context", F.array_distinct(F.transform("words", lambda w: w["word"])).alias("words"))
+    return c.groupBy("name", "context").agg(F.first("wider").alias("wider"), F.first("words").alias("words"))
 
 
-def disclosing(found: DataFrame, frequencies: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
-    """(entity, word, pmi, ic) of the words that disclose an entity. Pairs below the support go before the
-    join with the frequencies."""
-    near = found.select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.word").distinct()
-    pairs = near.groupBy("entity", "word").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
-    # A row's distinct entities, counted without the words.
-    holders = found.select(F.explode(F.array_distinct(F.col("near.entity"))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    total = F.lit(float(max(1, found.count())))
-    scored = pairs.join(holders, "entity").join(frequencies.withColumnRenamed("n", "n_word"), "word")
-    scored = scored.withColumn("pmi", F.log2(total * F.col("n_both") / (F.col("n_entity") * F.col("n_word")))).withColumn("ic", F.log2(total / F.col("n_entity")))
-    return scored.where((F.col("ic") > 0) & (F.col("pmi") >= threshold * F.col("ic"))).select("entity", "word", "pmi", "ic")
+def supported(contexts: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """(name, word, n_both) of the pairs that enough contexts hold."""
+    pairs = contexts.select("name", F.explode("words").alias("word")).groupBy("name", "word")
+    return pairs.agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
 
 
-def _candidate_words(found: DataFrame, support: int) -> DataFrame:
-    near = found.select(F.explode("near").alias("x"))
-    return near.groupBy(F.col("x.word").alias("word")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("word")
+def disclosing(contexts: DataFrame, pairs: DataFrame, frequencies: DataFrame, documents: int, threshold: float = THRESHOLD) -> DataFrame:
+    """(name, word, pmi, least) of the words that disclose a name, and the information that they reach."""
+    sizes = contexts.groupBy("name").agg(F.first("wider").alias("wider"), F.count(F.lit(1)).alias("n_name"))
+    total = F.lit(float(max(1, documents)))
+    sizes = sizes.withColumn("ic", F.log2(total / F.col("n_name")))
+    wider = sizes.select(F.col("name").alias("wider"), F.col("ic").alias("wider_ic"))
+    least = F.coalesce("wider_ic", threshold * F.col("ic"))
+    sizes = written(sizes.join(wider, "wider", "left").select("name", "n_name", least.alias("least")), "names")
+    x = pairs.join(frequencies.withColumnRenamed("n", "n_word"), "word").join(sizes, "name")
+    x = x.withColumn("pmi", F.log2(F.col("n_both") / F.col("n_name") * total / F.col("n_word")))
+    return x.where((F.col("least") > 0) & (F.col("pmi") >= F.col("least"))).select("name", "word", "pmi", "least")
+
+
+SPANS = "array<struct<start:bigint,rank:int,end:bigint>>"
 
 
 def annotated(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
-    """row, doc_id, found: array of struct<start, rank, end> of all spans in order."""
+    """doc_id, k1, k2, found: array of struct<start, rank, end> of all spans in order."""
+    batched(docs.sparkSession)
     found = written(detected(docs, window), "pii")
-    frequencies = document_frequencies(docs).join(_candidate_words(found, support), "word")
-    rules = written(disclosing(found, frequencies, support, threshold), "disclosing")
-    near = found.select("row", F.explode("near").alias("x")).select("row", "x.*")
-    terms = near.join(rules.select("entity", "word"), ["entity", "word"]).groupBy("row")
-    terms = terms.agg(F.collect_set(F.struct("start", F.lit(KINDS.index("term")).alias("rank"), "end")).alias("terms"))
-    none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>")
-    out = found.select("row", "doc_id", "spans").join(terms, "row", "left")
-    return out.select("row", "doc_id", F.array_sort(F.concat(F.coalesce("spans", none), F.coalesce("terms", none))).alias("found"))
+    contexts = written(contexts_of(found), "contexts")
+    pairs = written(supported(contexts, support), "pairs")
+    frequencies = document_frequencies(docs).join(pairs.select("word").distinct(), "word")
+    rules = written(disclosing(contexts, pairs, frequencies, found.count(), threshold), "disclosing")
+    near = found.where(F.size("contexts") > 0).dropDuplicates(["k1", "k2"]).select("k1", "k2", F.explode("contexts").alias("x"))
+    near = near.select("k1", "k2", F.explode("x.names").alias("name"), F.col("x.words").alias("words")).join(rules.select("name").distinct(), "name", "left_semi")
+    near = near.select("k1", "k2", "name", F.explode("words").alias("w")).select("k1", "k2", "name", "w.*")
+    terms = near.join(rules.select("name", "word"), ["name", "word"]).groupBy("k1", "k2")
+    terms = written(terms.agg(F.collect_set(F.struct("start", F.lit(KINDS.index("term")).alias("rank"), "end")).alias("terms")), "terms")
+    base = F.coalesce("spans", F.array().cast(SPANS))
+    none = found.where(F.size("contexts") == 0).select("doc_id", "k1", "k2", base.alias("found"))
+    some = found.where(F.size("contexts") > 0).join(terms, ["k1", "k2"], "left")
+    return none.unionByName(some.select("doc_id", "k1", "k2", F.array_sort(F.concat(base, F.coalesce("terms", F.array().cast(SPANS)))).alias("found")))
 
 
 def rendered(found: Column) -> Column:
@@ -195,30 +239,35 @@ def personal_spans(docs: DataFrame) -> DataFrame:
     a = annotated(docs)
     base = F.filter("found", lambda s: s["rank"] < KINDS.index("term"))
     count = lambda i: F.size(F.filter("found", lambda s: s["rank"] == i)).cast("long")
-    return a.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:-1])], F.sha2(rendered(base).cast("binary"), 256).alias("base_sha256"), rendered(F.col("found")).alias("spans"))
+    return a.select(
+        "doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:-1])], F.sha2(rendered(base).cast("binary"), 256).alias("base_sha256"), rendered(F.col("found")).alias("spans"),
+        count(KINDS.index("term")).alias("n_term"),
+    )
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
-    """docs' doc_id and text with entities generalised to their kind in brackets and disclosing words
-    removed. Overlapping spans count as the first of them."""
-    spans = written(annotated(docs).where(F.size("found") > 0), "spans")
-    joined = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").join(spans.select("row", "found"), "row", "left")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = []
-            for text, found in zip(batch["text"], batch["found"], strict=True):
-                if found is not None and isinstance(text, str):
-                    out, at = [], 0
-                    for s in found:
-                        if s["start"] >= at:
-                            out += [text[at : s["start"]], "" if KINDS[s["rank"]] == "term" else f"[{KINDS[s['rank']].upper()}]"]
-                            at = s["end"]
-                    text = "".join([*out, text[at:]])
-                texts.append(text)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text": texts})
-
-    return joined.mapInPandas(run, "doc_id long, text string")
+    """docs with entities generalised to their kind in brackets and disclosing words removed from the texts.
+    Overlapping spans count as the first of them."""
+    own = {c: f"q{i}" for i, c in enumerate(docs.columns)}  # so that no name clashes
+    spans = written(annotated(docs).where(F.size("found") > 0).dropDuplicates(["k1", "k2"]).select("k1", "k2", "found"), "spans")
+    d = keyed(docs.select(*[F.col(c).alias(q) for c, q in own.items()]), own["text"])
+
+    @F.pandas_udf("string")
+    def clean(text: pd.Series, found: pd.Series) -> pd.Series:
+        out = []
+        for t, spans in zip(text, found, strict=True):
+            if spans is not None and isinstance(t, str):
+                parts, at = [], 0
+                for s in spans:
+                    if s["start"] >= at:
+                        parts += [t[at : s["start"]], "" if KINDS[s["rank"]] == "term" else f"[{KINDS[s['rank']].upper()}]"]
+                        at = s["end"]
+                t = "".join([*parts, t[at:]])
+            out.append(t)
+        return pd.Series(out, dtype=object)
+
+    d = d.join(spans, ["k1", "k2"], "left")
+    return d.select(*[(clean(own["text"], "found") if c == "text" else F.col(q)).alias(c) for c, q in own.items()])
 
 
 def digest(spans: list[tuple[int, int, int]]) -> str:

@@ -107,6 +107,39 @@ def test_mix(spark):
     assert all(copies[r["doc_id"]] == r["copies"] for r in a)
 
 
+def test_samples_follow_their_probabilities(spark):
+    """Equal sizes, and texts that repeat their words or don't: a stratum's sample is that of the lowest
+    Pareto ranks, of fixed size, and the texts that repeat theirs are taken less often."""
+    text = lambda i: " ".join([f"w{i}x{k}" for k in range(8)] if i % 2 else [f"w{i}"] * 8)
+    d = spark.createDataFrame([(i, text(i), "a" if i % 4 < 2 else "b") for i in range(2000)], "doc_id long, text string, source string")
+    by = defaultdict(list)
+    for r in mixing.mix(d).collect():
+        by[r["doc_id"] % 4 < 2].append(r)
+    drawn = Counter()
+    for rows in by.values():
+        whole, target, words = min(r["copies"] for r in rows), rows[0]["target"], rows[0]["source_size"]
+        rest = target / words - int(target / words)
+        if rest < 0.01:
+            continue
+        assert len({round(r["p"], 9) for r in rows}) == 2
+        assert sum(r["p"] for r in rows) == pytest.approx(rest * len(rows))
+        assert sum(r["copies"] - whole for r in rows) == int((target - whole * words) / 8)
+        rank = sorted(rows, key=lambda r: r["u"] / (1 - r["u"]) * (1 - r["p"]) / r["p"])
+        copies = [r["copies"] for r in rank]
+        assert copies == sorted(copies, reverse=True)
+        drawn.update({r["doc_id"] % 2: r["copies"] - whole for r in rows for _ in [0]})
+        odd, even = (sum(r["copies"] - whole for r in rows if r["doc_id"] % 2 == k) for k in (1, 0))
+        assert odd > even
+
+
+def test_repeated_rows_are_taken_together(spark):
+    d = spark.createDataFrame([(1, "a b c", "s")] * 60 + [(i, f"w{i} x y", "s") for i in range(2, 90)] + [(200, "t u v", "t")] * 30, "doc_id long, text string, source string")
+    rows = mixing.mix(d).collect()
+    assert len({r["copies"] for r in rows if r["doc_id"] == 1}) == 1
+    assert sum(r["taken"] for r in rows if r["source_size"] == 444) <= max(r["target"] for r in rows if r["source_size"] == 444)
+    assert Counter(r["doc_id"] for r in mixing.mixed_documents(d).collect()) == Counter({i: n for i, n in sum((Counter({r["doc_id"]: r["copies"]}) for r in rows), Counter()).items() if n})
+
+
 def test_inclusion_is_by_pareto_rank(spark):
     """Equal sizes: the documents taken once more are those of the lowest ranks."""
     d = spark.createDataFrame([(i, f"w{i} x", "a" if i % 4 else "b") for i in range(400)], "doc_id long, text string, source string")
@@ -124,7 +157,6 @@ def test_packing(spark):
     import zlib
 
     t = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     d = spark.read.parquet(f"{SF}/documents.parquet")
     odd = spark.createDataFrame([(-1, "<|endoftext|> ok"), (-2, None), (-3, "😀 " * 3000)], "doc_id long, text string")
     docs = {r["doc_id"]: r["text"] or "" for r in d.select("doc_id", "text").unionByName(odd).collect()}

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+from collections import Counter, defaultdict
 
 import pytest
 from hypothesis import given, settings
@@ -91,6 +93,72 @@ def test_disclosing_terms(spark):
     assert clean == " chief of ops reach [EMAIL] today number 0"
 
 
+def brute_terms(texts, window=pii.WINDOW, support=pii.SUPPORT, threshold=pii.THRESHOLD):
+    """Spans of disclosing words, counted name by name and word by word."""
+    import math
+
+    low = lambda w: w.encode().lower().decode()
+    documents = Counter(w for t in texts for w in {low(x) for x in re.findall(r"[^\x20\x09-\x0D]+", t)})
+    contexts, wider, near = defaultdict(set), {}, defaultdict(list)
+    for i, t in enumerate(texts):
+        spans = brute_pii(t)
+        for a, k, b in spans:
+            before, after = list(re.finditer(r"[^\x20\x09-\x0D]+", t[:a])), [(m[0], m.start() + b, m.end() + b) for m in re.finditer(r"[^\x20\x09-\x0D]+", t[b:])]
+            words = [(low(w), x, y) for w, x, y in [(m[0], m.start(), m.end()) for m in before[-window:]] + after[:window] if not any(p < y and x < q for p, _, q in spans)]
+            own = pii.names(k, t[a:b])
+            for n, w in zip(own, [*own[1:], None], strict=True):
+                contexts[n].add(frozenset(w for w, _, _ in words))
+                wider[n] = w
+                near[n, i] += words
+    ic = {n: math.log2(len(texts) / len(c)) for n, c in contexts.items()}
+    out = defaultdict(set)
+    for (n, i), words in near.items():
+        least = ic[wider[n]] if wider[n] else threshold * ic[n]
+        for w, x, y in words:
+            both = sum(w in c for c in contexts[n])
+            if both >= support and least > 0 and documents[w] and math.log2(both / len(contexts[n]) * len(texts) / documents[w]) >= least:
+                out[i].add(f"term:{x}:{y}")
+    return out
+
+
+def test_terms_match_brute_force(spark):
+    r = random.Random(9)
+    word = lambda: r.choice("alpha beta gamma delta eps zeta eta theta iota kappa".split()) + str(r.randrange(12))
+    people = [(f"p{k}@{'ab'[k % 2]}.example.org", f"clue{k}") for k in range(6)] + [("10.0.0.7", "rack7"), ("+1 (234) 567-8901", "desk9")]
+    texts = []
+    for i in range(150):
+        words = [word() for _ in range(r.randrange(5, 120))]
+        if i % 3 == 0:
+            who, clue = people[i // 3 % len(people)]
+            at = r.randrange(len(words))
+            words[at:at] = [clue, who] if r.random() < 0.8 else [who]
+        texts.append(" ".join(words))
+    texts += texts[:9] * 3  # copies add no contexts
+    got = {x["doc_id"]: x for x in pii.personal_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect()}
+    want = brute_terms(texts)
+    assert sum(map(len, want.values())) > 20
+    for i, t in enumerate(texts):
+        spans = got[i]["spans"].split(",")
+        assert {s for s in spans if s.startswith("term")} == want[i] and got[i]["n_term"] == len(want[i])
+        base = [f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in brute_pii(t)]
+        assert [s for s in spans if s and not s.startswith("term")] == base and got[i]["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert [got[i][f"n_{k}"] for k in pii.KINDS[:-1]] == [sum(s.startswith(k) for s in base) for k in pii.KINDS[:-1]]
+
+
+def test_terms_are_found_in_the_corpus(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [r["text"] or "" for r in d.orderBy("doc_id").collect()]
+    got = {r["doc_id"]: r for r in pii.personal_spans(d).collect()}
+    want = brute_terms(texts)
+    assert sum(r["n_term"] for r in got.values()) == sum(map(len, want.values())) > 0
+
+
+def test_sanitised_does_not_hang_on_the_order_of_rows(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", pii.F.lit(1).alias("k1"))
+    a, b = (pii.sanitised(x) for x in (d, d.repartition(7).orderBy("text")))
+    assert a.columns == d.columns and sorted(a.collect()) == sorted(b.collect())
+
+
 def test_licences(spark):
     notices = [(f, t) for f, ts in licences.NOTICES.items() for t in ts]
     texts = [f"Prose before.\n{t}\nProse after." for _, t in notices] + ["A driving license is needed.", "Nothing here."]
