@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections import Counter
 from html import unescape
 from xml.etree import ElementTree as XML
@@ -16,6 +18,18 @@ TEXT_TAGS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "figca
 LINKED = ("id", "href", "src")
 
 
+#: Texts that are page marks, numbers, colours or style declarations.
+ODD = tuple(
+    re.compile(x) for x in (r"(?i)page_\d+", r"[\d\s.,:;!?()\-–—_#]+", "#[0-9A-Fa-f]{3,8}", r"[.#]?[A-Za-z_][A-Za-z0-9_-]*\s*[:=]\s*[-#\w.,%() ]+")
+)
+
+
+def prose(text: str) -> bool:
+    """`quire.functions.text.has_prose` of one value."""
+    v = " ".join(text.split())
+    return bool(v) and not any(p.fullmatch(v) for p in ODD) and any(unicodedata.category(c).startswith("L") for c in v)
+
+
 def tag(e: XML.Element) -> str:
     return e.tag.rpartition("}")[2]
 
@@ -126,7 +140,7 @@ def blocks_of(html: str) -> list[tuple[int, str, str, str]]:
     out = []
     for e in body.iter():
         text = " ".join("".join(e.itertext()).split())
-        if tag(e) in TEXT_TAGS and any(c.isalpha() for c in text):
+        if tag(e) in TEXT_TAGS and prose(text):
             copy = XML.fromstring(XML.tostring(e, encoding="unicode"))
             copy.tail = None
             for x in copy.iter():

@@ -21,6 +21,10 @@ def _plain(s: str) -> str:
     return s
 
 
+def _row(x: object) -> bool:
+    return isinstance(x, dict) and "id" in x and "translated_html" in x
+
+
 def _concatenated(text: str) -> list[dict] | None:
     """The objects of JSON values one after another, noise between them skipped; None if one is broken."""
     decoder, rows, at = json.JSONDecoder(), [], 0
@@ -28,8 +32,13 @@ def _concatenated(text: str) -> list[dict] | None:
         try:
             value, at = decoder.raw_decode(text, m.start())
         except json.JSONDecodeError:
-            return None
-        rows += [x for x in (value if isinstance(value, list) else [value]) if isinstance(x, dict)]
+            if _ID.match(text, m.start() + 1) or text[m.start() : m.start() + 40].lstrip("{ ").startswith('"id"'):
+                return None  # a row that is broken
+            at = m.start() + 1  # a bracket of the noise
+            continue
+        if isinstance(value, dict) and isinstance(value.get("rows"), list):
+            value = value["rows"]
+        rows += [x for x in (value if isinstance(value, list) else [value]) if _row(x)]
     return rows
 
 
@@ -63,7 +72,7 @@ def parse(reply: str) -> list[dict]:
         if isinstance(value, dict) and isinstance(value.get("rows"), list):
             value = value["rows"]
         if isinstance(value, list):
-            return [x for x in value if isinstance(x, dict)]
+            return [x for x in value if _row(x)]
     except json.JSONDecodeError:
         pass
     rows = _concatenated(text) or _recovered(text)

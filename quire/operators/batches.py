@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as t
+from quire.operators.folds import folded, positions
 
 
 def limits(max_rows: int, max_chars: int | None = None, max_tokens: int | None = None) -> tuple[int, int | None]:
@@ -18,22 +19,23 @@ def limits(max_rows: int, max_chars: int | None = None, max_tokens: int | None =
 
 def packed(df: DataFrame, key: str, order: list[Column], weight: Column, max_rows: int, max_chars: int | None = None, max_tokens: int | None = None) -> DataFrame:
     """(key, seq, weight, chunk): rows of a key in order, a chunk closed when it is full by rows or when the
-    next row would exceed the characters; a row larger than that is a chunk alone. The fold runs over the
-    weights of one key only, as an array in one row; keys are independent."""
+    next row would exceed the characters; a row larger than that is a chunk alone. A key's rows stream by in
+    order. Without a bound on characters a chunk follows from the place alone."""
     rows, chars = limits(max_rows, max_chars, max_tokens)
-    many = F.lit(chars if chars is not None else (1 << 62)).cast("double")
-    sorted_rows = F.array_sort(F.collect_list(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], weight.cast("double").alias("w"))))
-    weights = df.groupBy(key).agg(F.transform(sorted_rows, lambda x: x["w"]).alias("weights"))
-    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("sum"), F.lit(1).alias("chunk"), F.array().cast("array<int>").alias("out"))
+    x = df.select(key, weight.cast("double").alias("weight"), *[o.alias(f"o{i}") for i, o in enumerate(order)])
+    by = [*[F.col(f"o{i}") for i in range(len(order))], F.col("weight")]
+    if chars is None:
+        x = x.withColumn("seq", F.row_number().over(Window.partitionBy(key).orderBy(*by)).cast("long"))
+        return x.select(key, "seq", "weight", (F.floor((F.col("seq") - 1) / rows) + 1).cast("long").alias("chunk"))
 
-    def step(a: Column, w: Column) -> Column:
-        full = (a["n"] > 0) & ((a["n"] >= rows) | (a["sum"] + w > many))
-        chunk = a["chunk"] + full.cast("int")
-        return F.struct(F.when(full, 1).otherwise(a["n"] + 1).alias("n"), F.when(full, w).otherwise(a["sum"] + w).alias("sum"), chunk.alias("chunk"), F.array_append(a["out"], chunk).alias("out"))
+    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        seq, n, total, chunk = state
+        (w,) = row
+        if n and (n >= rows or total + w > chars):
+            n, total, chunk = 0, 0.0, chunk + 1
+        return (seq + 1, n + 1, total + w, chunk), (seq, chunk)
 
-    chunks = weights.select(key, "weights", F.aggregate("weights", start, step, lambda a: a["out"]).alias("chunks"))
-    out = chunks.select(key, F.posexplode(F.arrays_zip("weights", "chunks")).alias("pos", "x"))
-    return out.select(key, (F.col("pos") + 1).cast("long").alias("seq"), F.col("x.weights").alias("weight"), F.col("x.chunks").cast("long").alias("chunk"))
+    return folded(x, key, by, ["weight"], (1, 0, 0.0, 1), step, "seq long, chunk long").select(key, "seq", "weight", "chunk")
 
 
 def manifest(packed_rows: DataFrame, key: str) -> DataFrame:
@@ -60,3 +62,44 @@ def plan(blocks: DataFrame, key: str, size: str) -> DataFrame:
     over = blocks.join(s.select(key, "batch_chars"), key).where(F.col(size) > F.col("batch_chars")).groupBy(key).agg(F.count(F.lit(1)).alias("oversized"))
     s = s.join(over, key, "left").withColumn("oversized", F.coalesce("oversized", F.lit(0)))
     return s.withColumn("estimated_batches", F.ceil(F.col("total_chars") / F.col("batch_chars")).cast("long"))
+
+
+def files(packed_rows: DataFrame, key: str, rank: str) -> DataFrame:
+    """One row per batch of a manifest with a column `rank` (the file's place): its number over all files, and the
+    names of its input and output."""
+    x = positions(packed_rows, rank, [F.col(key), F.col("chunk")], "batch")
+    stem = F.regexp_replace(F.element_at(F.split(F.col(key).cast("string"), "/"), -1), r"(?<=.)\.[^.]*$", "")
+    name = F.concat(F.lit("batch_"), F.format_string("%03d", "batch"), F.lit("_"), stem, F.lit("_"), F.format_string("%02d", "chunk"))
+    return x.withColumn("input", F.concat(F.lit("batches/"), name, F.lit(".jsonl"))).withColumn("output", F.concat(F.lit("translated/"), name, F.lit(".translated.jsonl")))
+
+
+def number_of(path: Column) -> Column:
+    """The batch's number in a file's name; 0 where there is none."""
+    return F.coalesce(F.nullif(F.regexp_extract(path, r"batch_(\d+)_", 1), F.lit("")).try_cast("long"), F.lit(0).cast("long"))
+
+
+SUMMARY = ("batch", "file", "chapter_label", "block_count", "input", "output")
+
+
+def found(manifest_rows: DataFrame, number: int) -> DataFrame:
+    """A batch's summary by its number."""
+    have = set(manifest_rows.columns)
+    blank = {"batch": F.lit(None).cast("long"), "block_count": F.lit(0).cast("long")}
+    return manifest_rows.where(F.col("batch") == number).select(*[F.col(c) if c in have else blank.get(c, F.lit("")).alias(c) for c in SUMMARY])
+
+
+def profile(blocks: DataFrame, key: str, size: str, pdf: Column, asked: int | None = None) -> DataFrame:
+    """Per key the whole preparation plan: statistics, batch size (that of a PDF first, or the one asked for),
+    what it gives, and warnings. pdf: whether the key's source is one."""
+    s = blocks.groupBy(key).agg(
+        F.count(F.lit(1)).alias("block_count"), F.sum(size).cast("long").alias("total_chars"), F.max(size).cast("long").alias("max_block_chars"),
+        F.expr(f"percentile_disc(0.95) within group (order by {size})").cast("long").alias("p95_block_chars"), F.bool_or(pdf).alias("pdf"),
+    )
+    small = (F.col("total_chars") > 0) & (F.col("total_chars") < 40000) & (F.col("max_block_chars") < 4000)
+    limit = F.when(F.col("pdf"), 4500).when(small, 8000).when((F.col("total_chars") > 800000) | (F.col("p95_block_chars") > 3000), 5000).otherwise(6000)
+    limit = F.lit(min(max(asked, 1000), 100_000)) if asked is not None else F.least(F.greatest(limit, F.lit(3000)), F.lit(10_000))
+    s = s.withColumn("batch_chars", limit.cast("long"))
+    over = blocks.join(s.select(key, "batch_chars"), key).where(F.col(size) > F.col("batch_chars")).groupBy(key).agg(F.count(F.lit(1)).alias("oversized"))
+    s = s.join(over, key, "left").withColumn("oversized", F.coalesce("oversized", F.lit(0)))
+    warnings = F.concat_ws(",", F.when(F.col("block_count") == 0, "no-text-detected"), F.when(F.col("oversized") > 0, "oversized-source-blocks"))
+    return s.withColumn("estimated_batches", F.greatest(F.lit(1), F.ceil(F.col("total_chars") / F.col("batch_chars"))).cast("long")).withColumn("tokens_per_batch", t.tokens_of_chars(F.col("batch_chars"))).withColumn("warnings", warnings)

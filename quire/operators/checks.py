@@ -31,14 +31,14 @@ def identity_issues(source: DataFrame, target: DataFrame, batch: str = "batch",
     def gone(a: DataFrame, b: DataFrame, rule: str) -> DataFrame:
         return ids(a).join(ids(b), [batch, id_], "left_anti").select(batch, F.lit(rule).alias("rule"), F.col(id_).alias("row_id"))
 
-    def listed(d: DataFrame, to: str) -> DataFrame:
-        return d.groupBy(batch).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", id_))), lambda x: x[id_]).alias(to))
+    def numbered(d: DataFrame, to: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(batch).orderBy("pos", id_))
+        return d.select(batch, place.alias("n"), F.coalesce(F.col(id_), F.lit("")).alias(to))
 
-    both = listed(source, "a").join(listed(target, "b"), batch, "full")
-    none = F.array().cast("array<string>")
-    a, b = F.coalesce("a", none), F.coalesce("b", none)
+    both = numbered(source, "a").join(numbered(target, "b"), [batch, "n"], "full").groupBy(batch)
+    both = both.agg((F.count("a") != F.count("b")).alias("fewer"), F.bool_or(~F.col("a").eqNullSafe(F.col("b"))).alias("moved"))
     whole = lambda when, rule: both.where(when).select(batch, F.lit(rule).alias("rule"), F.lit("").alias("row_id"))
-    out = whole(F.size(a) != F.size(b), "count differs").unionByName(whole(a != b, "order changed"))
+    out = whole("fewer", "count differs").unionByName(whole("moved", "order changed"))
     for part in (
         blank(source, "source id empty"), blank(target, "target id empty"), repeated(source, "source id repeated"), repeated(target, "target id repeated"),
         gone(source, target, "missing"), gone(target, source, "unexpected"),
@@ -90,7 +90,8 @@ def term_hits(rows: DataFrame, terms: DataFrame, text: str, key: list[str]) -> D
     first = terms.select("source", F.regexp_extract("source", word, 0).alias("q_word")).distinct()
     words = rows.select(*key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(word), F.lit(0)))).alias("q_word"))
     near = words.join(first, "q_word").drop("q_word").distinct()
-    return near.join(rows.select(*key, text), key).where(t.holds_term(F.col(text), F.col("source"))).select(*key, F.col("source").alias("term"))
+    texts = rows.select(*key, F.col(text).alias("q_text"))
+    return near.join(texts, key).where(t.holds_term(F.col("q_text"), F.col("source"))).select(*key, F.col("source").alias("term"))
 
 
 def roll_up(issues: DataFrame, rows: DataFrame, chapter: str, most: int = 10) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as t
@@ -34,3 +34,66 @@ def upserted(memory: DataFrame, new: DataFrame) -> DataFrame:
     keep = F.col("n.source_hash").isNull() | (F.col("m.source_hash").isNotNull() & same)
     x = memory.alias("m").join(n.alias("n"), F.col("m.source_hash") == F.col("n.source_hash"), "full")
     return x.select(*[F.when(keep, F.col(f"m.{c}")).otherwise(F.col(f"n.{c}")).alias(c) for c in n.columns])
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of exported memories: a list, an object with segments or entries (a list or a map), or JSON Lines,
+    a file each. Texts of any form are parsed where they are read; what is no object is an entry of nulls."""
+    import json
+
+    import pandas as pd
+
+    fields = ("source_hash", *FIELDS)
+
+    def entries(text: str) -> list:
+        try:
+            value = json.loads(text)
+        except json.JSONDecodeError:
+            return [json.loads(line) for line in text.splitlines() if line.strip()]
+        if isinstance(value, dict):
+            value = value.get("segments") or value.get("entries") or []
+            value = list(value.values()) if isinstance(value, dict) else value
+        return value if isinstance(value, list) else []
+
+    def run(frames):
+        for f in frames:
+            rows = [x if isinstance(x, dict) else {} for text in f["value"] if text.strip() for x in entries(text)]
+            out = [(*[str(r[k]) if isinstance(r.get(k), str) else None for k in fields], float(r["confidence"]) if isinstance(r.get("confidence"), (int, float)) else None, i) for i, r in enumerate(rows)]
+            yield pd.DataFrame(out, columns=[*fields, "confidence", "seq"])
+
+    schema = ", ".join(f"{c} string" for c in fields) + ", confidence double, seq long"
+    return spark.read.option("wholetext", True).text(path).mapInPandas(run, schema)
+
+
+def imported(memory: DataFrame, entries: DataFrame, project: str, language: str) -> tuple[DataFrame, DataFrame]:
+    """The memory after entries (with seq, their order), and one row of how many were imported and skipped. Blank
+    translations are skipped, gaps filled, and the later entry of a key stays."""
+    text = F.coalesce("source_text", F.lit("")), F.coalesce("source_html", F.lit(""))
+    ok = t.strip(F.coalesce("translated_html", F.lit(""))) != ""
+    counts = entries.agg(F.count_if(ok).alias("imported"), F.count_if(~ok).alias("skipped"))
+    e = entries.where(ok).select(
+        F.coalesce(F.nullif("source_hash", F.lit("")), t.memory_key(text[1], text[0])).alias("source_hash"), text[0].alias("source_text"), text[1].alias("source_html"), "translated_html",
+        F.coalesce("target_language", F.lit(language)).alias("target_language"), F.coalesce("source_project", F.lit(project)).alias("source_project"),
+        F.coalesce("confidence", F.lit(1.0)).alias("confidence"), "seq",
+    )
+    columns = [c for c in e.columns if c not in ("source_hash", "seq")]
+    e = e.groupBy("source_hash").agg(F.max_by(F.struct(*columns), "seq").alias("q")).select("source_hash", "q.*").withColumn("updated_at", F.current_timestamp())
+    return memory.join(e, "source_hash", "left_anti").select(e.columns).unionByName(e), counts
+
+
+def stats(memory: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
+    out = memory.agg(F.count(F.lit(1)).alias("segment_entries"), F.countDistinct("source_project").alias("projects"))
+    return out.withColumn("term_decisions", F.lit(0).cast("long")) if decisions is None else out.crossJoin(decisions.agg(F.count(F.lit(1)).alias("term_decisions")))
+
+
+def exported(memory: DataFrame, path: str) -> None:
+    """The memory as JSON Lines in order of keys."""
+    memory.orderBy("source_hash").write.mode("overwrite").json(path)
+
+
+def realigned(source: DataFrame, remembered: DataFrame, provided: DataFrame) -> DataFrame:
+    """Every source row (id, pos) with its result: the service's, or else the memory's; null where there is none.
+    remembered, provided: id, translated_html."""
+    both = remembered.select("id", "translated_html", F.lit(0).alias("rank")).unionByName(provided.select("id", "translated_html", F.lit(1).alias("rank")))
+    best = both.groupBy("id").agg(F.max_by(F.struct("translated_html", "rank"), F.struct("rank", "translated_html")).alias("q"))
+    return source.join(best, "id", "left").select(*source.columns, "q.translated_html", F.when(F.col("q.rank") == 1, "service").when(F.col("q.rank") == 0, "memory").alias("origin"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.folds import folded
+
 
 def rolled_up(events: DataFrame, scope: str, tokens: str) -> DataFrame:
     """Requests and tokens per scope and in all (scope null)."""
@@ -18,7 +20,7 @@ def deltas(events: DataFrame, key: str, order: list[Column], counter: str) -> Da
 
 
 def cost(prompt: Column, completion: Column, price_in: float, price_out: float) -> Column:
-    return F.bround((F.greatest(F.lit(0), prompt) * price_in + F.greatest(F.lit(0), completion) * price_out) / 1_000_000, 6)
+    return F.round((F.greatest(F.lit(0), prompt) * price_in + F.greatest(F.lit(0), completion) * price_out) / 1_000_000, 6)
 
 
 def tail(events: DataFrame, key: str, order: list[Column], most: int) -> DataFrame:
@@ -28,41 +30,75 @@ def tail(events: DataFrame, key: str, order: list[Column], most: int) -> DataFra
 
 def admitted(events: DataFrame, key: str, order: list[str], price: str, limit: float) -> DataFrame:
     """Whether each request fits into its key's budget: a refused one costs nothing, so that later cheaper
-    ones may pass. A fold over one key's prices; whole cents keep sums exact."""
-    rows = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, price))).alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("spent"), F.array().cast("array<boolean>").alias("out"))
+    ones may pass. Whole cents keep sums exact; a key's requests stream by in order."""
+
+    def step(spent: int, row: tuple) -> tuple[int, tuple]:
+        ok = spent + row[0] <= limit
+        return (spent + row[0] if ok else spent), (ok,)
+
+    return folded(events.select(key, *order, price), key, [F.col(c) for c in (*order, price)], [price], 0, step, "admitted boolean")
+
 
-    def step(a: Column, r: Column) -> Column:
-        ok = a["spent"] + r[price] <= limit
-        return F.struct((a["spent"] + F.when(ok, r[price]).otherwise(F.lit(0).cast("long"))).alias("spent"), F.array_append(a["out"], ok).alias("out"))
+def settled(requests: DataFrame, key: str, order: list[str], estimate: str, actual: str, limit: float) -> DataFrame:
+    """Requests with estimates and, once they are done, actual costs: each reserves its estimate, and settles it
+    before the next one of its key. Gives admitted, and spent after it: the larger of what was estimated and what
+    was paid so far."""
 
-    rows = rows.withColumn("ok", F.aggregate("rows", start, step, lambda a: a["out"]))
-    out = rows.select(key, F.explode(F.arrays_zip("rows", "ok")).alias("x"))
-    return out.select(key, *[F.col(f"x.rows.{c}").alias(c) for c in (*order, price)], F.col("x.ok").alias("admitted"))
+    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        guessed, paid = state
+        guess, cost = row
+        ok = max(guessed, paid) + guess <= limit
+        if ok:
+            guessed, paid = guessed + guess, paid + (cost or 0)
+        return (guessed, paid), (ok, max(guessed, paid))
+
+    return folded(requests.select(key, *order, estimate, actual), key, [F.col(c) for c in order], [estimate, actual], (0, 0), step, "admitted boolean, spent long")
 
 
 def rate_limited(events: DataFrame, key: str, at: str, id_: str, tokens: str, most_requests: int, most_tokens: int, window: int) -> DataFrame:
     """The delay of each request under a fixed window that starts with its first request, in whole seconds
     of a virtual clock that waits as callers would. A request larger than the window's tokens passes after
-    a reset."""
-    rows = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(at, id_, tokens))).alias("rows"))
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("clock"), F.lit(-(1 << 60)).alias("begun"), zero.alias("requests"), zero.alias("used"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(a: Column, r: Column) -> Column:
-        now = F.greatest(a["clock"], r[at])
-        over = now - a["begun"] >= window
-        begun, requests, used = F.when(over, now).otherwise(a["begun"]), F.when(over, zero).otherwise(a["requests"]), F.when(over, zero).otherwise(a["used"])
-        full = (requests + 1 > most_requests) | (used + r[tokens] > most_tokens)
-        delay = F.when(full, window - (now - begun)).otherwise(zero)
-        return F.struct(
-            (now + delay).alias("clock"), F.when(full, now + delay).otherwise(begun).alias("begun"), F.when(full, F.lit(1).cast("long")).otherwise(requests + 1).alias("requests"),
-            F.when(full, r[tokens]).otherwise(used + r[tokens]).alias("used"), F.array_append(a["out"], delay).alias("out"),
-        )
-
-    rows = rows.withColumn("delays", F.aggregate("rows", start, step, lambda a: a["out"]))
-    out = rows.select(key, F.explode(F.arrays_zip("rows", "delays")).alias("x"))
-    return out.select(key, F.col(f"x.rows.{id_}").alias(id_), F.col("x.delays").alias("delay"))
+    a reset. A key's requests stream by in order."""
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        clock, begun, requests, used = state
+        when, size = row
+        now = max(clock, when)
+        if now - begun >= window:
+            begun, requests, used = now, 0, 0
+        delay = 0
+        if requests + 1 > most_requests or used + size > most_tokens:
+            delay = window - (now - begun)
+            begun, requests, used = now + delay, 0, 0
+        return (now + delay, begun, requests + 1, used + size), (delay,)
+
+    x = folded(events.select(key, at, id_, tokens), key, [F.col(at), F.col(id_), F.col(tokens)], [at, tokens], (0, -(1 << 60), 0, 0), step, "delay long")
+    return x.select(key, id_, "delay")
+
+
+def counters(calls: DataFrame, scope: str, price_in: float, price_out: float) -> DataFrame:
+    """Per scope and in all (scope null): requests and tokens used, the same estimated, what both cost, and the
+    larger cost as what is spent. calls has requests, prompt_tokens, completion_tokens (what each added) and
+    estimated_prompt_tokens, estimated_completion_tokens (null where nothing was estimated). Costs are rounded to
+    a millionth a call, as they are booked."""
+    known = F.col("estimated_prompt_tokens").isNotNull()
+    x = calls.withColumn("actual_cost", cost(F.col("prompt_tokens"), F.col("completion_tokens"), price_in, price_out))
+    x = x.withColumn("estimated_cost", F.when(known, cost(F.col("estimated_prompt_tokens"), F.col("estimated_completion_tokens"), price_in, price_out)).otherwise(0.0))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    out = x.rollup(scope).agg(
+        *[total(c) for c in ("requests", "prompt_tokens", "completion_tokens")], F.coalesce(F.sum(F.col("prompt_tokens") + F.col("completion_tokens")), F.lit(0)).cast("long").alias("total_tokens"),
+        F.count_if(known).alias("estimated_requests"), total("estimated_prompt_tokens"), total("estimated_completion_tokens"),
+        F.coalesce(F.sum(F.col("estimated_prompt_tokens") + F.col("estimated_completion_tokens")), F.lit(0)).cast("long").alias("estimated_total_tokens"),
+        F.round(F.sum("actual_cost"), 6).alias("actual_cost"), F.round(F.sum("estimated_cost"), 6).alias("estimated_cost"),
+    )
+    return out.withColumn("budget_spent", F.greatest("actual_cost", "estimated_cost"))
+
+
+def number_in(usage: Column, *names: str) -> Column:
+    """The first of some keys of a JSON object that holds a number (truth values are none), as a whole number of at
+    least 0."""
+    found = [F.get_json_object(usage, f"$.{n}") for n in names]
+    return F.greatest(F.lit(0), F.floor(F.coalesce(*[F.when(x.rlike(r"^-?[0-9]"), x).try_cast("double") for x in found], F.lit(0.0)))).cast("long")
 
 
 #: The first pattern that an error's lower-case text holds gives its code, owner and whether
@@ -98,3 +134,51 @@ def retryable(message: Column) -> Column:
     low = F.lower(message)
     status = F.regexp_extract(low, r"provider http\s+(\d{3})", 1).try_cast("int")
     return low.rlike("timed out|timeout") | F.coalesce((status == 429) | status.between(500, 599), F.lit(False))
+
+
+#: What an error of output shape, a refusal, and an error that smaller batches may avoid hold.
+SHAPE = "provider returned invalid jsonl|has validation issues|missing translated row|structural id/href/src tokens changed|invalid translated_html xml snippet"
+REFUSED = "considered high risk|request was rejected|safety"
+
+
+def output_retryable(message: Column, is_value_error: Column) -> Column:
+    """Whether an error of a reply's shape may pass."""
+    return is_value_error & F.lower(message).rlike(SHAPE)
+
+
+def refused(message: Column, is_value_error: Column) -> Column:
+    """Whether a service declined to answer."""
+    low = F.lower(message)
+    return is_value_error & F.contains(low, F.lit("provider returned invalid jsonl")) & low.rlike(REFUSED)
+
+
+def worth_splitting(message: Column, is_value_error: Column) -> Column:
+    """Whether smaller batches may help: time-outs, too long a context, a reply's shape or a refusal."""
+    low = F.lower(message)
+    return low.rlike("timed out|timeout|context.*(?:length|large|token)|request too large") | output_retryable(message, is_value_error) | refused(message, is_value_error)
+
+
+#: What to tell a user about each code: title and guidance, in our own words.
+ADVICE = {
+    "upload-too-large": ("The file is larger than allowed", "Compress it or raise the limit."),
+    "converter-unavailable": ("A converter is missing", "Install one or give the book as EPUB."),
+    "conversion-timeout": ("The conversion took too long", "Check the file, or allow more time."),
+    "invalid-source-file": ("The file is damaged, encrypted or unsafe", "Export it again without protection."),
+    "no-text-detected": ("There is no text to work on", "Run text recognition first."),
+    "provider-authentication": ("The service refused the credentials", "Check key, address and model."),
+    "provider-rate-limit": ("The service limits requests", "Wait, or lower the number of requests at once."),
+    "provider-timeout": ("The service did not answer in time", "Try again with smaller batches or more time."),
+    "provider-context-limit": ("The request is too long for the model", "Use smaller batches."),
+    "provider-error": ("The service failed", "Try again later, or check the settings."),
+    "invalid-provider-output": ("The reply is not of the form asked for", "Try again, or use another model."),
+    "output-build-failed": ("The result could not be built", "Check the source's structure."),
+    "unexpected-error": ("This step failed", "Try again, and report the details."),
+}
+
+
+def advised(code: Column) -> Column:
+    """struct<title, guidance> of a code."""
+    out = None
+    for c, (title, guidance) in ADVICE.items():
+        out = (F if out is None else out).when(code == c, F.struct(F.lit(title).alias("title"), F.lit(guidance).alias("guidance")))
+    return out

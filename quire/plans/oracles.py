@@ -98,7 +98,7 @@ ORACLES: dict[str, str] = {
     "line_blocks": f"WITH {_LINES} SELECT doc_id || '::' || lpad(pos::VARCHAR, greatest(4, length(pos::VARCHAR))::INT, '0') AS id, doc_id, pos, length(piece) AS chars FROM lines",
     "translatable_filter": f"WITH {_LINES}, x AS (SELECT doc_id, {_V} FROM lines) SELECT doc_id, count(*) AS lines, count(*) FILTER ({_PROSE}) AS kept FROM x GROUP BY doc_id",
     "doc_classify": r"""SELECT doc_id, CASE WHEN regexp_matches(x, '(?i)^chapter\s+\d+($|[^\p{L}\p{N}_])') THEN 'chapter' WHEN regexp_matches(lower(x), 'contents|cover|title|copyright|praise') THEN 'front_matter'
-        WHEN regexp_matches(lower(x), 'acknowledg|about the author|author|also by') THEN 'back_matter' ELSE 'unknown' END AS kind FROM (SELECT doc_id, substr(text, 1, 200) AS x FROM documents)""",
+        WHEN regexp_matches(lower(x), 'acknowledg|about the author|author|also by') THEN 'back_matter' ELSE 'unknown' END AS kind FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents)""",
     "format_detect": f"""SELECT page_id, {_EXT} AS extension, CASE WHEN {_EXT} = '.epub' THEN 'native' WHEN {_EXT} = '.txt' THEN 'internal-text' WHEN {_EXT} IN ('.html', '.htm', '.xhtml') THEN 'internal-html'
         WHEN {_EXT} IN ('.azw', '.azw3', '.azw4', '.cb7', '.cba', '.cbr', '.cbt', '.cbz', '.chm', '.docx', '.fb2', '.htmlz', '.kfx', '.lit', '.lrf', '.mobi', '.odt', '.pdb', '.pdf', '.pml', '.prc', '.rb', '.rtf', '.snb', '.tcr')
         THEN 'calibre' ELSE 'unsupported' END AS conversion FROM pages""",

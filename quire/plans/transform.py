@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.markup import TEXT_TAGS, rendered, snippet, structure_issues
+from quire.functions.split import cut
 
 #: A transform takes the rows of one batch (id, source_html) and returns rows (id, translated_html).
 Transform = Callable[[pd.DataFrame], pd.DataFrame]
@@ -37,11 +38,34 @@ def _checked(rows: pd.DataFrame, out: pd.DataFrame) -> str | None:
     return f"{bad[0][0]}: {bad[0][1]}" if bad else None
 
 
-def transformed(rows: DataFrame, transform: Transform, retries: int = 2, depth: int = 8) -> DataFrame:
+def _in_pieces(transform: Transform, limit: int) -> Transform:
+    """A transform of rows of which a long one without child elements is cut into pieces, each a request of its
+    own, and put together again without loss."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        e = snippet(rows["source_html"].iloc[0]) if len(rows) == 1 else None
+        if e is None or len(e) or len(e.text or "") <= limit:
+            return transform(rows)
+        texts = []
+        for piece in cut(e.text, limit):
+            part = snippet(rows["source_html"].iloc[0])
+            part.text = piece
+            one = transform(pd.DataFrame({"id": rows["id"], "source_html": [rendered(part)]}))
+            if list(one["id"]) != list(rows["id"]):
+                raise ValueError("ids differ")
+            texts.append("".join(snippet(one["translated_html"].iloc[0]).itertext()))
+        e.text = "".join(texts)
+        return pd.DataFrame({"id": rows["id"], "translated_html": [rendered(e)]})
+
+    return run
+
+
+def transformed(rows: DataFrame, transform: Transform, retries: int = 2, depth: int = 8, limit: int = 6000) -> DataFrame:
     """rows (batch, seq, id, source_html) through the transform, a batch at a time. A batch that fails or
     whose result does not pass the checks is tried again, then in halves; what fails alone keeps its error.
     Transforms may run more than once for a row (tasks are retried), so they must not have effects of
-    their own."""
+    their own. A row longer than `limit` characters that stands alone is cut into pieces."""
+    transform = _in_pieces(transform, limit)
 
     def attempt(part: pd.DataFrame, left: int) -> list[tuple]:
         error = ""

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.markup import blocks_of, tag
+from quire.functions.markup import TEXT_TAGS, blocks_of, prose, tag
 from quire.functions.text import section_kind
 
 #: Media types of chapters.
@@ -81,44 +81,187 @@ def _labels(files: dict[str, bytes], opf: str, manifest: dict[str, dict]) -> dic
     return out
 
 
-def read_blocks(content: bytes) -> list[tuple]:
-    """(order, file, label, seq, tag, text, html) of a book, in reading order."""
-    files = entries(content)
+def _package(files: dict[str, bytes]) -> tuple[str, dict[str, dict], list[str]]:
+    """The package document's path, its manifest (the later of a repeated id), and the spine."""
     opf = _root(files)
     root = XML.fromstring(files[opf])
     manifest = {
         e.attrib["id"]: {"href": e.attrib["href"], "media_type": e.attrib.get("media-type", ""), "properties": e.attrib.get("properties", "")}
         for e in root.iter() if tag(e) == "item" and e.attrib.get("id") and e.attrib.get("href")
     }
-    labels, out, order = _labels(files, opf, manifest), [], 0
-    for ref in (e.attrib.get("idref") for e in root.iter() if tag(e) == "itemref"):
+    return opf, manifest, [e.attrib.get("idref", "") for e in root.iter() if tag(e) == "itemref"]
+
+
+def _path(base: str, href: str) -> str:
+    return posixpath.normpath(posixpath.join(posixpath.dirname(base), href))
+
+
+def read_chapters(content: bytes) -> tuple[dict[str, bytes], list[tuple[int, str, str, list[tuple], str | None]]]:
+    """A book's files, and its chapters in reading order: (order, file, label, blocks, error). A chapter that
+    cannot be read has an error and no blocks; the others are not touched by it."""
+    files = entries(content)
+    opf, manifest, spine = _package(files)
+    labels, out = _labels(files, opf, manifest), []
+    for ref in spine:
         m = manifest.get(ref)
         if not m or m["media_type"] not in CHAPTERS:
             continue
-        order += 1
-        file = posixpath.normpath(posixpath.join(posixpath.dirname(opf), m["href"]))
-        out += [(order, file, labels.get(file, ""), *b) for b in blocks_of(files[file].decode("utf-8", "replace"))]
-    return out
+        file = _path(opf, m["href"])
+        try:
+            found, error = blocks_of(files[file].decode("utf-8", "replace")), None
+        except KeyError:
+            found, error = [], f"no such file: {file}"
+        except XML.ParseError as e:
+            found, error = [], f"{file}: {e}"
+        out.append((len(out) + 1, file, labels.get(file, ""), found, error))
+    return files, out
+
+
+def read_blocks(content: bytes) -> list[tuple]:
+    """(order, file, label, seq, tag, text, html) of a book, in reading order."""
+    return [(order, file, label, *b) for order, file, label, found, _ in read_chapters(content)[1] for b in found]
 
 
 SCHEMA = "book string, order int, file string, label string, seq int, tag string, text string, html string, error string"
 
 
-def blocks(spark: SparkSession, path: str) -> DataFrame:
-    """The blocks of all books under a path; a book that cannot be read is one row with its error."""
+def _books(spark: SparkSession, path: str, read, schema: str) -> DataFrame:
+    """read(book, content) over all books under a path; what it cannot open is a row with nothing but an error."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    whole = {x.split()[0]: "Int32" for x in schema.split(", ") if x.split()[1] == "int"}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows: list[tuple] = []
             for book, content in zip(f["path"], f["content"], strict=True):
                 try:
-                    rows += [(book, *b, None) for b in read_blocks(bytes(content))]
+                    rows += read(book, bytes(content))
                 except (ValueError, KeyError, zipfile.BadZipFile, XML.ParseError) as e:
-                    rows.append((book, None, None, None, None, None, None, None, str(e)))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")]).astype({"order": "Int32", "seq": "Int32"})
+                    rows.append((book, *[None] * (len(names) - 2), str(e)))
+            yield pd.DataFrame(rows, columns=names).astype(whole)
 
     books = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").load(path)
-    return books.select("path", "content").mapInPandas(run, SCHEMA).withColumn("kind", section_kind(F.col("label")))
+    return books.select("path", "content").mapInPandas(run, schema)
+
+
+def blocks(spark: SparkSession, path: str) -> DataFrame:
+    """The blocks of all books under a path; a chapter or a book that cannot be read is one row with its error."""
+
+    def read(book: str, content: bytes) -> list[tuple]:
+        out: list[tuple] = []
+        for order, file, label, found, error in read_chapters(content)[1]:
+            out += [(book, order, file, label, *b, None) for b in found] if not error else [(book, order, file, label, None, None, None, None, error)]
+        return out
+
+    return _books(spark, path, read, SCHEMA).withColumn("kind", section_kind(F.col("label")))
+
+
+CHAPTER = "book string, order int, file string, label string, block_count int, error string"
+
+
+def chapters(spark: SparkSession, path: str) -> DataFrame:
+    """The chapters of all books under a path, with how many blocks each has."""
+    read = lambda book, content: [(book, order, file, label, len(found), error) for order, file, label, found, error in read_chapters(content)[1]]
+    return _books(spark, path, read, CHAPTER).withColumn("kind", section_kind(F.col("label")))
+
+
+#: Attributes that name resources, by element.
+RESOURCES = {
+    "audio": ("src",), "embed": ("src",), "img": ("src",), "image": ("href", "src"), "link": ("href",), "object": ("data",), "script": ("src",), "source": ("src", "srcset"), "track": ("src",),
+    "video": ("src", "poster"),
+}
+PART = "book string, part string, pos int, file string, id string, kind string, value string, error string"
+
+
+def parts_of(book: str, content: bytes) -> list[tuple]:
+    """What an audit needs of a book, as rows of PART: manifest, spine, file, id, reference, target and point."""
+    files = entries(content)
+    opf, manifest, spine = _package(files)
+    out = [(book, "manifest", i, _path(opf, m["href"]), k, m["media_type"], None, None) for i, (k, m) in enumerate(manifest.items())]
+    out += [(book, "spine", i, None, ref, None, None, None) for i, ref in enumerate(spine)]
+    out += [(book, "file", i, f, None, None, None, None) for i, f in enumerate(files)]
+    ncx = next((_path(opf, m["href"]) for m in manifest.values() if m["media_type"] == "application/x-dtbncx+xml"), None)
+    for e in XML.fromstring(files[ncx]).iter() if ncx in files else ():
+        if tag(e) == "navPoint":
+            out.append((book, "point", None, None, None, None, None, None))
+        if tag(e) == "pageTarget":
+            src = next((c.attrib.get("src") for c in e if tag(c) == "content"), None)
+            file, _, anchor = (src or "").partition("#")
+            out.append((book, "target", None, _path(opf, file) if "#" in (src or "") else None, anchor or None, None, src, None))
+    for file, data in files.items():
+        if posixpath.splitext(file)[1].lower() not in (".xhtml", ".html", ".htm"):
+            continue
+        try:
+            root = XML.fromstring(data)
+        except XML.ParseError as e:
+            out.append((book, "reference", None, file, None, "parse error", None, str(e)))
+            continue
+        for e in root.iter():
+            if e.attrib.get("id"):
+                out.append((book, "id", None, file, e.attrib["id"], None, None, None))
+            if e.attrib.get("href"):
+                out.append((book, "reference", None, file, None, "href", e.attrib["href"], None))
+            for a in RESOURCES.get(tag(e), ()):
+                values = [x.strip().split(" ", 1)[0] for x in e.attrib.get(a, "").split(",")] if a == "srcset" else [e.attrib.get(a, "")]
+                out += [(book, "reference", None, file, None, "resource", v, None) for v in values if v]
+    return out
+
+
+def audited(spark: SparkSession, path: str) -> DataFrame:
+    """The audit report of all books under a path: a row each."""
+    from quire.operators import audit
+
+    x = _books(spark, path, parts_of, PART).where(F.col("part").isNotNull())
+    part = lambda name: x.where(F.col("part") == name)
+    manifest = part("manifest").select("book", "id", "file", F.col("kind").alias("media_type"))
+    files, ids = part("file").select("book", "file"), part("id").select("book", "file", "id")
+    references = part("reference").where("kind <> 'parse error'").select("book", "file", "kind", "value")
+    targets = part("target").select("book", F.col("value").alias("src"), "file", F.col("id").alias("anchor"))
+    unread = part("reference").where("kind = 'parse error'").select("book", F.lit("broken_internal_link").alias("finding"), F.concat("file", F.lit(": XML parse error: "), "error").alias("value"), F.lit(1).cast("long").alias("n"))
+    found = audit.findings(manifest, files, ids, references, targets).unionByName(unread)
+    counts = audit.counters(manifest, part("spine").select("book", "pos", F.col("id").alias("idref")), files, references, targets, part("point").select("book"))
+    return audit.report(counts, found)
+
+
+def intact(content: bytes) -> dict[str, bool]:
+    """Whether an archive is whole, begins with its media type, and stores that uncompressed."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        infos = z.infolist()
+        kind = next((i for i in infos if i.filename == "mimetype"), None)
+        return {
+            "zip_intact": z.testzip() is None, "mimetype_first": bool(infos) and infos[0].filename == "mimetype", "mimetype_stored": bool(kind and kind.compress_type == zipfile.ZIP_STORED),
+            "mimetype_ok": bool(kind) and z.read(kind) == b"application/epub+zip",
+        }
+
+
+def with_metadata(content: bytes, title: str | None = None, language: str | None = None) -> bytes:
+    """A book with another title (in its package and NCX) and language; what is not given or not there stays."""
+    files = entries(content)
+    opf, manifest, _ = _package(files)
+    ncx = next((_path(opf, m["href"]) for m in manifest.values() if m["media_type"] == "application/x-dtbncx+xml"), None)
+
+    def edit(file: str, change) -> None:
+        for _, (prefix, uri) in XML.iterparse(io.BytesIO(files[file]), events=("start-ns",)):
+            XML.register_namespace(prefix, uri)
+        root = XML.fromstring(files[file])
+        change(root)
+        files[file] = XML.tostring(root, encoding="utf-8", xml_declaration=True)
+
+    def package_(root: XML.Element) -> None:
+        for name, value in (("title", title), ("language", language)):
+            e = next((x for x in root.iter() if tag(x) == name), None)
+            if value and e is not None:
+                e.text = value
+
+    def contents(root: XML.Element) -> None:
+        e = next((x for d in root.iter() if tag(d) == "docTitle" for x in d if tag(x) == "text"), None)
+        if e is not None:
+            e.text = title
+
+    edit(opf, package_)
+    if title and ncx in files:
+        edit(ncx, contents)
+    return package(files)
 
 
 def package(files: dict[str, bytes]) -> bytes:
@@ -149,6 +292,43 @@ def minimal_book(title: str, paragraphs: list[str]) -> bytes:
     )
 
 
+def from_text(text: str, name: str) -> bytes:
+    """A book of a plain text: paragraphs are parted by blank lines, and the first one's start is the title."""
+    from html import escape
+
+    found = [x.strip() for x in re.split(r"\n\s*\n", text) if x.strip()]
+    return minimal_book(found[0][:80] if found else name, [f"<p>{escape(x)}</p>" for x in found])
+
+
+_BLOCK = re.compile(r"<(?:p|h[1-6]|blockquote|ul|ol|li)[\s>/]", re.I)
+
+
+def clean_fragment(html: str) -> str:
+    """A page's body without scripts, styles and document-level tags; if it has no block of text then, all of its
+    text as one paragraph."""
+    from html import escape, unescape
+
+    for pattern in (r"<script[^>]*>.*?</script>", r"<style[^>]*>.*?</style>", r"<!doctype[^>]*>", r"</?(?:html|head|body|meta|title|link)[^>]*>"):
+        html = re.sub(pattern, "", html, flags=re.I | re.S)
+    if _BLOCK.search(html):
+        return html.strip()
+    return f"<p>{escape(' '.join(unescape(re.sub('<[^>]+>', ' ', html)).split()))}</p>"
+
+
+def from_html(html: str, name: str) -> bytes:
+    """A book of a page. A fragment that is no well-formed XHTML becomes one paragraph of its text."""
+    from html import escape, unescape
+
+    inner = lambda t: next(iter(re.findall(rf"<{t}[^>]*>(.*?)</{t}>", html, re.I | re.S)), None)
+    title = next((x for x in (inner("title"), inner("h1")) if x), name)
+    body = clean_fragment(inner("body") or html)
+    try:
+        XML.fromstring(f"<x>{body}</x>")
+    except XML.ParseError:
+        body = f"<p>{escape(' '.join(unescape(re.sub('<[^>]+>', ' ', body)).split()))}</p>"
+    return minimal_book(" ".join(unescape(re.sub("<[^>]+>", "", title)).split()), [body])
+
+
 def applied(content: bytes, new: dict[str, str]) -> bytes:
     """A book with blocks (file::seq) replaced by new markup; every block of a file must be there."""
     files = entries(content)
@@ -159,9 +339,7 @@ def applied(content: bytes, new: dict[str, str]) -> bytes:
         root = XML.fromstring(files[file])
         parents = {c: p for p in root.iter() for c in p}
         body = next((e for e in root.iter() if tag(e) == "body"), root)
-        from quire.functions.markup import TEXT_TAGS
-
-        targets = [e for e in body.iter() if tag(e) in TEXT_TAGS and any(c.isalpha() for c in "".join(e.itertext()))]
+        targets = [e for e in body.iter() if tag(e) in TEXT_TAGS and prose("".join(e.itertext()))]
         for i, e in enumerate(targets, 1):
             fresh = XML.fromstring(new[f"{file}::{i:04d}"])
             space = e.tag.rpartition("}")[0]

@@ -56,46 +56,58 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 def _tbx_terms(content: str) -> list[tuple]:
     out = []
     for entry in (e for e in XML.fromstring(content).iter() if tag(e) == "termEntry"):
-        words = [next((x.text or "" for x in s.iter() if tag(x) == "term"), "") for s in entry.iter() if tag(s) == "langSet"]
-        notes = {x.attrib.get("type", ""): (x.text or "").strip() for x in entry.iter() if tag(x) in ("descrip", "note")}
-        sure = notes.get("status") == "approved" or notes.get("locked", "").lower() in ("1", "true", "yes")
-        out.append((*(words + ["", ""])[:2], notes.get("type", ""), notes.get("status", ""), notes.get("confidence") or ("1.0" if sure else "0.0"), notes.get("locked", "")))
+        words = ["".join(next((x for x in s.iter() if tag(x) == "term"), XML.Element("x")).itertext()).strip() for s in entry.iter() if tag(s) == "langSet"]
+        notes: dict[str, str] = {}
+        for x in entry:
+            if tag(x) in ("descrip", "note"):
+                notes.setdefault(x.attrib.get("type", ""), "".join(x.itertext()).strip())
+        sure = notes.get("status") == "approved" or notes.get("locked", "").lower() in ("1", "true", "yes", "y", "locked", "approved")
+        confidence = notes.get("confidence") or ("1.0" if sure else "0.0")
+        out.append((*(words + ["", ""])[:2], notes.get("type", ""), notes.get("aliases", ""), notes.get("frequency", ""), notes.get("evidence", ""), notes.get("status", ""), confidence, notes.get("locked", "")))
     return out
 
 
+TBX = ("source", "translation", "type", "aliases", "frequency", "evidence", "status", "confidence", "locked")
+
+
 def read_tbx(spark: SparkSession, path: str) -> DataFrame:
     import pandas as pd
 
     def run(frames):
         for f in frames:
-            rows = [r for c in f["value"] for r in _tbx_terms(c)]
-            yield pd.DataFrame(rows, columns=["source", "translation", "type", "status", "confidence", "locked"])
+            yield pd.DataFrame([r for c in f["value"] for r in _tbx_terms(c)], columns=TBX)
 
     raw = spark.read.option("wholetext", True).text(path)
-    return normalised(raw.mapInPandas(run, "source string, translation string, type string, status string, confidence string, locked string"))
+    return normalised(raw.mapInPandas(run, ", ".join(f"{c} string" for c in TBX)))
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """Rows of tables with a source and a translation column, and bullets `- source -> translation`."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
+    lines = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
     lines = lines.withColumn("line", t.strip(F.col("line"))).where("line <> ''")
     row = F.startswith("line", F.lit("|"))
     cells = F.transform(F.split(F.regexp_replace("line", r"^\||\|$", ""), r"\|"), t.strip)
     x = lines.withColumn("cells", F.when(row, cells)).where(~F.coalesce(F.col("line").rlike(r"^\|[\s:|-]+\|?$"), F.lit(False)))
     low = F.transform("cells", F.lower)
     head = F.array_contains(low, "source") & (F.array_contains(low, "translation") | F.array_contains(low, "target"))
-    x = x.withColumn("head", F.last(F.when(head, low), ignorenulls=True).over(Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.withColumn("head", F.last(F.when(head, low), ignorenulls=True).over(Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
     at = lambda *names: F.coalesce(*[F.try_element_at("cells", F.nullif(F.array_position("head", n), F.lit(0)).cast("int")) for n in names], F.lit(""))
-    table = x.where(row & ~head & F.col("head").isNotNull()).select("pos", at("source").alias("source"), at("translation", "target").alias("translation"), at("type").alias("type"), at("confidence").alias("confidence"))
-    bullet = r"^[-*]\s+(.+?)\s*->\s*([^(]*?)\s*(?:\((.*)\))?$"
-    b = x.where(F.col("line").rlike(bullet)).select(
-        "pos", *[F.regexp_extract("line", bullet, i).alias(n) for i, n in ((1, "source"), (2, "translation"))],
-        F.split_part(F.regexp_extract("line", bullet, 3), F.lit(","), F.lit(2)).alias("type"), F.regexp_extract("line", r"confidence\s+([0-9.]+)", 1).alias("confidence"),
+    table = x.where(row & ~head & F.col("head").isNotNull()).select(
+        "file", "pos", at("source").alias("source"), at("translation", "target").alias("translation"), at("type").alias("type"), at("aliases").alias("aliases"), at("frequency").alias("frequency"),
+        at("status").alias("status"), at("confidence").alias("confidence"), at("locked").alias("locked"),
     )
-    both = table.unionByName(b)
-    sure = (t.strip(F.col("translation")) != "") & (F.coalesce(F.col("confidence").try_cast("double"), F.lit(0.0)) >= 0.9)
-    both = both.withColumn("status", F.when(sure, "approved").otherwise("pending")).withColumn("locked", sure.cast("string"))
-    return normalised(both).orderBy("pos").drop("pos")
+    bullet = r"^[-*]\s*(.+?)(?:\s*->\s*(.*?))?(?:\s*\(([^)]*)\))?$"
+    meta = F.filter(F.transform(F.split(F.regexp_extract("line", bullet, 3), ","), t.strip), lambda v: v != "")
+    b = x.where(~row & F.col("line").rlike(bullet)).withColumn("meta", meta).select(
+        "file", "pos", *[t.strip(F.regexp_extract("line", bullet, i)).alias(n) for i, n in ((1, "source"), (2, "translation"))], F.coalesce(F.get("meta", F.lit(1)), F.lit("")).alias("type"),
+        F.lit("").alias("aliases"), F.coalesce(F.get("meta", F.lit(0)), F.lit("")).alias("frequency"), F.regexp_extract("line", r"(?i)confidence\s+([0-9.]+)", 1).alias("confidence"),
+    ).where(F.lower("source") != "no pending candidates.")
+    sure = (F.col("translation") != "") & (F.coalesce(F.col("confidence").try_cast("double"), F.lit(0.0)) >= 0.9)
+    b = b.withColumn("status", F.when(sure, "approved").otherwise("pending")).withColumn("locked", sure.cast("string"))
+    # Several files one after another, each in its order; of a source the first counts.
+    whole = normalised(table.unionByName(b).withColumn("pos", F.struct("file", "pos")))
+    first = whole.groupBy("source").agg(F.min_by(F.struct(*whole.columns), "pos").alias("q")).where("source <> ''").select("q.*")
+    return first.orderBy("pos").drop("pos")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -123,8 +135,10 @@ def markdown(terms: DataFrame, most: int = 80) -> DataFrame:
 
 
 def tbx(terms: DataFrame) -> DataFrame:
-    """One termEntry element per row."""
-    safe = lambda c: F.replace(F.replace(F.replace(F.col(c).cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    note = lambda c: F.concat(F.lit(f'<descrip type="{c}">'), safe(c), F.lit("</descrip>"))
-    side = lambda c: F.concat(F.lit("<langSet><tig><term>"), safe(c), F.lit("</term></tig></langSet>"))
-    return terms.select(F.concat(F.lit("<termEntry>"), note("type"), note("status"), note("confidence"), note("locked"), side("source"), side("translation"), F.lit("</termEntry>")).alias("value"))
+    """One termEntry element per row: the two words, type, aliases, status, confidence and lock."""
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    note = lambda c, v: F.concat(F.lit(f'<descrip type="{c}">'), safe(v), F.lit("</descrip>"))
+    side = lambda c: F.concat(F.lit("<langSet><tig><term>"), safe(F.col(c)), F.lit("</term></tig></langSet>"))
+    text = lambda c: F.col(c).cast("string")
+    notes = (note("type", text("type")), note("aliases", F.concat_ws("; ", "aliases")), note("status", text("status")), note("confidence", F.format_string("%.2f", "confidence")), note("locked", text("locked")))
+    return terms.select(F.concat(F.lit("<termEntry>"), *notes, side("source"), side("translation"), F.lit("</termEntry>")).alias("value"))

@@ -30,6 +30,22 @@ def sanitized(fragment: Column) -> Column:
     return t.strip(fragment)
 
 
+def paragraphed(fragment: Column) -> Column:
+    """A sanitised fragment; one without any block of text becomes one escaped paragraph of all its text."""
+    flat = t.squeeze(F.regexp_replace(fragment, "<[^>]+>", " "))
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        flat = F.replace(flat, F.lit(a), F.lit(b))
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        flat = F.replace(flat, F.lit(a), F.lit(b))
+    return F.when(fragment.rlike(r"(?i)<(?:p|h[1-6]|blockquote|ul|ol|li)[\s>/]"), fragment).otherwise(F.concat(F.lit("<p>"), flat, F.lit("</p>")))
+
+
+def ids(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, id): the distinct ids of every page's elements."""
+    found = F.array_distinct(F.regexp_extract_all(html, F.lit(r'(?i)\sid\s*=\s*"([^"]+)"'), F.lit(1)))
+    return pages.select(key, F.explode(found).alias("id"))
+
+
 def links(pages: DataFrame, key: str, html: str) -> DataFrame:
     return pages.select(key, F.explode(F.regexp_extract_all(html, F.lit(r'(?i)href\s*=\s*"([^"]*)"'), F.lit(1))).alias("href"))
 

@@ -32,10 +32,15 @@ def windowed(events: DataFrame, size: str = "1 hour", late: str = "2 hours") ->
 LIMITED = "user_id long, event_id long, delay long"
 
 
-def limited(events: DataFrame, most_requests: int, most_tokens: int, window: int) -> DataFrame:
-    """Each request's delay under a fixed window per job; the window and its use are the state."""
+def limited(events: DataFrame, most_requests: int, most_tokens: int, window: int, keep: int = 86_400) -> DataFrame:
+    """Each request's delay under a fixed window per job; the window and its use are the state, which goes when a
+    job has been silent for `keep` seconds. A trigger's requests of a job are sorted in memory: `log` bounds them
+    by the files of a trigger."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         clock, begun, requests, used = state.get if state.exists else (0, -(1 << 60), 0, 0)
         rows = pd.concat(list(frames)).sort_values(["at", "event_id"])
         out = []
@@ -50,10 +55,11 @@ def limited(events: DataFrame, most_requests: int, most_tokens: int, window: int
             clock, requests, used = now + delay, requests + 1, used + int(tokens)
             out.append((key[0], event, delay))
         state.update((clock, begun, requests, used))
+        state.setTimeoutDuration(1000 * keep)
         yield pd.DataFrame(out, columns=["user_id", "event_id", "delay"])
 
     e = events.select("user_id", "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), F.floor("value").cast("long").alias("tokens"))
-    return e.groupBy("user_id").applyInPandasWithState(run, LIMITED, "clock long, begun long, requests long, used long", "append", "NoTimeout")
+    return e.groupBy("user_id").applyInPandasWithState(run, LIMITED, "clock long, begun long, requests long, used long", "append", "ProcessingTimeTimeout")
 
 
 def written(stream: DataFrame, path: str, checkpoint: str) -> None:
