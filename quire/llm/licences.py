@@ -16,8 +16,10 @@ exact, so it drops no paragraph that the classifier would report.
 Lines that hold half of a template are notices by themselves. The lines left between them and between blank
 lines are paragraphs, which a notice may fill by several lines; its span goes from the first to the last line
 with CONFIRM of its 2-grams (the word before it included) in the family's templates. What is then left counts if a line is itself part of a
-template. A paragraph has one family. A null text is empty. Documents are known by doc_id and text hash; rows
-that agree in both get equal results. Extra columns are ignored.
+template. A paragraph has one family; of equally likely ones the first as listed. A null text is empty, a very
+long one is read whole. Documents are known by doc_id and text hash; rows that agree in both get equal results.
+An empty table gives no row (the model is then trained on its own prose). Extra columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations

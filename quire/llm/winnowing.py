@@ -9,7 +9,9 @@ does. Hash and reversed position share one long, so that a plain minimum breaks
 
 A null text is empty and has no fingerprint. A text of fewer than k words has the hash of all its words as
 its only k-gram; with fewer than w k-grams there is one window. Two empty fingerprints are alike (1.0); an
-empty and another one are not (0.0). Each text is one array in one row; nothing is grouped.
+empty and another one are not (0.0). Each text is one array in one row, however long; nothing is grouped.
+Rows that agree in doc_id and text count once in the order and get the same values; equal doc_ids are ordered by
+text hash, null ones come last. An empty table gives no row. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import jaccard, mixing, packing, winnowing
 
@@ -246,8 +247,6 @@ def brute_winnow(text, hash_of):
 def test_winnowing(spark):
     import re
 
-    from pyspark.sql import functions as F
-
     texts = ["a b a b a b a b a b a b a b a b", "one two three four five six seven eight nine ten eleven twelve thirteen fourteen", "Tab\tand\nLINE breaks here é ü 😀 x y z", "four words are here", "x y"]
     words = sorted({w for t in texts for w in re.findall(r"[^\x20\x09-\x0D]+", t.lower())})
     h = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.pmod(F.xxhash64("w"), F.lit(winnowing.MODULUS)).alias("h"))
@@ -263,6 +262,40 @@ def test_winnowing(spark):
         assert got[i]["edited_sha256"] == hashlib.sha256((x[: len(x) - n] + after[:n]).encode()).hexdigest()
 
 
+def test_edited_texts_match_brute_force(spark, tmp_path):
+    """Every column of the query, over real texts and odd ones."""
+    import re
+
+    from quire.llm.queries import QUERIES
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()}
+    docs |= {-1: "", -2: None, -3: "one two", -4: "same words here again and again " * 3, -5: "same words here again and again " * 3}
+    text = {i: t or "" for i, t in docs.items()}
+    order = sorted(text, reverse=True)
+    edited = {}
+    for n, i in enumerate(order):
+        cut, after = len(text[i]) // 3, text[order[(n + 1) % len(order)]]
+        edited[i] = text[i][: len(text[i]) - cut] + after[:cut]
+    words = sorted({w for t in [*text.values(), *edited.values()] for w in re.findall(r"[^\x20\x09-\x0D]+", t.lower())})
+    h = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.pmod(F.xxhash64("w"), F.lit(winnowing.MODULUS)).alias("h"))
+    hash_of = {r["w"]: r["h"] for r in h.collect()}
+    spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in QUERIES["op9_winnowing"](spark, str(tmp_path)).collect()}
+    print_of = lambda t: brute_winnow(t, hash_of)
+    hashes = lambda fp: {x.split("@")[0] for x in fp.split()}
+    like = lambda a, b: 1.0 if not a and not b else len(a & b) / len(a | b)
+    assert set(got) == set(text)
+    for n, i in enumerate(order):
+        r, after = got[i], order[(n + 1) % len(order)]
+        assert r["n_chars"] == len(text[i]) and r["edited_sha256"] == hashlib.sha256(edited[i].encode()).hexdigest()
+        if min(len(t.split()) for t in (text[i], edited[i], text[after])) < winnowing.K:
+            continue  # shorter texts are one k-gram, hashed whole
+        assert r["fingerprint"] == print_of(text[i]) and r["edited_fingerprint"] == print_of(edited[i])
+        assert r["near_edited"] == pytest.approx(like(hashes(print_of(text[i])), hashes(print_of(edited[i]))))
+        assert r["near_next"] == pytest.approx(like(hashes(print_of(text[i])), hashes(print_of(text[after]))))
+    assert got[-4]["fingerprint"] == got[-5]["fingerprint"] and got[-1]["near_edited"] == 1.0
+
+
 def test_texts_without_spaces_are_winnowed(spark):
     r = random.Random(6)
     han = lambda n: "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(n))

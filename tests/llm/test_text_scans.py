@@ -196,3 +196,25 @@ def test_cue_words_are_counted_over_all_documents(spark):
     assert uses["mozilla"] == 1 / 300 and uses["general"] == 1 and "gnu" not in uses
     cues = licences.cue_words(uses | {"all": 1.0, "rights": 0.5, "reserved": 0.4})
     assert "mozilla" in cues and "general" not in cues and "reserved" in cues
+
+
+def test_held_out_recall_of_notices(spark):
+    """Variants that the training never saw: wrapped, with words dropped and prose around, and other prose."""
+    r = random.Random(21)
+    prose = [x for d in spark.read.parquet(f"{SF}/documents.parquet").limit(150).collect() for x in (d["text"] or "").split("\n") if len(x) > 60 and not re.search(f"(?i){licences.ABOUT}", x)]
+    texts, want = [], []
+    for family, notices in licences.NOTICES.items():
+        for n in notices:
+            for _ in range(6):
+                words = [w for w in n.split() if r.random() > 0.05 or len(n.split()) < 9]
+                if r.random() < 0.5 and len(words) > 12:
+                    at = sorted(r.sample(range(4, len(words) - 3), 2))
+                    words[at[0]], words[at[1]] = words[at[0]] + "\n", words[at[1]] + "\n"
+                texts.append(f"{r.choice(prose)}\n\n{' '.join(words).replace(chr(10) + ' ', chr(10))}\n\n{r.choice(prose)}")
+                want.append(family)
+    texts += [r.choice(prose) for _ in range(200)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x for x in licences.license_spans(d, licences.train(prose[:400])).collect()}
+    hit = sum(f in got[i]["families"].split(",") for i, f in enumerate(want))
+    assert hit / len(want) >= 0.9
+    assert not any(got[i]["families"] for i in range(len(want), len(texts)))
