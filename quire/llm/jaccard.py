@@ -212,8 +212,8 @@ def _stars(entries: DataFrame, orders: int = 4, step: int = 1) -> DataFrame:
     Blocks of one entry are left out unless salted. Entries stream by in order; only the block's centre is
     kept in memory."""
     order = F.xxhash64("cls", F.pmod(F.col("column"), F.lit(orders)))
-    ordered = entries.withColumn("own", F.floor(F.col("at") / step)).withColumn("order", order)
-    ordered = ordered.repartition("column", "salt").sortWithinPartitions("column", "salt", "own", "order", "cls")
+    dealt = entries.select("column", "salt", "cls", "size", "at").repartition("column", "salt")  # what orders them is computed after
+    ordered = dealt.withColumn("own", F.floor(F.col("at") / step)).withColumn("order", order).sortWithinPartitions("column", "salt", "own", "order", "cls")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = None  # column, salt, centre, size, at, last cls
