@@ -111,7 +111,7 @@ def test_lm_scores_by_definition(spark, monkeypatch):
     counts = lm.token_counts(d)
     lex = lm.lexicon(counts, known=6000)
     assert lex.tail == 6000 - lex.words or lex.tail > 3000
-    m = lm.trained(d, lex)
+    m = lm.trained(lm.encoded(d, lex), lex)
     count = {r["token"].encode(): r["c"] for r in counts.collect()}
     once, tokens = Counter(), Counter()
     head = set(list(lex.index)[: lex.words])
