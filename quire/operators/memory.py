@@ -62,7 +62,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame(out, columns=[*fields, "confidence", "seq"])
 
     schema = ", ".join(f"{c} string" for c in fields) + ", confidence double, seq long"
-    return spark.read.option("wholetext", True).text(path).mapInPandas(run, schema)
+    return spark.read.text(path, wholetext=True).mapInPandas(run, schema)
 
 
 def imported(memory: DataFrame, entries: DataFrame, project: str, language: str) -> tuple[DataFrame, DataFrame]:

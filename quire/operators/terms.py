@@ -251,4 +251,4 @@ def filled(terms: DataFrame, drafts: DataFrame) -> DataFrame:
     x = terms.join(d, "source", "left")
     takes = (F.coalesce(F.nullif("status", F.lit("")), F.lit("pending")) == "pending") & (t.strip(F.coalesce("translation", F.lit(""))) == "") & F.col("draft").isNotNull()
     x = x.withColumn("filled", takes)
-    return x.withColumn("translation", F.when(takes, F.col("draft")).otherwise(F.col("translation"))).withColumn("locked", F.when(takes, False).otherwise(F.col("locked"))).drop("draft")
+    return x.withColumn("translation", F.when(F.col("filled"), F.col("draft")).otherwise(F.col("translation"))).withColumn("locked", F.when(F.col("filled"), False).otherwise(F.col("locked"))).drop("draft")

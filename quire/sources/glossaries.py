@@ -77,13 +77,13 @@ def read_tbx(spark: SparkSession, path: str) -> DataFrame:
         for f in frames:
             yield pd.DataFrame([r for c in f["value"] for r in _tbx_terms(c)], columns=TBX)
 
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return normalised(raw.mapInPandas(run, ", ".join(f"{c} string" for c in TBX)))
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """Rows of tables with a source and a translation column, and bullets `- source -> translation`."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
     lines = lines.withColumn("line", t.strip(F.col("line"))).where("line <> ''")
     row = F.startswith("line", F.lit("|"))
     cells = F.transform(F.split(F.regexp_replace("line", r"^\||\|$", ""), r"\|"), t.strip)
@@ -103,9 +103,10 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
         F.lit("").alias("aliases"), F.coalesce(F.get("meta", F.lit(0)), F.lit("")).alias("frequency"), F.regexp_extract("line", r"(?i)confidence\s+([0-9.]+)", 1).alias("confidence"),
     ).where(F.lower("source") != "no pending candidates.")
     sure = (F.col("translation") != "") & (F.coalesce(F.col("confidence").try_cast("double"), F.lit(0.0)) >= 0.9)
-    b = b.withColumn("status", F.when(sure, "approved").otherwise("pending")).withColumn("locked", sure.cast("string"))
     # Several files one after another, each in its order; of a source the first counts.
-    whole = normalised(table.unionByName(b).withColumn("pos", F.struct("file", "pos")))
+    both = table.unionByName(b, allowMissingColumns=True).withColumn("status", F.coalesce(F.nullif("status", F.lit("")), F.when(sure, "approved").otherwise("pending")))
+    both = both.withColumn("locked", F.coalesce(F.nullif("locked", F.lit("")), sure.cast("string")))
+    whole = normalised(both.withColumn("pos", F.struct("file", "pos")))
     first = whole.groupBy("source").agg(F.min_by(F.struct(*whole.columns), "pos").alias("q")).where("source <> ''").select("q.*")
     return first.orderBy("pos").drop("pos")
 

@@ -11,7 +11,7 @@ from quire.functions import text as t
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line, value): the non-blank lines of each file with their number from 1. A file is read whole by one
     task, as line numbers are the file's."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", r"\r?\n")).alias("pos", "value"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", r"\r?\n")).alias("pos", "value"))
     return raw.where(t.strip(F.col("value")) != "").select("path", (F.col("pos") + 1).cast("long").alias("line"), "value")
 
 
@@ -28,7 +28,8 @@ def read_lines(spark: SparkSession, path: str, schema: str, strict: bool = True)
     matches nothing gives no rows."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p) in (None, []):
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    if found is None or not len(found):
         return spark.createDataFrame([], schema)
     x = parsed(numbered_lines(spark, path), schema)
     if strict:
@@ -38,7 +39,7 @@ def read_lines(spark: SparkSession, path: str, schema: str, strict: bool = True)
 
 def read_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The objects of files that each hold a JSON array."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.explode(F.from_json("value", f"array<struct<{schema}>>", {"mode": "FAILFAST"})).alias("x")).select("x.*")
 
 
