@@ -35,13 +35,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors, and is
-    removed when the driver ends."""
+    removed by `forgotten`, or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quire-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quire_path = path
+    return out
 
 
 #: Rows of an Arrow batch that Python functions get: whole texts are a few KB each.
@@ -81,6 +83,14 @@ def frugal(run: Callable[[Iterator], Iterator], *caches: dict) -> Callable[[Iter
     return whole
 
 
+def forgotten(*tables: DataFrame) -> None:
+    """Removes written tables that nothing to come reads, before the driver ends."""
+    for df in tables:
+        if path := getattr(df, "_quire_path", None):
+            jpath = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            jpath.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower_words, batched, frugal, text_or_empty, written
+from .common import ascii_lower_words, batched, forgotten, frugal, text_or_empty, written
 
 SHINGLE, PERCENT = 5, 75
 SKETCH_BITS, CHUNK_BITS = 22, 16
@@ -318,21 +318,26 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, salt: int) ->
     is left computed from whole rows."""
     rows = _rows(docs, classes, pairs, salt)
     near = written(_computed(rows, pairs, "sizes", _may_link), "near")
-    return _computed(rows, near, "entries", _do_link)
+    links = written(_computed(rows, near, "entries", _do_link), "links")
+    forgotten(rows, near)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(cls, label): the least row reachable, by propagating labels and following them."""
     both = written(edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*"), "edges")
     labels = written(both.groupBy(F.col("u").alias("cls")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels")
+    tables = labels
     while True:
         near = both.join(labels.select(F.col("cls").alias("v"), F.col("label").alias("other")), "v").groupBy(F.col("u").alias("cls")).agg(F.min("other").alias("other"))
         step = labels.join(near, "cls").select("cls", F.col("label").alias("before"), F.least("label", "other").alias("label"))
         follow = labels.select(F.col("cls").alias("label"), F.col("label").alias("further"))
         step = step.join(follow, "label").select("cls", "before", F.least("label", "further").alias("label"))
-        step = written(step, "labels")
-        labels = step.select("cls", "label")
+        before, step = tables, written(step, "labels")
+        forgotten(before)
+        tables, labels = step, step.select("cls", "label")
         if step.where("before <> label").isEmpty():
+            forgotten(both)
             return labels
 
 
@@ -365,7 +370,7 @@ def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     stars = stars.where(F.col("cls") != F.col("centre")).unionByName(meeting)
     ok = _bounds(F.col("size"), F.col("at"), F.col("centre_size"), F.col("centre_at"))
     tested = written(_pairs(stars.where(ok), "centre", "cls"), "pairs")
-    links = written(_linked(docs, named, tested, salt), "links")
+    links = _linked(docs, named, tested, salt)
     labels = components(links)
     centres = stars.groupBy("column", F.col("centre").alias("cls")).agg(F.first("centre_size").alias("size"), F.first("centre_at").alias("at"))
     open_ = _open(written(stars.select("column", "cls", "size", "at").unionByName(centres), "members"), labels)
@@ -377,12 +382,12 @@ def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     again = again.join(labels, "cls", "left").join(label, "centre", "left")
     across = F.coalesce("label", "cls") != F.coalesce("centre_label", "centre")
     second = written(_pairs(again.where(across), "centre", "cls").join(tested, ["a", "b"], "left_anti"), "pairs")
-    labels = _joined(labels, written(_linked(docs, named, second, salt), "links"))
+    labels = _joined(labels, _linked(docs, named, second, salt))
     tested = tested.unionByName(second)
     # What is still open is done in full, across components.
     open_ = _open(open_.drop("label"), labels)
     rest = _across(open_).join(tested, ["a", "b"], "left_anti")
-    more = written(_linked(docs, named, written(rest, "pairs"), salt), "links")
+    more = _linked(docs, named, written(rest, "pairs"), salt)
     return classes, _joined(labels, more)
 
 
