@@ -123,47 +123,60 @@ def tables() -> tuple[Huffman, Huffman]:
     return huffman(dc), huffman(ac | {0x00: 2.0**-6, 0xF0: 2.0**-8})
 
 
-def _sizes(value: np.ndarray) -> np.ndarray:
-    """Bits of a value's magnitude."""
-    return np.frexp(np.abs(value).astype(np.float64))[1].astype(np.int64)
-
-
 def _coded(blocks: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The blocks' Huffman codes as bytes, unstuffed, a restart interval after another, and the intervals' sizes.
     first: whether a block begins an interval."""
     (dc_code, dc_len), (ac_code, ac_len) = (t.codes() for t in tables())
-    bits = lambda v, n: np.where(v < 0, v + (1 << n) - 1, v)
-    diff = blocks[:, 0] - np.where(first, 0, np.concatenate([[0], blocks[:-1, 0]]))
-    size = _sizes(diff)
-    b, k = np.nonzero(blocks[:, 1:])
-    k = k + 1
-    value = blocks[b, k]
-    last = np.concatenate([[0], k])[:-1]
-    last[np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])[: len(b)])] = 0
-    run, n = k - last - 1, _sizes(value)
-    symbol = (run % 16) << 4 | n
-    long_ = np.flatnonzero(run >= 16)
-    times = run[long_] // 16
-    end = np.zeros(len(blocks), np.int64)
+    size_of = np.frexp(np.arange(4096))[1].astype(np.int32)  # bits of a magnitude
+    bits = lambda v, n: v + ((v < 0) * ((1 << n) - 1))
+    diff = blocks[:, 0] - np.where(first, 0, np.concatenate([[0], blocks[:-1, 0]])).astype(np.int32)
+    size = size_of[np.abs(diff)]
+    flat = blocks.reshape(-1)
+    there = flat != 0
+    there[::64] = False
+    at = np.flatnonzero(there)
+    value, k, b = flat[at], (at & 63).astype(np.int32), at >> 6
+    last = np.empty_like(k)
+    last[1:] = k[:-1]
+    heads = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])[: len(b)])
+    last[heads] = 0
+    run, n = k - last - 1, size_of[np.abs(value)]
+    symbol = (run & 15) << 4 | n
+    times = run >> 4
+    end = np.zeros(len(blocks), np.int32)
     end[b] = k  # the last one stays
-    open_ = np.flatnonzero(end < 63)
-    # Items (place, code, length): DC values, runs of sixteen zeros, coefficients, ends of blocks.
-    place = np.concatenate([np.arange(len(blocks)) * 256, np.repeat(b[long_] * 256 + 2 * k[long_], times), b * 256 + 2 * k + 1, open_ * 256 + 255])
-    code = np.concatenate([dc_code[size] << size | bits(diff, size), np.full(int(times.sum()), ac_code[0xF0]), ac_code[symbol] << n | bits(value, n), np.full(len(open_), ac_code[0])])
-    length = np.concatenate([dc_len[size] + size, np.full(int(times.sum()), ac_len[0xF0]), ac_len[symbol] + n, np.full(len(open_), ac_len[0])])
-    order = np.argsort(place, kind="stable")
-    place, code, length = place[order], code[order], length[order]
+    open_ = (end < 63).astype(np.int64)
+    # Items in order: a block's DC value, each coefficient with the runs of sixteen zeros before it, the block's end.
+    before = np.cumsum(open_) - open_
+    place = np.arange(len(at)) + b + 1 + before[b]
+    far = np.flatnonzero(times)
+    if len(far):
+        place += np.cumsum(times)
+        zeros = np.bincount(b[far], times[far], len(blocks)).astype(np.int64)
+    else:
+        zeros = np.zeros(len(blocks), np.int64)
+    items = 1 + np.bincount(b, minlength=len(blocks)) + zeros + open_
+    stop = np.cumsum(items)
+    total = int(stop[-1])
+    code, length = np.full(total, ac_code[0xF0], np.int64), np.full(total, ac_len[0xF0], np.int64)
+    code[place], length[place] = ac_code[symbol] << n | bits(value, n), ac_len[symbol] + n
+    code[stop - items], length[stop - items] = dc_code[size] << size | bits(diff, size), dc_len[size] + size
+    shut = np.flatnonzero(open_)
+    code[stop[shut] - 1], length[stop[shut] - 1] = ac_code[0], ac_len[0]
     # Each interval begins at a byte; what is left of its last byte are ones.
-    interval = (np.cumsum(first) - 1)[place >> 8]
-    used = np.bincount(interval, weights=length, minlength=int(first.sum())).astype(np.int64)
+    ends = np.cumsum(length)
+    tops = np.flatnonzero(first)
+    per = stop[np.append(tops[1:], len(blocks)) - 1]  # items up to each interval's end
+    upto = ends[per - 1]
+    used = np.diff(upto, prepend=0)
     held = -(-used // 8)
-    start = (np.cumsum(held) - held) * 8
-    at = np.cumsum(length) - length + (start - (np.cumsum(used) - used))[interval]
-    out = np.zeros(int(held.sum()) + 5)
-    shifted = code << (40 - (at & 7) - length)
-    for j in range(5):
-        out += np.bincount((at >> 3) + j, weights=(shifted >> (32 - 8 * j)) & 0xFF, minlength=len(out))
-    coded = out[:-5].astype(np.uint8)
+    shift = (np.cumsum(held) - held) * 8 - (upto - used)
+    at = ends - length + np.repeat(shift, np.diff(per, prepend=0))
+    # In words of 32 bits an item lies in one or two.
+    shifted = code << (64 - (at & 31) - length)
+    word, n_words = at >> 5, int(held.sum()) // 4 + 2
+    out = np.bincount(word, (shifted >> 32) & 0xFFFFFFFF, n_words) + np.bincount(word + 1, shifted & 0xFFFFFFFF, n_words + 1)[:n_words]
+    coded = out.astype(np.uint32).astype(">u4").view(np.uint8)[: int(held.sum())].copy()
     coded[np.cumsum(held) - 1] |= ((1 << (held * 8 - used)) - 1).astype(np.uint8)
     return coded, held
 
@@ -177,9 +190,9 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
         n = len(p) // 64
         cols = max(1, int(np.ceil(np.sqrt(n))))
         rows = -(-n // cols)
-        c = np.frombuffer(p, np.uint8).reshape(-1, 64).astype(np.int64) - 128
+        c = np.frombuffer(p, np.uint8).reshape(-1, 64).astype(np.int32) - 128
         c[:, 0] += c[:, 1:].sum(1) >> 4
-        parts += [c, np.zeros((rows * cols - n, 64), np.int64)]
+        parts += [c, np.zeros((rows * cols - n, 64), np.int32)]
         first.append(np.arange(rows * cols) % RESTART == 0)
         shapes.append((rows, cols))
     code, held = _coded(np.concatenate(parts), np.concatenate(first))
@@ -270,9 +283,9 @@ def _side_by_side(data: np.ndarray, starts: np.ndarray, blocks: np.ndarray, unit
     """The quantised coefficients of all blocks of the intervals, in order. blocks: how many each interval has;
     units: the component and tables of each block of a unit, by turns."""
     found = list(dict.fromkeys(t for _, dc, ac in units for t in (dc, ac)))
-    symbols, sizes = (np.concatenate(x) for x in zip(*(t.lookup() for t in found), strict=True))
+    table = np.concatenate([size.astype(np.int32) << 8 | symbol for symbol, size in (t.lookup() for t in found)])
     base = np.array([[found.index(dc) << 16, found.index(ac) << 16] for _, dc, ac in units])
-    part = np.array([c for c, _, _ in units])
+    part, single = np.array([c for c, _, _ in units]), len(units) == 1
     wide = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.int64)
     word = sum(wide[j : len(wide) - 4 + j] << (32 - 8 * j) for j in range(5))  # 40 bits from each byte on
     first = np.cumsum(blocks) - blocks
@@ -281,36 +294,39 @@ def _side_by_side(data: np.ndarray, starts: np.ndarray, blocks: np.ndarray, unit
     live = np.flatnonzero(blocks > 0)
     at, block, end, k = starts[live] * 8, first[live], first[live] + blocks[live], np.zeros(len(live), np.int64)
     origin, before = first[live], np.zeros((len(live), int(part.max()) + 1), np.int64)
+    low = (1 << np.arange(17)) - 1  # all ones of a size
+    half = np.where(np.arange(17) > 0, 1 << np.maximum(np.arange(17) - 1, 0), 0)
     while len(at):
-        turn = (block - origin) % len(units)
         byte = at >> 3
-        if byte.max() >= len(word):
+        if int(byte.max()) >= len(word):
             raise ValueError("the scan ends too early")
         bits = (word[byte] << (at & 7)) & 0xFFFFFFFFFF
         dc = k == 0
-        look = base[turn, np.where(dc, 0, 1)] + (bits >> 24)
-        symbol, size = symbols[look].astype(np.int64), sizes[look].astype(np.int64)
+        turn = 0 if single else (block - origin) % len(units)
+        entry = table[(bits >> 24) + np.where(dc, base[turn, 0], base[turn, 1])]
+        size, symbol = entry >> 8, entry & 0xFF
         if not size.all():
             raise ValueError("no such Huffman code")
         n = symbol & 15
-        value = (bits >> (40 - size - n)) & ((1 << n) - 1)
-        value = np.where((n > 0) & (value < (1 << np.maximum(n - 1, 0))), value - (1 << n) + 1, value)
-        at = at + size + n
+        size += n
+        value = (bits >> (40 - size)) & low[n]
+        value -= np.where(value < half[n], low[n], 0)
+        at = at + size
         run = np.where(dc, 0, symbol >> 4)
-        stop = ~dc & (n == 0) & (run < 15)
         place = k + run
-        if (place[~stop] > 63).any():
+        stop = (n == 0) & ~dc & (run < 15)
+        if int(place.max()) > 63 and (place[~stop] > 63).any():
             raise ValueError("a block has too many coefficients")
-        lane = np.flatnonzero(dc)
-        if len(lane):
-            c = part[turn[lane]]
+        if dc.any():
+            lane = np.flatnonzero(dc)
+            c = 0 if single else part[turn[lane]]
             before[lane, c] += value[lane]
             value[lane] = before[lane, c]
-        hit = np.flatnonzero(dc | (n > 0))
-        flat[block[hit] * 64 + place[hit]] = value[hit]
+        # Where nothing is coded the value is 0, and so is what it is written to.
+        flat[(block << 6) + np.minimum(place, 63)] = value
         k = np.where(stop, 64, place + 1)
-        done = k >= 64
-        if done.any():
+        if int(k.max()) >= 64:
+            done = k >= 64
             block, k = block + done, np.where(done, 0, k)
             if (block >= end).any():
                 keep = block < end
