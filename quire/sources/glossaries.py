@@ -115,6 +115,25 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return {"csv": read_csv, "tbx": read_tbx, "md": read_markdown, "json": read_json}[format_of(path)](spark, path)
 
 
+def stored(spark: SparkSession, path: str, build=None) -> DataFrame:
+    """The terms kept in a JSON file, the first of each source and no noise; without a usable file, or when it is
+    empty, what build gives (an empty table by default)."""
+    from quire.operators.terms import is_noise
+
+    try:
+        df = read_json(spark, path)
+        pos = F.monotonically_increasing_id()
+        x = df.withColumn("pos", pos).where((F.col("source") != "") & ~is_noise(F.col("source")))
+        names = [c for c in df.columns if c != "source"]
+        out = x.groupBy("source").agg(F.min_by(F.struct(*names), "pos").alias("q")).select("source", "q.*")
+        usable = not out.isEmpty()
+    except Exception:  # a missing file, or one that is no list of objects
+        usable = False
+    if usable:
+        return out
+    return build() if build else spark.createDataFrame([], SCHEMA)
+
+
 def csv_rows(terms: DataFrame) -> DataFrame:
     return terms.select(
         "source", "translation", "type", F.concat_ws("; ", "aliases").alias("aliases"), "frequency", F.concat_ws(" | ", "evidence").alias("evidence"), "status",

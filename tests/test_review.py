@@ -376,3 +376,32 @@ def test_titles(spark):
     assert [r[0] for r in df.select(jobs.title(*map(F.col, "mgfl"))).collect()] == ["b.c (French)", "M", "G", "x（简体中文版）"]
     df = spark.createDataFrame([("Simplified Chinese",), ("zh-CN",), ("Japanese",), ("日本語",), ("it",), ("",), (None,)], "l string")
     assert [r[0] for r in df.select(jobs.language_code(F.col("l"))).collect()] == ["zh", "zh", "ja", "ja", "it", "zh", "zh"]
+
+
+def test_stored_glossaries(spark, tmp_path):
+    (tmp_path / "t.json").write_text(json.dumps([{"source": "Oak", "translation": "a"}, {"source": "Oak", "translation": "b"}, {"source": "The"}]))
+    (tmp_path / "bad.json").write_text("{")
+    assert values(glossaries.stored(spark, str(tmp_path / "t.json")), "source", "translation") == [("Oak", "a")]
+    assert glossaries.stored(spark, str(tmp_path / "none.json")).count() == glossaries.stored(spark, str(tmp_path / "bad.json")).count() == 0
+    assert glossaries.stored(spark, str(tmp_path / "none.json"), lambda: spark.range(3)).count() == 3
+
+
+def test_command_line(spark, tmp_path):
+    from quire.__main__ import main
+
+    (tmp_path / "a.epub").write_bytes(books.minimal_book("T", ["<p>one</p>", "<p>two</p>"]))
+    main(["audit", str(tmp_path / "a.epub"), str(tmp_path / "audit")])
+    assert spark.read.json(str(tmp_path / "audit")).first()["issue_count"] == 0
+    rows = [{"id": f"c1.xhtml::{i:04d}", "translated_html": f"<p>{x}</p>"} for i, x in ((1, "eins"), (2, "zwei"))]
+    (tmp_path / "new.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    main(["apply", str(tmp_path / "a.epub"), str(tmp_path / "new.jsonl"), str(tmp_path / "b.epub"), "--title", "U"])
+    assert [b[5] for b in books.read_blocks((tmp_path / "b.epub").read_bytes())] == ["eins", "zwei"]
+    source = [{"batch": 1, "pos": i, "id": str(i), "source_html": "<p>x</p>"} for i in range(3)]
+    target = [{"batch": 1, "pos": i, "id": str(i), "translated_html": "<div>x</div>" if i else "<p>y</p>"} for i in range(3)]
+    for name, rows in (("s", source), ("t", target)):
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    main(["validate", str(tmp_path / "s.jsonl"), str(tmp_path / "t.jsonl"), str(tmp_path / "v")])
+    assert spark.read.json(str(tmp_path / "v/report")).first()["issue_count"] == 2
+    (tmp_path / "m.json").write_text(json.dumps([{"source_text": "a", "translated_html": "b"}]))
+    main(["memory", str(tmp_path / "m.json"), str(tmp_path / "mem")])
+    assert spark.read.parquet(str(tmp_path / "mem")).count() == 1
