@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,16 +25,17 @@ def squeeze(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, f"{WS}+", " "))
 
 
+#: Texts that are page marks, numbers, style colours or declarations, as Java reads them.
+ODD = (r"(?i)^page_\p{Nd}+$", r"^[\p{Nd}\s.,:;!?()\-–—_#]+$", r"^#[0-9A-Fa-f]{3,8}$", r"^[.#]?[A-Za-z_][A-Za-z0-9_-]*\s*[:=]\s*[-#\p{L}\p{N}_.,%() ]+$")
+#: What labels of chapters, front and back matter hold.
+CHAPTER, FRONT, BACK = r"(?i)^chapter\s+\d+(?![\p{L}\p{N}_])", "contents|cover|title|copyright|praise", "acknowledg|about the author|author|also by"
+
+
 def has_prose(x: Column) -> Column:
     """Whether a text is worth transforming: it has a letter and is no page mark, number, colour or
     style declaration."""
     v = squeeze(F.coalesce(x, F.lit("")))
-    odd = (
-        v.rlike(r"(?i)^page_\p{Nd}+$")
-        | v.rlike(r"^[\p{Nd}\s.,:;!?()\-–—_#]+$")
-        | v.rlike(r"^#[0-9A-Fa-f]{3,8}$")
-        | v.rlike(r"^[.#]?[A-Za-z_][A-Za-z0-9_-]*\s*[:=]\s*[-#\p{L}\p{N}_.,%() ]+$")
-    )
+    odd = reduce(Column.__or__, (v.rlike(p) for p in ODD))
     return (v != "") & ~odd & v.rlike(r"\p{L}")
 
 
@@ -41,9 +44,9 @@ def section_kind(label: Column) -> Column:
     label = F.coalesce(label, F.lit(""))
     low = F.lower(label)
     return (
-        F.when(label.rlike(r"(?i)^chapter\s+\d+(?![\p{L}\p{N}_])"), "chapter")
-        .when(low.rlike("contents|cover|title|copyright|praise"), "front_matter")
-        .when(low.rlike("acknowledg|about the author|author|also by"), "back_matter")
+        F.when(label.rlike(CHAPTER), "chapter")
+        .when(low.rlike(FRONT), "front_matter")
+        .when(low.rlike(BACK), "back_matter")
         .otherwise("unknown")
     )
 

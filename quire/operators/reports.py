@@ -12,6 +12,10 @@ from quire.operators import checks
 
 #: How much of it a report lists.
 LISTED, PER_KIND, VALIDATION_LISTED = 200, 50, 500
+#: Messages of issues, with what goes before and after the term.
+REMAINS, UNUSED, SEGMENT = " remains untranslated", " does not use locked translation ", "Long source-language segment remains in translated text"
+MARKS = "Punctuation or quote balance changed from source text"
+PERSON = ("Person name ", " is present in source but neither source nor translation appears in output")
 
 
 
@@ -59,9 +63,9 @@ def term_issues(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """Issues of enforced terms (term, translation, aliases) in rows (batch, row_id, source, target): a term that
     remains as it is, or else one whose translation is missing."""
     x = _used(rows, terms)
-    left = x.where("in_target").select(*issue(F.col("batch"), F.col("row_id"), "untranslated-source-term", "blocking", F.concat("term", F.lit(" remains untranslated")), source=F.col("term"), translation=F.col("translation")))
+    left = x.where("in_target").select(*issue(F.col("batch"), F.col("row_id"), "untranslated-source-term", "blocking", F.concat("term", F.lit(REMAINS)), source=F.col("term"), translation=F.col("translation")))
     lost = x.where("NOT in_target AND NOT translated AND translation <> ''")
-    message = F.concat("term", F.lit(" does not use locked translation "), "translation")
+    message = F.concat("term", F.lit(UNUSED), "translation")
     return left.unionByName(lost.select(*issue(F.col("batch"), F.col("row_id"), "missing-locked-translation", "nonblocking", message, source=F.col("term"), translation=F.col("translation"))))
 
 
@@ -69,19 +73,19 @@ def person_drift(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """Issues of persons' names in a source of which the target has neither the name, an alias, nor the
     translation."""
     x = _used(rows, terms.where("translation <> ''")).where("NOT in_target AND NOT translated")
-    message = F.concat(F.lit("Person name "), "term", F.lit(" is present in source but neither source nor translation appears in output"))
+    message = F.concat(F.lit(PERSON[0]), "term", F.lit(PERSON[1]))
     return x.select(*issue(F.col("batch"), F.col("row_id"), "person-name-drift", "nonblocking", message, source=F.col("term"), translation=F.col("translation")))
 
 
 def segment_issues(rows: DataFrame) -> DataFrame:
     x = rows.select("batch", "row_id", F.explode(checks.long_segments(F.col("source"), F.col("target"))).alias("segment"))
-    return x.select(*issue(F.col("batch"), F.col("row_id"), "long-untranslated-segment", "blocking", F.lit("Long source-language segment remains in translated text"), sample=F.col("segment")))
+    return x.select(*issue(F.col("batch"), F.col("row_id"), "long-untranslated-segment", "blocking", F.lit(SEGMENT), sample=F.col("segment")))
 
 
 def marks_issues(rows: DataFrame) -> DataFrame:
     x = rows.where(checks.marks_drift(F.col("source"), F.col("target")))
     detail = F.to_json(F.struct(checks.marks(F.col("source")).alias("source"), checks.marks(F.col("target")).alias("target")))
-    return x.select(*issue(F.col("batch"), F.col("row_id"), "punctuation-quote-drift", "nonblocking", F.lit("Punctuation or quote balance changed from source text"), marks=detail))
+    return x.select(*issue(F.col("batch"), F.col("row_id"), "punctuation-quote-drift", "nonblocking", F.lit(MARKS), marks=detail))
 
 
 def quality_issues(rows: DataFrame, persons: DataFrame) -> DataFrame:
