@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .sql import ORACLES  # noqa: F401
@@ -68,7 +69,30 @@ def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_spans(table(spark, sf_dir, "documents"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import minhash_components
+
+    return minhash_components(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whitened
+
+    w = whitened(table(spark, sf_dir, "embeddings"))
+    # A deviation beyond a long is null here; the operator's own column is a decimal.
+    return w.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_lm_scoring, op2_secret_scans, op3_ngram_jaccard, op4_quality, op5_license_scans, op6_mixing, op7_packing, op8_pii, op9_winnowing, op10_media)
-}
+    for f in (
+        op1_lm_scoring, op2_secret_scans, op3_ngram_jaccard, op4_quality, op5_license_scans, op6_mixing, op7_packing, op8_pii, op9_winnowing, op10_media,
+        op11_minhash, op12_spelling, op13_whitening,
+    )
+}
