@@ -39,6 +39,10 @@ def saved(states: DataFrame, path: str) -> None:
 AFTER = {"created": "preparing", "prepared": "prepared", "started": "running", "resumed": "running", "batch-started": "running", "completed": "completed", "failed": "failed", "restarted": "failed", "budget-stop": "failed"}
 
 
+#: The stage that an error after an event is of, by how the event's kind starts; else "translate".
+STAGES = (("packaging", "package"), ("ai-qa", "audit"), ("validating", "audit"))
+
+
 def status_after(kind: Column) -> Column:
     out = None
     for k, status in AFTER.items():

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as t
@@ -389,10 +389,12 @@ def memory_realigned(spark: SparkSession, d: str) -> DataFrame:
 _KIND = "CASE event_type WHEN 'signup' THEN 'created' WHEN 'view' THEN 'batch-started' WHEN 'click' THEN 'batch-completed' WHEN 'error' THEN 'batch-failed' WHEN 'purchase' THEN 'completed' ELSE 'packaging' END"
 
 
+def kind_of(e: Column) -> Column:
+    return F.when(e == "signup", "created").when(e == "view", "batch-started").when(e == "click", "batch-completed").when(e == "error", "batch-failed").when(e == "purchase", "completed").otherwise("packaging")
+
+
 def _log(spark: SparkSession, d: str) -> DataFrame:
-    e = F.col("event_type")
-    kind = F.when(e == "signup", "created").when(e == "view", "batch-started").when(e == "click", "batch-completed").when(e == "error", "batch-failed").when(e == "purchase", "completed").otherwise("packaging")
-    return table(spark, d, "events").select(F.col("user_id").alias("job"), "event_id", (F.col("event_id") % 7).alias("batch"), kind.alias("type"))
+    return table(spark, d, "events").select(F.col("user_id").alias("job"), "event_id", (F.col("event_id") % 7).alias("batch"), kind_of(F.col("event_type")).alias("type"))
 
 
 _LOG = f"log AS (SELECT user_id AS job, event_id, event_id % 7 AS batch, {_KIND} AS type FROM events)"

@@ -1,4 +1,9 @@
-"""The event log as a stream: appended from files, kept by job, rate-limited with state."""
+"""The event log as a stream: appended from files, folded by job, rate-limited with state.
+
+State lives in the state store, by key: what an operator holds of a job is what the fold needs and the events that the
+watermark hasn't passed. Event-time timers do the rest, so a stream that reads what has arrived so far ends by itself, and
+one that is started again goes on from its checkpoint.
+"""
 
 from __future__ import annotations
 
@@ -8,8 +13,18 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from quire.operators.jobs import AFTER, STAGES
 
 EVENT = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def stateful(spark: SparkSession) -> SparkSession:
+    """A session whose state store can hold maps and timers."""
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return spark
 
 
 def log(spark: SparkSession, path: str, schema: str = EVENT, files_per_trigger: int = 16) -> DataFrame:
@@ -32,36 +47,128 @@ def windowed(events: DataFrame, size: str = "1 hour", late: str = "2 hours") ->
 LIMITED = "user_id long, event_id long, delay long"
 
 
-def limited(events: DataFrame, most_requests: int, most_tokens: int, window: int, keep: int = 86_400) -> DataFrame:
-    """Each request's delay under a fixed window per job; the window and its use are the state, which goes when a
-    job has been silent for `keep` seconds. A trigger's requests of a job are sorted in memory: `log` bounds them
-    by the files of a trigger."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        clock, begun, requests, used = state.get if state.exists else (0, -(1 << 60), 0, 0)
-        rows = pd.concat(list(frames)).sort_values(["at", "event_id"])
-        out = []
-        for at, event, tokens in zip(rows["at"], rows["event_id"], rows["tokens"], strict=True):
-            now = max(clock, int(at))
-            if now - begun >= window:
-                begun, requests, used = now, 0, 0
-            delay = 0
-            if requests + 1 > most_requests or used + tokens > most_tokens:
-                delay = window - (now - begun)
-                begun, requests, used = now + delay, 0, 0
-            clock, requests, used = now + delay, requests + 1, used + int(tokens)
-            out.append((key[0], event, delay))
-        state.update((clock, begun, requests, used))
-        state.setTimeoutDuration(1000 * keep)
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "delay"])
-
-    e = events.select("user_id", "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), F.floor("value").cast("long").alias("tokens"))
-    return e.groupBy("user_id").applyInPandasWithState(run, LIMITED, "clock long, begun long, requests long, used long", "append", "ProcessingTimeTimeout")
+class _Limiter(StatefulProcessor):
+    """Requests wait in a map by second until the watermark has passed that second; then they are let through in
+    order. A job's window is forgotten when the watermark has passed its end, from which on it is as if new."""
+
+    def __init__(self, most_requests: int, most_tokens: int, window: int) -> None:
+        self.most_requests, self.most_tokens, self.window = most_requests, most_tokens, window
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.use = handle.getValueState("use", "clock long, begun long, requests long, used long")
+        self.waiting = handle.getMapState("waiting", "at long", "events array<long>, tokens array<long>")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            for at, new in frame.groupby("at"):
+                second = (int(at),)
+                events, tokens = self.waiting.getValue(second) if self.waiting.containsKey(second) else ([], [])
+                self.waiting.updateValue(second, (list(events) + new["event_id"].tolist(), list(tokens) + new["tokens"].tolist()))
+                self.handle.registerTimer(1000 * (int(at) + 1))
+        yield from ()
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs() // 1000
+        second = (now - 1,)
+        clock, begun, requests, used = self.use.get() if self.use.exists() else (0, -(1 << 60), 0, 0)
+        if self.waiting.containsKey(second):
+            out = []
+            for event, tokens in sorted(zip(*self.waiting.getValue(second), strict=True)):
+                at = max(clock, second[0])
+                if at - begun >= self.window:
+                    begun, requests, used = at, 0, 0
+                delay = 0
+                if requests + 1 > self.most_requests or used + tokens > self.most_tokens:
+                    delay = self.window - (at - begun)
+                    begun, requests, used = at + delay, 0, 0
+                clock, requests, used = at + delay, requests + 1, used + tokens
+                out.append((key[0], event, delay))
+            self.waiting.removeKey(second)
+            self.use.update((clock, begun, requests, used))
+            self.handle.registerTimer(1000 * (max(clock, begun + self.window) + 1))
+            yield pd.DataFrame(out, columns=["user_id", "event_id", "delay"])
+        elif now > max(clock, begun + self.window):
+            self.use.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def limited(events: DataFrame, most_requests: int, most_tokens: int, window: int, late: str = "0 seconds") -> DataFrame:
+    """Each request's delay under a fixed window per job, in order of time. Requests that come up to `late` after younger
+    ones are put in their place, later ones are left; so a request is answered once the log has gone on by that time. What
+    the stream gives is what `usage.rate_limited` gives of the same requests, however they are spread over files."""
+    e = events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.floor("value").cast("long").alias("tokens")).withWatermark("ts", late)
+    e = e.withColumn("at", F.unix_seconds("ts"))
+    stateful(events.sparkSession)
+    return e.groupBy("user_id").transformWithStateInPandas(_Limiter(most_requests, most_tokens, window), LIMITED, "Append", "EventTime")
+
+
+STATUS = "job long, status string, stage string, events long, last_event long, tail array<long>"
+
+
+class _Status(StatefulProcessor):
+    """What a job's log folds to, with the last of its events; forgotten when the job has been silent."""
+
+    def __init__(self, most: int, keep: int) -> None:
+        self.most, self.keep = most, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.fold = handle.getValueState("fold", "status string, since long, latest string, last long, events long, seen long")
+        self.tail = handle.getValueState("tail", "events array<long>")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        status, since, latest, last, events, seen = self.fold.get() if self.fold.exists() else ("preparing", -1, "", -1, 0, 0)
+        tail = list(self.tail.get()[0]) if self.tail.exists() else []
+        for frame in rows:
+            events += len(frame)
+            seen = max(seen, int(frame["at"].max()))
+            tail = sorted([*tail, *frame["event"].nlargest(self.most).tolist()])[-self.most :]
+            for part, told in ((frame, False), (frame[frame["kind"].isin(AFTER)], True)):
+                if len(part):
+                    event, kind = max(zip(part["event"].tolist(), part["kind"].tolist(), strict=True), key=lambda x: x[0])
+                    if told and event > since:
+                        status, since = AFTER[kind], event
+                    elif not told and event > last:
+                        latest, last = kind, event
+        if self.fold.exists():
+            self.handle.deleteTimer(1000 * (self.fold.get()[5] + self.keep))
+        self.fold.update((status, since, latest, last, events, seen))
+        self.tail.update((tail,))
+        self.handle.registerTimer(1000 * (seen + self.keep))
+        stage = next((s for start, s in STAGES if (latest or "").startswith(start)), "translate")
+        yield pd.DataFrame({"job": [key[0]], "status": [status], "stage": [stage], "events": [events], "last_event": [last], "tail": [tail]})
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.fold.clear()
+        self.tail.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def statuses(events: DataFrame, job: str, order: str, kind: str, most: int = 500, keep: int = 30 * 86_400, late: str = "1 day") -> DataFrame:
+    """Per trigger the jobs that got events: status and stage as `jobs.folded_status` folds the whole log, how many events
+    there are, and the last `most` of them. A job that has been silent for `keep` seconds of event time is forgotten: its
+    state goes, and a later event starts it anew. Events more than `late` behind are left. Needs a column ts."""
+    e = events.select(F.col(job).cast("long").alias("job"), F.col(order).cast("long").alias("event"), F.col(kind).alias("kind"), F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
+    stateful(events.sparkSession)
+    return e.withColumn("at", F.unix_seconds("ts")).groupBy("job").transformWithStateInPandas(_Status(most, keep), STATUS, "Update", "EventTime")
 
 
 def written(stream: DataFrame, path: str, checkpoint: str) -> None:
     """What has arrived so far, once, as Parquet."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def gathered(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """What has arrived so far of a stream that gives rows anew, as Parquet by batch: a batch that is done again after a
+    failure takes the place of its first try."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -14,7 +14,6 @@ from quire.functions import text as t
 from quire.operators import batches, blocks, checks, links, memory, terms, usage
 from quire.plans import queries, transform
 from quire.sources import books, formats, glossaries
-from quire.streaming import events
 
 SF = "/root/testdata/sf0.001"
 
@@ -257,18 +256,6 @@ def test_ladder(spark, text, stage, code, again):
     assert (r["code"], r["retryable"]) == (code, again)
 
 
-def test_streams_match_batches(spark, tmp_path):
-    src = spark.read.parquet(f"{SF}/events.parquet")
-    src.repartition(1).sortWithinPartitions("event_id").write.parquet(str(tmp_path / "in"))
-    stream = events.log(spark, str(tmp_path / "in"))
-    events.written(events.limited(stream, 2, 40, 21600), str(tmp_path / "out"), str(tmp_path / "c"))
-    got = spark.read.parquet(str(tmp_path / "out"))
-    assert values(got, "event_id", "delay") == values(queries.rate_limit_windows(spark, SF), "event_id", "delay")
-    q = events.latest(stream).writeStream.format("memory").queryName("latest_jobs").outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert values(spark.table("latest_jobs"), "user_id", "stage", "events") == values(queries.jobs_latest(spark, SF), "user_id", "stage", "events")
-
-
 def test_blocks(spark):
     df = spark.createDataFrame([(1, " a \n\n \n b\nc"), (2, ""), (3, None)], "k int, x string")
     assert values(blocks.pieces(df, "k", F.col("x"), blocks.PARAGRAPH), "k", "pos", "piece") == [(1, 1, "a"), (1, 2, "b\nc")]
