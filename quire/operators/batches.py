@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as t
-from quire.operators.folds import folded, positions
+from quire.operators.folds import changes, numbered, positions
+from quire.session import written
+
+#: Rows that go back to Spark at a time.
+SLICE = 10_000
 
 
 def limits(max_rows: int, max_chars: int | None = None, max_tokens: int | None = None) -> tuple[int, int | None]:
@@ -19,23 +29,156 @@ def limits(max_rows: int, max_chars: int | None = None, max_tokens: int | None =
 
 def packed(df: DataFrame, key: str, order: list[Column], weight: Column, max_rows: int, max_chars: int | None = None, max_tokens: int | None = None) -> DataFrame:
     """(key, seq, weight, chunk): rows of a key in order, a chunk closed when it is full by rows or when the
-    next row would exceed the characters; a row larger than that is a chunk alone. A key's rows stream by in
-    order. Without a bound on characters a chunk follows from the place alone."""
+    next row would exceed the characters; a row larger than that is a chunk alone. Weights are whole numbers, null ones 0.
+    Without a bound on characters a chunk follows from the place alone.
+
+    A key's chunks hang on each other, but a chunk has at most `max_rows` rows, so within a range of a key's rows the first
+    chunk that starts there does so at one of its first `max_rows` rows. Each range is packed as if it began its key, and
+    works out what it would end with for each of these starts. A walk over the ranges (a row each) then tells where each is
+    entered, and those that are entered otherwise are packed again from there. So a key with any share of the rows is packed
+    by as many tasks as there are ranges."""
     rows, chars = limits(max_rows, max_chars, max_tokens)
-    x = df.select(key, weight.cast("double").alias("weight"), *[o.alias(f"o{i}") for i, o in enumerate(order)])
+    x = df.select(key, F.coalesce(weight.cast("double"), F.lit(0.0)).alias("weight"), *[o.alias(f"o{i}") for i, o in enumerate(order)])
     by = [*[F.col(f"o{i}") for i in range(len(order))], F.col("weight")]
     if chars is None:
-        x = x.withColumn("seq", F.row_number().over(Window.partitionBy(key).orderBy(*by)).cast("long"))
+        x = numbered(x, key, by).select(key, "weight", "seq")
         return x.select(key, "seq", "weight", (F.floor((F.col("seq") - 1) / rows) + 1).cast("long").alias("chunk"))
-
-    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
-        seq, n, total, chunk = state
-        (w,) = row
-        if n and (n >= rows or total + w > chars):
-            n, total, chunk = 0, 0.0, chunk + 1
-        return (seq + 1, n + 1, total + w, chunk), (seq, chunk)
-
-    return folded(x, key, by, ["weight"], (1, 0, 0.0, 1), step, "seq long, chunk long").select(key, "seq", "weight", "chunk")
+    kind = df.schema[key].dataType.simpleString()
+    x = written(_in_ranges(x, key, by, kind, rows, chars), "packed")
+    done = x.where("head IS NULL")
+    entries = _entered(x.where("head IS NOT NULL"), key, kind, rows, chars)
+    entries = F.broadcast(written(entries, "entries"))  # a row a range at most
+    again = done.where("first").join(entries, "part", "left_semi").join(entries, "part")
+    own = done.where("NOT first").unionByName(done.where("first").join(entries, "part", "left_anti"))
+    return own.select(key, "seq", "weight", "chunk").unionByName(_again(again, key, kind, rows, chars))
+
+
+def _next(w: np.ndarray, ends: np.ndarray, rows: int, chars: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the place of the chunk after the one that starts with it (ends: where its key ends), and the running
+    sum before each row."""
+    upto = np.concatenate([[0.0], np.cumsum(w)])
+    at = np.arange(len(w))
+    fits = np.searchsorted(upto, upto[:-1] + chars, side="right") - 1
+    return np.minimum(np.minimum(np.maximum(fits, at + 1), at + rows), ends), upto
+
+
+def _in_ranges(x: DataFrame, key: str, by: list[Column], kind: str, rows: int, chars: float) -> DataFrame:
+    """The rows in ranges of key and order (part), each packed as if keys began there; and for a range's first and last
+    key a row of how many rows it has there, the weights of the first of them, and what is open at the end if the first
+    chunk starts with each of these. first: whether rows are of the range's first key."""
+    sorted_ = x.repartitionByRange(key, *by).sortWithinPartitions(key, *by).select(key, "weight", F.spark_partition_id().alias("part"))
+
+    def pack(keys: pa.Array, w: np.ndarray, starts: np.ndarray, part: int, first: bool, last: bool) -> Iterator[pa.RecordBatch]:
+        """Whole keys (starts: of each); whether the first of them is the range's first, and the last its last."""
+        n = len(w)
+        bounds = np.append(starts, n)
+        ends = np.repeat(bounds[1:], np.diff(bounds))
+        nxt, upto = _next(w, ends, rows, chars)
+        begins, follow, s = np.zeros(n, np.int64), nxt.tolist(), 0
+        while s < n:
+            begins[s] = 1
+            s = follow[s]
+        begun, head = np.cumsum(begins), np.repeat(starts, np.diff(bounds))
+        out = {"seq": np.arange(n) - head + 1, "chunk": begun - begun[head] + 1, "first": (head == 0) & first}
+        for i in range(0, n, SLICE):
+            yield frame(keys.slice(i, SLICE), w[i : i + SLICE], part, **{c: v[i : i + SLICE] for c, v in out.items()})
+        for s, e in {(int(starts[0]), int(bounds[1])) if first else None, (int(starts[-1]), n) if last else None} - {None}:
+            at = np.arange(s, min(s + rows, e))
+            lead, chunks = w[at], np.ones(len(at), np.int64)
+            while (more := nxt[at] < e).any():
+                at[more] = nxt[at[more]]
+                chunks[more] += 1
+            yield frame(keys.slice(s, 1), [float(e - s)], part, head=[lead], open_rows=[e - at], open_weight=[upto[e] - upto[at]], chunks=[chunks])
+
+    names = ["part", "seq", "chunk", "first", "head", "open_rows", "open_weight", "chunks"]
+
+    def frame(keys: pa.Array, w, part: int, **columns) -> pa.RecordBatch:
+        n = len(keys)
+        types = {"part": pa.int32(), "seq": pa.int64(), "chunk": pa.int64(), "first": pa.bool_(), "head": pa.list_(pa.float64()), "open_rows": pa.list_(pa.int64()), "open_weight": pa.list_(pa.float64()), "chunks": pa.list_(pa.int64())}
+        columns["part"] = np.full(n, part, np.int32)
+        return pa.RecordBatch.from_arrays([keys, pa.array(w, pa.float64()), *[pa.array(columns[c], types[c]) if c in columns else pa.nulls(n, types[c]) for c in names]], [key, "weight", *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, part, first, held = None, 0, True, []  # held: the weights of the key that is open, in pieces
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys, w, part = b.column(0), b.column(1).to_numpy(zero_copy_only=False), b.column(2)[0].as_py()
+            starts = np.flatnonzero(changes(keys, last))
+            open_ = int(sum(map(len, held)))
+            if len(starts) and (open_ or starts[-1] > 0):
+                # All but the last key are whole.
+                cut = int(starts[-1])
+                k = pa.concat_arrays([pa.repeat(last[0], open_), keys.slice(0, cut)]) if open_ else keys.slice(0, cut)
+                heads = np.concatenate([[0], starts[:-1] + open_]) if open_ else starts[:-1]
+                yield from pack(k, np.concatenate([*held, w[:cut]]), np.unique(heads), part, first, False)
+                held, first, w = [], False, w[cut:]
+            held.append(w)
+            last = keys.slice(b.num_rows - 1, 1)
+        if held:
+            w = np.concatenate(held)
+            yield from pack(pa.repeat(last[0], len(w)), w, np.zeros(1, np.int64), part, first, True)
+
+    lists = "head array<double>, open_rows array<long>, open_weight array<double>, chunks array<long>"
+    return sorted_.mapInArrow(run, f"`{key}` {kind}, weight double, part int, seq long, chunk long, first boolean, {lists}")
+
+
+def _filled(open_rows: float, open_weight: float, head: np.ndarray, rows: int, chars: float) -> tuple[int, float, int]:
+    """What is open, and how many more rows it took, when rows of weights `head` follow."""
+    taken = 0
+    for w in head:
+        if open_rows >= rows or open_weight + w > chars:
+            break
+        open_rows, open_weight, taken = open_rows + 1, open_weight + w, taken + 1
+    return open_rows, open_weight, taken
+
+
+def _entered(ranges: DataFrame, key: str, kind: str, rows: int, chars: float) -> DataFrame:
+    """(part, entry, chunk, before): of the ranges that go on with their first key, how many of their rows belong to the
+    chunk that is open, its number, its rows and weight, and how many rows the key has before. A key's ranges (`weight`: how
+    many rows it has in one) stream by in order."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, begun, state = None, False, (0, 0.0, 0, 0)
+        for f in frames:
+            out = []
+            for k, part, n, head, open_rows, open_weight, chunks in zip(*(f[c].tolist() for c in (key, "part", "weight", "head", "open_rows", "open_weight", "chunks")), strict=True):
+                k = None if k is None or k != k else k
+                if not begun or k != last:
+                    last, begun, state = k, True, (0, 0.0, 0, 0)
+                count, weight, chunk, before = state
+                if before:
+                    out.append((part, count, weight, chunk, before))
+                    count, weight, taken = _filled(count, weight, head, rows, chars)
+                else:
+                    taken = 0
+                state = (count, weight, chunk, before + int(n)) if taken == int(n) else (int(open_rows[taken]), float(open_weight[taken]), chunk + int(chunks[taken]), before + int(n))
+            yield pd.DataFrame(out, columns=["part", "open", "held", "base", "before"])
+
+    x = ranges.repartition(key).sortWithinPartitions(key, "part").select(key, "part", "weight", "head", "open_rows", "open_weight", "chunks")
+    return x.mapInPandas(run, "part int, open long, held double, base long, before long")
+
+
+def _again(rows_: DataFrame, key: str, kind: str, rows: int, chars: float) -> DataFrame:
+    """The rows of ranges that are entered with an open chunk, packed on from there."""
+    x = rows_.repartition("part").sortWithinPartitions("part", "seq").select(key, "seq", "weight", "part", "open", "held", "base", "before")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, count, total, chunk = None, 0, 0.0, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            out = []
+            for part, w, open_, held, base in zip(*(b.column(i).to_pylist() for i in (3, 2, 4, 5, 6)), strict=True):
+                if part != last:
+                    last, count, total, chunk = part, open_, held, base
+                if count >= rows or total + w > chars:
+                    count, total, chunk = 0, 0.0, chunk + 1
+                count, total = count + 1, total + w
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([b.column(0), pc.add(b.column(1), b.column(7)), b.column(2), pa.array(out, pa.int64())], [key, "seq", "weight", "chunk"])
+
+    return x.mapInArrow(run, f"`{key}` {kind}, seq long, weight double, chunk long")
 
 
 def manifest(packed_rows: DataFrame, key: str) -> DataFrame:

@@ -5,9 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quire.session import written
 
 #: A step takes the state and a row's values, and gives the next state and what to add to the row.
 Step = Callable[[Any, tuple], tuple[Any, tuple]]
@@ -44,20 +50,62 @@ def folded(df: DataFrame, key: str, order: list[Column], read: list[str], start:
     return rows.mapInPandas(run, f"{fields}, {added}")
 
 
-def positions(df: DataFrame, by: str, ties: list[Column], to: str, ranges: int = 64) -> DataFrame:
-    """df with `to`: the place from 1 of every row in the order of a numeric column and ties. Rows are numbered
-    within ranges of the column (their bounds are quantiles), so no task sorts all of them."""
-    cuts = sorted(set(df.stat.approxQuantile(by, [i / ranges for i in range(1, ranges)], 0.002)))
-    place = F.lit(0)
-    for c in cuts:
-        place = place + (F.col(by) > c).cast("int")
-    x = df.withColumn("q_range", place)
-    sizes = sorted((r["q_range"], r["count"]) for r in x.groupBy("q_range").count().collect())  # one row a range
-    before, upto = {}, 0
-    for r, n in sizes:
-        before[r], upto = upto, upto + n
-    offset = F.lit(0).cast("long")
-    for r, n in before.items():
-        offset = F.when(F.col("q_range") == r, F.lit(n).cast("long")).otherwise(offset)
-    w = Window.partitionBy("q_range").orderBy(by, *ties)
-    return x.withColumn(to, F.row_number().over(w) + offset).drop("q_range")
+def positions(df: DataFrame, by: str, ties: list[Column], to: str, ranges: int | None = None) -> DataFrame:
+    """df with `to`: the place from 1 of every row in the order of a column and ties, nulls first. Rows are dealt out by
+    ranges of both (as many as the session's shuffles have partitions, if not told), so that neither all rows nor those of
+    one frequent value meet in a task; a range's numbers start after the counts of those before it. Ranges come from a
+    sample, so they are fixed by writing them once."""
+    order = [F.col(by), *ties]
+    x = written(df.repartitionByRange(*([ranges] if ranges else []), *order).sortWithinPartitions(*order).withColumn("q_at", F.monotonically_increasing_id()), "places")
+    place, at = F.shiftright("q_at", 33), F.col("q_at").bitwiseAND(F.lit((1 << 33) - 1))  # Spark's id: the partition, and the row's number in it
+    x = x.withColumn("q_range", place)
+    before, upto = [], 0
+    for r in sorted(x.groupBy("q_range").count().collect()):  # one row a range
+        before.append((r["q_range"], upto))
+        upto += r["count"]
+    offsets = df.sparkSession.createDataFrame(before, "q_range long, q_before long")
+    return x.join(F.broadcast(offsets), "q_range").withColumn(to, at + F.col("q_before") + 1).drop("q_at", "q_range", "q_before")
+
+
+def numbered(df: DataFrame, key: str, order: list[Column], to: str = "seq") -> DataFrame:
+    """df with `to`: the place from 1 of every row among those of its key, in order. Rows are dealt out by ranges of key and
+    order, so a key with any share of the rows is spread over as many tasks; what its earlier ranges hold is added."""
+    rows = df.repartitionByRange(key, *order).sortWithinPartitions(key, *order).withColumn("q_range", F.spark_partition_id())
+    schema = T.StructType([*rows.schema.fields, T.StructField(to, T.LongType()), T.StructField("q_first", T.BooleanType()), T.StructField("q_row", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, count, row, first = None, 0, 0, False
+        for b in batches:
+            if not (n := b.num_rows):
+                continue
+            k = b.column(b.schema.get_field_index(key))
+            new = changes(k, last)
+            at = np.arange(n)
+            start = np.maximum.accumulate(np.where(new, at, -1))
+            place = np.where(start >= 0, at - start + 1, at + count + 1)
+            own = np.where(start < 0, first, (start == 0) & (last is None))  # of the range's first key
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(place), pa.array(own), pa.array(at + row)], [*b.schema.names, to, "q_first", "q_row"])
+            first = bool(own[-1])
+            last, count, row = k.slice(n - 1, 1), int(place[-1]), row + n
+
+    x = written(rows.mapInArrow(run, schema), "numbered")
+    ends = x.groupBy("q_range").agg(F.min_by(key, "q_row").alias("head"), F.count_if("q_first").alias("heads"), F.max_by(key, "q_row").alias("tail"), F.max_by(to, "q_row").alias("tails"), F.count(F.lit(1)).alias("n"))
+    before, open_key, held = [], None, 0
+    for i, r in enumerate(sorted(ends.collect(), key=lambda r: r["q_range"])):  # one row a range
+        goes_on = i > 0 and r["head"] == open_key
+        before.append((r["q_range"], held if goes_on else 0))
+        held = r["tails"] + (held if goes_on and r["heads"] == r["n"] else 0)
+        open_key = r["tail"]
+    offsets = df.sparkSession.createDataFrame(before, "q_range int, q_before long")
+    x = x.join(F.broadcast(offsets), "q_range")
+    return x.withColumn(to, F.col(to) + F.when(F.col("q_first"), F.col("q_before")).otherwise(0)).drop("q_range", "q_first", "q_row", "q_before")
+
+
+def changes(k: pa.Array, last: pa.Array | None) -> np.ndarray:
+    """Where a sorted column has another value than in the row before (last: the row before the first); nulls are one
+    value."""
+    out = np.ones(len(k), bool)
+    x, y = k.slice(0, len(k) - 1), k.slice(1)
+    out[1:] = ~(pc.fill_null(pc.equal(x, y), False).to_numpy(zero_copy_only=False) | pc.and_(pc.is_null(x), pc.is_null(y)).to_numpy(zero_copy_only=False))
+    out[0] = last is None or k[0].as_py() != last[0].as_py()
+    return out

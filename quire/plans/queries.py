@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as t
-from quire.operators import batches, blocks, checks, terms, usage
+from quire.operators import batches, blocks, checks, folds, terms, usage
 
 from . import review
 from .oracles import ORACLES
@@ -299,7 +299,7 @@ def ordered_lookup(spark: SparkSession, d: str) -> DataFrame:
     o, c, n = (table(spark, d, x) for x in ("orders", "customer", "nation"))
     x = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").where(F.col("o_orderstatus") != "P")
     x = x.withColumn("n_name", F.coalesce("n_name", F.lit("")))
-    return blocks.numbered(x, "n_name", [F.col("o_orderkey")]).select("o_orderkey", "n_name", "seq")
+    return folds.numbered(x, "n_name", [F.col("o_orderkey")]).select("o_orderkey", "n_name", "seq")
 
 
 @query

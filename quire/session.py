@@ -1,13 +1,14 @@
-"""Making the package known to executors."""
+"""Making the package known to executors, and tables in the folder that they share."""
 
 from __future__ import annotations
 
 import io
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -27,3 +28,44 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(str(path))
         _shipped.add(sc.applicationId)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share. A local one is made only where the session names none
+    and runs on this machine alone."""
+    if d := spark.conf.get("spark.checkpoint.dir", None):
+        return d
+    sc = spark.sparkContext
+    if (jd := sc._jsc.sc().getCheckpointDir()).isDefined():
+        return jd.get()
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="quire-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def hadoop(spark: SparkSession, path: str) -> tuple:
+    """A path and its file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors, fixes what sampling or
+    hashing by place has dealt out, and is removed by `forgotten`, or when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/quire-{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    p, fs = hadoop(spark, path)
+    fs.deleteOnExit(p)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quire_path = path
+    return out
+
+
+def forgotten(*tables: DataFrame) -> None:
+    """Removes written tables that nothing to come reads, before the driver ends."""
+    for df in tables:
+        if path := getattr(df, "_quire_path", None):
+            p, fs = hadoop(df.sparkSession, path)
+            fs.delete(p, True)
