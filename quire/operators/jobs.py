@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as t
+from quire.sources import versions
 
 STATE = "job_id string, status string, filename string, input_format string, target_language string, title string, output_format string, total_batches long, completed_batches long, message string, last_active_at string, api_key string, work_dir string, _corrupt_record string"
 DEFAULTS = {"input_format": ".epub", "title": "", "output_format": ".epub", "total_batches": 0, "completed_batches": 0, "message": ""}
@@ -31,8 +32,8 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
 
 
 def saved(states: DataFrame, path: str) -> None:
-    """One JSON object a line; the writer's commit makes it appear as a whole."""
-    states.write.mode("overwrite").json(path)
+    """One JSON object a line, in the place of what is there; states may be read from it."""
+    versions.replaced(states, path)
 
 
 #: A job's status after each kind of event.

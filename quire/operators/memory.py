@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as t
+from quire.sources import versions
 
 FIELDS = ("source_text", "source_html", "translated_html", "target_language", "source_project")
 SCHEMA = "source_hash string, " + ", ".join(f"{c} string" for c in FIELDS) + ", confidence double, updated_at timestamp"
@@ -22,23 +23,53 @@ def hits(rows: DataFrame, memory: DataFrame, language: str) -> DataFrame:
     return keyed(rows).join(m, "source_hash")
 
 
+def _last(new: DataFrame) -> DataFrame:
+    """Of each key the entry of the highest seq; copies meet in an aggregate, however many there are."""
+    columns = [*FIELDS, "confidence", "updated_at"]
+    x = new.groupBy("source_hash").agg(F.max_by(F.struct(*columns), F.struct("seq", *columns)).alias("q"))
+    return x.select("source_hash", "q.*")
+
+
+def _same(old: str, new: str) -> Column:
+    """Whether two entries agree in all fields but time and confidence."""
+    out = F.lit(True)
+    for c in FIELDS:
+        out = out & F.col(f"{old}.{c}").eqNullSafe(F.col(f"{new}.{c}"))
+    return out
+
+
 def upserted(memory: DataFrame, new: DataFrame) -> DataFrame:
     """The memory after new segments (with seq, their order): blank ones are left out, the last of a key
     wins, and one that changes nothing keeps its old time."""
-    n = keyed(new).where(t.strip(F.coalesce("translated_html", F.lit(""))) != "")
-    n = n.withColumn("q", F.row_number().over(Window.partitionBy("source_hash").orderBy(F.desc("seq")))).where("q = 1")
-    n = n.select("source_hash", *FIELDS, "confidence", "updated_at")
-    same = F.lit(True)
-    for c in FIELDS:
-        same = same & F.col(f"m.{c}").eqNullSafe(F.col(f"n.{c}"))
-    keep = F.col("n.source_hash").isNull() | (F.col("m.source_hash").isNotNull() & same)
+    n = _last(keyed(new).where(t.strip(F.coalesce("translated_html", F.lit(""))) != ""))
+    keep = F.col("n.source_hash").isNull() | (F.col("m.source_hash").isNotNull() & _same("m", "n"))
     x = memory.alias("m").join(n.alias("n"), F.col("m.source_hash") == F.col("n.source_hash"), "full")
     return x.select(*[F.when(keep, F.col(f"m.{c}")).otherwise(F.col(f"n.{c}")).alias(c) for c in n.columns])
 
 
+def stored(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A memory that is kept at a path (its last version, if not told)."""
+    return versions.current(spark, path, SCHEMA, version)
+
+
+def remember(spark: SparkSession, path: str, new: DataFrame, buckets: int = versions.BUCKETS) -> int:
+    """The kept memory after new segments, as `upserted` has it; only the buckets in which something changes are written,
+    and if nothing does there is no new version. Gives how many entries were put."""
+    n = _last(keyed(new).where(t.strip(F.coalesce("translated_html", F.lit(""))) != ""))
+    return versions.changed(spark, path, SCHEMA, "source_hash", n, _same("old", "new"), buckets)
+
+
+def take_in(spark: SparkSession, path: str, entries: DataFrame, project: str, language: str, buckets: int = versions.BUCKETS) -> Row:
+    """The kept memory after an import, as `imported` has it. Gives how many entries were imported and skipped."""
+    e, counts = _importable(entries, project, language)
+    versions.changed(spark, path, SCHEMA, "source_hash", e, F.lit(False), buckets)
+    return counts.first()
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Entries of exported memories: a list, an object with segments or entries (a list or a map), or JSON Lines,
-    a file each. Texts of any form are parsed where they are read; what is no object is an entry of nulls."""
+    a file each. Texts of any form are parsed where they are read. What is no object is left out of lists and maps, and is an
+    entry of nulls in JSON Lines."""
     import json
 
     import pandas as pd
@@ -53,31 +84,35 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         if isinstance(value, dict):
             value = value.get("segments") or value.get("entries") or []
             value = list(value.values()) if isinstance(value, dict) else value
-        return value if isinstance(value, list) else []
+        return [x for x in value if isinstance(x, dict)] if isinstance(value, list) else []
 
     def run(frames):
         for f in frames:
             rows = [x if isinstance(x, dict) else {} for text in f["value"] if text.strip() for x in entries(text)]
-            out = [(*[str(r[k]) if isinstance(r.get(k), str) else None for k in fields], float(r["confidence"]) if isinstance(r.get("confidence"), (int, float)) else None, i) for i, r in enumerate(rows)]
-            yield pd.DataFrame(out, columns=[*fields, "confidence", "seq"])
+            out = [(*[str(r[k]) if isinstance(r.get(k), str) else None for k in fields], float(r["confidence"]) if isinstance(r.get("confidence"), (int, float)) else None, r["updated_at"] if isinstance(r.get("updated_at"), str) else None, i) for i, r in enumerate(rows)]
+            yield pd.DataFrame(out, columns=[*fields, "confidence", "updated_at", "seq"])
 
-    schema = ", ".join(f"{c} string" for c in fields) + ", confidence double, seq long"
-    return spark.read.text(path, wholetext=True).mapInPandas(run, schema)
+    schema = ", ".join(f"{c} string" for c in fields) + ", confidence double, updated_at string, seq long"
+    return spark.read.text(path, wholetext=True).mapInPandas(run, schema).withColumn("updated_at", F.try_to_timestamp("updated_at"))
 
 
-def imported(memory: DataFrame, entries: DataFrame, project: str, language: str) -> tuple[DataFrame, DataFrame]:
-    """The memory after entries (with seq, their order), and one row of how many were imported and skipped. Blank
-    translations are skipped, gaps filled, and the later entry of a key stays."""
+def _importable(entries: DataFrame, project: str, language: str) -> tuple[DataFrame, DataFrame]:
     text = F.coalesce("source_text", F.lit("")), F.coalesce("source_html", F.lit(""))
     ok = t.strip(F.coalesce("translated_html", F.lit(""))) != ""
     counts = entries.agg(F.count_if(ok).alias("imported"), F.count_if(~ok).alias("skipped"))
+    time = F.coalesce("updated_at", F.current_timestamp()) if "updated_at" in entries.columns else F.current_timestamp()
     e = entries.where(ok).select(
         F.coalesce(F.nullif("source_hash", F.lit("")), t.memory_key(text[1], text[0])).alias("source_hash"), text[0].alias("source_text"), text[1].alias("source_html"), "translated_html",
         F.coalesce("target_language", F.lit(language)).alias("target_language"), F.coalesce("source_project", F.lit(project)).alias("source_project"),
-        F.coalesce("confidence", F.lit(1.0)).alias("confidence"), "seq",
+        F.coalesce("confidence", F.lit(1.0)).alias("confidence"), time.alias("updated_at"), "seq",
     )
-    columns = [c for c in e.columns if c not in ("source_hash", "seq")]
-    e = e.groupBy("source_hash").agg(F.max_by(F.struct(*columns), "seq").alias("q")).select("source_hash", "q.*").withColumn("updated_at", F.current_timestamp())
+    return _last(e), counts
+
+
+def imported(memory: DataFrame, entries: DataFrame, project: str, language: str) -> tuple[DataFrame, DataFrame]:
+    """The memory after entries (with seq, their order), and one row of how many were imported and skipped. Blank
+    translations are skipped, gaps filled, and the later entry of a key stays."""
+    e, counts = _importable(entries, project, language)
     return memory.join(e, "source_hash", "left_anti").select(e.columns).unionByName(e), counts
 
 
@@ -87,8 +122,8 @@ def stats(memory: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
 
 
 def exported(memory: DataFrame, path: str) -> None:
-    """The memory as JSON Lines in order of keys."""
-    memory.orderBy("source_hash").write.mode("overwrite").json(path)
+    """The memory as JSON Lines in order of keys, in the place of what is there."""
+    versions.replaced(memory.orderBy("source_hash"), path)
 
 
 def realigned(source: DataFrame, remembered: DataFrame, provided: DataFrame) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as t
-from quire.operators import batches, blocks, checks, folds, terms, usage
+from quire.operators import batches, blocks, checks, folds, memory, terms, usage
 
 from . import review
 from .oracles import ORACLES
@@ -225,11 +225,18 @@ def memory_hits(spark: SparkSession, d: str) -> DataFrame:
 @query
 def memory_upsert(spark: SparkSession, d: str) -> DataFrame:
     """What the documents leave in a memory that the last writer of a key wins, and how often it changed."""
-    k = table(spark, d, "documents").select("doc_id", "lang", "source", t.memory_key(F.lit(""), F.col("text")).alias("source_hash"))
-    w = Window.partitionBy("source_hash").orderBy("doc_id")
-    changed = F.coalesce((F.lag("lang").over(w) != F.col("lang")) | (F.lag("source").over(w) != F.col("source")), F.lit(True))
-    x = k.withColumn("changed", changed)
-    return x.groupBy("source_hash").agg(F.max_by("lang", "doc_id").alias("lang"), F.max_by("source", "doc_id").alias("source"), F.count_if("changed").alias("writes"))
+    k = table(spark, d, "documents").select("doc_id", "text", "lang", "source", t.memory_key(F.lit(""), F.col("text")).alias("source_hash"))
+    # A write changes something if the one before it of its key differs; numbers within keys are dealt out in ranges, so the
+    # copies of one text may be any share of the rows, and what the memory holds in the end is its fold.
+    x = folds.numbered(k.drop("text"), "source_hash", [F.col("doc_id")], "nth")
+    before = x.select("source_hash", (F.col("nth") + 1).alias("nth"), F.col("lang").alias("old_lang"), F.col("source").alias("old_source"))
+    x = x.join(before, ["source_hash", "nth"], "left")
+    writes = x.groupBy("source_hash").agg(F.count_if(F.coalesce((F.col("lang") != F.col("old_lang")) | (F.col("source") != F.col("old_source")), F.lit(True))).alias("writes"))
+    entries = k.select(F.lit("").alias("source_html"), "text", "lang", "source", "doc_id").select(
+        F.col("text").alias("source_text"), "source_html", F.lit("x").alias("translated_html"), F.col("lang").alias("target_language"), F.col("source").alias("source_project"), F.lit(1.0).alias("confidence"), F.lit(None).cast("timestamp").alias("updated_at"), F.col("doc_id").alias("seq"),
+    )
+    held = memory.upserted(spark.createDataFrame([], memory.SCHEMA), entries)
+    return held.select("source_hash", F.col("target_language").alias("lang"), F.col("source_project").alias("source")).join(writes, "source_hash")
 
 
 @query

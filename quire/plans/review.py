@@ -6,6 +6,7 @@ for curated and imported terms."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +14,11 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as t
 from quire.operators import audit, batches, checks, jobs, memory, reports, terms, usage
-from quire.sources import formats, html, records
+from quire.session import hadoop, shared_dir
+from quire.sources import formats, html, records, versions
+from quire.streaming import events
 
+from .oracles import ORACLES as _ORACLES
 from .oracles import _CURATED, _EDGES, _LINE_ROWS, _LINES, _MARKS, _MASKED, _NAME, _PAIRS, _PATH, _noise, _packed
 from .tables import curated, imported, lines, pairs, table
 
@@ -369,6 +373,25 @@ def memory_after_import(spark: SparkSession, d: str) -> DataFrame:
     return after.select("source_hash", "target_language", "confidence", F.length("translated_html").cast("long").alias("chars"))
 
 
+@query(f"WITH {_MEMORY} SELECT h AS source_hash, CASE WHEN n.t IS NOT NULL THEN 'fr' ELSE 'en' END AS target_language, length(coalesce(n.t, 'old')) AS chars, CASE WHEN n.t IS NOT NULL THEN 2 ELSE 1 END AS since, 2 AS versions FROM (SELECT h FROM old UNION SELECT h FROM new) LEFT JOIN new n USING (h)")
+def memory_kept(spark: SparkSession, d: str) -> DataFrame:
+    """A memory kept in the shared folder: filled, changed by an import, and told the same again, which makes no version; its
+    entries with the version that each is of."""
+    path = f"{shared_dir(spark)}/memory-{uuid.uuid4().hex}"
+    p, fs = hadoop(spark, path)
+    fs.deleteOnExit(p)
+    memory.remember(spark, path, _memory(spark, d).withColumn("seq", F.lit(0)))
+    memory.take_in(spark, path, _entries(spark, d), "q", "fr")
+    memory.remember(spark, path, memory.stored(spark, path).withColumn("seq", F.lit(0)))
+    now, first = memory.stored(spark, path), memory.stored(spark, path, 1)
+    x = now.join(first.select("source_hash", *[F.col(c).alias(f"old_{c}") for c in memory.FIELDS]), "source_hash", "left")
+    same = F.lit(True)
+    for c in memory.FIELDS:
+        same = same & F.col(c).eqNullSafe(F.col(f"old_{c}"))
+    last = versions.versions(spark, path)[-1]
+    return x.select("source_hash", "target_language", F.length("translated_html").cast("long").alias("chars"), F.when(same, 1).otherwise(last).alias("since"), F.lit(last).alias("versions"))
+
+
 @query(
     """WITH s AS (SELECT conv_id * 1000 + turn AS pos, conv_id, turn FROM conversations WHERE role = 'user'), a AS (SELECT conv_id * 1000 + turn - 1 AS pos, text FROM conversations WHERE role = 'assistant')
     SELECT s.pos, CASE WHEN a.text IS NOT NULL AND s.conv_id % 2 = 0 THEN 'service' WHEN s.turn % 4 = 0 THEN 'memory' END AS origin,
@@ -410,6 +433,37 @@ def job_status(spark: SparkSession, d: str) -> DataFrame:
     return jobs.folded_status(_log(spark, d), "job", "event_id", "type")
 
 
+def _streamed(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
+    """The events as a stream, with one of a job of its own long after, which tells that the log has gone on; and a
+    folder for what the stream writes."""
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    p, fs = hadoop(spark, path)
+    fs.deleteOnExit(p)
+    e = table(spark, d, "events")
+    later = e.agg(F.max("event_id") + 1, F.max("ts") + F.expr("INTERVAL 61 DAYS"), F.max("user_id") + 1).toDF("event_id", "ts", "user_id")
+    later.select("event_id", "ts", "user_id", F.lit("view").alias("event_type"), F.lit(0.0).alias("value"), F.lit("").alias("props")).write.parquet(f"{path}/later")
+    return events.log(spark, f"{d}/events.parque[t]").unionByName(events.log(spark, f"{path}/later")), path
+
+
+@query(f"""WITH {_LOG}, x AS (SELECT *, {_AFTER} AS after FROM log) SELECT job, coalesce(arg_max(after, event_id) FILTER (after IS NOT NULL), 'preparing') AS status, count(*) AS events,
+    CASE WHEN arg_max(type, event_id) = 'packaging' THEN 'package' ELSE 'translate' END AS stage, max(event_id) AS last_event, list_sort(list(event_id))[-5:] AS tail FROM x GROUP BY job""")
+def stream_job_status(spark: SparkSession, d: str) -> DataFrame:
+    """Jobs' states as a stream folds them from the log, with their last five events."""
+    stream, path = _streamed(spark, d)
+    log = stream.select("user_id", "event_id", "ts", kind_of(F.col("event_type")).alias("type"))
+    events.gathered(events.statuses(log, "user_id", "event_id", "type", most=5, late="60 days"), f"{path}/out", f"{path}/checkpoint")
+    x = spark.read.parquet(f"{path}/out").groupBy("job").agg(F.max_by(F.struct("status", "events", "stage", "last_event", "tail"), "events").alias("s"))
+    return x.select("job", "s.*").join(table(spark, d, "events").select(F.col("user_id").alias("job")).distinct(), "job", "left_semi")
+
+
+@query(_ORACLES["rate_limit_windows"])
+def stream_rate_limits(spark: SparkSession, d: str) -> DataFrame:
+    """The delays of rate_limit_windows, by a stream that keeps what it needs of each job in state."""
+    stream, path = _streamed(spark, d)
+    events.written(events.limited(stream, 2, 40, 21600, late="60 days"), f"{path}/out", f"{path}/checkpoint")
+    return spark.read.schema(events.LIMITED).parquet(f"{path}/out").select("event_id", "delay")
+
+
 @query(
     f"""WITH {_LOG}, s AS (SELECT job, batch, max(event_id) FILTER (type = 'batch-started') AS since, max(event_id) FILTER (type IN ('batch-completed', 'batch-failed')) AS ended FROM log GROUP BY ALL),
     o AS (SELECT job, max(event_id) AS over FROM log WHERE type = 'completed' GROUP BY job), f AS (SELECT job, batch, since FROM s LEFT JOIN o USING (job) WHERE since IS NOT NULL AND (ended IS NULL OR ended < since) AND (over IS NULL OR over < since))

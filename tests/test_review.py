@@ -266,14 +266,18 @@ def test_memories_are_imported(spark, tmp_path):
     one = {"source_text": "Hello", "translated_html": "<p>Hallo</p>"}
     (tmp_path / "a.json").write_text(json.dumps({"segments": {"k": one | {"source_hash": "k"}, "l": {"translated_html": " "}}}))
     (tmp_path / "b.jsonl").write_text(json.dumps(one) + "\n" + json.dumps(one | {"translated_html": "later", "target_language": "de"}) + "\n")
-    (tmp_path / "c.json").write_text(json.dumps([one | {"confidence": 0.5}, 7]))
+    (tmp_path / "c.json").write_text(json.dumps([one | {"confidence": 0.5, "updated_at": "2020-01-02T03:04:05Z"}, 7]))
+    (tmp_path / "d.jsonl").write_text(json.dumps(one) + "\n7\n")
     none = spark.createDataFrame([], memory.SCHEMA)
     after, counts = memory.imported(none, memory.read(spark, str(tmp_path / "a.json")), "p", "fr")
     assert tuple(counts.first()) == (1, 1) and values(after, "source_hash", "target_language", "source_project", "confidence") == [("k", "fr", "p", 1.0)]
     after, counts = memory.imported(after, memory.read(spark, str(tmp_path / "b.jsonl")), "p", "fr")
     assert counts.first()["imported"] == 2 and values(after, "translated_html") == [("<p>Hallo</p>",), ("later",)]
     assert memory.stats(after).first()["segment_entries"] == 2
-    _, counts = memory.imported(none, memory.read(spark, str(tmp_path / "c.json")), "p", "fr")
+    # What is no object is dropped from a list, and skipped as an entry of JSON Lines; a time that is told is kept.
+    after_list, counts = memory.imported(none, memory.read(spark, str(tmp_path / "c.json")), "p", "fr")
+    assert tuple(counts.first()) == (1, 0) and str(after_list.first()["updated_at"]) == "2020-01-02 03:04:05"
+    _, counts = memory.imported(none, memory.read(spark, str(tmp_path / "d.jsonl")), "p", "fr")
     assert tuple(counts.first()) == (1, 1)
     memory.exported(after, str(tmp_path / "out"))
     again, _ = memory.imported(none, memory.read(spark, str(tmp_path / "out" / "part-*.json")), "p", "fr")
