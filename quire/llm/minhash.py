@@ -6,7 +6,8 @@ hash functions: two sets agree in a coordinate with the probability of their sim
 
 1. Documents of equal sets form a class, which from here on counts as one document.
 2. Every class is posted under each of its coordinate-value pairs. Pairs under which no other class is posted are dropped;
-   a class with fewer than MATCHES others can collide with none often enough.
+   a class with fewer than MATCHES others can collide with none often enough. Most classes have no near copy, and already
+   the first FIRST coordinates tell: only those that share at least two of these with another class are posted in full.
 3. Prefix and skip: of two classes that collide MATCHES times, each has one of the other's collisions among its
    COORDINATES - MATCHES + 1 rarest pairs. Only these posting lists are merged; the MATCHES - 1 longest of each class are
    skipped, and looked up in the signatures of what has met.
@@ -16,8 +17,9 @@ hash functions: two sets agree in a coordinate with the probability of their sim
    blocks, across components only. So large groups of near copies cost in proportion to their size, and no list is
    left out.
 
-At a similarity of 0.8 just, 48 coordinates agree in fewer than 18 places with a probability of 2e-11, and more alike sets
-less often: that is the chance that a link is missed. What is returned as linked is exact.
+At a similarity of 0.8 just, 80 coordinates agree in fewer than 40 places with a probability of 5e-10, and the first 16 in
+fewer than two with 4e-10, and more alike sets less often: that is the chance that a link is missed. What is returned as
+linked is exact.
 
 A null or empty text, or one without words, has an empty set and is its own component; with fewer than 4 words the whole
 sequence is the one shingle. Repeated rows are copies. A null doc_id takes part in linking but names no component unless all
@@ -38,7 +40,7 @@ from . import jaccard
 from .common import ascii_lower_words, batched, forgotten, frugal, text_or_empty, written
 
 SHINGLE, PERCENT = 4, 80
-COORDINATES, MATCHES = 48, 18
+COORDINATES, MATCHES, FIRST = 80, 40, 16
 #: Sets are gone through in slices of so many shingles, so that signatures of long texts take bounded memory.
 SLICE = 512
 _SEEDS = jaccard._mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64) * jaccard._P)
@@ -100,18 +102,26 @@ def postings(classes: DataFrame, hot: int | None = None) -> DataFrame:
     """(column, salt, cls, size, at): of classes (cls, n, signature) the posts of each one's prefix. `at` is how many of
     its pairs are rarer; `size` the set's."""
     hot = hot or jaccard.HOT
-    posts = classes.select("cls", "n", F.posexplode("signature").alias("coordinate", "value")).select("cls", "n", F.xxhash64("coordinate", "value").alias("column"))
-    posts = written(posts, "posts")
-    shared = posts.groupBy("column").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    kept = posts.join(shared, "column").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("many", "column"))).alias("pairs")).where(F.size("pairs") >= MATCHES)  # 48 at most
+    head, shared = _shared(classes.withColumn("signature", F.slice("signature", 1, FIRST)))
+    some = head.join(shared, "column").groupBy("cls").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("cls")
+    some = written(classes.join(some, "cls", "left_semi"), "some")
+    posts, shared = _shared(some)
+    kept = posts.join(shared, "column").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("many", "column"))).alias("pairs")).where(F.size("pairs") >= MATCHES)  # COORDINATES at most
     prefix = F.slice("pairs", 1, F.size("pairs") - MATCHES + 1)
     x = kept.select("cls", "n", (COORDINATES - F.size("pairs")).alias("alone"), F.posexplode(prefix).alias("place", "pair"))
     salt = F.when(F.col("pair.many") > hot, 1 + F.pmod(F.xxhash64("cls"), F.ceil(F.col("pair.many") / hot))).otherwise(0)
     out = written(x.select("pair.column", salt.cast("int").alias("salt"), "cls", F.col("n").cast("int").alias("size"), (F.col("alone") + F.col("place")).alias("at")), "prefixes")
-    forgotten(posts)
+    forgotten(head, posts, some)
     return out
 
 
+def _shared(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The posts of classes (cls, n, column), and how many classes those columns have that have several."""
+    posts = classes.select("cls", "n", F.posexplode("signature").alias("coordinate", "value")).select("cls", "n", F.xxhash64("coordinate", "value").alias("column"))
+    posts = written(posts, "posts")
+    return posts, posts.groupBy("column").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+
+
 def _fits(n: Column, m: Column) -> Column:
     """Whether sets of these sizes can link."""
     return F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT

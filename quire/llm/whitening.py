@@ -83,6 +83,7 @@ def primes(bound: int) -> list[int]:
     """The largest primes below 2^22, as many as it takes for their product to exceed twice the bound."""
     top = 1 << PRIME_BITS
     out: list[int] = []
+    bound = max(bound, 1)
     span = 4096  # numbers are sieved from the top in windows of this many
     while prod(out) <= 2 * bound:
         is_prime = np.ones(span, bool)

@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline
-from quire.llm import jaccard, licences, lm, media, mixing, packing, pii, quality, secrets, winnowing
+from quire.llm import jaccard, licences, lm, media, minhash, mixing, packing, pii, quality, secrets, spelling, winnowing
 
 LONG = "word " * 3000 + "x" * 30000 + " 1" * 3000
 ROWS = [
@@ -16,8 +16,9 @@ OPERATORS = {
     "lm": lambda d, l: lm.lm_scores(d), "secrets": lambda d, l: secrets.secret_spans(d), "redacted": lambda d, l: secrets.redacted(d), "jaccard": lambda d, l: jaccard.jaccard_components(d), "one_of_each": lambda d, l: jaccard.one_of_each(d),
     "quality": quality.quality_scores, "licences": lambda d, l: licences.license_spans(d), "mix": lambda d, l: mixing.mix(d), "mixed": lambda d, l: mixing.mixed_documents(d), "packing": lambda d, l: packing.packed(d),
     "pii": lambda d, l: pii.personal_spans(d), "sanitised": lambda d, l: pii.sanitised(d), "winnowing": lambda d, l: winnowing.edited_fingerprints(d), "media": lambda d, l: media.media_features(d),
+    "minhash": lambda d, l: minhash.minhash_components(d), "spelling": lambda d, l: spelling.spelling_variants(d),
 }
-PER_ROW = {"lm", "secrets", "redacted", "jaccard", "quality", "licences", "mix", "pii", "sanitised", "winnowing", "media"}
+PER_ROW = {"lm", "secrets", "redacted", "jaccard", "quality", "licences", "mix", "pii", "sanitised", "winnowing", "media", "minhash"}
 
 
 @pytest.fixture(scope="module")
