@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as t
-from quire.operators.folds import changes, numbered, positions
+from quire.operators.folds import changes, nearest_rank, numbered, positions
 from quire.session import written
 
 #: Rows that go back to Spark at a time.
@@ -189,21 +189,32 @@ def manifest(packed_rows: DataFrame, key: str) -> DataFrame:
     return m.withColumn("estimated_tokens", t.tokens_of_chars(F.col("source_chars")))
 
 
+def _sizes(blocks: DataFrame, key: str, size: str) -> tuple[DataFrame, DataFrame]:
+    """How often each size occurs in each key, and from that per key count, sum, largest and 95th percentile (nearest
+    rank)."""
+    counts = blocks.where(F.col(size).isNotNull()).groupBy(key, F.col(size).alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    s = blocks.groupBy(key).agg(F.count(F.lit(1)).alias("block_count"), F.sum(size).cast("long").alias("total_chars"), F.max(size).cast("long").alias("max_block_chars"))
+    p95 = nearest_rank(counts, key, "size", 95, "p95").select(F.col(key).alias("q_key"), F.col("p95").cast("long").alias("p95_block_chars"))
+    return counts, s.join(p95, F.col(key).eqNullSafe(F.col("q_key")), "left").drop("q_key")
+
+
+def _oversized(s: DataFrame, counts: DataFrame, key: str) -> DataFrame:
+    """s with how many of each key's blocks are larger than its batches."""
+    limits_ = s.select(F.col(key).alias("q_key"), F.col("batch_chars").alias("q_most"))
+    over = counts.join(limits_, F.col(key).eqNullSafe(F.col("q_key")) & (F.col("size") > F.col("q_most"))).groupBy("q_key").agg(F.sum("n").alias("oversized"))
+    return s.join(over, F.col(key).eqNullSafe(F.col("q_key")), "left").drop("q_key").withColumn("oversized", F.coalesce("oversized", F.lit(0).cast("long")))
+
+
 def plan(blocks: DataFrame, key: str, size: str) -> DataFrame:
     """Per key: size statistics, the batch size they ask for, and what that gives. The percentile is the
     nearest rank."""
-    s = blocks.groupBy(key).agg(
-        F.count(F.lit(1)).alias("block_count"), F.sum(size).cast("long").alias("total_chars"), F.max(size).cast("long").alias("max_block_chars"),
-        F.expr(f"percentile_disc(0.95) within group (order by {size})").cast("long").alias("p95_block_chars"),
-    )
+    counts, s = _sizes(blocks, key, size)
     limit = (
         F.when((F.col("total_chars") > 0) & (F.col("total_chars") < 40000) & (F.col("max_block_chars") < 4000), 8000)
         .when((F.col("total_chars") > 800000) | (F.col("p95_block_chars") > 3000), 5000)
         .otherwise(6000)
     )
-    s = s.withColumn("batch_chars", limit.cast("long"))
-    over = blocks.join(s.select(key, "batch_chars"), key).where(F.col(size) > F.col("batch_chars")).groupBy(key).agg(F.count(F.lit(1)).alias("oversized"))
-    s = s.join(over, key, "left").withColumn("oversized", F.coalesce("oversized", F.lit(0)))
+    s = _oversized(s.withColumn("batch_chars", limit.cast("long")), counts, key)
     return s.withColumn("estimated_batches", F.ceil(F.col("total_chars") / F.col("batch_chars")).cast("long"))
 
 
@@ -234,15 +245,12 @@ def found(manifest_rows: DataFrame, number: int) -> DataFrame:
 def profile(blocks: DataFrame, key: str, size: str, pdf: Column, asked: int | None = None) -> DataFrame:
     """Per key the whole preparation plan: statistics, batch size (that of a PDF first, or the one asked for),
     what it gives, and warnings. pdf: whether the key's source is one."""
-    s = blocks.groupBy(key).agg(
-        F.count(F.lit(1)).alias("block_count"), F.sum(size).cast("long").alias("total_chars"), F.max(size).cast("long").alias("max_block_chars"),
-        F.expr(f"percentile_disc(0.95) within group (order by {size})").cast("long").alias("p95_block_chars"), F.bool_or(pdf).alias("pdf"),
-    )
+    counts, s = _sizes(blocks, key, size)
+    told = blocks.groupBy(key).agg(F.bool_or(pdf).alias("pdf")).withColumnRenamed(key, "q_key")
+    s = s.join(told, F.col(key).eqNullSafe(F.col("q_key"))).drop("q_key")
     small = (F.col("total_chars") > 0) & (F.col("total_chars") < 40000) & (F.col("max_block_chars") < 4000)
     limit = F.when(F.col("pdf"), 4500).when(small, 8000).when((F.col("total_chars") > 800000) | (F.col("p95_block_chars") > 3000), 5000).otherwise(6000)
     limit = F.lit(min(max(asked, 1000), 100_000)) if asked is not None else F.least(F.greatest(limit, F.lit(3000)), F.lit(10_000))
-    s = s.withColumn("batch_chars", limit.cast("long"))
-    over = blocks.join(s.select(key, "batch_chars"), key).where(F.col(size) > F.col("batch_chars")).groupBy(key).agg(F.count(F.lit(1)).alias("oversized"))
-    s = s.join(over, key, "left").withColumn("oversized", F.coalesce("oversized", F.lit(0)))
+    s = _oversized(s.withColumn("batch_chars", limit.cast("long")), counts, key)
     warnings = F.concat_ws(",", F.when(F.col("block_count") == 0, "no-text-detected"), F.when(F.col("oversized") > 0, "oversized-source-blocks"))
     return s.withColumn("estimated_batches", F.greatest(F.lit(1), F.ceil(F.col("total_chars") / F.col("batch_chars"))).cast("long")).withColumn("tokens_per_batch", t.tokens_of_chars(F.col("batch_chars"))).withColumn("warnings", warnings)

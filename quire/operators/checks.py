@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.functions import text as t
 
+LATIN = re.compile("[A-Za-z]")
+
 #: What a placeholder looks like.
 PLACEHOLDER = (
     r"(?i)第\s*[0-9一二三四五六七八九十百]+\s*段\s*译文|段译文|>\s*译文\s*<|[。！？；：，、]\s*译文\s*[。！？；：，、<]|"
@@ -83,15 +92,67 @@ def marks_drift(source: Column, target: Column) -> Column:
     return out
 
 
+#: Letters of terms that one automaton holds: it takes about fifty bytes for each.
+TERM_LETTERS = 4_000_000
+_automata: dict[str, Any] = {}
+
+
+def _automaton(name: str, terms: list[str]) -> Any:
+    """The automaton of some terms, built once in a worker; that of another part takes its place."""
+    if name not in _automata:
+        import ahocorasick
+
+        _automata.clear()
+        a = ahocorasick.Automaton()
+        for x in terms:
+            a.add_word(x, (len(x), LATIN.search(x) is not None))
+        a.make_automaton()
+        _automata[name] = a
+    return _automata[name]
+
+
+def found(automaton: Any, text: str) -> set[str]:
+    """The terms that occur in a text, under the rule of `holds_term`: those with a Latin letter not beside one."""
+    out = set()
+    for end, (n, bounded) in automaton.iter(text):
+        start = end - n + 1
+        if not (bounded and (start and LATIN.match(text[start - 1]) or end + 1 < len(text) and LATIN.match(text[end + 1]))):
+            out.add(text[start : end + 1])
+    return out
+
+
 def term_hits(rows: DataFrame, terms: DataFrame, text: str, key: list[str]) -> DataFrame:
-    """(key, term): which terms occur in which rows. Terms' first words meet the rows' words in an equi-join,
-    and only what meets is verified, so the work does not grow with rows times terms."""
-    word = r"[A-Za-z]+|[^A-Za-z\s]"
-    first = terms.select("source", F.regexp_extract("source", word, 0).alias("q_word")).distinct()
-    words = rows.select(*key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(word), F.lit(0)))).alias("q_word"))
-    near = words.join(first, "q_word").drop("q_word").distinct()
-    texts = rows.select(*key, F.col(text).alias("q_text"))
-    return near.join(texts, key).where(t.holds_term(F.col("q_text"), F.col("source"))).select(*key, F.col("source").alias("term"))
+    """(key, term): which terms (source) occur in which rows. Every text is gone through once, by an automaton of all terms
+    that each worker builds; terms of more than TERM_LETTERS letters in all are cut by hash into parts of that size, and texts
+    are gone through once a part. Nothing is joined, so neither a frequent word nor the number of terms makes tasks uneven."""
+    spark = rows.sparkSession
+    terms = terms.where("source <> ''").select("source").distinct()
+    letters = terms.agg(F.sum(F.length("source"))).first()[0] or 0
+    parts = max(1, -(-letters // TERM_LETTERS))
+    x = rows.select(*key, F.coalesce(F.col(text), F.lit("")).alias("q_text"))
+    schema = T.StructType([*[x.schema[k] for k in key], T.StructField("term", T.StringType())])
+    out = spark.createDataFrame([], schema)
+    for i in range(parts):
+        held = terms if parts == 1 else terms.where(F.pmod(F.xxhash64("source"), F.lit(parts)) == i)
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, [r["source"] for r in held.toLocalIterator()]))  # at most about TERM_LETTERS
+
+        def search(batches: Iterator[pa.RecordBatch], shared: Any = shared) -> Iterator[pa.RecordBatch]:
+            name, listed = shared.value
+            if not listed:
+                return
+            automaton = _automaton(name, listed)
+            for b in batches:
+                at, hits = [], []
+                for j, value in enumerate(b.column(len(key)).to_pylist()):
+                    new = found(automaton, value)
+                    at += [j] * len(new)
+                    hits += new
+                take = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([*[b.column(c).take(take) for c in range(len(key))], pa.array(hits, pa.string())], [*key, "term"])
+
+        more = x.mapInArrow(search, schema)
+        out = more if i == 0 else out.unionByName(more)
+    return out
 
 
 def roll_up(issues: DataFrame, rows: DataFrame, chapter: str, most: int = 10) -> DataFrame:

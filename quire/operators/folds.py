@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,6 +67,21 @@ def positions(df: DataFrame, by: str, ties: list[Column], to: str, ranges: int |
     return x.join(F.broadcast(offsets), "q_range").withColumn(to, at + F.col("q_before") + 1).drop("q_at", "q_range", "q_before")
 
 
+def nearest_rank(counts: DataFrame, key: str, value: str, percent: int, to: str, width: int = 1024) -> DataFrame:
+    """(key, `to`) of (key, value, n: how often): the least value (a whole number of at least 0) up to which a percentage of
+    the occurrences lie. Running sums are taken over ranges of `width` values, and then within the one range that the
+    rank falls into, so what meets in a task is neither all rows nor all values of a key."""
+    x = counts.withColumn("q_range", F.floor(F.col(value) / width))
+    ranges = x.groupBy(key, "q_range").agg(F.sum("n").alias("n"))
+    whole = Window.partitionBy(key)
+    ranges = ranges.withColumn("q_upto", F.sum("n").over(whole.orderBy("q_range"))).withColumn("q_all", F.sum("n").over(whole))
+    reached = F.col("q_upto") * 100 >= F.col("q_all") * percent
+    first = ranges.where(reached).groupBy(key).agg(F.min_by(F.struct("q_range", (F.col("q_upto") - F.col("n")).alias("before"), "q_all"), "q_range").alias("q")).select(F.col(key).alias("q_key"), "q.*")
+    x = x.join(first.withColumnRenamed("q_range", "q_chosen"), F.col(key).eqNullSafe(F.col("q_key")) & (F.col("q_range") == F.col("q_chosen")))
+    x = x.withColumn("q_upto", F.col("before") + F.sum("n").over(whole.orderBy(value)))
+    return x.where(F.col("q_upto") * 100 >= F.col("q_all") * percent).groupBy(key).agg(F.min(value).alias(to))
+
+
 def numbered(df: DataFrame, key: str, order: list[Column], to: str = "seq") -> DataFrame:
     """df with `to`: the place from 1 of every row among those of its key, in order. Rows are dealt out by ranges of key and
     order, so a key with any share of the rows is spread over as many tasks; what its earlier ranges hold is added."""

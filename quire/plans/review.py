@@ -596,16 +596,22 @@ def completed_outputs(spark: SparkSession, d: str) -> DataFrame:
     return done.join(table(spark, d, "documents").select("doc_id").distinct(), "doc_id", "left_semi")
 
 
-_JSON = "x AS (SELECT event_id AS line, CASE WHEN event_id % 10 = 3 THEN substr(props, 1, length(props) - 1) WHEN event_id % 10 = 7 THEN '[1]' ELSE props END AS value FROM events)"
+_JSON = "x AS (SELECT event_id // 3000 AS part, row_number() OVER (PARTITION BY event_id // 3000 ORDER BY event_id) AS line, CASE WHEN event_id % 10 = 3 THEN substr(props, 1, length(props) - 1) WHEN event_id % 10 = 7 THEN '[1]' WHEN event_id % 100 = 5 THEN ' ' ELSE props END AS value FROM events)"
 
 
-@query(f"WITH {_JSON} SELECT line, coalesce(CASE WHEN json_valid(value) AND value LIKE '{{%' THEN TRY_CAST(json_extract_string(CASE WHEN json_valid(value) THEN value END, '$.k') AS BIGINT) END, -1) AS k, CASE WHEN json_valid(value) AND value LIKE '{{%' THEN NULL ELSE 'events.jsonl:' || line || ': no JSON object' END AS error FROM x")
+@query(f"WITH {_JSON} SELECT part, line, coalesce(CASE WHEN json_valid(value) AND value LIKE '{{%' THEN TRY_CAST(json_extract_string(CASE WHEN json_valid(value) THEN value END, '$.k') AS BIGINT) END, -1) AS k, CASE WHEN json_valid(value) AND value LIKE '{{%' THEN NULL ELSE line || ': no JSON object' END AS error FROM x WHERE trim(value) <> ''")
 def json_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Lines parsed as JSON objects; what is none is named by its file and line."""
+    """The events' properties as files of JSON Lines, written, read back with the number of each line, and parsed; what is
+    no object is named by its line. Files end lines with CR LF."""
+    path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    p, fs = hadoop(spark, path)
+    fs.deleteOnExit(p)
     props, k = F.col("props"), F.col("event_id") % 10
-    value = F.when(k == 3, F.substring(props, F.lit(1), F.length(props) - 1)).when(k == 7, "[1]").otherwise(props)
-    x = table(spark, d, "events").select(F.lit("events.jsonl").alias("path"), F.col("event_id").alias("line"), value.alias("value"))
-    return records.parsed(x, "k long").select("line", F.coalesce("row.k", F.lit(-1)).cast("long").alias("k"), "error")
+    value = F.when(k == 3, F.substring(props, F.lit(1), F.length(props) - 1)).when(k == 7, "[1]").when(F.col("event_id") % 100 == 5, " ").otherwise(props)
+    x = table(spark, d, "events").select(F.floor(F.col("event_id") / 3000).alias("part"), "event_id", F.concat(value, F.lit("\r")).alias("value"))
+    x.repartition("part").sortWithinPartitions("part", "event_id").select("part", "value").write.partitionBy("part").text(path)
+    lines_ = records.parsed(records.numbered_lines(spark, f"{path}/part=*"), "k long")
+    return lines_.select(F.regexp_extract("path", "/part=([0-9]+)/", 1).cast("long").alias("part"), "line", F.coalesce("row.k", F.lit(-1)).cast("long").alias("k"), F.regexp_extract("error", "([0-9]+: .*)$", 1).alias("error"))
 
 
 @query(

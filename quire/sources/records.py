@@ -2,17 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as t
+from quire.operators.folds import changes
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line, value): the non-blank lines of each file with their number from 1. A file is read whole by one
-    task, as line numbers are the file's."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", r"\r?\n")).alias("pos", "value"))
-    return raw.where(t.strip(F.col("value")) != "").select("path", (F.col("pos") + 1).cast("long").alias("line"), "value")
+    """(path, line, value): the non-blank lines of each file with their number from 1; lines end with LF, CR LF or CR. A file
+    is read by as many tasks as it has splits: each numbers its lines from the split's start, and what earlier splits of
+    the file hold is added. Only the splits are counted first, by an aggregate, so no file has to fit into a task."""
+    place = F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start")
+    raw = spark.read.text(path).select(*place, "value")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths, starts, count = None, None, 0
+        for b in batches:
+            if not (n := b.num_rows):
+                continue
+            new, at = changes(b.column(0), paths) | changes(b.column(1), starts), np.arange(n)
+            first = np.maximum.accumulate(np.where(new, at, -1))
+            place = np.where(first >= 0, at - first, at + count) + 1
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(place), b.column(2)], ["path", "start", "line", "value"])
+            paths, starts, count = b.column(0).slice(n - 1), b.column(1).slice(n - 1), int(place[-1])
+
+    lines = raw.mapInArrow(number, "path string, start long, line long, value string").where(t.strip(F.col("value")) != "")
+    # Files of one split need no counts: their only split starts at 0.
+    counts = spark.read.text(path).where(F.col("_metadata.file_block_length") < F.col("_metadata.file_size")).select(*place).groupBy("path", "start").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))).where("before > 0").select("path", "start", "before")
+    return lines.join(before, ["path", "start"], "left").select("path", (F.col("line") + F.coalesce("before", F.lit(0))).alias("line"), "value")
 
 
 def parsed(lines: DataFrame, schema: str, value: str = "value") -> DataFrame:
