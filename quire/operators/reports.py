@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as t
 from quire.operators import checks
+from quire.session import written
 
 #: How much of it a report lists.
 LISTED, PER_KIND, VALIDATION_LISTED = 200, 50, 500
@@ -93,7 +94,8 @@ def quality_issues(rows: DataFrame, persons: DataFrame) -> DataFrame:
 
 
 def quality_report(rows: DataFrame, issues: DataFrame, chapters: DataFrame) -> DataFrame:
-    """One row: totals before any cap; issues listed up to LISTED, and PER_KIND of each kind; the worst chapters.
+    """One row: totals before any cap; issues listed up to LISTED, and PER_KIND of each kind, and how many these are; the
+    worst chapters.
     rows: batch, row_id, source, target; chapters: batch, label, file (the first that is not empty names it)."""
     name = F.coalesce(F.nullif(t.strip("label"), F.lit("")), F.nullif(t.strip("file"), F.lit("")), F.concat(F.lit("batch "), F.col("batch").cast("string")))
     c = chapters.select("batch", name.alias("chapter"))
@@ -103,22 +105,52 @@ def quality_report(rows: DataFrame, issues: DataFrame, chapters: DataFrame) -> D
         F.count(F.lit(1)).alias("row_count"), F.coalesce(F.sum("unchanged"), F.lit(0)).alias("unchanged"), F.coalesce(F.sum(F.length(F.regexp_replace("source", f"{t.WS}+", ""))), F.lit(0)).alias("visible")
     )
     ratio = F.when(F.col("visible") > 0, F.round(F.col("unchanged") / F.greatest("visible", F.lit(1)), 4)).otherwise(0.0)
+    issues = written(issues, "issues")  # what it takes to find them is done once
     placed = issues.join(c, "batch", "left")
-    split = placed.agg(F.count(F.lit(1)).alias("issue_count"), F.count_if(F.col("severity") == "blocking").alias("blocking_count"), F.count_if(F.col("severity") != "blocking").alias("nonblocking_count"), F.countDistinct("chapter").alias("chapters_with_issues"))
-    order = [F.col("batch"), F.col("row_id"), F.col("kind"), F.col("message"), F.col("details").cast("string")]
-    listed = issues.orderBy(*order).limit(LISTED).agg(F.count(F.lit(1)).alias("listed"))
-    kinds = [issues.where(F.col("kind") == k).limit(PER_KIND).agg(F.count(F.lit(1)).alias(to)) for k, to in (("long-untranslated-segment", "long_segments"), ("punctuation-quote-drift", "mark_drifts"), ("person-name-drift", "name_drifts"))]
-    worst = checks.roll_up(placed.select("chapter", "severity"), rows.join(c, "batch"), "chapter").agg(F.array_sort(F.collect_list("chapter")).alias("worst"))
+    kinds = (("long-untranslated-segment", "long_segments", "long_untranslated_segments"), ("punctuation-quote-drift", "mark_drifts", "punctuation_quote_drift"), ("person-name-drift", "name_drifts", "person_name_drift"))
+    split = placed.agg(
+        F.count(F.lit(1)).alias("issue_count"), F.count_if(F.col("severity") == "blocking").alias("blocking_count"), F.count_if(F.col("severity") != "blocking").alias("nonblocking_count"), F.countDistinct("chapter").alias("chapters_with_issues"),
+        F.least(F.count(F.lit(1)), F.lit(LISTED)).alias("listed"), *[F.least(F.count_if(F.col("kind") == k), F.lit(PER_KIND)).alias(to) for k, to, _ in kinds],
+    )
+    lists = [as_list(listed_issues(issues), "issues"), *[as_list(listed_issues(issues.where(F.col("kind") == k), PER_KIND), to) for k, _, to in kinds]]
+    worst = checks.roll_up(placed.select("chapter", "severity"), rows.join(c, "batch"), "chapter")
+    worst = worst.agg(F.array_sort(F.collect_list("chapter")).alias("worst"), F.array_sort(F.collect_list(F.struct("chapter", "rows", "issues", "blocking", (F.col("issues") - F.col("blocking")).alias("nonblocking")))).alias("worst_chapters"))
     chapters_ = rows.join(c, "batch").agg(F.countDistinct("chapter").alias("chapters"))
     out = totals.select("row_count", ratio.alias("untranslated_ratio"))
-    for one in (split, listed, *kinds, worst, chapters_):  # one row each
+    for one in (split, worst, chapters_, *lists):  # one row each
         out = out.crossJoin(one)
     return out
 
 
+#: What issues are listed by.
+ORDER = ("batch", "row_id", "kind", "message")
+
+
 def listed_issues(issues: DataFrame, most: int = LISTED) -> DataFrame:
     """The issues that a report lists, in order."""
-    return issues.orderBy("batch", "row_id", "kind", "message", F.col("details").cast("string")).limit(most)
+    return issues.orderBy(*ORDER, F.to_json("details")).limit(most)
+
+
+def as_list(issues: DataFrame, to: str, first: Column | None = None) -> DataFrame:
+    """One row: the issues of a list as an array, in order (of `first`, if told, before all)."""
+    item = F.struct((first if first is not None else F.lit(0)).alias("first"), *ORDER, F.to_json("details").alias("more"), "severity", F.map_entries("details").alias("entries"))
+    shown = F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["batch"].alias("batch"), x["row_id"].alias("row_id"), x["kind"].alias("kind"), x["severity"].alias("severity"), x["message"].alias("message"), F.map_from_entries(x["entries"]).alias("details")))
+    return issues.agg(shown.alias(to))
+
+
+def combined_report(term_issues_: DataFrame, quality: DataFrame, detected: int, fixed: int) -> DataFrame:
+    """One row: what remains after repairs. quality: a quality report. Issues of terms go first, then those that the quality
+    report lists, LISTED of them in all; a remaining term or a blocking issue of quality fails."""
+    t_ = written(term_issues_, "terms")
+    counts = t_.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("severity") == "blocking").alias("b"))
+    mine = as_list(listed_issues(t_), "glossary_issues")
+    x = counts.crossJoin(mine).crossJoin(quality)  # one row each
+    blocking = F.col("b") + F.col("blocking_count")
+    return x.select(
+        F.when(blocking > 0, "failed").otherwise("passed").alias("status"), (F.lit(detected).cast("long") + F.col("issue_count")).alias("detected"), F.lit(fixed).cast("long").alias("fixed"),
+        (F.col("n") + F.least("issue_count", F.lit(LISTED))).alias("remaining"), blocking.alias("blocking_remaining"), (F.col("n") - F.col("b") + F.col("nonblocking_count")).alias("nonblocking_remaining"),
+        "glossary_issues", F.slice(F.concat("glossary_issues", "issues"), 1, LISTED).alias("issues"), F.struct(*[F.col(c) for c in quality.columns]).alias("quality"),
+    )
 
 
 def validation_report(batches: DataFrame, done: DataFrame, issues: DataFrame) -> DataFrame:

@@ -109,13 +109,34 @@ def quality_issues(spark: SparkSession, d: str) -> DataFrame:
     SELECT (SELECT count(*) FROM pairs) AS row_count, round((SELECT coalesce(sum(n), 0) FROM h) / (SELECT sum(length(regexp_replace(source, '\s+', '', 'g'))) FROM pairs), 4) AS untranslated_ratio, count(*) AS issue_count,
     count(*) FILTER (severity = 'blocking') AS blocking_count, count(*) FILTER (severity <> 'blocking') AS nonblocking_count, count(DISTINCT batch) AS chapters_with_issues, least(count(*), 200) AS listed,
     least(count(*) FILTER (kind = 'long-untranslated-segment'), 50) AS long_segments, least(count(*) FILTER (kind = 'punctuation-quote-drift'), 50) AS mark_drifts, least(count(*) FILTER (kind = 'person-name-drift'), 50) AS name_drifts,
-    (SELECT string_agg(chapter, ',' ORDER BY chapter) FROM (SELECT chapter FROM c JOIN n USING (chapter) ORDER BY b DESC, i DESC, r DESC, chapter LIMIT 10)) AS worst, (SELECT count(*) FROM n) AS chapters FROM issues"""
+    (SELECT string_agg(chapter, ',' ORDER BY chapter) FROM (SELECT chapter FROM c JOIN n USING (chapter) ORDER BY b DESC, i DESC, r DESC, chapter LIMIT 10)) AS worst, (SELECT count(*) FROM n) AS chapters,
+    (SELECT string_agg(batch || ' ' || row_id || ' ' || kind || ' ' || severity, ';' ORDER BY batch, row_id, kind) FROM (SELECT * FROM issues ORDER BY batch, row_id, kind LIMIT 200)) AS issues,
+    (SELECT string_agg(batch || ' ' || row_id, ';' ORDER BY batch, row_id) FROM (SELECT * FROM issues WHERE kind = 'punctuation-quote-drift' ORDER BY batch, row_id LIMIT 50)) AS punctuation_quote_drift FROM issues"""
 )
 def quality_report(spark: SparkSession, d: str) -> DataFrame:
     """The report of one row: totals, the ratio of what is untranslated, capped lists, the worst chapters."""
     rows = _rows(spark, d)
     chapters = rows.select("batch", F.lit("").alias("label"), F.lit("").alias("file")).distinct()
-    return reports.quality_report(rows, _issues(spark, d), chapters).withColumn("worst", F.array_join("worst", ","))
+    r = reports.quality_report(rows, _issues(spark, d), chapters).withColumn("worst", F.array_join("worst", ","))
+    text = lambda c, *fields: F.array_join(F.transform(c, lambda x: F.concat_ws(" ", *[x[f].cast("string") for f in fields])), ";").alias(c)
+    shown = {"issues": text("issues", "batch", "row_id", "kind", "severity"), "punctuation_quote_drift": text("punctuation_quote_drift", "batch", "row_id")}
+    return r.select(*[shown.get(c, F.col(c)) for c in r.columns if c not in ("long_untranslated_segments", "person_name_drift", "worst_chapters")])
+
+
+@query(
+    f"""{_BASE}, {_ISSUES}, g AS (SELECT batch, row_id, 'untranslated-source-term' AS kind, 'blocking' AS severity FROM used WHERE in_target UNION ALL SELECT batch, row_id, 'missing-locked-translation', 'nonblocking' FROM used WHERE NOT in_target AND NOT translated AND translation <> ''),
+    b AS (SELECT (SELECT count(*) FROM g WHERE severity = 'blocking') + (SELECT count(*) FROM issues WHERE severity = 'blocking') AS n),
+    l AS ((SELECT 0 AS part, batch, row_id, kind FROM g ORDER BY batch, row_id, kind LIMIT 200) UNION ALL (SELECT 1, batch, row_id, kind FROM issues ORDER BY batch, row_id, kind LIMIT 200))
+    SELECT CASE WHEN n > 0 THEN 'failed' ELSE 'passed' END AS status, (SELECT count(*) FROM g) + (SELECT count(*) FROM issues) AS detected, 0 AS fixed, (SELECT count(*) FROM g) + least(200, (SELECT count(*) FROM issues)) AS remaining, n AS blocking_remaining,
+    (SELECT count(*) FROM g) + (SELECT count(*) FROM issues) - n AS nonblocking_remaining, (SELECT string_agg(batch || ' ' || row_id || ' ' || kind, ';' ORDER BY part, batch, row_id, kind) FROM (SELECT * FROM l ORDER BY part, batch, row_id, kind LIMIT 200)) AS issues FROM b"""
+)
+def combined_report(spark: SparkSession, d: str) -> DataFrame:
+    """Issues of terms and of quality in one report, those of terms first."""
+    rows = _rows(spark, d)
+    chapters = rows.select("batch", F.lit("").alias("label"), F.lit("").alias("file")).distinct()
+    mine = reports.term_issues(rows, _persons(spark, d))
+    r = reports.combined_report(mine, reports.quality_report(rows, _issues(spark, d), chapters), mine.count(), 0)
+    return r.drop("glossary_issues", "quality").withColumn("issues", F.array_join(F.transform("issues", lambda x: F.concat_ws(" ", x["batch"].cast("string"), x["row_id"], x["kind"])), ";"))
 
 
 @query(f"""{_BASE} SELECT DISTINCT u.batch, u.row_id, length(p.source) AS chars FROM used u JOIN pairs p ON p.conv_id = u.batch AND p.turn::VARCHAR = u.row_id WHERE in_target""")

@@ -199,7 +199,16 @@ def test_quality_report(reviewed, spark):
     assert r["row_count"] == 3 and r["issue_count"] == issues.count() == r["blocking_count"] + r["nonblocking_count"] == r["listed"]
     assert r["worst"] == ["batch 2"] and r["chapters"] == 2 and 0 < r["untranslated_ratio"] < 1
     empty = reports.quality_report(rows.limit(0), issues.limit(0), chapters).first()
-    assert empty["untranslated_ratio"] == 0 and empty["issue_count"] == 0 and empty["worst"] == []
+    assert empty["untranslated_ratio"] == 0 and empty["issue_count"] == 0 and empty["worst"] == [] and empty["issues"] == [] and empty["person_name_drift"] == []
+    # The lists hold the issues themselves, in order, with their details.
+    assert [(x["batch"], x["row_id"], x["kind"], x["message"]) for x in r["issues"]] == sorted((x["batch"], x["row_id"], x["kind"], x["message"]) for x in issues.collect())
+    assert {x["details"]["source"] for x in r["person_name_drift"]} == {"Elm", "King Oak"} and all(x["kind"] == "punctuation-quote-drift" for x in r["punctuation_quote_drift"])
+    assert [(x["chapter"], x["issues"], x["blocking"] + x["nonblocking"]) for x in r["worst_chapters"]] == [("batch 2", r["issue_count"], r["issue_count"])]
+    both = reports.combined_report(reports.term_issues(rows, names), reports.quality_report(rows, issues, chapters), 3, 1).first()
+    assert (both["status"], both["detected"], both["fixed"]) == ("failed", 3 + r["issue_count"], 1) and both["remaining"] == 3 + r["issue_count"] == len(both["issues"]) == both["blocking_remaining"] + both["nonblocking_remaining"]
+    assert [x["kind"] for x in both["issues"][:3]] == [x["kind"] for x in both["glossary_issues"]] and both["quality"]["issue_count"] == r["issue_count"]
+    fine = reports.combined_report(reports.term_issues(rows.limit(0), names), reports.quality_report(rows.limit(0), issues.limit(0), chapters), 0, 0).first()
+    assert (fine["status"], fine["remaining"], fine["issues"]) == ("passed", 0, [])
 
 
 def test_issues_leave_out_empty_details(spark):
