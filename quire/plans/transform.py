@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.markup import TEXT_TAGS, rendered, snippet, structure_issues
 from quire.functions.split import cut
+from quire.session import hadoop
 
 #: A transform takes the rows of one batch (id, source_html) and returns rows (id, translated_html).
 Transform = Callable[[pd.DataFrame], pd.DataFrame]
@@ -90,6 +91,64 @@ def transformed(rows: DataFrame, transform: Transform, retries: int = 2, depth:
     return rows.groupBy("batch").applyInPandas(run, RESULT)
 
 
+#: A round's results: the batch's part (a path of halves: 0 the first, 1 the second), which attempt at it this was, and what a row
+#: that failed has to wait for; `final` if nothing.
+ROUND = "batch long, part string, attempt int, seq long, id string, translated_html string, error string, final boolean, next_part string, next_attempt int"
+
+
+def results(spark: SparkSession, path: str) -> DataFrame:
+    """(batch, id, translated_html, error, round, part): of every row of a path's rounds the result that passed the checks,
+    or else the last error."""
+    x = spark.read.schema(f"{ROUND}, round int").parquet(path)
+    best = F.max_by(F.struct("translated_html", "error", "round", "part"), F.struct(F.col("error").isNull(), "round"))
+    return x.groupBy("batch", "id").agg(best.alias("q")).select("batch", "id", "q.*")
+
+
+def _rounds(spark: SparkSession, path: str) -> list[int]:
+    p, fs = hadoop(spark, path)
+    names = [s.getPath() for s in fs.listStatus(p)] if fs.exists(p) else []
+    # A round that was cut off has no mark of its commit, and is done again in its place.
+    return sorted(int(n.getName()[6:]) for n in names if n.getName().startswith("round=") and fs.exists(hadoop(spark, f"{path}/{n.getName()}/_SUCCESS")[0]))
+
+
+def in_rounds(rows: DataFrame, transform: Transform, path: str, retries: int = 2, depth: int = 8, limit: int = 6000) -> DataFrame:
+    """What `transformed` gives, with every attempt of all batches a round of its own: a job that asks for what is still
+    open, and writes what came. Later rounds ask only for what failed, again or in halves, so neither a lost executor nor
+    a driver that is started anew asks twice for what is written; one that goes on at a path starts with the rows that
+    have no result there. Gives `results`."""
+    spark, ask = rows.sparkSession, _in_pieces(transform, limit)
+
+    def once(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("seq").reset_index(drop=True)
+        part, attempt, n = group["part"].iloc[0], int(group["attempt"].iloc[0]), len(group)
+        try:
+            out = ask(group[["id", "source_html"]])
+            error = _checked(group, out)
+        except Exception as e:  # a transform is foreign code
+            out, error = None, str(e) or type(e).__name__
+        done = group[["batch", "part", "attempt", "seq", "id"]].copy()
+        done["translated_html"] = None if error else list(out["translated_html"])
+        done["error"] = error[:500] if error else None
+        again = attempt < retries
+        done["final"] = not error or not again and (n == 1 or len(part) >= depth)
+        done["next_part"] = part if again else [part + ("0" if i < n // 2 else "1") for i in range(n)]
+        done["next_attempt"] = attempt + 1 if again else 0
+        return done
+
+    have = _rounds(spark, path)
+    number = have[-1] + 1 if have else 0
+    open_ = rows.select("batch", "seq", "id", "source_html")
+    if have:
+        open_ = open_.join(results(spark, path).where(F.col("error").isNull()).select("batch", "id"), ["batch", "id"], "left_anti")
+    open_ = open_.withColumn("part", F.lit("")).withColumn("attempt", F.lit(0))
+    while not open_.isEmpty() or not number:
+        at = f"{path}/round={number}"
+        open_.groupBy("batch", "part", "attempt").applyInPandas(once, ROUND).write.mode("overwrite").parquet(at)
+        failed = spark.read.schema(ROUND).parquet(at).where("error IS NOT NULL AND NOT final").select("batch", "id", F.col("next_part").alias("part"), F.col("next_attempt").alias("attempt"))
+        open_, number = rows.select("batch", "seq", "id", "source_html").join(failed, ["batch", "id"]), number + 1
+    return results(spark, path)
+
+
 def pending(rows: DataFrame, done: DataFrame) -> DataFrame:
     """The rows of batches of which not every row is done: what a resumed run has to do."""
     ok = done.where(F.col("error").isNull()).select("batch", "id")
