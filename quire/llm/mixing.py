@@ -8,8 +8,11 @@ text's words that are distinct, so that texts that repeat themselves are taken l
 
 Strata are a source's documents of like size (a quarter of an octave). From each a sample of fixed size is
 taken: the n lowest ranks, n being the stratum's share of the missing words over its largest size, so that no
-target is exceeded. What rounding leaves is drawn in the same way once more, and the few words then missing are
-filled in order of rank by documents that fit into the gap, FILLS times.
+target is exceeded. The words that rounding leaves, a few documents a source, are filled from a table of how many
+documents of each size are left: the largest size that fits first, then the next, and in the end the one exchange
+(a document more, or one for another) that comes nearest to the target, from above or below. Of one size the lowest
+ranks are taken. So a source ends off its target by at most half of the smallest document that it has left, and mostly
+by much less.
 
 A sample is kept as its stratum's last rank taken, so the documents are never dealt out or ordered: ranks are
 counted per (stratum, rank bucket), only the bucket in which a sample ends is ordered row by row, and the plan is
@@ -32,7 +35,6 @@ from .common import WORD, text_or_empty, written
 
 BUCKETS = 4096
 BANDS = 4  # per octave of sizes
-SAMPLES, FILLS = 2, 4
 
 
 def word_count(text: Column) -> Column:
@@ -131,29 +133,56 @@ def plan(rows: DataFrame, weights: tuple[int, ...], most: int, doc_id: str = "do
     strata = written(strata.join(targets, KEY), "strata")
     short, order = ranked(rows, strata, doc_id), ["q_source", "q_null", "q_band"]
     cuts: list[tuple[DataFrame, list[str]]] = []
-    for i in range(SAMPLES + FILLS):
-        now = held(short, cuts)
-        got = now.groupBy(*KEY).agg(F.sum(F.col("q_size") * (F.col("q_whole") + F.col("q_extra").cast("long"))).alias("got"))
-        need = got.join(targets, KEY).select(*KEY, (F.col("target") - F.col("got")).alias("need"))
-        need = written(need.where("need >= 1"), "need")
-        open_ = now.where(F.col("q_rank").isNotNull() & ~F.col("q_extra"))
-        if i < SAMPLES:  # samples of fixed size from every stratum
-            s = open_.groupBy(*order).agg(F.count(F.lit(1)).alias("n"), F.sum("q_size").alias("words"), F.max("q_size").alias("largest")).join(need, KEY)
-            share = F.least(F.lit(1.0), F.col("need") / F.sum("words").over(Window.partitionBy(*KEY)))  # one row a band
-            s = s.select(*order, F.floor(share * F.col("words") / F.col("largest")).cast("long").alias("limit"), F.col("largest").alias("c_most")).where("limit > 0")
-            cuts.append((_cut(open_, written(s, "samples"), order, F.lit(1).cast("long")), order))
-        else:  # the words still missing
-            cuts.append((_cut(open_, need.select(*KEY, F.col("need").alias("limit"), F.floor("need").cast("long").alias("c_most")), KEY, F.col("q_size")), KEY))
+    need = targets.select(*KEY, (F.col("target") - F.col("q_whole") * F.col("source_size")).alias("need")).where("need >= 1")
+    open_ = short.where(F.col("q_rank").isNotNull())
+    # Samples of fixed size from every stratum.
+    s = open_.groupBy(*order).agg(F.count(F.lit(1)).alias("n"), F.sum("q_size").alias("words"), F.max("q_size").alias("largest")).join(need, KEY)
+    share = F.least(F.lit(1.0), F.col("need") / F.sum("words").over(Window.partitionBy(*KEY)))  # one row a band
+    s = s.select(*order, F.floor(share * F.col("words") / F.col("largest")).cast("long").alias("limit"), F.col("largest").alias("c_most")).where("limit > 0")
+    cuts.append((_cut(open_, written(s, "samples"), order, F.lit(1).cast("long")), order))
+    # The words still missing.
+    now, size = held(open_, cuts), [*KEY, "q_size"]
+    hist = written(now.groupBy(*size).agg(F.count_if(~F.col("q_extra")).alias("left"), F.count_if("q_extra").alias("got")), "sizes")
+    gap = hist.groupBy(*KEY).agg(F.sum(F.col("q_size") * F.col("got")).alias("got")).join(need, KEY).select(*KEY, (F.col("need") - F.col("got")).alias("gap"))
+    left = hist.where("left > 0").groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct(F.col("q_size").alias("size"), F.col("left").alias("n"))), asc=False).alias("sizes"))  # a row a size
+    takes = written(left.join(gap, KEY).select(*KEY, F.explode(filled("sizes", "gap")).alias("f")).select(*KEY, F.col("f.size").alias("q_size"), F.col("f.n").alias("limit"), F.col("f.size").alias("c_most")), "fill")
+    cuts.append((_cut(now.where(~F.col("q_extra")), takes, size, F.lit(1).cast("long")), size))
     return strata, cuts
 
 
+def filled(sizes: str, gap: str) -> Column:
+    """Which sizes (size, n: from the largest down) to take, and how many of each, for a sum near to a gap."""
+    item = "struct<size:bigint,n:bigint>"
+    start = F.struct(F.col(gap).cast("double").alias("gap"), F.array().cast(f"array<{item}>").alias("taken"))
+
+    def step(acc: Column, x: Column) -> Column:
+        n = F.least(x["n"], F.floor(F.greatest(acc["gap"], F.lit(0.0)) / x["size"])).cast("bigint")
+        more = F.struct(x["size"].alias("size"), n.alias("n"))
+        return F.struct((acc["gap"] - n * x["size"]).alias("gap"), F.when(n > 0, F.array_append(acc["taken"], more)).otherwise(acc["taken"]).alias("taken"))
+
+    def finish(acc: Column) -> Column:
+        # Every size of which one is left may be added, by itself or for one that was taken; the nearest sum wins, and nothing if that is nearest.
+        used = lambda size: F.coalesce(F.get(F.filter(acc["taken"], lambda t: t["size"] == size), F.lit(0))["n"], F.lit(0))
+        rest = F.filter(F.col(sizes), lambda x: x["n"] > used(x["size"]))
+        away = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(acc["taken"], lambda t: t["size"]))
+        option = lambda add, drop: F.struct(F.abs(acc["gap"] + drop - add).alias("off"), add.alias("add"), drop.alias("drop"))
+        nearest = F.transform(away, lambda d: F.array_min(F.transform(rest, lambda x: option(x["size"], d))))
+        none = option(F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
+        best = F.array_min(F.filter(F.array_append(nearest, none), lambda o: o.isNotNull()))
+        changed = F.filter(F.transform(acc["taken"], lambda t: F.struct(t["size"].alias("size"), (t["n"] - (t["size"] == best["drop"]).cast("bigint") + (t["size"] == best["add"]).cast("bigint")).alias("n"))), lambda t: t["n"] > 0)
+        new = (best["add"] > 0) & ~F.exists(acc["taken"], lambda t: t["size"] == best["add"])
+        return F.when(new, F.array_append(changed, F.struct(best["add"].alias("size"), F.lit(1).cast("bigint").alias("n")))).otherwise(changed)
+
+    return F.aggregate(sizes, start, step, finish)
+
+
 def _narrow(docs: DataFrame, seed: int) -> DataFrame:
     return written(described(docs.select("doc_id", "source", "text"), seed).select("doc_id", *KEY, "q_size", "q_g", "q_u", "q_band"), "sizes")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 7) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, copies, p (the inclusion probability of
-    a copy beyond the whole ones), and u, which with doc_id names the document's text."""
+    """One row per document: doc_id, size, source_size, target, taken, copies, p (the inclusion probability that a
+    copy beyond the whole ones is ranked by), and u, which with doc_id names the document's text."""
     rows = _narrow(docs, seed)
     strata, cuts = plan(rows, weights, most)
     copies = F.col("q_whole") + F.col("q_extra").cast("long")

@@ -215,13 +215,14 @@ def packed(docs: DataFrame, length: int = LENGTH, grain: int = GRAIN, encode_spe
     library's own setting, and that of the query, is False)."""
     batched(docs.sparkSession)
     p = written(pieces(docs, length, encode_special_tokens), "pieces").withColumn("size", F.ceil(F.col("length") / grain).cast("int"))
-    slices = max(1, -(-p.count() // ROWS_PER_SLICE))
-    p = p.withColumn("slice", F.pmod(F.xxhash64("doc_id", "key", "start"), F.lit(slices)))
+    per_size = written(p.groupBy("size").agg(F.count(F.lit(1)).alias("n")), "sizes")  # a row a size: as many as a sequence has tokens
+    slices = F.broadcast(per_size.select("size", F.ceil(F.col("n") / ROWS_PER_SLICE).alias("slices")))
+    p = p.join(slices, "size").withColumn("slice", F.pmod(F.xxhash64("doc_id", "key", "start"), F.col("slices"))).drop("slices")
     counts = p.groupBy("size", "slice").agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy("size").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     counts = written(counts.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))), "counts")
     whole = length // grain
-    histogram = {int(r["size"]): int(r["n"]) for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}
+    histogram = {int(r["size"]): int(r["n"]) for r in per_size.collect()}
     table = plan(histogram, whole)
     here = Window.partitionBy("size", "slice").orderBy("doc_id", "start", "key")
     ranked = p.withColumn("row", F.row_number().over(here) - 1).join(counts.select("size", "slice", "before"), ["size", "slice"])
