@@ -12,14 +12,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import markup
 from quire.functions import text as t
 from quire.operators import audit, batches, checks, jobs, memory, reports, terms, usage
-from quire.session import hadoop, shared_dir
-from quire.sources import formats, html, records, versions
+from quire.session import hadoop, shared_dir, written
+from quire.sources import books, formats, html, records, versions
 from quire.streaming import events
 
 from .oracles import ORACLES as _ORACLES
-from .oracles import _CURATED, _EDGES, _LINE_ROWS, _LINES, _MARKS, _MASKED, _NAME, _PAIRS, _PATH, _noise, _packed
+from .oracles import _CURATED, _EDGES, _LINE_ROWS, _LINES, _MARKS, _MASKED, _NAME, _PAIRS, _PATH, _PROSE, _V, _noise, _packed
 from .tables import curated, imported, lines, pairs, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -252,17 +253,80 @@ def spine_documents(spark: SparkSession, d: str) -> DataFrame:
     return audit.spine_chapters(b["spine"], b["manifest"]).select("pos", "file")
 
 
-@query(f"WITH {_BOOK} SELECT url AS src FROM pg WHERE contains(url, '#') AND NOT EXISTS (SELECT 1 FROM ids WHERE ids.file = pg.file AND ids.id = regexp_replace(url, '^[^#]*#', ''))")
+# Books of ten pages each: packaged, read back, changed and audited.
+
+
+def _bound(spark: SparkSession, d: str) -> DataFrame:
+    """Books (path, content) of the pages: headings and paragraphs with ids, a link to the next page's third paragraph and
+    one to the outside, and a page list that names one paragraph of each page, be it there or not."""
+    text = lambda x: F.replace(F.replace(x, F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))
+    k = F.col("page_id")
+    chapters = table(spark, d, "pages").select(
+        F.concat(F.lit("book-"), F.floor(k / 10)).alias("book"), k.alias("pos"), F.concat(F.lit("p"), k, F.lit(".xhtml")).alias("file"), t.squeeze(text(F.regexp_extract("html", "<h1>([^<]*)", 1))).alias("title"),
+        F.transform(F.regexp_extract_all("html", F.lit("<p>([^<]*)"), F.lit(1)), text).alias("paragraphs"), F.array(F.concat(F.lit("p"), k + 1, F.lit(".xhtml#p3")), F.lit("https://example.com/")).alias("links"), F.array(F.concat(F.lit("p"), k * 7 % 20 + 1)).alias("targets"),
+    )
+    return written(books.bound(chapters), "books")
+
+
+_TEXT = lambda x: f"""replace(replace({x}, '&quot;', '"'), '&amp;', '&')"""
+_BOUND = rf"""ch AS (SELECT 'book-' || (page_id // 10) AS book, page_id, 'p' || page_id || '.xhtml' AS file, trim(regexp_replace({_TEXT("regexp_extract(html, '<h1>([^<]*)', 1)")}, '\s+', ' ', 'g')) AS title, regexp_extract_all(html, '<p>([^<]*)', 1) AS ps FROM pages),
+    pieces AS (SELECT book, page_id, file, title, 0 AS n, 'h1' AS tag, title AS piece FROM ch UNION ALL SELECT book, page_id, file, title, generate_subscripts(ps, 1), 'p', {_TEXT("unnest(ps)")} FROM ch),
+    vs AS (SELECT *, {_V} FROM pieces), bl AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY n) AS seq FROM vs WHERE {_PROSE}),
+    ord AS (SELECT page_id, row_number() OVER (PARTITION BY book ORDER BY page_id) AS "order" FROM ch)"""
+
+
+@query(f"""WITH {_BOUND} SELECT book, "order", file, title AS label, seq, tag, length(v) AS chars, length(v) + 2 AS after FROM bl JOIN ord USING (page_id)""")
+def book_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of packaged books, and what is read of them after each was replaced by a longer one."""
+    bound = _bound(spark, d)
+    found = written(books.blocks_in(bound), "blocks")
+    longer = found.select("book", F.format_string("%s::%04d", "file", "seq").alias("id"), F.regexp_replace("html", "</([a-z0-9]+)>$", " +</$1>").alias("html"))
+    after = books.blocks_in(books.applied_in(bound, longer)).select("book", "file", "seq", F.length("text").cast("long").alias("after"))
+    x = found.select("book", F.col("order").cast("long").alias("order"), "file", "label", "seq", "tag", F.length("text").cast("long").alias("chars")).join(after, ["book", "file", "seq"])
+    return x.withColumn("seq", F.col("seq").cast("long"))
+
+
+@query(
+    f"""WITH {_BOUND}, r AS (SELECT book, seq % 6 AS k FROM bl), f AS (SELECT book, 'empty' AS rule FROM r WHERE k = 0 UNION ALL SELECT book, unnest(['root tag', 'structure']) FROM r WHERE k = 2
+    UNION ALL SELECT book, unnest(['root attribute', 'structure']) FROM r WHERE k = 3 UNION ALL SELECT book, 'unparsable' FROM r WHERE k = 4) SELECT book, rule, count(*) AS n FROM f GROUP BY ALL"""
+)
+def book_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Structural findings of blocks that came back empty, with another tag, without their id, or cut."""
+    found, k = books.blocks_in(_bound(spark, d)), F.col("seq") % 6
+    cut = F.expr("substring(html, 1, length(html) - 1)")
+    new = F.when(k == 0, "").when(k == 2, F.regexp_replace("html", "^<[a-z0-9]+|[a-z0-9]+>$", "")).when(k == 3, F.regexp_replace("html", ' id="[^"]*"', "")).when(k == 4, cut).otherwise(F.col("html"))
+    new = F.when(k == 2, F.concat(F.lit("<div"), new, F.lit("div>"))).otherwise(new)
+    pairs_ = found.select("book", F.concat_ws("|", "book", "file", "seq").alias("id"), F.col("html").alias("source_html"), new.alias("translated_html"))
+    return markup.validated(pairs_).groupBy(F.split_part("id", F.lit("|"), F.lit(1)).alias("book"), "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _book_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The page targets and the ids of the packaged books."""
+    x = written(books.parts_in(_bound(spark, d)), "parts")
+    return x.where("part = 'target'").select("book", F.col("value").alias("src"), "file", F.col("id").alias("anchor")), x.where("part = 'id'").select("book", "file", "id")
+
+
+@query(f"WITH {_BOUND} SELECT file || '#p' || (page_id * 7 % 20 + 1) AS src FROM ch WHERE page_id * 7 % 20 + 1 > len(ps)")
 def page_target_missing(spark: SparkSession, d: str) -> DataFrame:
     """Page targets whose anchor is not in their file."""
-    b = _book(spark, d)
-    return audit.missing_anchors(b["targets"], b["ids"]).select("src")
+    targets, ids = _book_parts(spark, d)
+    return audit.missing_anchors(targets, ids).select("src")
 
 
-@query(f"WITH {_BOOK} SELECT file, count(*) AS ids FROM ids GROUP BY file")
+@query(f"WITH {_BOUND} SELECT file, len(ps) + 1 AS ids FROM ch")
 def id_index(spark: SparkSession, d: str) -> DataFrame:
     """How many ids each file has."""
-    return _book(spark, d)["ids"].groupBy("file").agg(F.countDistinct("id").alias("ids"))
+    return _book_parts(spark, d)[1].groupBy("file").agg(F.countDistinct("id").alias("ids"))
+
+
+@query(
+    f"""WITH {_BOUND}, x AS (SELECT c.book, c.page_id * 7 % 20 + 1 > len(c.ps) AS lost, CASE WHEN n.file IS NULL OR len(n.ps) < 3 THEN 1 ELSE 0 END AS broken FROM ch c LEFT JOIN ch n ON n.book = c.book AND n.file = 'p' || (c.page_id + 1) || '.xhtml')
+    SELECT book, count(*) + 1 AS manifest_count, count(*) AS spine_count, count(*) AS ncx_navpoints, count(*) AS ncx_page_targets, count(*) AS external_links, count(*) FILTER (lost) AS missing_page_anchors, sum(broken)::BIGINT AS broken_internal_links, (count(*) FILTER (lost) + sum(broken))::BIGINT AS issue_count FROM x GROUP BY book"""
+)
+def book_audit(spark: SparkSession, d: str) -> DataFrame:
+    """The audit reports of the packaged books, as numbers."""
+    r = books.audited_in(_bound(spark, d))
+    return r.select("book", "manifest_count", "spine_count", "ncx_navpoints", "ncx_page_targets", "external_links", *[F.size(c).cast("long").alias(c) for c in ("missing_page_anchors", "broken_internal_links")], F.col("issue_count").cast("long").alias("issue_count"))
 
 
 @query(
@@ -648,10 +712,19 @@ def output_problems(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", formats.output_problem(path, asked).alias("problem"))
 
 
-@query("SELECT conversion, count(*) AS formats FROM (VALUES ('native'), ('internal-text'), ('internal-html'), ('internal-html'), ('internal-html')) AS x(conversion) GROUP BY ALL UNION ALL SELECT 'calibre', 25")
+_KINDS = (("native", formats.NATIVE), ("internal-text", formats.TEXT), ("internal-html", formats.HTML), ("calibre", formats.CONVERTED))
+_SUFFIXES = [*dict.fromkeys(e for _, es in _KINDS for e in es), ".xyz", "", ".TXT"]
+
+
+@query(
+    f"""WITH s(extension, conversion) AS (VALUES {", ".join(f"('{e}', '{k}')" for k, es in _KINDS for e in es)}), f AS (SELECT lower((['{"', '".join(_SUFFIXES)}'])[c_custkey % {len(_SUFFIXES)} + 1]) AS extension FROM customer)
+    SELECT coalesce(conversion, 'unsupported') AS conversion, count(*) AS files, count(DISTINCT f.extension) AS formats FROM f LEFT JOIN s USING (extension) GROUP BY 1"""
+)
 def formats_supported(spark: SparkSession, d: str) -> DataFrame:
-    """How many formats are read in each way, each extension once."""
-    return formats.supported(spark).groupBy("conversion").agg(F.count(F.lit(1)).alias("formats"))
+    """How many of the customers' files are read in each way, by the union of all formats."""
+    name = F.concat(F.lit("file-"), "c_custkey", F.element_at(F.array(*map(F.lit, _SUFFIXES)), (F.col("c_custkey") % len(_SUFFIXES) + 1).cast("int")))
+    x = table(spark, d, "customer").select(formats.extension(name).alias("extension")).join(F.broadcast(formats.supported(spark)), "extension", "left")  # about thirty formats
+    return x.groupBy(F.coalesce("conversion", F.lit("unsupported")).alias("conversion")).agg(F.count(F.lit(1)).alias("files"), F.countDistinct("extension").alias("formats"))
 
 
 _SAN = "coalesce(CASE WHEN regexp_matches(html, '(?is)<body[^>]*>(.*?)</body>') THEN regexp_extract(html, '(?is)<body[^>]*>(.*?)</body>', 1) END, html)"

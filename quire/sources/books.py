@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.markup import TEXT_TAGS, blocks_of, prose, tag
 from quire.functions.text import section_kind
+from quire.session import written
 
 #: Media types of chapters.
 CHAPTERS = ("application/xhtml+xml", "text/html")
@@ -125,8 +126,13 @@ def read_blocks(content: bytes) -> list[tuple]:
 SCHEMA = "book string, order int, file string, label string, seq int, tag string, text string, html string, error string"
 
 
-def _books(spark: SparkSession, path: str, read, schema: str) -> DataFrame:
-    """read(book, content) over all books under a path; what it cannot open is a row with nothing but an error."""
+def _books(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of all books under a path."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").load(path).select("path", "content")
+
+
+def _read(books: DataFrame, read, schema: str) -> DataFrame:
+    """read(book, content) over books (path, content); what it cannot open is a row with nothing but an error."""
     names = [x.split()[0] for x in schema.split(", ")]
     whole = {x.split()[0]: "Int32" for x in schema.split(", ") if x.split()[1] == "int"}
 
@@ -140,12 +146,16 @@ def _books(spark: SparkSession, path: str, read, schema: str) -> DataFrame:
                     rows.append((book, *[None] * (len(names) - 2), str(e)))
             yield pd.DataFrame(rows, columns=names).astype(whole)
 
-    books = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").load(path)
     return books.select("path", "content").mapInPandas(run, schema)
 
 
 def blocks(spark: SparkSession, path: str) -> DataFrame:
     """The blocks of all books under a path; a chapter or a book that cannot be read is one row with its error."""
+    return blocks_in(_books(spark, path))
+
+
+def blocks_in(books: DataFrame) -> DataFrame:
+    """The same of books in a table (path, content)."""
 
     def read(book: str, content: bytes) -> list[tuple]:
         out: list[tuple] = []
@@ -153,7 +163,7 @@ def blocks(spark: SparkSession, path: str) -> DataFrame:
             out += [(book, order, file, label, *b, None) for b in found] if not error else [(book, order, file, label, None, None, None, None, error)]
         return out
 
-    return _books(spark, path, read, SCHEMA).withColumn("kind", section_kind(F.col("label")))
+    return _read(books, read, SCHEMA).withColumn("kind", section_kind(F.col("label")))
 
 
 CHAPTER = "book string, order int, file string, label string, block_count int, error string"
@@ -162,7 +172,7 @@ CHAPTER = "book string, order int, file string, label string, block_count int, e
 def chapters(spark: SparkSession, path: str) -> DataFrame:
     """The chapters of all books under a path, with how many blocks each has."""
     read = lambda book, content: [(book, order, file, label, len(found), error) for order, file, label, found, error in read_chapters(content)[1]]
-    return _books(spark, path, read, CHAPTER).withColumn("kind", section_kind(F.col("label")))
+    return _read(_books(spark, path), read, CHAPTER).withColumn("kind", section_kind(F.col("label")))
 
 
 #: Attributes that name resources, by element.
@@ -209,9 +219,19 @@ def parts_of(book: str, content: bytes) -> list[tuple]:
 
 def audited(spark: SparkSession, path: str) -> DataFrame:
     """The audit report of all books under a path: a row each."""
+    return audited_in(_books(spark, path))
+
+
+def parts_in(books: DataFrame) -> DataFrame:
+    """What an audit needs of books in a table (path, content), as rows of PART."""
+    return _read(books, parts_of, PART).where(F.col("part").isNotNull())
+
+
+def audited_in(books: DataFrame) -> DataFrame:
+    """The audit report of books in a table (path, content)."""
     from quire.operators import audit
 
-    x = _books(spark, path, parts_of, PART).where(F.col("part").isNotNull())
+    x = written(parts_in(books), "parts")
     part = lambda name: x.where(F.col("part") == name)
     manifest = part("manifest").select("book", "id", "file", F.col("kind").alias("media_type"))
     files, ids = part("file").select("book", "file"), part("id").select("book", "file", "id")
@@ -234,6 +254,42 @@ def intact(content: bytes) -> dict[str, bool]:
         }
 
 
+def bound(chapters: DataFrame) -> DataFrame:
+    """(path, content): a package for each book of chapters (book, pos, file, title, paragraphs, links, targets: anchors that
+    the page list names). A heading has the id h0, paragraphs p1, p2 and so on; links stand beside them. What makes an
+    archive meets in one task, as it does in the archive."""
+    from html import escape
+
+    def bind(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("pos")
+        files: dict[str, bytes] = {"META-INF/container.xml": b'<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container" version="1.0"><rootfiles><rootfile full-path="content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'}
+        items, spine, points, targets = ['<item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/>'], [], [], []
+        for i, (file, title, paragraphs, links, marks) in enumerate(zip(*(group[c] for c in ("file", "title", "paragraphs", "links", "targets")), strict=True)):
+            body = [f'<h1 id="h0" class="title">{escape(title)}</h1>', *[f'<p id="p{k}" class="text">{escape(x)}</p>' for k, x in enumerate(paragraphs, 1)], *[f'<div><a href="{escape(x)}">+</a></div>' for x in links]]
+            files[file] = f'<html xmlns="http://www.w3.org/1999/xhtml"><head><title>{escape(title)}</title></head><body>{"".join(body)}</body></html>'.encode("utf-8", "replace")
+            items.append(f'<item id="c{i}" href="{escape(file)}" media-type="application/xhtml+xml"/>')
+            spine.append(f'<itemref idref="c{i}"/>')
+            points.append(f'<navPoint id="n{i}"><navLabel><text>{escape(title)}</text></navLabel><content src="{escape(file)}"/></navPoint>')
+            targets += [f'<pageTarget id="t{i}-{k}"><content src="{escape(file)}#{escape(x)}"/></pageTarget>' for k, x in enumerate(marks)]
+        files["content.opf"] = f'<package xmlns="http://www.idpf.org/2007/opf" version="2.0"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>{escape(str(group["book"].iloc[0]))}</dc:title></metadata><manifest>{"".join(items)}</manifest><spine toc="ncx">{"".join(spine)}</spine></package>'.encode()
+        files["toc.ncx"] = f'<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/"><navMap>{"".join(points)}</navMap><pageList>{"".join(targets)}</pageList></ncx>'.encode("utf-8", "replace")
+        return pd.DataFrame({"path": [group["book"].iloc[0]], "content": [package(files)]})
+
+    return chapters.groupBy("book").applyInPandas(bind, "path string, content binary")
+
+
+def applied_in(books: DataFrame, new: DataFrame) -> DataFrame:
+    """Books (path, content) with their blocks replaced by new markup (book, id: file::seq, html), as `applied` does; a book of
+    which a block is missing fails."""
+    per = new.groupBy("book").agg(F.map_from_entries(F.collect_list(F.struct("id", "html"))).alias("new"))  # one book's blocks
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"path": f["path"], "content": [applied(bytes(c), dict(n)) for c, n in zip(f["content"], f["new"], strict=True)]})
+
+    return books.join(per, F.col("path") == F.col("book")).select("path", "content", "new").mapInPandas(run, "path string, content binary")
+
+
 def with_metadata(content: bytes, title: str | None = None, language: str | None = None) -> bytes:
     """A book with another title (in its package and NCX) and language; what is not given or not there stays."""
     files = entries(content)
