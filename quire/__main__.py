@@ -50,7 +50,7 @@ def main(args: list[str] | None = None) -> None:
         from quire.sources import records
 
         source, target = (records.read_lines(spark, p, "batch long, pos long, id string, source_html string, translated_html string") for p in (o.source, o.target))
-        pairs = source.select("batch", "id", "source_html").join(target.select("batch", "id", "translated_html"), ["batch", "id"])
+        pairs = checks.paired(source.select("batch", "id", "source_html"), target.select("batch", "id", "translated_html"))
         structure = validated(pairs.withColumn("id", F.concat_ws("\n", F.col("batch").cast("string"), "id")))
         issues = checks.identity_issues(source, target).unionByName(structure.select(F.split_part("id", F.lit("\n"), F.lit(1)).cast("long").alias("batch"), "rule", F.split_part("id", F.lit("\n"), F.lit(2)).alias("row_id")))
         issues.write.mode("errorifexists").json(f"{o.out}/issues")

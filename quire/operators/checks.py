@@ -92,6 +92,14 @@ def marks_drift(source: Column, target: Column) -> Column:
     return out
 
 
+def paired(source: DataFrame, target: DataFrame) -> DataFrame:
+    """Every source row (batch, id and more) with the transformed row of its id: those without an id, and ids that
+    were transformed more than once, are left out, as they are issues of their own."""
+    more = [c for c in target.columns if c not in ("batch", "id")]
+    one = target.where(F.coalesce("id", F.lit("")) != "").groupBy("batch", "id").agg(F.count(F.lit(1)).alias("q_n"), F.first(F.struct(*more)).alias("q")).where("q_n = 1")
+    return source.where(F.coalesce("id", F.lit("")) != "").join(one.select("batch", "id", "q.*"), ["batch", "id"])
+
+
 #: Letters of terms that one automaton holds: it takes about fifty bytes for each.
 TERM_LETTERS = 4_000_000
 _automata: dict[str, Any] = {}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +16,8 @@ _NOT_WORD_BEFORE, _NOT_WORD_AFTER = r"(?<![\p{L}\p{M}\p{N}_])", r"(?![\p{L}\p{M}
 CANDIDATE = _NOT_WORD_BEFORE + r"[A-Z][a-z]+(?:[’'-][A-Z]?[a-z]+)?(?:\s+[A-Z][a-z]+(?:[’'-][A-Z]?[a-z]+)?){0,3}" + _NOT_WORD_AFTER
 NAME = _NOT_WORD_BEFORE + r"[A-Z][A-Za-z’'-]+(?:\s+[A-Z][A-Za-z’'-]+){0,3}" + _NOT_WORD_AFTER
 #: Words that are no names by themselves: the closed word classes of English (articles, pronouns, determiners,
-#: conjunctions, prepositions, auxiliaries, adverbs of place, time and degree, interjections), and the days.
+#: conjunctions, prepositions, auxiliaries), the days, and of open classes a choice of our own: common adverbs, verbs,
+#: interjections, and words of number and order. A preset may bring other lists.
 CLASSES = {
     "articles": "a an the", "pronouns": "i me my mine myself you your yours he him his she her hers it its we us our ours they them their theirs who whom whose",
     "determiners": "this that these those all any both each either every few many more most much no none neither other another some such own several",
@@ -44,6 +45,11 @@ class Preset:
     places: frozenset[str] = frozenset()
     organizations: frozenset[str] = frozenset()
     creatures: frozenset[str] = frozenset()
+    #: A book's own stop words, words that lead no name, and single words that are none (lower case); the classes above
+    #: where there are none.
+    common: frozenset[str] | None = None
+    leading: frozenset[str] | None = None
+    single: frozenset[str] | None = None
 
     @property
     def known(self) -> list[str]:
@@ -60,33 +66,35 @@ def preset(source: str | dict | None) -> Preset:
         raise ValueError("a preset is a JSON object")
     known = value.get("translations")
     words = lambda k: frozenset(str(w) for w in value.get(k, []) if str(w).strip())
+    own = lambda k: frozenset(w.lower() for w in words(k)) if k in value else None
     return Preset(
-        {str(k): str(v) for k, v in known.items()} if isinstance(known, dict) else {}, words("title_words"), words("place_words"), words("org_words"), frozenset(w.lower() for w in words("creature_words"))
+        {str(k): str(v) for k, v in known.items()} if isinstance(known, dict) else {}, words("title_words"), words("place_words"), words("org_words"), frozenset(w.lower() for w in words("creature_words")), own("stop_words"), own("leading_words"), own("single_words"),
     )
 
 
 def is_noise(term: Column, known: Preset | None = None) -> Column:
     """Whether a candidate is no term: empty, common words only, led by a function word, with an
     apostrophe, or too short. A preset's terms always are."""
-    if known and known.translations:
-        return (term == "") | (~term.isin(*known.translations) & is_noise(term))
+    own = lambda listed, usual: usual if listed is None else tuple(sorted(listed))
+    words, leading, single = (own(x, usual) for x, usual in ((known and known.common, COMMON), (known and known.leading, LEADING), (known and known.single, SINGLE)))
     low = F.lower(term)
     parts = F.filter(F.split(low, r"\s+"), lambda x: x != "")
-    common = F.array(*[F.lit(w) for w in COMMON])
-    return (
+    common = F.array(*[F.lit(w) for w in words]).cast("array<string>")
+    noise = (
         (term == "")
-        | low.isin(*COMMON)
+        | low.isin(*words)
         | F.forall(parts, lambda x: F.array_contains(common, x))
-        | ((F.size(parts) > 1) & F.coalesce(F.get(parts, F.lit(0)).isin(*LEADING), F.lit(False)))
+        | ((F.size(parts) > 1) & F.coalesce(F.get(parts, F.lit(0)).isin(*leading), F.lit(False)))
         | term.rlike("['’]")
-        | ((F.size(parts) == 1) & (low.isin(*SINGLE) | (F.length(term) <= 2)))
+        | ((F.size(parts) == 1) & (low.isin(*single) | (F.length(term) <= 2)))
     )
+    return (term == "") | (~term.isin(*known.translations) & noise) if known and known.translations else noise
 
 
-def mentions(df: DataFrame, key: str, text: Column, pattern: str) -> DataFrame:
-    """(key, pos, term): every match of a pattern, cleaned, noise left out."""
+def mentions(df: DataFrame, key: str, text: Column, pattern: str, known: Preset | None = None) -> DataFrame:
+    """(key, pos, term): every match of a pattern, cleaned, noise left out (by a preset's own words, if it has some)."""
     m = df.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("pos", "raw"))
-    return m.select(key, F.col("pos").cast("long").alias("pos"), t.clean_term(F.col("raw")).alias("term")).where(~is_noise(F.col("term")))
+    return m.select(key, F.col("pos").cast("long").alias("pos"), t.clean_term(F.col("raw")).alias("term")).where(~is_noise(F.col("term"), known))
 
 
 def counted(found: DataFrame, key: str, least: int) -> DataFrame:
@@ -152,7 +160,7 @@ def glossary(df: DataFrame, key: str, text: str, known: Preset, most: int = 240)
     c = c.orderBy(F.col("frequency").desc(), "first").limit(most).withColumn("type", kind(F.col("term"), known))
     c = c.withColumn("confidence", confidence(F.col("term"), F.col("type"), F.col("frequency"), known)).withColumn("translation", suggested(F.col("term"), known))
     approved = (F.col("confidence") >= 0.9) & (F.col("translation") != "")
-    return c.where(~is_noise(F.col("term"))).select("term", "translation", "type", "frequency", F.when(approved, "approved").otherwise("pending").alias("status"), "confidence", approved.alias("locked"))
+    return c.where(~is_noise(F.col("term"), replace(known, translations={}) if known else None)).select("term", "translation", "type", "frequency", F.when(approved, "approved").otherwise("pending").alias("status"), "confidence", approved.alias("locked"))
 
 
 def table(found: DataFrame, key: str, least: int = 2, most: int = 240) -> DataFrame:

@@ -182,3 +182,23 @@ def advised(code: Column) -> Column:
     for c, (title, guidance) in ADVICE.items():
         out = (F if out is None else out).when(code == c, F.struct(F.lit(title).alias("title"), F.lit(guidance).alias("guidance")))
     return out
+
+
+#: What has happened, by code, in our own words; of what has no code the error itself is told.
+MESSAGES = {
+    "upload-too-large": "The file was refused before any work began.", "converter-unavailable": "This format can't be read here as it is.", "conversion-timeout": "The file may be scanned, damaged or unusually large.",
+    "invalid-source-file": "The file couldn't be opened safely.", "no-text-detected": "The file seems to hold pictures of text only.", "provider-authentication": "The file is fine; the service didn't accept the account.",
+    "provider-rate-limit": "Too many requests were made, or the account's quota is used up.", "provider-timeout": "What was asked for at once took too long; smaller requests are made where that helps.", "provider-context-limit": "The file is fine; a request had more text than the model takes.",
+    "provider-error": "The service was reached but couldn't do what was asked.", "invalid-provider-output": "What came back would have harmed the book's structure, and was left.", "output-build-failed": "All parts are there, but they couldn't be put together or checked.",
+}
+
+
+def explained(detail: Column, stage: Column) -> Column:
+    """struct<code, owner, retryable, title, message, guidance, detail> of an error; a blank one is unknown."""
+    said = F.coalesce(F.nullif(F.trim(detail), F.lit("")), F.lit("Unknown error"))
+    d = diagnosed(said, stage)
+    message = None
+    for code, text in MESSAGES.items():
+        message = (F if message is None else message).when(d["code"] == code, text)
+    a = advised(d["code"])
+    return F.struct(d["code"].alias("code"), d["owner"].alias("owner"), d["retryable"].alias("retryable"), a["title"].alias("title"), message.otherwise(said).alias("message"), a["guidance"].alias("guidance"), said.alias("detail"))

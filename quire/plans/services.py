@@ -6,9 +6,11 @@ and a sleeper serve the limiter of one caller. Nothing here opens a connection u
 from __future__ import annotations
 
 import json
+import os
 import time
 import urllib.error
 import urllib.request
+import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, fields, replace
 from typing import Any
@@ -94,6 +96,25 @@ def loaded(text: str | None) -> dict[str, Any]:
     return value if isinstance(value, dict) else {}
 
 
+def store(path: str | os.PathLike, settings: Settings) -> None:
+    """Settings as a file of the driver's machine, readable by its owner only: written beside the old one, whose place it
+    then takes. Fields are within their bounds, and a service without a key keeps none."""
+    beside = f"{os.fspath(path)}.{uuid.uuid4().hex}"
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(os.open(beside, os.O_WRONLY | os.O_CREAT | os.O_EXCL, 0o600), "w", encoding="utf-8") as f:
+        json.dump(asdict(settings), f, ensure_ascii=False, indent=2)
+    os.replace(beside, path)
+
+
+def kept(path: str | os.PathLike) -> dict[str, Any]:
+    """The settings that `store` has written; nothing where there is no file or it cannot be read."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            return loaded(f.read())
+    except (OSError, UnicodeDecodeError):
+        return {}
+
+
 def merged(asked: dict[str, Any], stored: dict[str, Any]) -> Settings:
     """What was asked for, gaps filled from what is stored. A key is only taken over for the same service and
     address."""

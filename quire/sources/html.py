@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from html import unescape
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quire.functions import text as t
 
@@ -30,11 +34,16 @@ def sanitized(fragment: Column) -> Column:
     return t.strip(fragment)
 
 
+@F.pandas_udf(StringType())
+def unescaped(texts: pd.Series) -> pd.Series:
+    """Texts with all named and numbered entities as characters."""
+    return texts.map(unescape, na_action="ignore")
+
+
 def paragraphed(fragment: Column) -> Column:
     """A sanitised fragment; one without any block of text becomes one escaped paragraph of all its text."""
     flat = t.squeeze(F.regexp_replace(fragment, "<[^>]+>", " "))
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        flat = F.replace(flat, F.lit(a), F.lit(b))
+    flat = t.squeeze(F.when(F.contains(flat, F.lit("&")), unescaped(flat)).otherwise(flat))
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         flat = F.replace(flat, F.lit(a), F.lit(b))
     return F.when(fragment.rlike(r"(?i)<(?:p|h[1-6]|blockquote|ul|ol|li)[\s>/]"), fragment).otherwise(F.concat(F.lit("<p>"), flat, F.lit("</p>")))
