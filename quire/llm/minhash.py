@@ -14,15 +14,16 @@ hash functions: two sets agree in a coordinate with the probability of their sim
 4. Within a posting list (split by salt where it is long) every class meets one centre, not each other. Collisions
    are counted over whole signatures, pairs below MATCHES discarded, and the others confirmed on whole sets. Links
    merge classes into components.
-5. The classes of lists that still hold several components are posted anew, with finer signatures: FINE coordinates of
-   which FINE_MATCHES must collide, so that documents that share a passage, however many, don't meet. Only lists with
-   several components count here, so what a group of near copies has in common is gone. They get other centres, and what then
-   still holds several components is expanded, in blocks, across components only. So large groups of near copies
-   cost in proportion to their size, and no list is left out.
+5. Where lists still hold several components, documents are alike but mostly not linked, and signatures can't tell a
+   similarity of 0.7 from one of 0.8. So the classes of these lists are posted by their shingles, of which only lists with
+   several components count: what a group of near copies has in common is gone, and a class of which less than 80 % is
+   left can't link. The rarest of what is left again suffice as a prefix, and the places of what two classes share
+   bound their intersection. Such lists get other centres, and what then still holds several components is
+   expanded, in blocks, across components and within bounds only. Pairs that meet so count collisions and are confirmed too.
 
-At a similarity of 0.8 just, 80 coordinates agree in fewer than 40 places with a probability of 5e-10, the first 16 in
-fewer than two with 4e-10, and 256 in fewer than 166 with 5e-9, and more alike sets less often: that is the chance that a link
-is missed. What is returned as linked is exact.
+So large groups of near copies cost in proportion to their size, and no list is left out. At a similarity of 0.8 just, 80
+coordinates agree in fewer than 40 places with a probability of 5e-10, and the first 16 in fewer than two with 4e-10, and
+more alike sets less often: that is the chance that a link is missed. What is returned as linked is exact.
 
 A null or empty text, or one without words, has an empty set and is its own component; with fewer than 4 words the whole
 sequence is the one shingle. Repeated rows are copies. A null doc_id takes part in linking but names no component unless all
@@ -44,10 +45,9 @@ from .common import ascii_lower_words, batched, forgotten, frugal, text_or_empty
 
 SHINGLE, PERCENT = 4, 80
 COORDINATES, MATCHES, FIRST = 80, 40, 16
-FINE, FINE_MATCHES = 256, 166
 #: Sets are gone through in slices of so many shingles, so that signatures of long texts take bounded memory.
-SLICE = 256
-_SEEDS = jaccard._mixed(np.arange(1, FINE + 1, dtype=np.uint64) * jaccard._P)
+SLICE = 512
+_SEEDS = jaccard._mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64) * jaccard._P)
 _ODD = jaccard._mixed(_SEEDS) | np.uint64(1)
 
 
@@ -67,12 +67,12 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(jaccard._mixed(s))
 
 
-def signature(s: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
-    """The leading 32 bits of the least value of a set under each of the first hash functions."""
-    least = np.full(coordinates, np.iinfo(np.uint64).max, np.uint64)
+def signature(s: np.ndarray) -> np.ndarray:
+    """The leading 32 bits of the least value of a set under each hash function."""
+    least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(s), SLICE):
-        v = s[None, i : i + SLICE] ^ _SEEDS[:coordinates, None]
-        v *= _ODD[:coordinates, None]
+        v = s[None, i : i + SLICE] ^ _SEEDS[:, None]
+        v *= _ODD[:, None]
         np.minimum(least, v.min(1), out=least)
     return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
@@ -102,30 +102,52 @@ def profiles(docs: DataFrame, salt: int) -> DataFrame:
     return d.mapInPandas(frugal(run, jaccard._hashes), "doc_id long, hash long, n long, cls long, check long, signature array<int>")
 
 
-def postings(classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
-    """(column, salt, cls, size, at): of classes (cls, n, label: its component, signature) the posts of each one's prefix, in
-    lists of several components. `at` is how many of its pairs are rarer; `size` the set's."""
-    posts, shared = _shared(classes)
-    kept = posts.join(shared, "column").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("many", "column"))).alias("pairs")).where(F.size("pairs") >= matches)  # as many as coordinates at most
-    prefix = F.slice("pairs", 1, F.size("pairs") - matches + 1)
-    x = kept.select("cls", "n", (coordinates - F.size("pairs")).alias("alone"), F.posexplode(prefix).alias("place", "pair"))
+def postings(posts: DataFrame, lists: DataFrame, whole: Column, least: Column) -> DataFrame:
+    """(column, salt, cls, size, at): the prefixes of classes with posts (cls, n, column) in lists (column, many). whole: how many
+    posts a class has in all, least: how many of them it must share. `at` is how many are rarer; `size` the set's."""
+    kept = posts.join(lists, "column").groupBy("cls", "n").agg(F.array_sort(F.collect_set(F.struct("many", "column"))).alias("pairs")).where(F.size("pairs") >= least)  # one set's at most
+    prefix = F.slice("pairs", F.lit(1), (F.size("pairs") - least + 1).cast("int"))
+    x = kept.select("cls", "n", (whole - F.size("pairs")).alias("alone"), F.posexplode(prefix).alias("place", "pair"))
     salt = F.when(F.col("pair.many") > jaccard.HOT, 1 + F.pmod(F.xxhash64("cls"), F.ceil(F.col("pair.many") / jaccard.HOT))).otherwise(0)
-    out = written(x.select("pair.column", salt.cast("int").alias("salt"), "cls", F.col("n").cast("int").alias("size"), (F.col("alone") + F.col("place")).alias("at")), "prefixes")
-    forgotten(posts)
-    return out
+    return written(x.select("pair.column", salt.cast("int").alias("salt"), "cls", F.col("n").cast("int").alias("size"), (F.col("alone") + F.col("place")).cast("int").alias("at")), "prefixes")
 
 
-def _shared(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The posts of classes (cls, n, label, column), and how many classes those columns have that have several components."""
-    posts = classes.select("cls", "n", "label", F.posexplode("signature").alias("coordinate", "value")).select("cls", "n", "label", F.xxhash64("coordinate", "value").alias("column"))
+def _by_coordinate(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The posts of classes (cls, n, column) by coordinate-value pairs, and the lists of several classes."""
+    posts = classes.select("cls", "n", F.posexplode("signature").alias("coordinate", "value")).select("cls", "n", F.xxhash64("coordinate", "value").alias("column"))
     posts = written(posts, "posts")
-    lists = posts.groupBy("column").agg(F.count(F.lit(1)).alias("many"), F.min("label").alias("least"), F.max("label").alias("most"))
-    return posts.drop("label"), lists.where("least <> most").select("column", "many")
+    return posts, posts.groupBy("column").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+
+
+def _by_shingle(docs: DataFrame, named: DataFrame, open_: DataFrame, salt: int) -> tuple[DataFrame, DataFrame]:
+    """The posts of open classes (cls, n, column) by shingle, and the lists of several components. open_: cls, label."""
+    keys = written(named.groupBy("cls").agg(F.min("hash").alias("hash")).join(open_, "cls").select("hash", "label"), "keys")
+    few = keys.count() <= jaccard.MOST_BROADCAST  # at most 16 MB; beyond that the texts are dealt out
+    d = docs.select(F.xxhash64(text_or_empty()).alias("hash"), text_or_empty().alias("text"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        for b in batches:
+            for text, label in zip(b["text"], b["label"], strict=True):
+                s = shingles(text)
+                cls, n = jaccard.digest(s, salt)[0], len(s)
+                if cls in seen:
+                    continue
+                if len(seen) >= jaccard.SEEN:  # only saves work: posts that come again count as one
+                    seen.clear()
+                seen.add(cls)
+                yield pd.DataFrame({"cls": np.full(n, cls), "n": np.full(n, n), "label": np.full(n, label), "column": s.view(np.int64)})
+
+    posts = d.join(F.broadcast(keys) if few else keys, "hash").select("text", "label").mapInPandas(frugal(run, jaccard._hashes), "cls long, n long, label long, column long")
+    posts = written(posts, "posts")
+    lists = posts.groupBy("column").agg(F.count(F.lit(1)).alias("many"), F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("column", "many")
+    forgotten(keys)
+    return posts.drop("label"), lists
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
     """The classes that share at least two of their first coordinates with others."""
-    head, shared = _shared(classes.withColumn("signature", F.slice("signature", 1, FIRST)))
+    head, shared = _by_coordinate(classes.withColumn("signature", F.slice("signature", 1, FIRST)))
     some = head.join(shared, "column").groupBy("cls").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("cls")
     out = written(classes.join(some, "cls", "left_semi"), "candidates")
     forgotten(head)
@@ -137,25 +159,29 @@ def _fits(n: Column, m: Column) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
 
 
-def _colliding(classes: DataFrame, pairs: DataFrame, matches: int) -> DataFrame:
-    """The pairs (a, b: classes) whose signatures agree in `matches` places."""
+def _bounds(n: Column, at: Column, m: Column, bt: Column) -> Column:
+    """Whether sizes n and m, and the places of the first shingle they share, allow a link: what is shared lies at or
+    after these places."""
+    return _fits(n, m) & (F.least(n - at, m - bt) * (100 + PERCENT) >= (n + m) * PERCENT)
+
+
+def _colliding(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b: classes) whose signatures agree in MATCHES places."""
     one = lambda c, to: classes.select(F.col("cls").alias(c), F.col("signature").alias(to))
     same = F.aggregate(F.zip_with("x", "y", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, e: s + e)
-    return pairs.join(one("a", "x"), "a").join(one("b", "y"), "b").where(same >= matches).select("a", "b")
+    return pairs.join(one("a", "x"), "a").join(one("b", "y"), "b").where(same >= MATCHES).select("a", "b")
 
 
-def _texts(docs: DataFrame, named: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(text) of documents of the classes `ids` (cls), about one each; and a table to forget then."""
+def _linked(docs: DataFrame, named: DataFrame, classes: DataFrame, pairs: DataFrame, salt: int) -> DataFrame:
+    """The pairs that collide often enough and whose whole sets link."""
+    near = written(_colliding(classes, pairs), "near")
+    ids = near.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     keys = written(named.groupBy("cls").agg(F.min("hash").alias("hash")).join(ids, "cls", "left_semi").select("hash"), "keys")
     few = keys.count() <= jaccard.MOST_BROADCAST  # at most 8 MB; beyond that the texts are dealt out
     d = docs.select(F.xxhash64(text_or_empty()).alias("hash"), text_or_empty().alias("text"))
-    return d.join(F.broadcast(keys) if few else keys, "hash", "left_semi").select("text"), keys
-
-
-def _each_class(texts: DataFrame, salt: int, what, column: str) -> DataFrame:
-    """(cls, `column`) of texts, about once a class: what(set)."""
+    d = d.join(F.broadcast(keys) if few else keys, "hash", "left_semi")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for b in batches:
             rows = []
@@ -163,35 +189,18 @@ def _each_class(texts: DataFrame, salt: int, what, column: str) -> DataFrame:
                 s = shingles(text)
                 cls = jaccard.digest(s, salt)[0] if len(s) else None
                 if cls is not None and cls not in seen:
-                    if len(seen) >= jaccard.SEEN:  # only saves work: copies left go later
+                    if len(seen) >= jaccard.SEEN:  # only saves work: copies left go below
                         seen.clear()
                     seen.add(cls)
-                    rows.append((cls, what(s)))
-            yield pd.DataFrame(rows, columns=["cls", column.split()[0]])
-
-    return texts.mapInPandas(frugal(run, jaccard._hashes), f"cls long, {column}")
-
+                    rows.append((cls, s.tobytes()))
+            yield pd.DataFrame(rows, columns=["cls", "entries"])
 
-def _linked(docs: DataFrame, named: DataFrame, classes: DataFrame, pairs: DataFrame, matches: int, salt: int) -> DataFrame:
-    """The pairs that collide often enough and whose whole sets link."""
-    near = written(_colliding(classes, pairs, matches), "near")
-    texts, keys = _texts(docs, named, near.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
-    rows = written(_each_class(texts, salt, bytes, "entries binary"), "rows")
+    rows = written(d.select("text").mapInPandas(frugal(sets, jaccard._hashes), "cls long, entries binary"), "rows")
     links = written(jaccard._computed(rows, near, "entries", similar), "links")
     forgotten(rows, near, keys)
     return links
 
 
-def _refined(docs: DataFrame, named: DataFrame, open_: DataFrame, salt: int) -> DataFrame:
-    """(cls, n, label, signature) of open classes (cls, size, label), with finer signatures."""
-    texts, keys = _texts(docs, named, open_.select("cls"))
-    fine = written(_each_class(texts, salt, lambda s: signature(s, FINE), "signature array<int>"), "fine")
-    one = fine.groupBy("cls").agg(F.first("signature").alias("signature"))
-    out = written(open_.select("cls", F.col("size").alias("n"), "label").join(one, "cls"), "refined")
-    forgotten(fine, keys)
-    return out
-
-
 def similar(p: bytes, q: bytes) -> bool:
     """Whether two sets link."""
     x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
@@ -213,27 +222,30 @@ def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         raise RuntimeError("two different sets share a 64-bit name under each of eight salts")
     named = whole.where(F.col("cls").isNotNull())
     classes = named.where(F.col("signature").isNotNull()).groupBy("cls").agg(F.first("n").alias("n"), F.first("signature").alias("signature"))
-    classes = _candidates(written(classes.withColumn("label", F.col("cls")), "classes"))
-    entries = postings(classes, COORDINATES, MATCHES)
+    classes = _candidates(written(classes, "classes"))
+    posts, lists = _by_coordinate(classes)
+    entries = postings(posts, lists, F.lit(COORDINATES), F.lit(MATCHES))
     stars = written(jaccard._stars(entries), "stars")
     # Centres of a long list's salted blocks meet in one more block.
     second = stars.where((F.col("salt") > 0) & (F.col("cls") == F.col("centre"))).select("column", F.lit(0).alias("salt"), "cls", "size", "at")
     stars = stars.where(F.col("cls") != F.col("centre")).unionByName(written(jaccard._stars(second), "stars"))
-    ok = _fits(F.col("size"), F.col("centre_size"))
-    tested = written(jaccard._pairs(stars.where(ok), "centre", "cls"), "pairs")
-    labels = jaccard.components(_linked(docs, named, classes, tested, MATCHES, salt))
-    # The classes of lists where several components meet are posted anew, and get other centres.
+    tested = written(jaccard._pairs(stars.where(_fits(F.col("size"), F.col("centre_size"))), "centre", "cls"), "pairs")
+    labels = jaccard.components(_linked(docs, named, classes, tested, salt))
+    # The classes of lists where several components meet are posted by shingle, and get other centres.
     open_ = jaccard._open(entries.select("column", "cls", "size", "at"), labels)
-    fine = _refined(docs, named, written(open_.groupBy("cls").agg(F.first("size").alias("size"), F.first("label").alias("label")), "open"), salt)
-    entries = postings(fine, FINE, FINE_MATCHES)
-    label = fine.select("cls", "label")
-    again = jaccard._stars(entries, 16, 4).where(ok & (F.col("cls") != F.col("centre"))).join(label, "cls").join(label.select(F.col("cls").alias("centre"), F.col("label").alias("centre_label")), "centre")
+    label = written(open_.groupBy("cls").agg(F.first("label").alias("label")), "open")
+    forgotten(posts)
+    posts, lists = _by_shingle(docs, named, label, salt)
+    entries = postings(posts, lists, F.col("n"), F.ceil(F.col("n") * PERCENT / 100).cast("int"))
+    forgotten(posts)
+    ok = _bounds(F.col("size"), F.col("at"), F.col("centre_size"), F.col("centre_at")) & (F.col("cls") != F.col("centre"))
+    again = jaccard._stars(entries, 16, 4).where(ok).join(label, "cls").join(label.select(F.col("cls").alias("centre"), F.col("label").alias("centre_label")), "centre")
     more = written(jaccard._pairs(again.where("label <> centre_label"), "centre", "cls").join(tested, ["a", "b"], "left_anti"), "pairs")
-    labels = jaccard._joined(labels, _linked(docs, named, fine, more, FINE_MATCHES, salt))
+    labels = jaccard._joined(labels, _linked(docs, named, classes, more, salt))
     # What still holds several components is done in full, across components.
     open_ = jaccard._open(entries.select("column", "cls", "size", "at"), labels)
     rest = written(_across(open_).join(tested.unionByName(more), ["a", "b"], "left_anti"), "pairs")
-    return whole.select("doc_id", "hash", "n", "cls"), jaccard._joined(labels, _linked(docs, named, fine, rest, FINE_MATCHES, salt))
+    return whole.select("doc_id", "hash", "n", "cls"), jaccard._joined(labels, _linked(docs, named, classes, rest, salt))
 
 
 def _across(open_: DataFrame) -> DataFrame:
@@ -251,11 +263,11 @@ def _across(open_: DataFrame) -> DataFrame:
     higher = F.when(F.col("above").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda k: cell(F.col("octave"), F.col("block"), 1, k)))
     lower = F.when(F.col("below").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("below") - 1), lambda k: cell(F.col("octave") - 1, k, 1, F.col("block"))))
     empty = F.slice(same, 1, 0)
-    x = x.withColumn("cell", F.explode(F.concat(same, F.coalesce(higher, empty), F.coalesce(lower, empty)))).select("column", "cell", "octave", "block", "cls", "size", "label")
-    y = x.select("column", "cell", *[F.col(c).alias(f"o_{c}") for c in ("octave", "block", "cls", "size", "label")])
+    x = x.withColumn("cell", F.explode(F.concat(same, F.coalesce(higher, empty), F.coalesce(lower, empty)))).select("column", "cell", "octave", "block", "cls", "size", "at", "label")
+    y = x.select("column", "cell", *[F.col(c).alias(f"o_{c}") for c in ("octave", "block", "cls", "size", "at", "label")])
     # In a cell of one block with itself each pair comes twice, in others once: one side is told by block or octave.
     once = F.when(F.col("cell.kind") == 1, F.col("octave") < F.col("o_octave")).when(F.col("cell.i") < F.col("cell.j"), F.col("block") < F.col("o_block")).otherwise(F.col("cls") < F.col("o_cls"))
-    return jaccard._pairs(x.join(y, ["column", "cell"]).where(once & (F.col("label") != F.col("o_label")) & _fits(F.col("size"), F.col("o_size"))), "cls", "o_cls")
+    return jaccard._pairs(x.join(y, ["column", "cell"]).where(once & (F.col("label") != F.col("o_label")) & _bounds(F.col("size"), F.col("at"), F.col("o_size"), F.col("o_at"))), "cls", "o_cls")
 
 
 def minhash_components(docs: DataFrame) -> DataFrame:
