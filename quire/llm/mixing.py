@@ -145,35 +145,34 @@ def plan(rows: DataFrame, weights: tuple[int, ...], most: int, doc_id: str = "do
     hist = written(now.groupBy(*size).agg(F.count_if(~F.col("q_extra")).alias("left"), F.count_if("q_extra").alias("got")), "sizes")
     gap = hist.groupBy(*KEY).agg(F.sum(F.col("q_size") * F.col("got")).alias("got")).join(need, KEY).select(*KEY, (F.col("need") - F.col("got")).alias("gap"))
     left = hist.where("left > 0").groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct(F.col("q_size").alias("size"), F.col("left").alias("n"))), asc=False).alias("sizes"))  # a row a size
-    takes = written(left.join(gap, KEY).select(*KEY, F.explode(filled("sizes", "gap")).alias("f")).select(*KEY, F.col("f.size").alias("q_size"), F.col("f.n").alias("limit"), F.col("f.size").alias("c_most")), "fill")
+    takes = filled(written(left.join(gap, KEY), "left"), KEY)
+    takes = written(takes.select(*KEY, F.col("size").alias("q_size"), F.col("n").alias("limit"), F.col("size").alias("c_most")), "fill")
     cuts.append((_cut(now.where(~F.col("q_extra")), takes, size, F.lit(1).cast("long")), size))
     return strata, cuts
 
 
-def filled(sizes: str, gap: str) -> Column:
-    """Which sizes (size, n: from the largest down) to take, and how many of each, for a sum near to a gap."""
+def filled(left: DataFrame, key: list[str]) -> DataFrame:
+    """(key, size, n): which sizes to take, and how many of each, for a sum near to a gap. left: key, gap and sizes, an array
+    of (size, n) from the largest down. The largest that fits goes first; then every size of which one is left may be
+    added, by itself or for one that was taken, and the nearest sum wins (nothing, if that is nearest)."""
     item = "struct<size:bigint,n:bigint>"
-    start = F.struct(F.col(gap).cast("double").alias("gap"), F.array().cast(f"array<{item}>").alias("taken"))
+    start = F.struct(F.col("gap").cast("double").alias("gap"), F.array().cast(f"array<{item}>").alias("taken"))
 
     def step(acc: Column, x: Column) -> Column:
         n = F.least(x["n"], F.floor(F.greatest(acc["gap"], F.lit(0.0)) / x["size"])).cast("bigint")
         more = F.struct(x["size"].alias("size"), n.alias("n"))
         return F.struct((acc["gap"] - n * x["size"]).alias("gap"), F.when(n > 0, F.array_append(acc["taken"], more)).otherwise(acc["taken"]).alias("taken"))
 
-    def finish(acc: Column) -> Column:
-        # Every size of which one is left may be added, by itself or for one that was taken; the nearest sum wins, and nothing if that is nearest.
-        used = lambda size: F.coalesce(F.get(F.filter(acc["taken"], lambda t: t["size"] == size), F.lit(0))["n"], F.lit(0))
-        rest = F.filter(F.col(sizes), lambda x: x["n"] > used(x["size"]))
-        away = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(acc["taken"], lambda t: t["size"]))
-        option = lambda add, drop: F.struct(F.abs(acc["gap"] + drop - add).alias("off"), add.alias("add"), drop.alias("drop"))
-        nearest = F.transform(away, lambda d: F.array_min(F.transform(rest, lambda x: option(x["size"], d))))
-        none = option(F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
-        best = F.array_min(F.filter(F.array_append(nearest, none), lambda o: o.isNotNull()))
-        changed = F.filter(F.transform(acc["taken"], lambda t: F.struct(t["size"].alias("size"), (t["n"] - (t["size"] == best["drop"]).cast("bigint") + (t["size"] == best["add"]).cast("bigint")).alias("n"))), lambda t: t["n"] > 0)
-        new = (best["add"] > 0) & ~F.exists(acc["taken"], lambda t: t["size"] == best["add"])
-        return F.when(new, F.array_append(changed, F.struct(best["add"].alias("size"), F.lit(1).cast("bigint").alias("n")))).otherwise(changed)
-
-    return F.aggregate(sizes, start, step, finish)
+    x = written(left.select(*key, "sizes", F.aggregate("sizes", start, step).alias("f")).select(*key, "sizes", "f.*"), "filled")  # a row a source
+    taken = x.select(*key, F.explode("taken").alias("t")).select(*key, F.col("t.size").alias("size"), F.col("t.n").alias("n"))
+    sizes = x.select(*key, F.explode("sizes").alias("s")).select(*key, F.col("s.size").alias("size"), F.col("s.n").alias("n"))
+    rest = sizes.join(taken.withColumnRenamed("n", "used"), [*key, "size"], "left").where(F.col("n") > F.coalesce("used", F.lit(0))).select(*key, F.col("size").alias("add"))
+    none = F.lit(0).cast("bigint")
+    away = x.select(*key, "gap", F.explode(F.array_append(F.transform("taken", lambda t: t["size"]), none)).alias("drop"))  # few: each is the largest that fits
+    options = away.join(rest, key).unionByName(x.select(*key, "gap", none.alias("drop"), none.alias("add")))
+    best = options.groupBy(*key).agg(F.min(F.struct(F.abs(F.col("gap") + F.col("drop") - F.col("add")).alias("off"), "add", "drop")).alias("o"))
+    change = lambda c, n: best.select(*key, F.col(f"o.{c}").alias("size"), F.lit(n).cast("bigint").alias("n")).where("size > 0")
+    return taken.unionByName(change("add", 1)).unionByName(change("drop", -1)).groupBy(*key, "size").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def _narrow(docs: DataFrame, seed: int) -> DataFrame:

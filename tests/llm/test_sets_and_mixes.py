@@ -118,10 +118,11 @@ def test_mix_of_more_documents_meets_its_targets(spark):
 def test_filling_comes_nearest(spark):
     """Of sizes with how many there are, largest first, and a last exchange."""
     cases = [([(10, 3), (4, 2), (3, 1)], 17.0, 17), ([(9, 1), (8, 2)], 16.2, 17), ([(5, 1)], 2.0, 0), ([(5, 1)], 3.0, 5), ([(100, 1)], 0.4, 0), ([(7, 2)], -1.0, 0), ([(2, 5)], 30.0, 10)]
-    for sizes, gap, want in cases:
-        df = spark.createDataFrame([(sizes, gap)], "sizes array<struct<size:bigint,n:bigint>>, gap double")
-        took = df.select(mixing.filled("sizes", "gap").alias("f")).first()["f"]
-        assert sum(x["size"] * x["n"] for x in took) == want and all(0 < x["n"] <= dict(sizes)[x["size"]] for x in took) and len({x["size"] for x in took}) == len(took)
+    rows = [(i, sizes, gap) for i, (sizes, gap, _) in enumerate(cases)]
+    took = mixing.filled(spark.createDataFrame(rows, "k int, sizes array<struct<size:bigint,n:bigint>>, gap double"), ["k"]).collect()
+    for i, (sizes, _, want) in enumerate(cases):
+        mine = [r for r in took if r["k"] == i]
+        assert sum(r["size"] * r["n"] for r in mine) == want and all(0 < r["n"] <= dict(sizes)[r["size"]] for r in mine) and len({r["size"] for r in mine}) == len(mine)
 
 
 def test_samples_follow_their_probabilities(spark):
