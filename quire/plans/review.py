@@ -531,14 +531,15 @@ def _streamed(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
 
 
 @query(f"""WITH {_LOG}, x AS (SELECT *, {_AFTER} AS after FROM log) SELECT job, coalesce(arg_max(after, event_id) FILTER (after IS NOT NULL), 'preparing') AS status, count(*) AS events,
-    CASE WHEN arg_max(type, event_id) = 'packaging' THEN 'package' ELSE 'translate' END AS stage, max(event_id) AS last_event, list_sort(list(event_id))[-5:] AS tail FROM x GROUP BY job""")
+    CASE WHEN arg_max(type, event_id) = 'packaging' THEN 'package' ELSE 'translate' END AS stage, max(event_id) AS last_event, array_to_string(list_sort(list(event_id))[-5:], ',') AS tail FROM x GROUP BY job""")
 def stream_job_status(spark: SparkSession, d: str) -> DataFrame:
     """Jobs' states as a stream folds them from the log, with their last five events."""
     stream, path = _streamed(spark, d)
     log = stream.select("user_id", "event_id", "ts", kind_of(F.col("event_type")).alias("type"))
     events.gathered(events.statuses(log, "user_id", "event_id", "type", most=5, late="60 days"), f"{path}/out", f"{path}/checkpoint")
     x = spark.read.parquet(f"{path}/out").groupBy("job").agg(F.max_by(F.struct("status", "events", "stage", "last_event", "tail"), "events").alias("s"))
-    return x.select("job", "s.*").join(table(spark, d, "events").select(F.col("user_id").alias("job")).distinct(), "job", "left_semi")
+    x = x.select("job", "s.*").withColumn("tail", F.array_join(F.transform("tail", lambda e: e.cast("string")), ","))
+    return x.join(table(spark, d, "events").select(F.col("user_id").alias("job")).distinct(), "job", "left_semi")
 
 
 @query(_ORACLES["rate_limit_windows"])
