@@ -518,25 +518,35 @@ def job_status(spark: SparkSession, d: str) -> DataFrame:
     return jobs.folded_status(_log(spark, d), "job", "event_id", "type")
 
 
-def _streamed(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
-    """The events as a stream, with one of a job of its own long after, which tells that the log has gone on; and a
-    folder for what the stream writes."""
+def _streamed(spark: SparkSession, d: str, run: Callable[[DataFrame, str, str], None]) -> str:
+    """run(stream, late, folder): the events as a stream that waits for any of them (late: as long as the log is), and then
+    again when one of a job of its own has come long after, which tells that the log has gone on. It comes last as a stream
+    takes some files at a time: beside the first of them it would make all others late. Gives the folder for what is written."""
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     p, fs = hadoop(spark, path)
     fs.deleteOnExit(p)
+    fs.mkdirs(hadoop(spark, f"{path}/later")[0])
     e = table(spark, d, "events")
-    later = e.agg(F.max("event_id") + 1, F.max("ts") + F.expr("INTERVAL 61 DAYS"), F.max("user_id") + 1).toDF("event_id", "ts", "user_id")
-    later.select("event_id", "ts", "user_id", F.lit("view").alias("event_type"), F.lit(0.0).alias("value"), F.lit("").alias("props")).write.parquet(f"{path}/later")
-    return events.log(spark, f"{d}/events.parque[t]").unionByName(events.log(spark, f"{path}/later")), path
+    late = e.agg(F.unix_seconds(F.max("ts").cast("timestamp")) - F.unix_seconds(F.min("ts").cast("timestamp"))).first()[0] or 0
+    late = f"{max(late + 1, 60 * 86_400)} seconds"
+    stream = events.log(spark, f"{d}/events.parque[t]").unionByName(events.log(spark, f"{path}/later"))
+    run(stream, late, path)
+    later = e.agg(F.max("event_id") + 1, F.max("ts") + F.expr(f"INTERVAL {late}") + F.expr("INTERVAL 1 DAY"), F.max("user_id") + 1).toDF("event_id", "ts", "user_id")
+    later.select("event_id", "ts", "user_id", F.lit("view").alias("event_type"), F.lit(0.0).alias("value"), F.lit("").alias("props")).write.mode("append").parquet(f"{path}/later")
+    run(stream, late, path)
+    return path
 
 
 @query(f"""WITH {_LOG}, x AS (SELECT *, {_AFTER} AS after FROM log) SELECT job, coalesce(arg_max(after, event_id) FILTER (after IS NOT NULL), 'preparing') AS status, count(*) AS events,
     CASE WHEN arg_max(type, event_id) = 'packaging' THEN 'package' ELSE 'translate' END AS stage, max(event_id) AS last_event, array_to_string(list_sort(list(event_id))[-5:], ',') AS tail FROM x GROUP BY job""")
 def stream_job_status(spark: SparkSession, d: str) -> DataFrame:
     """Jobs' states as a stream folds them from the log, with their last five events."""
-    stream, path = _streamed(spark, d)
-    log = stream.select("user_id", "event_id", "ts", kind_of(F.col("event_type")).alias("type"))
-    events.gathered(events.statuses(log, "user_id", "event_id", "type", most=5, late="60 days"), f"{path}/out", f"{path}/checkpoint")
+
+    def run(stream: DataFrame, late: str, path: str) -> None:
+        log = stream.select("user_id", "event_id", "ts", kind_of(F.col("event_type")).alias("type"))
+        events.gathered(events.statuses(log, "user_id", "event_id", "type", most=5, late=late), f"{path}/out", f"{path}/checkpoint")
+
+    path = _streamed(spark, d, run)
     x = spark.read.parquet(f"{path}/out").groupBy("job").agg(F.max_by(F.struct("status", "events", "stage", "last_event", "tail"), "events").alias("s"))
     x = x.select("job", "s.*").withColumn("tail", F.array_join(F.transform("tail", lambda e: e.cast("string")), ","))
     return x.join(table(spark, d, "events").select(F.col("user_id").alias("job")).distinct(), "job", "left_semi")
@@ -545,8 +555,7 @@ def stream_job_status(spark: SparkSession, d: str) -> DataFrame:
 @query(_ORACLES["rate_limit_windows"])
 def stream_rate_limits(spark: SparkSession, d: str) -> DataFrame:
     """The delays of rate_limit_windows, by a stream that keeps what it needs of each job in state."""
-    stream, path = _streamed(spark, d)
-    events.written(events.limited(stream, 2, 40, 21600, late="60 days"), f"{path}/out", f"{path}/checkpoint")
+    path = _streamed(spark, d, lambda stream, late, path: events.written(events.limited(stream, 2, 40, 21600, late=late), f"{path}/out", f"{path}/checkpoint"))
     return spark.read.schema(events.LIMITED).parquet(f"{path}/out").select("event_id", "delay")
 
 

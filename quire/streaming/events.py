@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,11 +46,15 @@ def windowed(events: DataFrame, size: str = "1 hour", late: str = "2 hours") ->
 
 
 LIMITED = "user_id long, event_id long, delay long"
+#: Rows that go back to Spark at a time.
+SLICE = 10_000
 
 
 class _Limiter(StatefulProcessor):
-    """Requests wait in a map by second until the watermark has passed that second; then they are let through in
-    order. A job's window is forgotten when the watermark has passed its end, from which on it is as if new."""
+    """Requests wait in a list, a chunk for each time that some came, until the watermark has passed their second; then all
+    that it has passed are let through in order. So what is asked of the state hangs on how many jobs there are and how often
+    they get requests, not on the requests. A job's window is forgotten when the watermark has passed its end, from which on
+    it is as if new."""
 
     def __init__(self, most_requests: int, most_tokens: int, window: int) -> None:
         self.most_requests, self.most_tokens, self.window = most_requests, most_tokens, window
@@ -57,25 +62,30 @@ class _Limiter(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.use = handle.getValueState("use", "clock long, begun long, requests long, used long")
-        self.waiting = handle.getMapState("waiting", "at long", "events array<long>, tokens array<long>")
+        self.waiting = handle.getListState("waiting", "chunk binary")  # seconds, events and tokens, as 64-bit numbers
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        least = None
         for frame in rows:
-            for at, new in frame.groupby("at"):
-                second = (int(at),)
-                events, tokens = self.waiting.getValue(second) if self.waiting.containsKey(second) else ([], [])
-                self.waiting.updateValue(second, (list(events) + new["event_id"].tolist(), list(tokens) + new["tokens"].tolist()))
-                self.handle.registerTimer(1000 * (int(at) + 1))
+            new = np.stack([frame[c].to_numpy(np.int64) for c in ("at", "event_id", "tokens")])
+            self.waiting.appendValue((new.tobytes(),))
+            least = min(int(new[0].min()), int(new[0].min()) if least is None else least)
+        if least is not None:
+            self.handle.registerTimer(1000 * (least + 1))
         yield from ()
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() // 1000
-        second = (now - 1,)
-        clock, begun, requests, used = self.use.get() if self.use.exists() else (0, -(1 << 60), 0, 0)
-        if self.waiting.containsKey(second):
-            out = []
-            for event, tokens in sorted(zip(*self.waiting.getValue(second), strict=True)):
-                at = max(clock, second[0])
+        passed, now = timerValues.getCurrentWatermarkInMs() // 1000, expiredTimerInfo.getExpiryTimeInMs() // 1000
+        chunks = [np.frombuffer(bytes(c), np.int64).reshape(3, -1) for (c,) in self.waiting.get()]
+        waiting = np.concatenate(chunks, axis=1) if chunks else np.zeros((3, 0), np.int64)
+        due = waiting[0] < passed
+        clock, begun, requests, used = self.use.get() or (0, -(1 << 60), 0, 0)
+        if due.any():
+            some = waiting[:, due]
+            some = some[:, np.lexsort(some[::-1])]
+            delays = []
+            for second, tokens in zip(some[0].tolist(), some[2].tolist(), strict=True):
+                at = max(clock, second)
                 if at - begun >= self.window:
                     begun, requests, used = at, 0, 0
                 delay = 0
@@ -83,11 +93,21 @@ class _Limiter(StatefulProcessor):
                     delay = self.window - (at - begun)
                     begun, requests, used = at + delay, 0, 0
                 clock, requests, used = at + delay, requests + 1, used + tokens
-                out.append((key[0], event, delay))
-            self.waiting.removeKey(second)
-            self.use.update((clock, begun, requests, used))
-            self.handle.registerTimer(1000 * (max(clock, begun + self.window) + 1))
-            yield pd.DataFrame(out, columns=["user_id", "event_id", "delay"])
+                delays.append(delay)
+            if due.all():
+                self.waiting.clear()
+            else:
+                rest = waiting[:, ~due]
+                self.waiting.put([(rest.tobytes(),)])
+                self.handle.registerTimer(1000 * (int(rest[0].min()) + 1))
+            over = max(clock, begun + self.window)
+            if passed > over:
+                self.use.clear()
+            else:
+                self.use.update((clock, begun, requests, used))
+                self.handle.registerTimer(1000 * (over + 1))
+            for i in range(0, len(delays), SLICE):
+                yield pd.DataFrame({"user_id": key[0], "event_id": some[1, i : i + SLICE], "delay": delays[i : i + SLICE]})
         elif now > max(clock, begun + self.window):
             self.use.clear()
 
@@ -99,8 +119,8 @@ def limited(events: DataFrame, most_requests: int, most_tokens: int, window: int
     """Each request's delay under a fixed window per job, in order of time. Requests that come up to `late` after younger
     ones are put in their place, later ones are left; so a request is answered once the log has gone on by that time. What
     the stream gives is what `usage.rate_limited` gives of the same requests, however they are spread over files."""
-    e = events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.floor("value").cast("long").alias("tokens")).withWatermark("ts", late)
-    e = e.withColumn("at", F.unix_seconds("ts"))
+    e = events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.coalesce(F.floor("value").cast("long"), F.lit(0)).alias("tokens")).withWatermark("ts", late)
+    e = e.withColumn("at", F.unix_seconds("ts")).where("at IS NOT NULL")
     stateful(events.sparkSession)
     return e.groupBy("user_id").transformWithStateInPandas(_Limiter(most_requests, most_tokens, window), LIMITED, "Append", "EventTime")
 

@@ -1,7 +1,9 @@
 """Streams end by themselves, go on from their checkpoints, and give what the batch operators give."""
 
 import datetime
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +97,42 @@ def test_windows_and_latest(spark, source, tmp_path):
     assert values(spark.table("latest_jobs"), "user_id", "stage", "events") == values(queries.jobs_latest(spark, SF), "user_id", "stage", "events")
     hours = source.groupBy(F.date_trunc("hour", "ts").cast("timestamp").alias("start"), "event_type").agg(F.count(F.lit(1)).alias("requests"), F.sum(F.floor("value")).alias("tokens"))
     assert values(spark.table("windows"), "start", "event_type", "requests", "tokens") == values(hours, "start", "event_type", "requests", "tokens")
+
+
+def test_streamed_queries_of_many_files(spark, source, tmp_path):
+    source.repartition(20, "event_id").write.parquet(str(tmp_path / "events.parquet"))  # more than a stream takes at a time
+    got = review.stream_rate_limits(spark, str(tmp_path))
+    assert values(got, "event_id", "delay") == values(queries.rate_limit_windows(spark, SF), "event_id", "delay")
+    assert values(review.stream_job_status(spark, str(tmp_path)), "job", "events") == values(queries.jobs_latest(spark, SF).withColumnRenamed("user_id", "job"), "job", "events")
+
+
+def test_limiter_asks_its_state_by_job_not_by_request():
+    """A job's thousand requests: one chunk, one timer, and one answer when the watermark has passed them."""
+    calls = []
+
+    class State:
+        held = []
+
+        def appendValue(self, value):
+            calls.append("append")
+            self.held.append(value)
+
+        def get(self):
+            calls.append("get")
+            return iter(self.held)
+
+        clear = lambda self: calls.append("clear")
+        registerTimer = lambda self, at: calls.append("timer")
+
+    class Value:
+        get = lambda self: calls.append("get")
+        clear = lambda self: calls.append("clear")
+
+    limiter = events._Limiter(2, 40, 60)
+    limiter.handle = limiter.waiting = State()
+    limiter.use = Value()
+    frame = pd.DataFrame({"at": range(1000), "event_id": range(1000), "tokens": 1})
+    assert not list(limiter.handleInputRows((7,), iter([frame]), None))
+    times = SimpleNamespace(getCurrentWatermarkInMs=lambda: 10**9, getExpiryTimeInMs=lambda: 1000)
+    out = list(limiter.handleExpiredTimer((7,), times, times))
+    assert len(out) == 1 and len(out[0]) == 1000 and len(calls) <= 8
