@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,8 @@ SHINGLE, PERCENT = 5, 75
 SKETCH_BITS, CHUNK_BITS = 22, 16
 HOT, MOST_BROADCAST = 2000, 1_000_000
 SEEN, FLUSH = 50_000, 250_000
+#: Rows of numbers that are worked on at a time.
+GATHERED = 32_768
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -215,12 +218,10 @@ def _stars(entries: DataFrame, orders: int = 4, step: int = 1) -> DataFrame:
     dealt = entries.select("column", "salt", "cls", "size", "at").repartition("column", "salt")  # what orders them is computed after
     ordered = dealt.withColumn("own", F.floor(F.col("at") / step)).withColumn("order", order).sortWithinPartitions("column", "salt", "own", "order", "cls")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # column, salt, centre, size, at, last cls
-        for b in batches:
-            if not len(b):
-                continue
-            c, s, x, n, at = (b[k].to_numpy() for k in ("column", "salt", "cls", "size", "at"))
+        for b in _gathered(batches):
+            c, s, x, n, at = (b.column(k).to_numpy() for k in range(5))
             new = np.empty(len(c), bool)
             new[1:] = (c[1:] != c[:-1]) | (s[1:] != s[:-1])
             new[0] = last is None or last[:2] != (c[0], s[0])
@@ -236,11 +237,26 @@ def _stars(entries: DataFrame, orders: int = 4, step: int = 1) -> DataFrame:
             last = (c[-1], s[-1], centre[-1], size[-1], place[-1], x[-1])
             keep = ~again & (~new | (s > 0)) & ((x != centre) | (s > 0))
             if keep.any():
-                yield pd.DataFrame(
-                    {"column": c, "salt": s, "centre": centre, "centre_size": size.astype(np.int32), "centre_at": place.astype(np.int32), "cls": x, "size": n, "at": at}
-                )[keep]
-
-    return ordered.select("column", "salt", "cls", "size", "at").mapInPandas(run, STAR)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(v[keep], t) for v, t in ((c, pa.int64()), (s, pa.int32()), (centre, pa.int64()), (size.astype(np.int32), pa.int32()), (place.astype(np.int32), pa.int32()), (x, pa.int64()), (n.astype(np.int32), pa.int32()), (at.astype(np.int32), pa.int32()))], [f.split()[0] for f in STAR.split(", ")]
+                )
+
+    return ordered.select("column", "salt", "cls", "size", "at").mapInArrow(run, STAR)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = GATHERED) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least `rows`: those that Spark hands over are bounded for texts, and what is done to
+    columns of numbers costs as much for few rows as for many."""
+    held, n = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def _bounds(n: Column, at: Column, m: Column, bt: Column) -> Column:

@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -344,3 +345,11 @@ def test_block_sizes_never_lose_a_link():
             assert jaccard._may_link(jaccard._block_sizes(x), jaccard._block_sizes(y))
         both = len(np.intersect1d(x, y))
         assert jaccard._do_link(x.tobytes(), y.tobytes()) == (100 * both >= 75 * (len(x) + len(y) - both))
+
+
+def test_small_batches_of_numbers_are_gathered():
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 1000))], ["x"]) for i in range(0, 70_000, 1000)]
+    got = list(jaccard._gathered(iter(batches)))
+    assert [b.num_rows for b in got] == [33_000, 33_000, 4000]
+    assert pa.concat_batches(got).column(0).to_pylist() == list(range(70_000))
+    assert not list(jaccard._gathered(iter([])))
