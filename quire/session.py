@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import tempfile
 import uuid
 import zipfile
@@ -30,6 +31,20 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Bounds of the batches of texts that Python functions get: rows, and bytes as Arrow holds them.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bounds Arrow batches by rows and bytes, where the session allows more: what a worker holds of whole pages or books
+    then hangs neither on the input nor on how large these are, but for a single one."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        n, unit = re.fullmatch(r"(-?\d+)\s*([bkmgtp]?)b?", spark.conf.get(name).lower()).groups()
+        if not 0 < int(n) << 10 * max(0, "bkmgtp".find(unit)) <= most:
+            spark.conf.set(name, str(most))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share. A local one is made only where the session names none
     and runs on this machine alone."""
