@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quire.functions import markup
 from quire.functions import text as t
 from quire.operators import audit, batches, checks, jobs, memory, reports, terms, usage
-from quire.session import hadoop, shared_dir, written
+from quire.session import bounded, hadoop, shared_dir, written
 from quire.sources import books, formats, html, records, versions
 from quire.streaming import events
 
@@ -745,5 +745,6 @@ for _p in (r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>", r
 @query(rf"""WITH x AS (SELECT page_id, regexp_replace({_SAN}, '^\s+|\s+$', '', 'g') AS f FROM pages) SELECT page_id, md5(f) AS digest, regexp_matches(f, '(?i)<(?:p|h[1-6]|blockquote|ul|ol|li)[\s>/]') AS has_blocks FROM x""")
 def html_fragments(spark: SparkSession, d: str) -> DataFrame:
     """Sanitised bodies, whole (by digest), and whether they have blocks of text or become one paragraph."""
+    bounded(spark)
     f = html.sanitized(html.body(F.col("html")))
     return table(spark, d, "pages").select("page_id", F.md5(f.cast("binary")).alias("digest"), (html.paragraphed(f) == f).alias("has_blocks"))

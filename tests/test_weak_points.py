@@ -3,11 +3,15 @@
 import os
 import stat
 
+import pandas as pd
 from pyspark.sql import functions as F
 
+from quire import session
 from quire.operators import checks, terms, usage
-from quire.plans import services
-from quire.sources import html
+from quire.plans import review, services
+from quire.sources import books, html
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_a_preset_brings_its_own_stop_words(spark):
@@ -52,3 +56,34 @@ def test_all_entities_are_read(spark):
     df = spark.createDataFrame([("&copy; 1 &middot; 2&#8217;s &#x41; &eacute;&nbsp;&lt;b&gt;",), ("plain",), ("<p>&copy;</p>",)], "f string")
     got = [r["x"] for r in df.select(html.paragraphed(F.col("f")).alias("x")).collect()]
     assert got == ["<p>© 1 · 2’s A é &lt;b&gt;</p>", "<p>plain</p>", "<p>&copy;</p>"]
+
+
+def test_batches_of_pages_and_books_are_bounded(spark, tmp_path):
+    """Python gets pages and books in batches of bounded rows and bytes, and gives blocks back a book at a time."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = {c: spark.conf.get(c) for c in (rows, size)}
+    seen = []
+
+    class Books:
+        sparkSession = spark
+        select = lambda self, *_: self
+
+        def mapInPandas(self, run, schema):
+            frame = pd.DataFrame({"path": [f"b{i}" for i in range(300)], "content": [b""] * 300})
+            seen.extend(map(len, run(iter([frame]))))
+
+    try:
+        spark.conf.set(rows, "10000")
+        spark.conf.set(size, "64m")
+        books._read(Books(), lambda book, content: [(book, 1, None)] * 1200, "book string, order int, error string")
+        assert int(spark.conf.get(rows)) <= 500 and int(spark.conf.get(size)) <= 4 << 20
+        assert sum(seen) == 300 * 1200 and max(seen) <= 500
+        spark.conf.set(rows, "10000")
+        review.html_fragments(spark, SF)
+        assert int(spark.conf.get(rows)) <= 500
+        spark.conf.set(size, "1m")
+        session.bounded(spark)
+        assert spark.conf.get(size) == "1m"
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
