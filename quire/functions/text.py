@@ -25,8 +25,13 @@ def squeeze(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, f"{WS}+", " "))
 
 
-#: Texts that are page marks, numbers, style colours or declarations, as Java reads them.
-ODD = (r"(?i)^page_\p{Nd}+$", r"^[\p{Nd}\s.,:;!?()\-–—_#]+$", r"^#[0-9A-Fa-f]{3,8}$", r"^[.#]?[A-Za-z_][A-Za-z0-9_-]*\s*[:=]\s*[-#\p{L}\p{N}_.,%() ]+$")
+#: Texts that are page marks, numbers, style colours or declarations, as Java reads them. They are told from
+#: the text as it is, with any white space where a squeezed text has a space, so that nothing has to be squeezed.
+_SPACE, _VALUE = WS[1:-1], r"-#\p{L}\p{N}_.,%()"
+ODD = (
+    rf"(?i)^{WS}*page_\p{{Nd}}+{WS}*\z", rf"^[\p{{Nd}}{_SPACE}.,:;!?()\-–—_#]+\z", rf"^{WS}*#[0-9A-Fa-f]{{3,8}}{WS}*\z",
+    rf"^{WS}*[.#]?[A-Za-z_][A-Za-z0-9_-]*{WS}*[:=]{WS}*[{_VALUE}][{_VALUE}{_SPACE}]*\z",
+)
 #: What labels of chapters, front and back matter hold.
 CHAPTER, FRONT, BACK = r"(?i)^chapter\s+\d+(?![\p{L}\p{N}_])", "contents|cover|title|copyright|praise", "acknowledg|about the author|author|also by"
 
@@ -34,9 +39,8 @@ CHAPTER, FRONT, BACK = r"(?i)^chapter\s+\d+(?![\p{L}\p{N}_])", "contents|cover|t
 def has_prose(x: Column) -> Column:
     """Whether a text is worth transforming: it has a letter and is no page mark, number, colour or
     style declaration."""
-    v = squeeze(F.coalesce(x, F.lit("")))
-    odd = reduce(Column.__or__, (v.rlike(p) for p in ODD))
-    return (v != "") & ~odd & v.rlike(r"\p{L}")
+    v = F.coalesce(x, F.lit(""))
+    return v.rlike(r"\p{L}") & ~reduce(Column.__or__, (v.rlike(p) for p in ODD))
 
 
 def section_kind(label: Column) -> Column:

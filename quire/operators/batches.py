@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as t
 from quire.operators.folds import changes, nearest_rank, numbered, positions
-from quire.session import written
+from quire.session import forgotten, written
 
 #: Rows that go back to Spark at a time.
 SLICE = 10_000
@@ -44,7 +44,9 @@ def packed(df: DataFrame, key: str, order: list[Column], weight: Column, max_row
         x = numbered(x, key, by).select(key, "weight", "seq")
         return x.select(key, "seq", "weight", (F.floor((F.col("seq") - 1) / rows) + 1).cast("long").alias("chunk"))
     kind = df.schema[key].dataType.simpleString()
-    x = written(_in_ranges(x, key, by, kind, rows, chars), "packed")
+    source = written(x, "rows")  # dealing by ranges reads its rows twice, first for a sample
+    x = written(_in_ranges(source, key, by, kind, rows, chars), "packed")
+    forgotten(source)
     done = x.where("head IS NULL")
     entries = _entered(x.where("head IS NOT NULL"), key, kind, rows, chars)
     entries = F.broadcast(written(entries, "entries"))  # a row a range at most

@@ -11,8 +11,10 @@ PARAGRAPH = r"\n\s*\n"
 
 
 def pieces(df: DataFrame, key: str, text: Column, delimiter: str) -> DataFrame:
-    """(key, pos, piece): the non-blank pieces of each text, stripped, with their place from 1."""
-    cut = F.filter(F.transform(F.split(text, delimiter), t.strip), lambda x: x != "")
+    """(key, pos, piece): the non-blank pieces of each text, stripped, with their place from 1. Only pieces that begin or end
+    with white space are gone through for it."""
+    edged = lambda x: F.concat(F.left(x, F.lit(1)), F.right(x, F.lit(1))).rlike(t.WS)
+    cut = F.filter(F.transform(F.split(text, delimiter), lambda x: F.when(edged(x), t.strip(x)).otherwise(x)), lambda x: x != "")
     return df.select(key, F.posexplode(cut).alias("pos", "piece")).withColumn("pos", F.col("pos").cast("long") + 1)
 
 

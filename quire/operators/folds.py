@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.session import written
+from quire.session import forgotten, written
 
 #: A step takes the state and a row's values, and gives the next state and what to add to the row.
 Step = Callable[[Any, tuple], tuple[Any, tuple]]
@@ -54,9 +54,11 @@ def positions(df: DataFrame, by: str, ties: list[Column], to: str, ranges: int |
     """df with `to`: the place from 1 of every row in the order of a column and ties, nulls first. Rows are dealt out by
     ranges of both (as many as the session's shuffles have partitions, if not told), so that neither all rows nor those of
     one frequent value meet in a task; a range's numbers start after the counts of those before it. Ranges come from a
-    sample, so they are fixed by writing them once."""
+    sample, so they are fixed by writing them once; and so that sampling doesn't work out all rows, these are written before."""
     order = [F.col(by), *ties]
-    x = written(df.repartitionByRange(*([ranges] if ranges else []), *order).sortWithinPartitions(*order).withColumn("q_at", F.monotonically_increasing_id()), "places")
+    source = written(df, "rows")
+    x = written(source.repartitionByRange(*([ranges] if ranges else []), *order).sortWithinPartitions(*order).withColumn("q_at", F.monotonically_increasing_id()), "places")
+    forgotten(source)
     place, at = F.shiftright("q_at", 33), F.col("q_at").bitwiseAND(F.lit((1 << 33) - 1))  # Spark's id: the partition, and the row's number in it
     x = x.withColumn("q_range", place)
     before, upto = [], 0
@@ -84,8 +86,10 @@ def nearest_rank(counts: DataFrame, key: str, value: str, percent: int, to: str,
 
 def numbered(df: DataFrame, key: str, order: list[Column], to: str = "seq") -> DataFrame:
     """df with `to`: the place from 1 of every row among those of its key, in order. Rows are dealt out by ranges of key and
-    order, so a key with any share of the rows is spread over as many tasks; what its earlier ranges hold is added."""
-    rows = df.repartitionByRange(key, *order).sortWithinPartitions(key, *order).withColumn("q_range", F.spark_partition_id())
+    order, so a key with any share of the rows is spread over as many tasks; what its earlier ranges hold is added. Rows are
+    written first, as dealing them out reads them twice."""
+    source = written(df, "rows")
+    rows = source.repartitionByRange(key, *order).sortWithinPartitions(key, *order).withColumn("q_range", F.spark_partition_id())
     schema = T.StructType([*rows.schema.fields, T.StructField(to, T.LongType()), T.StructField("q_first", T.BooleanType()), T.StructField("q_row", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,6 +108,7 @@ def numbered(df: DataFrame, key: str, order: list[Column], to: str = "seq") -> D
             last, count, row = k.slice(n - 1, 1), int(place[-1]), row + n
 
     x = written(rows.mapInArrow(run, schema), "numbered")
+    forgotten(source)
     ends = x.groupBy("q_range").agg(F.min_by(key, "q_row").alias("head"), F.count_if("q_first").alias("heads"), F.max_by(key, "q_row").alias("tail"), F.max_by(to, "q_row").alias("tails"), F.count(F.lit(1)).alias("n"))
     before, open_key, held = [], None, 0
     for i, r in enumerate(sorted(ends.collect(), key=lambda r: r["q_range"])):  # one row a range

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import text as t
-from quire.operators import batches, checks, folds
+from quire.operators import batches, blocks, checks, folds
 from quire.sources import records
 
 
@@ -85,3 +85,29 @@ def test_plans_of_one_language(spark):
     v = sorted(r["chars"] for r in blocks.collect())
     assert (got["block_count"], got["total_chars"], got["max_block_chars"], got["p95_block_chars"]) == (20_000, sum(v), v[-1], v[19_000 - 1])
     assert got["batch_chars"] == 5000 and got["oversized"] == sum(x > 5000 for x in v)
+
+
+WHITE = " \t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2003\u2028\u2029\u202f\u205f\u3000"
+
+
+def test_prose_is_told_without_squeezing(spark):
+    """As from squeezed texts, but these aren't made: each pattern that read one made it anew."""
+    r = random.Random(6)
+    words = ["page_", "PAGE_1", "12", "٣", "#", "ffaa00", "a_b", "color", ":", "=", "red", "é", "x-1", ".", "(", "!", "-%", "中文", "\u200b", "𝒜", ""]
+    texts = ["".join(r.choice([*words, *WHITE, "\n", "  "]) for _ in range(r.randrange(9))) for _ in range(20_000)] + [None]
+    odd = (r"(?i)^page_\p{Nd}+$", r"^[\p{Nd}\s.,:;!?()\-–—_#]+$", r"^#[0-9A-Fa-f]{3,8}$", r"^[.#]?[A-Za-z_][A-Za-z0-9_-]*\s*[:=]\s*[-#\p{L}\p{N}_.,%() ]+$")
+    x = spark.createDataFrame([(v,) for v in texts], "x string").withColumn("v", t.squeeze(F.coalesce("x", F.lit(""))))
+    x = x.withColumn("want", F.expr("v <> ''") & F.col("v").rlike(r"\p{L}"))
+    for p in odd:
+        x = x.withColumn("want", F.col("want") & ~F.col("v").rlike(p))
+    got = x.select("x", "want", t.has_prose(F.col("x")).alias("got")).collect()
+    assert [g for g in got if g["want"] != g["got"]] == [] and 2000 < sum(g["got"] for g in got) < 18_000
+    told = spark.createDataFrame([("a",)], "x string").where(t.has_prose(F.col("x")))
+    assert "regexp_replace" not in told._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pieces_are_stripped_at_either_end(spark):
+    texts = [f"{a}{x}{b}" for x in ("", "x", "a \t b", "𝒜") for a in ("", *WHITE, "\u2003 \t") for b in ("", *WHITE, "\u2003 \t")] + ["", "\u200bx\u200b"]
+    df = spark.createDataFrame([(1, "\n".join(texts)), (2, None), (3, ""), (4, " \n\t")], "k int, x string")
+    got = [(r["k"], r["pos"], r["piece"]) for r in blocks.pieces(df, "k", F.col("x"), "\n").orderBy("k", "pos").collect()]
+    assert got == [(1, i + 1, x) for i, x in enumerate(y.strip(WHITE) for y in texts if y.strip(WHITE))]

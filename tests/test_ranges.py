@@ -83,3 +83,22 @@ def test_positions_of_one_value(many_ranges):
     assert got == sorted(got) and sorted(r["n"] for r in x.collect()) == list(range(1, 20_001))
     written = folds.written(df.repartitionByRange("a", "b").withColumn("p", F.spark_partition_id()), "test")
     assert max(Counter(r["p"] for r in written.collect()).values()) < 2 * 20_000 / 9
+
+
+@pytest.mark.parametrize("dealt", ["packed", "numbered", "positions"])
+def test_rows_are_worked_out_once(many_ranges, dealt):
+    """Ranges are drawn from a sample of written rows, not of rows that are worked out for it once more."""
+    seen = many_ranges.sparkContext.accumulator(0)
+
+    def count(x):
+        seen.add(1)
+        return x
+
+    df = many_ranges.range(3000).select((F.col("id") % 7).alias("k"), F.col("id").alias("i"), F.udf(count, "long")("id").alias("w"))
+    if dealt == "packed":
+        x = batches.packed(df, "k", [F.col("i")], F.col("w"), 20, 6000)
+    elif dealt == "numbered":
+        x = folds.numbered(df, "k", [F.col("i")])
+    else:
+        x = folds.positions(df, "w", [F.col("i")], "n")
+    assert x.count() == 3000 and seen.value == 3000
